@@ -2,5 +2,242 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import cost, cross, noise, sequence, text
+from ..sources import bridge
+from .orders import ORDER_QUERIES, ORDER_SQL
+
+KEYWORDS = ["tion", "the"]
+PHRASES = ["nav", "ad"]
+TODO, QUESTION = "(^|[^a-z])(the|tion)([^a-z]|$)", "(^|[^a-z])(an|of)([^a-z]|$)"
+
+
+def _entries(f) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: f(bridge.entries(spark, d))
+
+
+def _blocks(f) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: f(bridge.blocks(bridge.entries(spark, d)))
+
+
+def _both(f) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = bridge.entries(spark, d)
+        return f(rows, bridge.blocks(rows))
+
+    return run
+
+
+def _priced(f) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: f(bridge.entries(spark, d), bridge.prices(spark))
+
+
+def _of(name: str, f) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: f(bridge.table(spark, d, name))
+
+
+#: A third of the rows of a session and file read again count, and branches close at half a day.
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "detect_compactions": _entries(sequence.detect_compactions),
+    "assign_epochs": _entries(lambda e: sequence.assign_epochs(e).select("session", "idx", "epoch")),
+    "turn_number": _entries(sequence.turn_number),
+    "epoch_turn_bounds": _entries(sequence.epoch_turn_bounds),
+    "growth_rate": _entries(sequence.growth),
+    "find_branches": _entries(lambda e: sequence.find_branches(e, "12 hours")),
+    "active_cwd": _entries(sequence.active_cwd),
+    "session_duration": _entries(sequence.session_duration),
+    "time_series_spikes": _entries(sequence.spikes),
+    "find_tangents": _entries(sequence.find_tangents),
+    "drift_tangents": _entries(lambda e: sequence.find_tangents(e, tokens=0, mixed_may_start=True)),
+    "find_tool_result": _blocks(noise.results_of),
+    "stale_reads": _blocks(noise.stale_reads),
+    "failed_retries": _blocks(noise.failed_retries),
+    "missing_parents": _entries(noise.missing_parents),
+    "orphan_results": _blocks(noise.orphan_results),
+    "detect_sidechains": _both(noise.detect_sidechains),
+    "noise_ledger": _both(noise.noise_ledger),
+    "recommend": _both(noise.recommend),
+    "turn_costs": _priced(lambda e, p: cost.turn_costs(e, p).select("session", "idx", F.round("dollars", 9).alias("dollars"))),
+    "model_cost": _priced(cost.model_cost),
+    "session_cost": _priced(cost.session_cost),
+    "epoch_cost": _priced(cost.epoch_cost),
+    "quick_cost": _priced(cost.quick_cost),
+    "context_stats": _entries(cost.context_stats),
+    "epoch_scopes": _entries(cost.epoch_scopes),
+    "scope_drift": _entries(cost.scope_drift),
+    "half_life": _entries(cost.half_life),
+    "ghost_files": _entries(cost.ghost_files),
+    "epoch_diff": _entries(cost.epoch_diff),
+    "top_files": _entries(cost.top_files),
+    "health": _both(cost.health),
+    "entropy": _both(cost.entropy),
+    "file_stats": _entries(cross.file_stats),
+    "continuity_files": _blocks(cross.continuity_files),
+    "repeat_topics": _blocks(cross.repeat_topics),
+    "file_touch_edges": _entries(cross.file_touch_edges),
+    "temporal_edges": _entries(cross.temporal_edges),
+    "file_lineage": _entries(lambda e: cross.file_lineage(e, "f3")),
+    "search": _of("conversations", lambda t: text.search(t, "tion")),
+    "estimate_tokens": _of("conversations", text.estimate_tokens),
+    "content_preview": _of("conversations", text.content_preview),
+    "decision_hint": _of("conversations", lambda t: text.decision_hints(t, KEYWORDS)),
+    "coalesce_preview": _of("conversations", text.coalesce_preview),
+    "export_tasks": _of("conversations", lambda t: text.tasks(t, TODO, QUESTION)),
+    "strip_separators": _of("documents", text.strip_separators),
+    "truncate_outputs": _of("documents", text.truncate_outputs),
+    "section_split": _of("documents", text.sections),
+    "continuity_texts": _of("documents", text.repeated_texts),
+    "comment_scan": _of("pages", lambda p: text.comment_scan(p, PHRASES)),
+} | ORDER_QUERIES
+
+_CALLS = "SELECT session, id, idx AS call_idx FROM b WHERE kind='tool_use'"
+_RESULTS = f"""SELECT u.session, u.id, min(r.idx) AS result_idx, arg_min(r.raw_size, r.idx) AS result_size
+ FROM ({_CALLS}) u JOIN b r ON r.session=u.session AND r.kind='tool_result' AND r.tool_use_id=u.id AND r.idx>u.call_idx AND r.idx<=u.call_idx+4 GROUP BY ALL"""
+_STALE = f"""st AS (SELECT x.session, x.path, x.idx, coalesce(r.result_idx,-1) AS result_idx, x.raw_size//4 + coalesce(r.result_size//4,0) AS tokens
+ FROM (SELECT *, lead(idx) OVER (PARTITION BY session,path,version ORDER BY idx) AS again FROM
+  (SELECT *, sum(CASE WHEN name='Edit' THEN 1 ELSE 0 END) OVER (PARTITION BY session,path ORDER BY idx) AS version FROM b WHERE kind='tool_use') WHERE name='Read') x
+ LEFT JOIN ({_RESULTS}) r ON r.session=x.session AND r.id=x.id WHERE again IS NOT NULL)"""
+_RETRY = """rt AS (SELECT f.session, f.call_idx, f.error_idx, min(n.idx) AS retry_idx, f.call_size//4 + f.error_size//4 AS tokens FROM
+ (SELECT e.session, e.idx AS error_idx, e.raw_size AS error_size, max(u.idx) AS call_idx, arg_max(u.raw_size,u.idx) AS call_size, arg_max(u.name||':'||u.path,u.idx) AS sig
+  FROM b e JOIN b u ON u.session=e.session AND u.kind='tool_use' AND u.id=e.tool_use_id AND u.idx<e.idx AND u.idx>=e.idx-5 WHERE e.kind='tool_result' AND e.is_error GROUP BY ALL) f
+ JOIN b n ON n.session=f.session AND n.kind='tool_use' AND n.name||':'||n.path=f.sig AND n.idx>f.error_idx AND n.idx<=f.error_idx+6 GROUP BY ALL)"""
+_LINKS = """mp AS (SELECT session, idx, parent_uuid FROM e WHERE parent_uuid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM e k WHERE k.session=e.session AND k.uuid=e.parent_uuid)),
+orp AS (SELECT session, idx, tool_use_id FROM b WHERE kind='tool_result' AND NOT EXISTS (SELECT 1 FROM b k WHERE k.kind='tool_use' AND k.session=b.session AND k.id=b.tool_use_id)),
+sc AS (SELECT session, idx, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM
+ (SELECT session, idx, 'missing_parent' AS reason FROM mp UNION ALL SELECT session, idx, 'orphan_result' FROM orp) GROUP BY ALL)"""
+
+
+def _tangent(start: str) -> str:
+    return f"""t0 AS (SELECT *, coalesce(NOT (path='/w/r0' OR starts_with(path,'/w/r0/')),false) AS ext, coalesce(path='/w/r0' OR starts_with(path,'/w/r0/'),false) AS home, type IN ('user','assistant') AS conv FROM e),
+t1 AS (SELECT *, coalesce(tool='Edit' AND home,false) AS m, coalesce(last_value(CASE WHEN conv THEN ext END IGNORE NULLS) OVER (PARTITION BY session ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),false) AS pv FROM t0),
+t2 AS (SELECT *, (m OR (home AND NOT ext) OR (conv AND NOT ext AND NOT home AND NOT pv)) AS brk, ({start}) AS st FROM t1),
+t3 AS (SELECT *, sum(CASE WHEN brk THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY idx) AS isl FROM t2),
+tg AS (SELECT * FROM (SELECT *, max(CASE WHEN st THEN 1 ELSE 0 END) OVER (PARTITION BY session, isl ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS live FROM t3) WHERE NOT brk AND live=1)"""
+
+
+_PURE = "ext AND NOT m AND NOT home"
+_TAGS = f"""{_STALE}, {_RETRY}, {_LINKS}, {_tangent(_PURE)},
+tags AS (SELECT DISTINCT * FROM (SELECT session, idx, 'stale_reads' AS category FROM st UNION ALL SELECT session, result_idx, 'stale_reads' FROM st UNION ALL
+ SELECT session, call_idx, 'failed_retries' FROM rt UNION ALL SELECT session, error_idx, 'failed_retries' FROM rt UNION ALL
+ SELECT session, idx, 'tangents' FROM tg UNION ALL SELECT session, idx, 'sidechains' FROM sc) WHERE idx>=0),
+rec AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY tokens DESC, category) AS rank FROM (SELECT session, category, count(*) AS rows, CAST(sum(raw_size//4) AS BIGINT) AS tokens
+ FROM (SELECT * FROM tags UNION ALL SELECT session, idx, 'progress' FROM e WHERE type='progress') JOIN e USING (session, idx) GROUP BY ALL)),
+hl AS (SELECT s.session, coalesce(n.t,0) AS noise_tokens, n.biggest, CASE WHEN cur<=0 THEN 100.0 ELSE greatest(cur-coalesce(n.t,0),0)*100.0/cur END AS p, cur, entries FROM
+ (SELECT session, coalesce(arg_max(ctx,idx) FILTER (WHERE ctx IS NOT NULL),0) AS cur, count(*) AS entries FROM e GROUP BY session) s
+ LEFT JOIN (SELECT session, CAST(sum(tokens) AS BIGINT) AS t, max(CASE WHEN rank=1 THEN category END) AS biggest FROM rec GROUP BY session) n USING (session))"""
+_SCOPE = """sp AS (SELECT session, epoch, count(*) FILTER (WHERE path='/w/r0' OR starts_with(path,'/w/r0/')) AS in_scope, count(*) FILTER (WHERE NOT (path='/w/r0' OR starts_with(path,'/w/r0/'))) AS out_scope
+ FROM ep WHERE path IS NOT NULL AND type IN ('user','assistant') GROUP BY ALL)"""
+_FIRST = "fr AS (SELECT session, path, arg_min(raw_size//4, idx) AS tokens FROM b WHERE kind='tool_use' AND name='Read' GROUP BY ALL)"
+
+
+def _with(body: str, *more: str) -> str:
+    return "WITH " + ",\n".join([bridge.SQL.strip(), *more]) + "\n" + body
+
+
+ORACLE_SQL: dict[str, str] = {
+    "detect_compactions": _with("SELECT session, idx, before_ctx, ctx FROM c"),
+    "assign_epochs": _with("SELECT session, idx, epoch FROM ep"),
+    "turn_number": _with("SELECT session, idx, CAST(count(*) FILTER (WHERE type='assistant') OVER (PARTITION BY session ORDER BY idx) AS BIGINT) AS turn FROM e"),
+    "epoch_turn_bounds": _with(
+        """SELECT session, epoch, CASE WHEN epoch=0 THEN lo ELSE lo+1 END AS first_turn, CASE WHEN lead(epoch) OVER (PARTITION BY session ORDER BY epoch) IS NOT NULL THEN hi+1 ELSE hi END AS last_turn
+        FROM (SELECT session, epoch, min(turn) AS lo, max(turn) AS hi FROM (SELECT session, epoch, row_number() OVER (PARTITION BY session ORDER BY idx) AS turn FROM ep WHERE type='assistant') GROUP BY ALL)"""
+    ),
+    "growth_rate": _with(
+        """SELECT session, cur AS current_ctx, round(g,6) AS growth_rate, CASE WHEN g<=0 THEN -1 WHEN cur>=165000 THEN 0 ELSE CAST(floor((165000-cur)/g) AS BIGINT) END AS turns_left,
+        CASE WHEN av>0 AND 165000-cur>0 THEN CAST(floor((165000-cur)/av) AS BIGINT) ELSE 0 END AS fast_turns_left
+        FROM (SELECT *, CASE WHEN cuts>0 AND uses-1>=1 THEN (cur-st)/CAST(uses-1 AS DOUBLE) WHEN talk>0 THEN cur/CAST(talk AS DOUBLE) ELSE 0 END AS g, CASE WHEN uses>0 THEN floor(cur/CAST(uses AS DOUBLE)) END AS av FROM
+        (SELECT session, max(le) AS cuts, coalesce(arg_max(ctx,idx) FILTER (WHERE ctx IS NOT NULL),0) AS cur, arg_min(ctx,idx) FILTER (WHERE ctx IS NOT NULL AND epoch=le) AS st,
+        count(*) FILTER (WHERE ctx IS NOT NULL AND epoch=le) AS uses, count(*) FILTER (WHERE type IN ('user','assistant')) AS talk
+        FROM (SELECT *, max(epoch) OVER (PARTITION BY session) AS le FROM ep) GROUP BY session))"""
+    ),
+    "find_branches": _with(
+        """SELECT *, branch = max(branch) OVER (PARTITION BY session) AS is_last FROM (SELECT session, branch, count(*) AS entries, CAST(sum(raw_size//4) AS BIGINT) AS tokens, count(*) FILTER (WHERE type='user') AS user_turns,
+        min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT path) AS paths, bool_or(cut) AS has_compaction FROM
+        (SELECT *, CAST(sum(CASE WHEN cut OR quiet THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY idx) AS BIGINT) AS branch FROM
+        (SELECT *, coalesce(lag(epoch) OVER w <> epoch,false) AS cut, coalesce(ts - lag(ts) OVER w >= INTERVAL 12 HOUR,false) AS quiet FROM ep WINDOW w AS (PARTITION BY session ORDER BY idx))) GROUP BY ALL)"""
+    ),
+    "active_cwd": _with("SELECT session, idx, cwd AS active_cwd FROM e"),
+    "session_duration": _with("SELECT session, round(CASE WHEN count(*)<2 THEN 0 ELSE coalesce(epoch(arg_max(ts,idx))-epoch(arg_min(ts,idx)),0) END,3) AS seconds FROM e GROUP BY session"),
+    "time_series_spikes": _with(
+        """SELECT session, turn, CASE WHEN d>0 THEN 'spike' ELSE 'compaction' END AS event, abs(d) AS amount FROM (SELECT *, ctx-lag(ctx) OVER (PARTITION BY session ORDER BY idx) AS d FROM tt WHERE ctx>0) WHERE d>30000 OR -d>50000
+        UNION ALL SELECT session, turn, 'burst', n FROM (SELECT *, min(turn) OVER (PARTITION BY session) AS f FROM (SELECT session, turn, count(*) AS n FROM (SELECT session, path, min(turn) AS turn FROM tt WHERE path IS NOT NULL GROUP BY ALL) GROUP BY ALL)) WHERE turn>f AND n>=1""",
+        "tt AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY idx) AS turn FROM e WHERE type='assistant')",
+    ),
+    "find_tangents": _with("SELECT session, min(idx) AS first_idx, max(idx) AS last_idx, count(*) AS entries, CAST(sum(raw_size//4) AS BIGINT) AS tokens FROM tg GROUP BY session, isl HAVING count(*)>=2 AND sum(raw_size//4)>=100", _tangent(_PURE)),
+    "drift_tangents": _with("SELECT session, min(idx) AS first_idx, max(idx) AS last_idx, count(*) AS entries, CAST(sum(raw_size//4) AS BIGINT) AS tokens FROM tg GROUP BY session, isl HAVING count(*)>=2", _tangent("ext AND NOT m")),
+    "find_tool_result": _with(_RESULTS),
+    "stale_reads": _with("SELECT * FROM st", _STALE),
+    "failed_retries": _with("SELECT * FROM rt", _RETRY),
+    "missing_parents": _with("SELECT * FROM mp", _LINKS),
+    "orphan_results": _with("SELECT * FROM orp", _LINKS),
+    "detect_sidechains": _with(
+        """SELECT session, idx, reasons, dense_rank() OVER (PARTITION BY session ORDER BY run)-1 AS grp, reconnect_to FROM (SELECT *, idx-row_number() OVER (PARTITION BY session ORDER BY idx) AS run FROM
+        (SELECT e.session, e.idx, sc.reasons, last_value(CASE WHEN e.parent_uuid IS NOT NULL AND coalesce(sc.reasons,'') NOT LIKE '%missing_parent%' THEN e.uuid END IGNORE NULLS) OVER (PARTITION BY e.session ORDER BY e.idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reconnect_to
+        FROM e LEFT JOIN sc ON sc.session=e.session AND sc.idx=e.idx) WHERE reasons IS NOT NULL)""",
+        _LINKS,
+    ),
+    "noise_ledger": _with("SELECT session, CAST(sum(t*n) AS BIGINT) AS tagged_tokens, CAST(sum(t) AS BIGINT) AS union_tokens, count(*) AS noisy_rows, CAST(sum(t*n)-sum(t) AS BIGINT) AS overlap_tokens FROM (SELECT session, idx, max(raw_size//4) AS t, count(*) AS n FROM tags JOIN e USING (session, idx) GROUP BY ALL) GROUP BY session", _TAGS),
+    "recommend": _with("SELECT * FROM rec", _TAGS),
+    "turn_costs": _with("SELECT session, idx, round(dollars,9) AS dollars FROM cost"),
+    "model_cost": _with("SELECT session, model, count(*) AS turns, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(CAST(sum(CAST(dollars AS DECIMAL(20,9))) AS DOUBLE),9) AS dollars FROM cost GROUP BY ALL"),
+    "session_cost": _with(
+        """SELECT session, round(CAST(sum(d) AS DOUBLE),9) AS dollars, round(CAST(sum(d) AS DOUBLE)/sum(n),6) AS per_turn, max(CASE WHEN r=1 THEN model END) AS primary_model FROM
+        (SELECT *, row_number() OVER (PARTITION BY session ORDER BY d DESC, model) AS r FROM (SELECT session, model, sum(CAST(dollars AS DECIMAL(20,9))) AS d, count(*) AS n FROM cost GROUP BY ALL)) GROUP BY session"""
+    ),
+    "epoch_cost": _with("SELECT session, epoch, count(*) AS turns, max(ctx) AS peak_ctx, round(CAST(sum(CAST(dollars AS DECIMAL(20,9))) AS DOUBLE),9) AS dollars FROM cost GROUP BY ALL"),
+    "quick_cost": _with(
+        """SELECT session, round(CASE WHEN arg_min(model,idx)='m-mid-2026' THEN (sum(input_tokens)*3.0+sum(output_tokens)*15.0+sum(cache_creation_tokens)*0.75+sum(cache_read_tokens)*0.15)/1e6
+        ELSE (sum(input_tokens)*15.0+sum(output_tokens)*75.0+sum(cache_creation_tokens)*3.75+sum(cache_read_tokens)*0.75)/1e6 END,9) AS dollars FROM e WHERE ctx IS NOT NULL GROUP BY session"""
+    ),
+    "context_stats": _with(
+        """SELECT *, round(current_ctx*100.0/200000,4) AS usage_percent FROM (SELECT session, count(*) AS entries, count(*) FILTER (WHERE type='user') AS user_rows, count(*) FILTER (WHERE type='assistant') AS assistant_rows, count(*) FILTER (WHERE type='progress') AS progress_rows,
+        CAST(sum(raw_size) AS BIGINT) AS bytes, CAST(sum(CASE WHEN type='progress' THEN raw_size//4 ELSE 0 END) AS BIGINT) AS progress_tokens, coalesce(arg_max(ctx,idx) FILTER (WHERE ctx IS NOT NULL),0) AS current_ctx, coalesce(max(ctx),0) AS max_ctx FROM e GROUP BY session)"""
+    ),
+    "epoch_scopes": _with("SELECT * FROM sp", _SCOPE),
+    "scope_drift": _with("SELECT session, CAST(sum(in_scope) AS BIGINT) AS in_scope, CAST(sum(out_scope) AS BIGINT) AS out_scope, round(sum(out_scope)/CAST(greatest(sum(in_scope)+sum(out_scope),1) AS DOUBLE),6) AS drift FROM sp GROUP BY session", _SCOPE),
+    "half_life": _with("SELECT session, epoch, count(*) AS files, count(*) FILTER (WHERE l=epoch) AS dropped, round(count(*) FILTER (WHERE l=epoch)/CAST(count(*) AS DOUBLE),6) AS decay FROM (SELECT *, max(epoch) OVER (PARTITION BY session, path) AS l FROM (SELECT DISTINCT session, epoch, path FROM ep WHERE path IS NOT NULL)) GROUP BY ALL"),
+    "ghost_files": _with("SELECT DISTINCT a.session, a.epoch, a.path FROM ep a JOIN ep z ON z.session=a.session AND z.epoch=a.epoch+1 AND z.path=a.path AND z.tool='Edit' WHERE a.path IS NOT NULL"),
+    "epoch_diff": _with(
+        """SELECT session, epoch, CAST(len([x for x in f if NOT list_contains(pf,x)]) AS BIGINT) AS added, CAST(len([x for x in pf if NOT list_contains(f,x)]) AS BIGINT) AS dropped, CAST(len([x for x in f if list_contains(pf,x)]) AS BIGINT) AS kept
+        FROM (SELECT *, lag(f) OVER (PARTITION BY session ORDER BY epoch) AS pf FROM (SELECT session, epoch, coalesce(list(DISTINCT path) FILTER (WHERE path IS NOT NULL),[]) AS f FROM ep GROUP BY ALL)) WHERE pf IS NOT NULL"""
+    ),
+    "top_files": _with("SELECT session, rank, path, writes FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY writes DESC, path) AS rank FROM (SELECT session, path, count(*) AS writes FROM e WHERE tool='Edit' GROUP BY ALL)) WHERE rank<=3"),
+    "health": _with("SELECT session, noise_tokens, round(p,4) AS signal_percent, CASE WHEN p>90 THEN 'A' WHEN p>75 THEN 'B' WHEN p>60 THEN 'C' WHEN p>40 THEN 'D' ELSE 'F' END AS grade, biggest FROM hl", _TAGS),
+    "entropy": _with(
+        """SELECT session, round(x,4) AS score, CASE WHEN x<=20 THEN 'LOW' WHEN x<=50 THEN 'MEDIUM' WHEN x<=75 THEN 'HIGH' ELSE 'CRITICAL' END AS level FROM (SELECT hl.session, 100*(0.30*(1-round(p,4)/100)+0.25*least(cur/165000.0::DOUBLE,1.0)+0.20*coalesce(d.drift,0)
+        +0.15*least(coalesce(o.n,0)/CAST(greatest(entries,1) AS DOUBLE),1.0)+0.10*least(coalesce(k.n,0),10)/10.0) AS x FROM hl
+        LEFT JOIN (SELECT session, round(sum(out_scope)/CAST(greatest(sum(in_scope)+sum(out_scope),1) AS DOUBLE),6) AS drift FROM sp GROUP BY session) d ON d.session=hl.session
+        LEFT JOIN (SELECT session, count(*) AS n FROM orp GROUP BY session) o ON o.session=hl.session LEFT JOIN (SELECT session, count(*) AS n FROM c GROUP BY session) k ON k.session=hl.session)""",
+        _TAGS,
+        _SCOPE,
+    ),
+    "file_stats": _with("SELECT path, count(*) AS touches, count(DISTINCT session) AS sessions FROM e WHERE path IS NOT NULL GROUP BY path ORDER BY touches DESC, sessions DESC, path LIMIT 12"),
+    "continuity_files": _with("SELECT path, count(*) AS sessions, CAST(sum(tokens)-min(tokens) AS BIGINT) AS tokens, round((sum(tokens)-min(tokens))*0.75/1e6,9) AS dollars FROM fr GROUP BY path HAVING count(*)>=2", _FIRST),
+    "repeat_topics": _with("SELECT x.path AS a, y.path AS b, count(*) AS sessions FROM fr x JOIN fr y ON x.session=y.session AND x.path<y.path GROUP BY ALL HAVING count(*)>=3", _FIRST),
+    "file_touch_edges": _with("SELECT path, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS touches FROM (SELECT path, session, count(*) AS n FROM e WHERE path IS NOT NULL GROUP BY ALL HAVING count(*)>=2) GROUP BY path HAVING count(*)>=2"),
+    "temporal_edges": _with(
+        """SELECT session, next_session, gap_seconds FROM (SELECT *, greatest(CAST(epoch(date_trunc('second',na)) AS BIGINT)-CAST(epoch(date_trunc('second',z)) AS BIGINT),0) AS gap_seconds FROM
+        (SELECT *, lead(session) OVER w AS next_session, lead(a) OVER w AS na FROM (SELECT session, min(ts) AS a, max(ts) AS z FROM e GROUP BY session) WINDOW w AS (PARTITION BY CAST(session AS BIGINT)%10 ORDER BY a, CAST(session AS BIGINT))) WHERE next_session IS NOT NULL) WHERE gap_seconds<=86400"""
+    ),
+    "file_lineage": _with("SELECT session, idx, CASE tool WHEN 'Read' THEN 'read' ELSE 'edit' END AS action, path FROM e WHERE path='f3' OR path LIKE '%/f3'"),
+    "search": "SELECT conv_id, turn, CAST(pos AS BIGINT) AS place, substr(text, CAST(greatest(pos-20,0)+1 AS BIGINT), 40) AS snippet FROM (SELECT *, strpos(lower(text),'tion')-1 AS pos FROM conversations) WHERE pos>=0",
+    "estimate_tokens": "SELECT conv_id, count(*) AS turns, CAST(sum(octet_length(encode(text))//4) AS BIGINT) AS tokens FROM conversations GROUP BY conv_id",
+    "content_preview": "SELECT conv_id, turn, CASE WHEN length(text)<=60 THEN text ELSE substr(text,1,57)||'...' END AS preview FROM conversations",
+    "decision_hint": """SELECT conv_id, turn, CASE WHEN length(p)<=120 THEN p ELSE substr(p,1,117)||'...' END AS hint FROM (SELECT conv_id, turn, trim(substr(text, CASE WHEN k-1>20 THEN k-20 ELSE k END)) AS p FROM
+        (SELECT *, CASE WHEN strpos(lower(text),'tion')>0 THEN strpos(lower(text),'tion') ELSE strpos(lower(text),'the') END AS k FROM conversations) WHERE k>0)""",
+    "coalesce_preview": """SELECT conv_id, grp, min(role) AS role, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS grp FROM
+        (SELECT *, CASE WHEN role<>lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 1 ELSE 0 END AS n FROM conversations)) GROUP BY conv_id, grp""",
+    "export_tasks": r"""SELECT kind, item, count(*) AS turns FROM (SELECT CASE WHEN regexp_matches(lower(line),'(^|[^a-z])(the|tion)([^a-z]|$)') THEN 'todo' WHEN contains(line,'?') OR regexp_matches(lower(line),'(^|[^a-z])(an|of)([^a-z]|$)') THEN 'question' END AS kind,
+        lower(regexp_replace(trim(line),'\s+',' ','g')) AS item FROM (SELECT unnest(string_split(text,chr(10))) AS line FROM conversations WHERE role='user')) WHERE kind IS NOT NULL AND item<>'' GROUP BY ALL""",
+    "strip_separators": r"""SELECT doc_id, CAST(len(l) AS BIGINT) AS lines, CAST(len([x for x in l if regexp_matches(x,'^\s*([─━═╌╍╴╶╸╺]{20,}|[-=~_]{40,})\s*$')]) AS BIGINT) AS stripped FROM (SELECT doc_id, string_split(text,chr(10)) AS l FROM documents)""",
+    "truncate_outputs": """SELECT doc_id, CAST(len(l) AS BIGINT) AS lines, CAST(CASE WHEN cut THEN 21 ELSE len(l) END AS BIGINT) AS kept_lines, md5(CASE WHEN cut THEN array_to_string(list_concat(list_concat(l[1:10],['['||CAST(len(l)-20 AS VARCHAR)||' lines left out]']),l[len(l)-9:len(l)]),chr(10)) ELSE text END) AS kept_md5
+        FROM (SELECT *, octet_length(encode(text))>=4096 AND len(l)>21 AS cut FROM (SELECT doc_id, text, string_split(text,chr(10)) AS l FROM documents))""",
+    "section_split": """SELECT doc_id, section, arg_min(line,i) AS heading, CAST(sum(octet_length(encode(line))//4) AS BIGINT) AS tokens FROM (SELECT *, CAST(sum(CASE WHEN starts_with(line,'# ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS section FROM
+        (SELECT doc_id, unnest(string_split(text,chr(10))) AS line, generate_subscripts(string_split(text,chr(10)),1) AS i FROM documents)) WHERE section>0 GROUP BY doc_id, section""",
+    "continuity_texts": r"""SELECT text_md5, count(DISTINCT source) AS owners, count(*) AS copies, CAST(sum(t)-min(t) AS BIGINT) AS tokens FROM (SELECT md5(lower(regexp_replace(trim(text),'[ \n\t]+',' ','g'))) AS text_md5, source, octet_length(encode(text))//4 AS t FROM documents WHERE octet_length(encode(text))>=100) GROUP BY text_md5 HAVING count(DISTINCT source)>=2""",
+    "comment_scan": r"""SELECT page_id, CAST(len(c) AS BIGINT) AS comments, CAST(len([x for x in c if contains(lower(x),'nav') OR contains(lower(x),'ad')]) AS BIGINT) AS hits FROM (SELECT page_id, regexp_extract_all(html,'<!--(.*?)-->',1) AS c FROM pages)""",
+} | ORDER_SQL
