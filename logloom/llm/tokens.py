@@ -8,14 +8,18 @@ encoded whole.
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 
 #: Words that a worker keeps with their ids.
-MEMO = 600_000
+MEMO = 1_200_000
 
-_ODD = re.compile(r"[^\S \n]|[᠎​﻿]|  | \n|\n ")
+#: White space other than the space and line feed, what some take for it, and white space in a row.
+_ODD = [*(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"), "᠎", "​", "﻿", "  ", " \n", "\n "]
+
+
+def _is_odd(text: str) -> bool:
+    return any(x in text for x in _ODD)
 
 
 class Encoder:
@@ -33,43 +37,46 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.memo) + len(words) > MEMO:
-            self.memo.clear()
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
+        """Adds words to the memo; a comma or full stop after a letter is an id of its own."""
+        memo = self.memo
+        ended = [w for w in words if len(w) > 1 and w[-1] in ",." and w[-2].isalpha()]
+        stems = {w[:-1] for w in ended}
+        taken = set(ended)
+        plain = [w for w in words if w not in taken]
+        plain += [w for w in stems.difference(plain) if w not in memo]
+        for at in range(0, len(plain), 20_000):
+            part = plain[at : at + 20_000]
             done = self.tokenizer.encode([f" {w}" for w in part] if self.spaced else part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(done.ids, "<u2")
-            owner = np.array(done.word_ids, np.int64)
-            ends = np.searchsorted(owner, np.arange(len(part)), "right")
-            raw = ids.tobytes()
+            raw = np.array(done.ids, "<u2").tobytes()
+            ends = np.searchsorted(np.array(done.word_ids, np.int64), np.arange(len(part)), "right")
             begin = 0
             for w, end in zip(part, (ends * 2).tolist(), strict=True):
-                self.memo[w] = raw[begin:end]
+                memo[w] = raw[begin:end]
                 begin = end
+        marks = {c: self._whole(c) for c in ",."} if ended else {}
+        for w in ended:
+            memo[w] = memo[w[:-1]] + marks[w[-1]]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        odd = [bool(_ODD.search(t)) for t in texts]
-        split = [[] if o else (t if self.spaced else t.replace("\n", " ")).split(" ") for t, o in zip(texts, odd, strict=True)]
         out = []
+        first = 1 if self.spaced else 0
+        blank = self._whole(" ") if self.spaced else b""
         for at in range(0, len(texts), 64):
-            part = split[at : at + 64]
-            first = 1 if self.spaced else 0
-            known = self.memo.keys()
-            new = list({w for words in part for w in words[first:]} - known - {""})
-            if new:
-                if len(known) + len(new) > MEMO:
-                    self.memo.clear()
-                    new = list({w for words in part for w in words[first:]} - {""})
-                self._learn(new)
+            part = texts[at : at + 64]
+            split = [None if _is_odd(t) else (t if self.spaced else t.replace("\n", " ")).split(" ") for t in part]
+            if len(self.memo) > MEMO:
+                self.memo.clear()
             memo = self.memo
-            memo[""] = self._whole(" ") if self.spaced else b""
-            for i, words in enumerate(part, at):
-                if odd[i]:
-                    out.append(self._whole(texts[i]))
+            memo[""] = blank
+            if new := {w for words in split if words for w in words[first:] if w not in memo}:
+                self._learn(list(new))
+            for text, words in zip(part, split, strict=True):
+                if words is None:
+                    out.append(self._whole(text))
                 elif self.spaced:
                     out.append(self._whole(words[0]) + b"".join([memo[w] for w in words[1:]]))
                 else:
