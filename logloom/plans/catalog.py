@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cost, cross, noise, sequence, text
+from ..operators import cost, cross, graphops, noise, sequence, text
 from ..sources import bridge
 from .orders import ORDER_QUERIES, ORDER_SQL
 
@@ -40,7 +40,17 @@ def _of(name: str, f) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: f(bridge.table(spark, d, name))
 
 
-#: A third of the rows of a session and file read again count, and branches close at half a day.
+def _progress(e: DataFrame) -> DataFrame:
+    return e.filter("type = 'progress'").select("session", "uuid")
+
+
+def _cascade(e: DataFrame) -> DataFrame:
+    """What goes with the errors, where edits stay."""
+    owners = e.filter("result_for is not null").select("session", "uuid", F.col("result_for").alias("call_uuid"))
+    return graphops.cascade(e, owners, e.filter("is_error").select("session", "uuid"), e.filter("tool = 'Edit'").select("session", "uuid"))
+
+
+#: Branches close at half a day, as nearly all rows of the table lie over 30 minutes apart.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "detect_compactions": _entries(sequence.detect_compactions),
     "assign_epochs": _entries(lambda e: sequence.assign_epochs(e).select("session", "idx", "epoch")),
@@ -81,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "file_touch_edges": _entries(cross.file_touch_edges),
     "temporal_edges": _entries(cross.temporal_edges),
     "file_lineage": _entries(lambda e: cross.file_lineage(e, "f3")),
+    "chain_integrity": _entries(graphops.chain_integrity),
+    "cascade_delete": _entries(_cascade),
+    "resolve_parents": _entries(lambda e: graphops.resolve_parents(e, _progress(e))),
     "search": _of("conversations", lambda t: text.search(t, "tion")),
     "estimate_tokens": _of("conversations", text.estimate_tokens),
     "content_preview": _of("conversations", text.content_preview),
@@ -224,6 +237,23 @@ ORACLE_SQL: dict[str, str] = {
         (SELECT *, lead(session) OVER w AS next_session, lead(a) OVER w AS na FROM (SELECT session, min(ts) AS a, max(ts) AS z FROM e GROUP BY session) WINDOW w AS (PARTITION BY CAST(session AS BIGINT)%10 ORDER BY a, CAST(session AS BIGINT))) WHERE next_session IS NOT NULL) WHERE gap_seconds<=86400"""
     ),
     "file_lineage": _with("SELECT session, idx, CASE tool WHEN 'Read' THEN 'read' ELSE 'edit' END AS action, path FROM e WHERE path='f3' OR path LIKE '%/f3'"),
+    "chain_integrity": _with(
+        """SELECT session, len AS length, top_parent IS NOT NULL AS broken, top_type='assistant' AS starts_with_assistant FROM (SELECT session, max(d)+1 AS len, arg_max(struct_pack(p := parent_uuid),d).p AS top_parent, arg_max(type,d) AS top_type FROM walk GROUP BY session)""",
+        """walk AS (SELECT session, uuid, parent_uuid, type, 0 AS d FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY idx DESC) AS r FROM e) WHERE r=1
+        UNION ALL SELECT e.session, e.uuid, e.parent_uuid, e.type, w.d+1 FROM walk w JOIN e ON e.session=w.session AND e.uuid=w.parent_uuid)""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+    "cascade_delete": _with(
+        "SELECT session, uuid FROM gone",
+        """edge AS (SELECT session, parent_uuid AS src, uuid AS dst FROM e WHERE parent_uuid IS NOT NULL AND (tool IS NULL OR tool<>'Edit') UNION SELECT session, result_for, uuid FROM e WHERE result_for IS NOT NULL AND (tool IS NULL OR tool<>'Edit')),
+        gone AS (SELECT session, uuid FROM e WHERE is_error UNION SELECT edge.session, edge.dst FROM gone JOIN edge ON edge.session=gone.session AND edge.src=gone.uuid)""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+    "resolve_parents": _with(
+        """SELECT k.session, k.uuid, CASE WHEN p.uuid IS NULL THEN k.parent_uuid ELSE t.target END AS parent_uuid FROM (SELECT * FROM e WHERE type<>'progress') k
+        LEFT JOIN (SELECT session, uuid FROM e WHERE type='progress') p ON p.session=k.session AND p.uuid=k.parent_uuid
+        LEFT JOIN (SELECT session, origin, arg_max(struct_pack(p := parent_uuid),d).p AS target FROM up GROUP BY ALL) t ON t.session=k.session AND t.origin=k.parent_uuid""",
+        """up AS (SELECT session, uuid AS origin, parent_uuid, 0 AS d FROM e WHERE type='progress'
+        UNION ALL SELECT u.session, u.origin, e.parent_uuid, u.d+1 FROM up u JOIN e ON e.session=u.session AND e.uuid=u.parent_uuid AND e.type='progress')""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
     "search": "SELECT conv_id, turn, CAST(pos AS BIGINT) AS place, substr(text, CAST(greatest(pos-20,0)+1 AS BIGINT), 40) AS snippet FROM (SELECT *, strpos(lower(text),'tion')-1 AS pos FROM conversations) WHERE pos>=0",
     "estimate_tokens": "SELECT conv_id, count(*) AS turns, CAST(sum(octet_length(encode(text))//4) AS BIGINT) AS tokens FROM conversations GROUP BY conv_id",
     "content_preview": "SELECT conv_id, turn, CASE WHEN length(text)<=60 THEN text ELSE substr(text,1,57)||'...' END AS preview FROM conversations",
