@@ -195,8 +195,7 @@ def fit_words(words: list[str], bad: np.ndarray, good: np.ndarray) -> tuple[np.n
     telling = LANDMARKS * 3 // 4
     rest = range(telling, len(words), max(1, (len(words) - telling) // (LANDMARKS - telling)))
     marks = [*range(min(telling, len(words))), *rest][:LANDMARKS]
-    maps = np.array([_explicit(codes, norms, i).astype(np.float32) for i in marks])
-    k = np.array([_apply(m, codes, norms) for m in maps]).T
+    k = np.array([_apply(_explicit(codes, norms, i), codes, norms) for i in marks]).T
     values, vectors = np.linalg.eigh((k[marks] + k[marks].T) / 2)
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
@@ -206,7 +205,10 @@ def fit_words(words: list[str], bad: np.ndarray, good: np.ndarray) -> tuple[np.n
     support = np.log1p(1000 * (bad + good))
     weight = np.concatenate([support * share, CLEAN_WEIGHT * support * (1 - share)])
     w, bias = _svm(np.vstack([z, z]), y, weight)
-    return ((root @ w) @ maps).astype(np.float32), bias
+    weights = np.zeros(CODES**3)
+    for alpha, i in zip(root @ w, marks, strict=True):
+        weights += alpha * _explicit(codes, norms, i)
+    return weights.astype(np.float32), bias
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
