@@ -75,8 +75,8 @@ def detect_sidechains(entries: DataFrame, blocks: DataFrame) -> DataFrame:
     per = bad.groupBy("session", "idx").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
     rows = entries.select("session", "idx", "uuid", "parent_uuid").join(per, ["session", "idx"], "left")
     good = F.when(~F.coalesce(F.col("reasons").contains("missing_parent"), F.lit(False)) & F.col("parent_uuid").isNotNull(), F.col("uuid"))
-    rows = rows.withColumn("reconnect_to", F.last(good, ignorenulls=True).over(sequence.BEFORE)).filter("reasons is not null")
-    run = F.col("idx") - F.row_number().over(sequence.BY)
+    rows = rows.withColumn("reconnect_to", F.last(good, ignorenulls=True).over(sequence.before())).filter("reasons is not null")
+    run = F.col("idx") - F.row_number().over(sequence.by_idx())
     rows = rows.withColumn("_run", run)
     return rows.select("session", "idx", "reasons", (F.dense_rank().over(Window.partitionBy("session").orderBy("_run")) - 1).cast("long").alias("grp"), "reconnect_to")
 

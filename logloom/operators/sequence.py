@@ -9,14 +9,23 @@ DROP = 50_000
 LIMIT = 165_000
 WINDOW = 200_000
 
-BY = Window.partitionBy("session").orderBy("idx")
-SO_FAR = BY.rowsBetween(Window.unboundedPreceding, 0)
-BEFORE = BY.rowsBetween(Window.unboundedPreceding, -1)
+
+def by_idx():
+    """A session's rows in order."""
+    return Window.partitionBy("session").orderBy("idx")
+
+
+def so_far():
+    return by_idx().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def before():
+    return by_idx().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def detect_compactions(entries: DataFrame, drop: int = DROP) -> DataFrame:
     """session, idx, before_ctx, ctx: assistant rows with usage whose context fell by more than `drop`."""
-    used = entries.filter("type = 'assistant' and ctx is not null").select("session", "idx", "ctx", F.lag("ctx").over(BY).alias("before_ctx"))
+    used = entries.filter("type = 'assistant' and ctx is not null").select("session", "idx", "ctx", F.lag("ctx").over(by_idx()).alias("before_ctx"))
     return used.filter((F.col("before_ctx") > 0) & (F.col("before_ctx") - F.col("ctx") > drop)).select("session", "idx", "before_ctx", "ctx")
 
 
@@ -26,20 +35,20 @@ def assign_epochs(entries: DataFrame, drop: int = DROP) -> DataFrame:
     The context before a row is that of the last assistant row with usage, so one window spec serves all.
     """
     own = F.when(F.col("type") == "assistant", F.col("ctx"))
-    seen = entries.withColumn("_before", F.last(own, ignorenulls=True).over(BEFORE))
+    seen = entries.withColumn("_before", F.last(own, ignorenulls=True).over(before()))
     compacted = F.coalesce((F.col("_before") > 0) & (F.col("_before") - own > drop), F.lit(False))
-    return seen.withColumn("epoch", F.sum(compacted.cast("long")).over(SO_FAR)).drop("_before")
+    return seen.withColumn("epoch", F.sum(compacted.cast("long")).over(so_far())).drop("_before")
 
 
 def turn_number(entries: DataFrame) -> DataFrame:
     """session, idx, turn: running count of assistant rows."""
-    return entries.select("session", "idx", F.sum((F.col("type") == "assistant").cast("long")).over(SO_FAR).alias("turn"))
+    return entries.select("session", "idx", F.sum((F.col("type") == "assistant").cast("long")).over(so_far()).alias("turn"))
 
 
 def epoch_turn_bounds(entries: DataFrame, drop: int = DROP) -> DataFrame:
     """session, epoch, first_turn, last_turn; a compaction's own turn closes the earlier epoch."""
     rows = assign_epochs(entries, drop).filter("type = 'assistant'")
-    rows = rows.withColumn("turn", F.row_number().over(BY).cast("long"))
+    rows = rows.withColumn("turn", F.row_number().over(by_idx()).cast("long"))
     per = rows.groupBy("session", "epoch").agg(F.min("turn").alias("lo"), F.max("turn").alias("hi"))
     w = Window.partitionBy("session").orderBy("epoch")
     first = F.when(F.col("epoch") == 0, F.col("lo")).otherwise(F.col("lo") + 1)
@@ -85,10 +94,10 @@ def find_branches(entries: DataFrame, gap: str = "30 minutes", drop: int = DROP)
     A branch starts at a compaction or where two rows in a row lie `gap` or more apart.
     """
     rows = assign_epochs(entries, drop)
-    cut = F.lag("epoch").over(BY) != F.col("epoch")
-    quiet = F.col("ts") - F.lag("ts").over(BY) >= F.expr(f"interval {gap}")
+    cut = F.lag("epoch").over(by_idx()) != F.col("epoch")
+    quiet = F.col("ts") - F.lag("ts").over(by_idx()) >= F.expr(f"interval {gap}")
     starts = F.coalesce(cut | F.coalesce(quiet, F.lit(False)), F.lit(False))
-    rows = rows.withColumn("compacted", F.coalesce(cut, F.lit(False))).withColumn("branch", F.sum(starts.cast("long")).over(SO_FAR))
+    rows = rows.withColumn("compacted", F.coalesce(cut, F.lit(False))).withColumn("branch", F.sum(starts.cast("long")).over(so_far()))
     per = rows.groupBy("session", "branch").agg(
         F.count("*").alias("entries"), F.sum(F.floor(F.col("raw_size") / 4)).alias("tokens"), F.count_if(F.col("type") == "user").alias("user_turns"),
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count_distinct("path").alias("paths"), F.bool_or("compacted").alias("has_compaction"),
@@ -99,8 +108,8 @@ def find_branches(entries: DataFrame, gap: str = "30 minutes", drop: int = DROP)
 def active_cwd(entries: DataFrame) -> DataFrame:
     """session, idx, active_cwd: the last directory so far, before that the session's first."""
     known = F.expr("nullif(cwd, '')")
-    first = F.first(known, ignorenulls=True).over(BY.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return entries.select("session", "idx", F.coalesce(F.last(known, ignorenulls=True).over(SO_FAR), first).alias("active_cwd"))
+    first = F.first(known, ignorenulls=True).over(by_idx().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return entries.select("session", "idx", F.coalesce(F.last(known, ignorenulls=True).over(so_far()), first).alias("active_cwd"))
 
 
 def session_duration(entries: DataFrame) -> DataFrame:
@@ -115,8 +124,8 @@ def spikes(entries: DataFrame, rise: int = 30_000, drop: int = DROP, burst: int
 
     Turns without usage are passed over; the first turn with files makes no burst.
     """
-    turns = entries.filter("type = 'assistant'").withColumn("turn", F.row_number().over(BY).cast("long"))
-    used = turns.filter("ctx > 0").withColumn("before", F.lag("ctx").over(BY))
+    turns = entries.filter("type = 'assistant'").withColumn("turn", F.row_number().over(by_idx()).cast("long"))
+    used = turns.filter("ctx > 0").withColumn("before", F.lag("ctx").over(by_idx()))
     change = F.col("ctx") - F.col("before")
     jumps = used.filter((change > rise) | (-change > drop)).select("session", "turn", F.when(change > 0, "spike").otherwise("compaction").alias("event"), F.abs(change).alias("amount"))
     seen = turns.filter("path is not null").groupBy("session", "path").agg(F.min("turn").alias("turn"))
@@ -144,12 +153,12 @@ def tangent_rows(entries: DataFrame, mixed_may_start: bool = False) -> DataFrame
     outside paths. Between breakers an island runs from the first row that starts one.
     """
     rows = scopes(entries)
-    before = F.coalesce(F.last(F.when(F.col("conv"), F.col("ext")), ignorenulls=True).over(BEFORE), F.lit(False))
+    earlier = F.coalesce(F.last(F.when(F.col("conv"), F.col("ext")), ignorenulls=True).over(before()), F.lit(False))
     plain = F.col("conv") & ~F.col("ext") & ~F.col("home")
-    breaker = F.col("mod") | (F.col("home") & ~F.col("ext")) | (plain & ~before)
+    breaker = F.col("mod") | (F.col("home") & ~F.col("ext")) | (plain & ~earlier)
     start = F.col("ext") & ~F.col("mod")
     start = start if mixed_may_start else start & ~F.col("home")
-    rows = rows.withColumn("breaker", breaker).withColumn("start", start).withColumn("island", F.sum(F.col("breaker").cast("long")).over(SO_FAR))
+    rows = rows.withColumn("breaker", breaker).withColumn("start", start).withColumn("island", F.sum(F.col("breaker").cast("long")).over(so_far()))
     inside = Window.partitionBy("session", "island").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("on", F.max(F.col("start").cast("int")).over(inside)).filter("not breaker and on = 1")
 

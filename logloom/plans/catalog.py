@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cost, cross, graphops, noise, sequence, text
+from ..operators import clean, cost, cross, graphops, injection, noise, sequence, text
 from ..sources import bridge
 from .orders import ORDER_QUERIES, ORDER_SQL
+from .streams import STREAM_QUERIES
 
 KEYWORDS = ["tion", "the"]
 PHRASES = ["nav", "ad"]
+SIGNS = ["ad", "click"]
 TODO, QUESTION = "(^|[^a-z])(the|tion)([^a-z]|$)", "(^|[^a-z])(an|of)([^a-z]|$)"
 
 
@@ -104,8 +106,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "truncate_outputs": _of("documents", text.truncate_outputs),
     "section_split": _of("documents", text.sections),
     "continuity_texts": _of("documents", text.repeated_texts),
+    "clean_audit": _both(clean.clean_audit),
+    "clean_all": _both(lambda e, b: clean.clean_all(e, b).select("session", "idx", "uuid", "parent_uuid", "type")),
+    "clean_tiers": _both(lambda e, b: clean.clean_tiers(e, b, 3).select("session", "idx", "uuid", "type")),
+    "delete_rows": _entries(lambda e: clean.delete_rows(e, _progress(e)).select("session", "idx", "uuid", "parent_uuid")),
+    "coalesce_roles": _of("conversations", lambda t: clean.coalesce_roles(t).select("conv_id", "grp", "turn", "role", F.md5("text").alias("text_md5"))),
+    "budget_pick": _of("orders", lambda o: clean.budget_pick(o.select(F.col("o_custkey").alias("project"), F.col("o_orderkey").alias("item"), F.col("o_orderkey").alias("rank"), F.floor("o_totalprice").alias("size")), 400_000)),
+    "injection_scan": _of("pages", lambda p: injection.injection_scan(p, "page_id", "html", SIGNS)),
+    "injection_risk": _of("pages", lambda p: injection.injection_risk(injection.injection_scan(p, "page_id", "html", SIGNS), "page_id")),
     "comment_scan": _of("pages", lambda p: text.comment_scan(p, PHRASES)),
-} | ORDER_QUERIES
+} | ORDER_QUERIES | STREAM_QUERIES
 
 _CALLS = "SELECT session, id, idx AS call_idx FROM b WHERE kind='tool_use'"
 _RESULTS = f"""SELECT u.session, u.id, min(r.idx) AS result_idx, arg_min(r.raw_size, r.idx) AS result_size
@@ -142,6 +152,23 @@ rec AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY tokens DESC,
 hl AS (SELECT s.session, coalesce(n.t,0) AS noise_tokens, n.biggest, CASE WHEN cur<=0 THEN 100.0 ELSE greatest(cur-coalesce(n.t,0),0)*100.0/cur END AS p, cur, entries FROM
  (SELECT session, coalesce(arg_max(ctx,idx) FILTER (WHERE ctx IS NOT NULL),0) AS cur, count(*) AS entries FROM e GROUP BY session) s
  LEFT JOIN (SELECT session, CAST(sum(tokens) AS BIGINT) AS t, max(CASE WHEN rank=1 THEN category END) AS biggest FROM rec GROUP BY session) n USING (session))"""
+_OUT = """out AS (SELECT session, idx, arg_min(category, o) AS phase FROM (SELECT *, list_position(['progress','sidechains','tangents','failed_retries','stale_reads'],category) AS o FROM
+ (SELECT * FROM tags UNION ALL SELECT session, idx, 'progress' FROM e WHERE type='progress') WHERE category IS NOT NULL) GROUP BY ALL)"""
+
+
+def _first(patterns: list[str]) -> str:
+    cases = " ".join(f"WHEN regexp_matches(html,'(?i){p}') THEN regexp_extract(html,'(?i){p}',0)" for p in patterns)
+    return f"CASE {cases} END"
+
+
+_SIGN = "CASE WHEN contains(lower({0}),'ad') THEN 'ad' WHEN contains(lower({0}),'click') THEN 'click' END"
+_INJECTION = f"""WITH inj AS (SELECT page_id, kind, severity, pattern FROM (
+ SELECT page_id, 'zero_width' AS kind, 'critical' AS severity, nullif(regexp_extract(html,'[{"".join(chr(int(c[2:], 16)) for c in injection.ZERO_WIDTH)}]',0),'') AS pattern FROM pages
+ UNION ALL SELECT page_id, 'system_like', 'high', {_first(injection.SYSTEM_LIKE)} FROM pages
+ UNION ALL SELECT page_id, 'imperative', 'high', {_SIGN.format("html")} FROM pages
+ UNION ALL SELECT page_id, 'html_comment', 'medium', [x for x in regexp_extract_all(html,'<!--\\s*(.*?)\\s*-->',0)[1:10] if ({_SIGN.format("x")}) IS NOT NULL][1] FROM pages
+ UNION ALL SELECT page_id, 'embedded_directive', 'medium', {_first(injection.DIRECTIVE)} FROM pages
+ UNION ALL SELECT page_id, 'role_confusion', 'high', {_first(injection.ROLE_CONFUSION)} FROM pages) WHERE pattern IS NOT NULL) """
 _SCOPE = """sp AS (SELECT session, epoch, count(*) FILTER (WHERE path='/w/r0' OR starts_with(path,'/w/r0/')) AS in_scope, count(*) FILTER (WHERE NOT (path='/w/r0' OR starts_with(path,'/w/r0/'))) AS out_scope
  FROM ep WHERE path IS NOT NULL AND type IN ('user','assistant') GROUP BY ALL)"""
 _FIRST = "fr AS (SELECT session, path, arg_min(raw_size//4, idx) AS tokens FROM b WHERE kind='tool_use' AND name='Read' GROUP BY ALL)"
@@ -269,5 +296,28 @@ ORACLE_SQL: dict[str, str] = {
     "section_split": """SELECT doc_id, section, arg_min(line,i) AS heading, CAST(sum(octet_length(encode(line))//4) AS BIGINT) AS tokens FROM (SELECT *, CAST(sum(CASE WHEN starts_with(line,'# ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS section FROM
         (SELECT doc_id, unnest(string_split(text,chr(10))) AS line, generate_subscripts(string_split(text,chr(10)),1) AS i FROM documents)) WHERE section>0 GROUP BY doc_id, section""",
     "continuity_texts": r"""SELECT text_md5, count(DISTINCT source) AS owners, count(*) AS copies, CAST(sum(t)-min(t) AS BIGINT) AS tokens FROM (SELECT md5(lower(regexp_replace(trim(text),'[ \n\t]+',' ','g'))) AS text_md5, source, octet_length(encode(text))//4 AS t FROM documents WHERE octet_length(encode(text))>=100) GROUP BY text_md5 HAVING count(DISTINCT source)>=2""",
+    "clean_audit": _with("SELECT session, phase, count(*) AS rows, CAST(sum(raw_size) AS BIGINT) AS bytes, CAST(sum(raw_size//4) AS BIGINT) AS tokens FROM out JOIN e USING (session, idx) GROUP BY ALL", _TAGS, _OUT),
+    "clean_tiers": _with("SELECT session, row_number() OVER (PARTITION BY session ORDER BY idx)-1 AS idx, uuid, type FROM e WHERE NOT EXISTS (SELECT 1 FROM out o WHERE o.session=e.session AND o.idx=e.idx AND o.phase NOT IN ('tangents','sidechains'))", _TAGS, _OUT.replace("WHERE category", "WHERE category NOT IN ('tangents','sidechains') AND category")),
+    "delete_rows": _with(
+        """SELECT k.session, k.idx, k.uuid, CASE WHEN p.uuid IS NULL THEN k.parent_uuid ELSE t.target END AS parent_uuid FROM (SELECT * FROM e WHERE type<>'progress') k
+        LEFT JOIN (SELECT session, uuid FROM e WHERE type='progress') p ON p.session=k.session AND p.uuid=k.parent_uuid
+        LEFT JOIN (SELECT session, origin, arg_max(struct_pack(p := parent_uuid),d).p AS target FROM up GROUP BY ALL) t ON t.session=k.session AND t.origin=k.parent_uuid""",
+        """up AS (SELECT session, uuid AS origin, parent_uuid, 0 AS d FROM e WHERE type='progress'
+        UNION ALL SELECT u.session, u.origin, e.parent_uuid, u.d+1 FROM up u JOIN e ON e.session=u.session AND e.uuid=u.parent_uuid AND e.type='progress')""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+    "coalesce_roles": """SELECT conv_id, grp, min(turn) AS turn, min(role) AS role, md5(string_agg(text, chr(10) ORDER BY turn, text)) AS text_md5 FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS grp FROM
+        (SELECT *, CASE WHEN role<>lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 1 ELSE 0 END AS n FROM conversations)) GROUP BY conv_id, grp""",
+    "budget_pick": """WITH RECURSIVE i AS (SELECT o_custkey AS project, o_orderkey AS item, CAST(floor(o_totalprice) AS BIGINT) AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders),
+        f AS (SELECT project, item, size, r, CASE WHEN size<=400000 THEN size ELSE 0 END AS used, size<=400000 AS took FROM i WHERE r=1
+        UNION ALL SELECT i.project, i.item, i.size, i.r, CASE WHEN f.used+i.size<=400000 THEN f.used+i.size ELSE f.used END, f.used+i.size<=400000 FROM f JOIN i ON i.project=f.project AND i.r=f.r+1)
+        SELECT project, item, size FROM f WHERE took""",
+    "injection_scan": _INJECTION + "SELECT * FROM inj",
+    "injection_risk": _INJECTION + "SELECT page_id, count(*) AS findings, CAST(least(sum(w),100) AS BIGINT) AS risk, arg_max(severity,w) AS highest FROM (SELECT *, CASE severity WHEN 'critical' THEN 25 WHEN 'high' THEN 10 WHEN 'medium' THEN 5 ELSE 1 END AS w FROM inj) GROUP BY page_id",
+    "stream_running_stats": _with("SELECT session, count(*) AS rows, CAST(sum(raw_size) AS BIGINT) AS bytes, max(ctx) AS peak_ctx FROM e GROUP BY session"),
+    "stream_alerts": _with(
+        """SELECT session, idx, 'compaction' AS event, ctx FROM (SELECT session, idx, ctx, lag(ctx) OVER (PARTITION BY session ORDER BY idx) AS p FROM e WHERE ctx IS NOT NULL) WHERE p>0 AND p-ctx>50000
+        UNION ALL SELECT session, idx, 'alert', ctx FROM (SELECT session, idx, ctx, lag(ctx) OVER (PARTITION BY session ORDER BY idx) AS p FROM e WHERE ctx IS NOT NULL) WHERE ctx>=160000 AND (p IS NULL OR p<160000)"""
+    ),
+    "stream_cost_windows": _with("SELECT CAST(DATE '1970-01-01' + CAST(7*floor(epoch(ts)/604800.0) AS INT) AS DATE) AS week_start, count(*) AS turns, round(CAST(sum(CAST(dollars AS DECIMAL(20,9))) AS DOUBLE),9) AS dollars FROM cost GROUP BY 1"),
     "comment_scan": r"""SELECT page_id, CAST(len(c) AS BIGINT) AS comments, CAST(len([x for x in c if contains(lower(x),'nav') OR contains(lower(x),'ad')]) AS BIGINT) AS hits FROM (SELECT page_id, regexp_extract_all(html,'<!--(.*?)-->',1) AS c FROM pages)""",
 } | ORDER_SQL
