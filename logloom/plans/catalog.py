@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clean, cost, cross, graphops, injection, noise, sequence, text
+from ..operators import clean, cost, cross, graphops, injection, noise, scoring, sequence, text
 from ..sources import bridge
 from .orders import ORDER_QUERIES, ORDER_SQL
 from .streams import STREAM_QUERIES
@@ -38,6 +38,14 @@ def _priced(f) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: f(bridge.entries(spark, d), bridge.prices(spark))
 
 
+def _scored(f) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = bridge.entries(spark, d)
+        return f(scoring.metrics(rows, bridge.blocks(rows), bridge.prices(spark)))
+
+    return run
+
+
 def _of(name: str, f) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: f(bridge.table(spark, d, name))
 
@@ -106,6 +114,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "truncate_outputs": _of("documents", text.truncate_outputs),
     "section_split": _of("documents", text.sections),
     "continuity_texts": _of("documents", text.repeated_texts),
+    "decision_economics": _scored(scoring.decision_economics),
+    "gauge": _scored(scoring.gauge),
+    "cadence": _scored(scoring.cadence),
+    "budget_risk": _scored(lambda m: scoring.budget_risk(m, 100.0, 85.0)),
+    "noise_multiplier": _scored(scoring.noise_multiplier),
     "clean_audit": _both(clean.clean_audit),
     "clean_all": _both(lambda e, b: clean.clean_all(e, b).select("session", "idx", "uuid", "parent_uuid", "type")),
     "clean_tiers": _both(lambda e, b: clean.clean_tiers(e, b, 3).select("session", "idx", "uuid", "type")),
@@ -178,6 +191,24 @@ def _with(body: str, *more: str) -> str:
     return "WITH " + ",\n".join([bridge.SQL.strip(), *more]) + "\n" + body
 
 
+_GROWTH = """SELECT session, cur AS current_ctx, round(g,6) AS growth_rate, CASE WHEN g<=0 THEN -1 WHEN cur>=165000 THEN 0 ELSE CAST(floor((165000-cur)/g) AS BIGINT) END AS turns_left,
+        CASE WHEN av>0 AND 165000-cur>0 THEN CAST(floor((165000-cur)/av) AS BIGINT) ELSE 0 END AS fast_turns_left
+        FROM (SELECT *, CASE WHEN cuts>0 AND uses-1>=1 THEN (cur-st)/CAST(uses-1 AS DOUBLE) WHEN talk>0 THEN cur/CAST(talk AS DOUBLE) ELSE 0 END AS g, CASE WHEN uses>0 THEN floor(cur/CAST(uses AS DOUBLE)) END AS av FROM
+        (SELECT session, max(le) AS cuts, coalesce(arg_max(ctx,idx) FILTER (WHERE ctx IS NOT NULL),0) AS cur, arg_min(ctx,idx) FILTER (WHERE ctx IS NOT NULL AND epoch=le) AS st,
+        count(*) FILTER (WHERE ctx IS NOT NULL AND epoch=le) AS uses, count(*) FILTER (WHERE type IN ('user','assistant')) AS talk
+        FROM (SELECT *, max(epoch) OVER (PARTITION BY session) AS le FROM ep) GROUP BY session))"""
+_METRICS = f"""gr AS ({_GROWTH}),
+mx AS (SELECT p.session, coalesce(n.noise_tokens,0) AS noise_tokens, n.biggest, g.current_ctx, round(g.current_ctx*100.0/200000,4) AS usage_percent, g.growth_rate, g.turns_left, p.cuts,
+ CASE WHEN p.uses>0 THEN p.uses ELSE p.talk END AS since, p.talk, coalesce(k.d,0) AS dollars, coalesce(x.n,0) AS decisions, coalesce(f.drift,0) AS drift,
+ CASE WHEN g.current_ctx>0 THEN coalesce(n.noise_tokens,0)/CAST(g.current_ctx AS DOUBLE) ELSE 0 END AS ratio
+ FROM (SELECT session, max(le) AS cuts, count(*) FILTER (WHERE epoch=le AND ctx IS NOT NULL) AS uses, count(*) FILTER (WHERE type IN ('user','assistant')) AS talk FROM (SELECT *, max(epoch) OVER (PARTITION BY session) AS le FROM ep) GROUP BY session) p
+ JOIN gr g ON g.session=p.session LEFT JOIN hl n ON n.session=p.session
+ LEFT JOIN (SELECT session, round(CAST(sum(CAST(dollars AS DECIMAL(20,9))) AS DOUBLE),9) AS d FROM cost GROUP BY session) k ON k.session=p.session
+ LEFT JOIN (SELECT session, CAST(sum(least(n,5)) AS BIGINT) AS n FROM (SELECT session, epoch, count(*) AS n FROM (SELECT *, max(epoch) OVER (PARTITION BY session) AS le FROM ep) WHERE tool='Edit' AND epoch<le GROUP BY ALL) GROUP BY session) x ON x.session=p.session
+ LEFT JOIN (SELECT session, round(sum(out_scope)/CAST(greatest(sum(in_scope)+sum(out_scope),1) AS DOUBLE),6) AS drift FROM sp GROUP BY session) f ON f.session=p.session),
+de AS (SELECT session, decisions, round(CASE WHEN decisions>0 THEN dollars/decisions ELSE 0 END,6) AS cpd, CASE WHEN decisions>0 THEN talk//decisions ELSE 0 END AS ttc,
+ round(CASE WHEN decisions>0 AND talk>0 THEN decisions/CAST(talk AS DOUBLE) ELSE 0 END,6) AS density, CASE WHEN decisions>0 THEN drift ELSE 0 END AS cdr FROM mx)"""
+
 ORACLE_SQL: dict[str, str] = {
     "detect_compactions": _with("SELECT session, idx, before_ctx, ctx FROM c"),
     "assign_epochs": _with("SELECT session, idx, epoch FROM ep"),
@@ -186,14 +217,7 @@ ORACLE_SQL: dict[str, str] = {
         """SELECT session, epoch, CASE WHEN epoch=0 THEN lo ELSE lo+1 END AS first_turn, CASE WHEN lead(epoch) OVER (PARTITION BY session ORDER BY epoch) IS NOT NULL THEN hi+1 ELSE hi END AS last_turn
         FROM (SELECT session, epoch, min(turn) AS lo, max(turn) AS hi FROM (SELECT session, epoch, row_number() OVER (PARTITION BY session ORDER BY idx) AS turn FROM ep WHERE type='assistant') GROUP BY ALL)"""
     ),
-    "growth_rate": _with(
-        """SELECT session, cur AS current_ctx, round(g,6) AS growth_rate, CASE WHEN g<=0 THEN -1 WHEN cur>=165000 THEN 0 ELSE CAST(floor((165000-cur)/g) AS BIGINT) END AS turns_left,
-        CASE WHEN av>0 AND 165000-cur>0 THEN CAST(floor((165000-cur)/av) AS BIGINT) ELSE 0 END AS fast_turns_left
-        FROM (SELECT *, CASE WHEN cuts>0 AND uses-1>=1 THEN (cur-st)/CAST(uses-1 AS DOUBLE) WHEN talk>0 THEN cur/CAST(talk AS DOUBLE) ELSE 0 END AS g, CASE WHEN uses>0 THEN floor(cur/CAST(uses AS DOUBLE)) END AS av FROM
-        (SELECT session, max(le) AS cuts, coalesce(arg_max(ctx,idx) FILTER (WHERE ctx IS NOT NULL),0) AS cur, arg_min(ctx,idx) FILTER (WHERE ctx IS NOT NULL AND epoch=le) AS st,
-        count(*) FILTER (WHERE ctx IS NOT NULL AND epoch=le) AS uses, count(*) FILTER (WHERE type IN ('user','assistant')) AS talk
-        FROM (SELECT *, max(epoch) OVER (PARTITION BY session) AS le FROM ep) GROUP BY session))"""
-    ),
+    "growth_rate": _with(_GROWTH),
     "find_branches": _with(
         """SELECT *, branch = max(branch) OVER (PARTITION BY session) AS is_last FROM (SELECT session, branch, count(*) AS entries, CAST(sum(raw_size//4) AS BIGINT) AS tokens, count(*) FILTER (WHERE type='user') AS user_turns,
         min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT path) AS paths, bool_or(cut) AS has_compaction FROM
@@ -296,6 +320,26 @@ ORACLE_SQL: dict[str, str] = {
     "section_split": """SELECT doc_id, section, arg_min(line,i) AS heading, CAST(sum(octet_length(encode(line))//4) AS BIGINT) AS tokens FROM (SELECT *, CAST(sum(CASE WHEN starts_with(line,'# ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS section FROM
         (SELECT doc_id, unnest(string_split(text,chr(10))) AS line, generate_subscripts(string_split(text,chr(10)),1) AS i FROM documents)) WHERE section>0 GROUP BY doc_id, section""",
     "continuity_texts": r"""SELECT text_md5, count(DISTINCT source) AS owners, count(*) AS copies, CAST(sum(t)-min(t) AS BIGINT) AS tokens FROM (SELECT md5(lower(regexp_replace(trim(text),'[ \n\t]+',' ','g'))) AS text_md5, source, octet_length(encode(text))//4 AS t FROM documents WHERE octet_length(encode(text))>=100) GROUP BY text_md5 HAVING count(DISTINCT source)>=2""",
+    "decision_economics": _with("SELECT * FROM de", _TAGS, _SCOPE, _METRICS),
+    "gauge": _with(
+        """SELECT session, CAST(sc AS BIGINT) AS gauge, CASE WHEN sc>=3 THEN 'emergency' WHEN sc=2 THEN 'unstable' WHEN sc=1 THEN 'degrading' ELSE 'healthy' END AS state, CASE WHEN sc>=3 THEN 'amputate' WHEN sc=2 THEN 'split' WHEN sc=1 THEN 'clean' ELSE 'continue' END AS action FROM
+        (SELECT de.session, greatest(CASE WHEN usage_percent>92 THEN 4 ELSE CAST(usage_percent>75 AS INT)+CAST(cpd>15 AS INT)+CAST(ttc>90 AS INT)+CAST(cdr>0.35 AS INT) END, CASE WHEN de.decisions>0 AND density<0.05 THEN 2 ELSE 0 END, CASE WHEN cdr>0.35 THEN 2 ELSE 0 END, CASE WHEN cuts>0 AND de.decisions=0 THEN 1 ELSE 0 END) AS sc FROM de JOIN mx USING (session))""",
+        _TAGS, _SCOPE, _METRICS,
+    ),
+    "cadence": _with(
+        """SELECT session, round(x,4) AS score, CASE l WHEN 2 THEN 'overdue' WHEN 1 THEN 'due' ELSE 'clean' END AS status,
+        CASE WHEN l=0 THEN 'monitor' WHEN (turns_left>=0 AND turns_left<5) OR usage_percent>=85 OR cuts>=3 THEN 'export, then cut' WHEN biggest='tangents' THEN 'split' ELSE 'quick clean' END AS action FROM
+        (SELECT *, CASE WHEN since>50 AND noise_tokens>10000 AND l2=0 THEN 1 ELSE l2 END AS l FROM (SELECT *, CASE WHEN turns_left>=0 AND turns_left<10 AND noise_tokens>5000 THEN 2 ELSE l1 END AS l2 FROM
+        (SELECT *, CASE WHEN ratio>0.30 THEN 2 WHEN ratio>0.15 THEN greatest(l0,1) ELSE l0 END AS l1 FROM (SELECT *, CASE WHEN x>=70 THEN 2 WHEN x>=40 THEN 1 ELSE 0 END AS l0 FROM
+        (SELECT *, least(greatest(least(ratio/0.30,1.0),0.0)*40 + (CASE WHEN turns_left<0 THEN 0 WHEN turns_left<=10 THEN 1 ELSE greatest(least((30-turns_left)/20.0,1.0),0.0) END)*30 + greatest(least(growth_rate/2000,1.0),0.0)*20 + greatest(least(since/50.0,1.0),0.0)*10, 100.0) AS x FROM mx)))))""",
+        _TAGS, _SCOPE, _METRICS,
+    ),
+    "budget_risk": _with(
+        """SELECT session, CASE WHEN hi>=2 THEN 'high' WHEN hi=1 THEN 'medium' ELSE 'low' END AS risk, round(dollars/greatest(talk,1)*greatest(turns_left,0),6) AS to_compaction FROM
+        (SELECT *, CAST(turns_left>0 AND turns_left<10 AS INT)+CAST(ratio>0.15 AS INT)+1 AS hi FROM mx)""",
+        _TAGS, _SCOPE, _METRICS,
+    ),
+    "noise_multiplier": _with("SELECT session, round(ratio,6) AS multiplier, noise_tokens*greatest(turns_left,0) AS projected_tokens FROM mx", _TAGS, _SCOPE, _METRICS),
     "clean_audit": _with("SELECT session, phase, count(*) AS rows, CAST(sum(raw_size) AS BIGINT) AS bytes, CAST(sum(raw_size//4) AS BIGINT) AS tokens FROM out JOIN e USING (session, idx) GROUP BY ALL", _TAGS, _OUT),
     "clean_tiers": _with("SELECT session, row_number() OVER (PARTITION BY session ORDER BY idx)-1 AS idx, uuid, type FROM e WHERE NOT EXISTS (SELECT 1 FROM out o WHERE o.session=e.session AND o.idx=e.idx AND o.phase NOT IN ('tangents','sidechains'))", _TAGS, _OUT.replace("WHERE category", "WHERE category NOT IN ('tangents','sidechains') AND category")),
     "delete_rows": _with(
