@@ -75,3 +75,64 @@ def commit_session_join(sessions: DataFrame, commits: DataFrame, minutes: int =
     right = commits.withColumn("day", F.to_date("ts"))
     hit = left.join(right, ["project", "day"]).filter("ts >= created and ts <= ends")
     return hit.groupBy("session").agg(F.count("*").alias("commits"), F.sum("lines").alias("lines"))
+
+
+def efficiency(sessions: DataFrame, commits: DataFrame, n: int = 5, minutes: int = 30) -> DataFrame:
+    """kind, session, commits, lines, per_1k: the `n` sessions with most lines for 1000 tokens, and those without commits.
+
+    sessions: session, project, created, modified, tokens.
+    """
+    hits = commit_session_join(sessions, commits, minutes)
+    rows = sessions.select("session", "tokens").join(hits, "session", "left").na.fill(0, ["commits", "lines"])
+    rows = rows.withColumn("per_1k", F.round(F.col("lines") * 1000.0 / F.greatest("tokens", F.lit(1)), 6))
+    best = rows.filter("commits > 0").orderBy(F.desc("per_1k"), "session").limit(n).withColumn("kind", F.lit("efficient"))
+    sinks = rows.filter("commits = 0 and tokens > 10000").orderBy(F.desc("tokens"), "session").limit(n).withColumn("kind", F.lit("sink"))
+    return best.unionByName(sinks).select("kind", "session", "commits", "lines", "per_1k")
+
+
+def productivity(sessions: DataFrame, commits: DataFrame, minutes: int = 30) -> DataFrame:
+    """project, sessions, commits, dollars, per_commit, hours: cost of commits by project; hours are 0.01 at least."""
+    hits = commit_session_join(sessions, commits, minutes)
+    hours = F.greatest((F.unix_seconds(F.col("modified").cast("timestamp")) - F.unix_seconds(F.col("created").cast("timestamp"))) / 3600.0, F.lit(0.01))
+    rows = sessions.withColumn("h", hours).join(hits, "session", "left").na.fill(0, ["commits"])
+    per = rows.groupBy("project").agg(F.count("*").alias("sessions"), F.sum("commits").alias("commits"), F.sum(F.col("dollars").cast("decimal(20,4)")).cast("double").alias("d"), F.round(F.sum(F.col("h").cast("decimal(20,4)")).cast("double"), 4).alias("hours"))
+    return per.select("project", "sessions", "commits", F.round("d", 4).alias("dollars"), F.round(F.when(F.col("commits") > 0, F.col("d") / F.col("commits")), 6).alias("per_commit"), "hours")
+
+
+def decision_conflicts(points: DataFrame, touches: DataFrame) -> DataFrame:
+    """point_session, session, scope, severity: later sessions that touch the folder of an earlier decision.
+
+    points: session, ts, path (a file of the decision); touches: session, ts, path. Scopes are parent folders, so
+    the prefix test is an equality on each path's folder. A session that decided on the scope itself is left out.
+    """
+    folder = lambda c: F.regexp_replace(c, r"/[^/]*$", "")
+    decided = points.select(F.col("session").alias("point_session"), F.col("ts").alias("at"), folder("path").alias("scope")).groupBy("point_session", "scope").agg(F.min("at").alias("at"))
+    first = touches.select("session", folder("path").alias("scope"), "ts").groupBy("session", "scope").agg(F.min("ts").alias("first"))
+    own = points.select("session", folder("path").alias("scope")).distinct()
+    later = decided.join(first, "scope").filter((F.col("session") != F.col("point_session")) & (F.col("first") > F.col("at")))
+    return later.join(own, ["session", "scope"], "left_anti").select("point_session", "session", "scope", F.lit("warning").alias("severity"))
+
+
+def continuity_index(blocks: DataFrame) -> DataFrame:
+    """files, reads, score: the share of reads over all sessions that were of files not read before, times 100."""
+    reads = first_reads(blocks)
+    return reads.agg(F.count_distinct("path").alias("files"), F.count("*").alias("reads")).withColumn("score", F.round(F.when(F.col("reads") > 0, F.col("files") * 100.0 / F.col("reads")).otherwise(100.0), 6))
+
+
+def alias_edges(sessions: DataFrame) -> DataFrame:
+    """project, sessions, pairs, first_session: the hub form of all pairs of sessions of one project."""
+    per = sessions.filter("project is not null").groupBy("project").agg(F.count("*").alias("sessions"), F.min("session").alias("first_session"))
+    return per.filter("sessions > 1").select("project", "sessions", F.floor(F.col("sessions") * (F.col("sessions") - 1) / 2).alias("pairs"), "first_session")
+
+
+def savings_summary(events: DataFrame, n: int = 3) -> DataFrame:
+    """session, events, tokens, avoided, rank of the sessions that saved most. events: session, tokens, avoided."""
+    per = events.groupBy("session").agg(F.count("*").alias("events"), F.sum("tokens").alias("tokens"), F.sum("avoided").alias("avoided"))
+    return per.orderBy(F.desc("avoided"), "session").limit(n)
+
+
+def snapshot_summary(snapshots: DataFrame) -> DataFrame:
+    """model, snapshots, dollars, share of a snapshot log (model, dollars)."""
+    per = snapshots.groupBy("model").agg(F.count("*").alias("snapshots"), F.sum(F.col("dollars").cast("decimal(20,4)")).cast("double").alias("d"))
+    total = per.agg(F.sum("snapshots").alias("all"))
+    return per.crossJoin(F.broadcast(total)).select("model", "snapshots", F.round("d", 4).alias("dollars"), F.round(F.col("snapshots") / F.col("all"), 6).alias("share"))

@@ -84,6 +84,12 @@ def sections(docs: DataFrame, mark: str = "# ") -> DataFrame:
     return lines.groupBy("doc_id", "section").agg(F.min_by("line", "line_no").alias("heading"), F.sum(F.floor(F.octet_length("line") / 4)).alias("tokens"))
 
 
+def heading_dedupe(parts: DataFrame) -> DataFrame:
+    """doc_id, section, heading: the first section of each heading, by document and place."""
+    first = parts.groupBy("heading").agg(F.min(F.struct("doc_id", "section")).alias("f"))
+    return first.select("f.doc_id", "f.section", "heading")
+
+
 def repeated_texts(docs: DataFrame, least: int = 100, key: str = "source") -> DataFrame:
     """text_md5, owners, copies, tokens: normalised texts of `least` bytes or more that several owners hold."""
     text = F.lower(F.regexp_replace(F.trim("text"), r"[ \n\t]+", " "))

@@ -112,8 +112,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "export_tasks": _of("conversations", lambda t: text.tasks(t, TODO, QUESTION)),
     "strip_separators": _of("documents", text.strip_separators),
     "truncate_outputs": _of("documents", text.truncate_outputs),
-    "section_split": _of("documents", text.sections),
+    "section_split": _of("documents", lambda t: text.sections(t, "The ")),
     "continuity_texts": _of("documents", text.repeated_texts),
+    "continuity_index": _blocks(cross.continuity_index),
+    "decision_conflicts": _entries(lambda e: cross.decision_conflicts(e.filter("tool = 'Edit' and raw_size > 4000").select("session", "ts", "path"), e.filter("path is not null").select("session", "ts", "path"))),
+    "heading_dedupe": _of("documents", lambda t: text.heading_dedupe(text.sections(t, "The "))),
     "decision_economics": _scored(scoring.decision_economics),
     "gauge": _scored(scoring.gauge),
     "cadence": _scored(scoring.cadence),
@@ -317,9 +320,17 @@ ORACLE_SQL: dict[str, str] = {
     "strip_separators": r"""SELECT doc_id, CAST(len(l) AS BIGINT) AS lines, CAST(len([x for x in l if regexp_matches(x,'^\s*([─━═╌╍╴╶╸╺]{20,}|[-=~_]{40,})\s*$')]) AS BIGINT) AS stripped FROM (SELECT doc_id, string_split(text,chr(10)) AS l FROM documents)""",
     "truncate_outputs": """SELECT doc_id, CAST(len(l) AS BIGINT) AS lines, CAST(CASE WHEN cut THEN 21 ELSE len(l) END AS BIGINT) AS kept_lines, md5(CASE WHEN cut THEN array_to_string(list_concat(list_concat(l[1:10],['['||CAST(len(l)-20 AS VARCHAR)||' lines left out]']),l[len(l)-9:len(l)]),chr(10)) ELSE text END) AS kept_md5
         FROM (SELECT *, octet_length(encode(text))>=4096 AND len(l)>21 AS cut FROM (SELECT doc_id, text, string_split(text,chr(10)) AS l FROM documents))""",
-    "section_split": """SELECT doc_id, section, arg_min(line,i) AS heading, CAST(sum(octet_length(encode(line))//4) AS BIGINT) AS tokens FROM (SELECT *, CAST(sum(CASE WHEN starts_with(line,'# ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS section FROM
+    "section_split": """SELECT doc_id, section, arg_min(line,i) AS heading, CAST(sum(octet_length(encode(line))//4) AS BIGINT) AS tokens FROM (SELECT *, CAST(sum(CASE WHEN starts_with(line,'The ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS section FROM
         (SELECT doc_id, unnest(string_split(text,chr(10))) AS line, generate_subscripts(string_split(text,chr(10)),1) AS i FROM documents)) WHERE section>0 GROUP BY doc_id, section""",
     "continuity_texts": r"""SELECT text_md5, count(DISTINCT source) AS owners, count(*) AS copies, CAST(sum(t)-min(t) AS BIGINT) AS tokens FROM (SELECT md5(lower(regexp_replace(trim(text),'[ \n\t]+',' ','g'))) AS text_md5, source, octet_length(encode(text))//4 AS t FROM documents WHERE octet_length(encode(text))>=100) GROUP BY text_md5 HAVING count(DISTINCT source)>=2""",
+    "continuity_index": _with("SELECT count(DISTINCT path) AS files, count(*) AS reads, round(CASE WHEN count(*)>0 THEN count(DISTINCT path)*100.0/CAST(count(*) AS DOUBLE) ELSE 100 END,6) AS score FROM fr", _FIRST),
+    "decision_conflicts": _with(
+        """SELECT a.point_session, z.session, a.scope, 'warning' AS severity FROM (SELECT session AS point_session, scope, min(ts) AS at0 FROM pt GROUP BY ALL) a JOIN (SELECT session, regexp_replace(path,'/[^/]*$','') AS scope, min(ts) AS first FROM e WHERE path IS NOT NULL GROUP BY ALL) z
+        ON z.scope=a.scope AND z.session<>a.point_session AND z.first>a.at0 WHERE NOT EXISTS (SELECT 1 FROM pt o WHERE o.session=z.session AND o.scope=z.scope)""",
+        "pt AS (SELECT session, ts, regexp_replace(path,'/[^/]*$','') AS scope FROM e WHERE tool='Edit' AND raw_size>4000)",
+    ),
+    "heading_dedupe": """SELECT doc_id, section, heading FROM (SELECT *, row_number() OVER (PARTITION BY heading ORDER BY doc_id, section) AS r FROM (SELECT doc_id, section, arg_min(line,i) AS heading FROM (SELECT *, CAST(sum(CASE WHEN starts_with(line,'The ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS section FROM
+        (SELECT doc_id, unnest(string_split(text,chr(10))) AS line, generate_subscripts(string_split(text,chr(10)),1) AS i FROM documents)) WHERE section>0 GROUP BY doc_id, section)) WHERE r=1""",
     "decision_economics": _with("SELECT * FROM de", _TAGS, _SCOPE, _METRICS),
     "gauge": _with(
         """SELECT session, CAST(sc AS BIGINT) AS gauge, CASE WHEN sc>=3 THEN 'emergency' WHEN sc=2 THEN 'unstable' WHEN sc=1 THEN 'degrading' ELSE 'healthy' END AS state, CASE WHEN sc>=3 THEN 'amputate' WHEN sc=2 THEN 'split' WHEN sc=1 THEN 'clean' ELSE 'continue' END AS action FROM
