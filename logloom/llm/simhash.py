@@ -244,9 +244,13 @@ def one_of_each(docs: DataFrame, distance: int = 3) -> DataFrame:
     Rows with one doc_id count as copies of each other: one of them stays.
     """
     groups = near_duplicates(docs, distance)
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_rows"))
+    keep = written(keep, "keep")
+
+    def rows_of(which: DataFrame) -> DataFrame:
+        return docs.join(which.select("_keep"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+
+    return rows_of(keep.filter("_rows = 1")).unionByName(rows_of(keep.filter("_rows > 1")).dropDuplicates(["doc_id"]))
 
 
 def report(docs: DataFrame) -> DataFrame:
