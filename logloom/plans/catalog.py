@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clean, cost, cross, graphops, injection, noise, scoring, sequence, text
+from ..operators import clean, cost, cross, graphops, injection, noise, reports, scoring, sequence, text
 from ..sources import bridge
 from .orders import ORDER_QUERIES, ORDER_SQL
 from .streams import STREAM_QUERIES
@@ -114,6 +114,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "truncate_outputs": _of("documents", text.truncate_outputs),
     "section_split": _of("documents", lambda t: text.sections(t, "The ")),
     "continuity_texts": _of("documents", text.repeated_texts),
+    "epoch_summary": _entries(reports.epoch_summary),
+    "compaction_archaeology": _entries(reports.archaeology),
+    "epoch_timeline": _priced(reports.epoch_timeline),
+    "flight_record": _entries(reports.flight_record),
+    "recent_work": _entries(reports.recent_work),
+    "mark_rows": _entries(lambda e: reports.mark_rows(e, e.filter("is_error").select("session", F.when(F.col("raw_size") > 3000, -F.col("uuid")).otherwise(F.col("uuid")).alias("uuid"), F.lit("keep").alias("marker")))),
+    "range_metadata": _priced(lambda e, p: reports.range_metadata(e, p, 5, 25)),
+    "amputate": _entries(lambda e: reports.amputate(e, 10).select("session", "idx", "uuid")),
+    "deletion_impact": _entries(lambda e: reports.deletion_impact(e, _progress(e))),
+    "large_outputs": _blocks(lambda b: reports.large_outputs(b, 2000)),
+    "diagnose": _both(reports.diagnose),
     "continuity_index": _blocks(cross.continuity_index),
     "decision_conflicts": _entries(lambda e: cross.decision_conflicts(e.filter("tool = 'Edit' and raw_size > 4000").select("session", "ts", "path"), e.filter("path is not null").select("session", "ts", "path"))),
     "heading_dedupe": _of("documents", lambda t: text.heading_dedupe(text.sections(t, "The "))),
@@ -200,6 +211,8 @@ _GROWTH = """SELECT session, cur AS current_ctx, round(g,6) AS growth_rate, CASE
         (SELECT session, max(le) AS cuts, coalesce(arg_max(ctx,idx) FILTER (WHERE ctx IS NOT NULL),0) AS cur, arg_min(ctx,idx) FILTER (WHERE ctx IS NOT NULL AND epoch=le) AS st,
         count(*) FILTER (WHERE ctx IS NOT NULL AND epoch=le) AS uses, count(*) FILTER (WHERE type IN ('user','assistant')) AS talk
         FROM (SELECT *, max(epoch) OVER (PARTITION BY session) AS le FROM ep) GROUP BY session))"""
+_SUMMARY = """SELECT session, epoch, count(*) FILTER (WHERE type IN ('user','assistant')) AS turns, coalesce(max(ctx),0) AS peak_ctx, count(DISTINCT path) AS files, count(*) FILTER (WHERE tool='Read') AS reads, count(*) FILTER (WHERE tool='Edit') AS edits
+ FROM (SELECT *, max(epoch) OVER (PARTITION BY session) AS le FROM ep) WHERE epoch<le GROUP BY session, epoch"""
 _METRICS = f"""gr AS ({_GROWTH}),
 mx AS (SELECT p.session, coalesce(n.noise_tokens,0) AS noise_tokens, n.biggest, g.current_ctx, round(g.current_ctx*100.0/200000,4) AS usage_percent, g.growth_rate, g.turns_left, p.cuts,
  CASE WHEN p.uses>0 THEN p.uses ELSE p.talk END AS since, p.talk, coalesce(k.d,0) AS dollars, coalesce(x.n,0) AS decisions, coalesce(f.drift,0) AS drift,
@@ -323,6 +336,38 @@ ORACLE_SQL: dict[str, str] = {
     "section_split": """SELECT doc_id, section, arg_min(line,i) AS heading, CAST(sum(octet_length(encode(line))//4) AS BIGINT) AS tokens FROM (SELECT *, CAST(sum(CASE WHEN starts_with(line,'The ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS section FROM
         (SELECT doc_id, unnest(string_split(text,chr(10))) AS line, generate_subscripts(string_split(text,chr(10)),1) AS i FROM documents)) WHERE section>0 GROUP BY doc_id, section""",
     "continuity_texts": r"""SELECT text_md5, count(DISTINCT source) AS owners, count(*) AS copies, CAST(sum(t)-min(t) AS BIGINT) AS tokens FROM (SELECT md5(lower(regexp_replace(trim(text),'[ \n\t]+',' ','g'))) AS text_md5, source, octet_length(encode(text))//4 AS t FROM documents WHERE octet_length(encode(text))>=100) GROUP BY text_md5 HAVING count(DISTINCT source)>=2""",
+    "epoch_summary": _with(_SUMMARY),
+    "compaction_archaeology": _with(f"SELECT k.session, k.epoch, k.idx, before_ctx, after_ctx, round(after_ctx/CAST(before_ctx AS DOUBLE),6) AS ratio, turns, files FROM (SELECT session, idx, before_ctx, ctx AS after_ctx, row_number() OVER (PARTITION BY session ORDER BY idx)-1 AS epoch FROM c) k JOIN ({_SUMMARY}) s ON s.session=k.session AND s.epoch=k.epoch"),
+    "epoch_timeline": _with(
+        """SELECT k.session, k.epoch, dollars, peak_ctx, turns, coalesce(files,0) AS files, topic, k.epoch = max(k.epoch) OVER (PARTITION BY k.session) AS active FROM
+        (SELECT session, epoch, count(*) AS turns, max(ctx) AS peak_ctx, round(CAST(sum(CAST(dollars AS DECIMAL(20,9))) AS DOUBLE),9) AS dollars FROM cost GROUP BY ALL) k LEFT JOIN
+        (SELECT session, epoch, count(*) AS files, max(CASE WHEN r=1 THEN path END) AS topic FROM (SELECT *, row_number() OVER (PARTITION BY session, epoch ORDER BY n DESC, path) AS r FROM (SELECT session, epoch, path, count(*) AS n FROM ep WHERE path IS NOT NULL GROUP BY ALL)) GROUP BY ALL) f ON f.session=k.session AND f.epoch=k.epoch"""
+    ),
+    "flight_record": _with(
+        """SELECT session, epoch, turns, CASE WHEN n=1 THEN 'single' WHEN epoch=0 THEN 'exploration' WHEN epoch=n-1 THEN CASE WHEN turns<20 THEN 'refinement' ELSE 'implementation' END WHEN epoch/CAST(greatest(n-1,1) AS DOUBLE)<0.4 THEN 'architecture' ELSE 'implementation' END AS label
+        FROM (SELECT *, count(*) OVER (PARTITION BY session) AS n FROM (SELECT session, epoch, count(*) FILTER (WHERE type='assistant') AS turns FROM ep GROUP BY ALL))"""
+    ),
+    "recent_work": _with(
+        """SELECT session, kind, rank, label, "count" FROM (SELECT *, row_number() OVER (PARTITION BY session, kind ORDER BY "count" DESC, label) AS rank FROM (SELECT session, 'file' AS kind, path AS label, count(*) AS "count" FROM e WHERE path IS NOT NULL GROUP BY ALL
+        UNION ALL SELECT session, 'tool', tool, count(*) FROM e WHERE tool IS NOT NULL GROUP BY ALL)) WHERE rank<=3"""
+    ),
+    "mark_rows": _with("SELECT m.session, m.uuid, 'keep' AS marker, coalesce(ep.idx,-1) AS idx, coalesce(ep.epoch,-1) AS epoch FROM (SELECT session, CASE WHEN raw_size>3000 THEN -uuid ELSE uuid END AS uuid FROM e WHERE is_error) m LEFT JOIN ep ON ep.session=m.session AND ep.uuid=m.uuid"),
+    "range_metadata": _with(
+        """SELECT a.session, rows, tokens, files, coalesce(dollars,0) AS dollars FROM (SELECT session, count(*) AS rows, CAST(sum(raw_size//4) AS BIGINT) AS tokens, count(DISTINCT path) AS files FROM e WHERE idx BETWEEN 5 AND 25 GROUP BY session) a
+        LEFT JOIN (SELECT session, round(CAST(sum(CAST(dollars AS DECIMAL(20,9))) AS DOUBLE),9) AS dollars FROM cost WHERE idx BETWEEN 5 AND 25 GROUP BY session) k ON k.session=a.session"""
+    ),
+    "amputate": _with("SELECT session, idx, uuid FROM (SELECT *, count(*) OVER (PARTITION BY session) AS n FROM e) WHERE n<=10 OR idx<n-10"),
+    "deletion_impact": _with(
+        """SELECT s.session, s.rows, s.tokens, coalesce(k.n,0) AS children, round(greatest(cur-s.tokens,0)*100.0/200000::DOUBLE,4) AS new_percent FROM (SELECT session, count(*) AS rows, CAST(sum(raw_size//4) AS BIGINT) AS tokens FROM e WHERE type='progress' GROUP BY session) s
+        JOIN (SELECT session, coalesce(arg_max(ctx,idx) FILTER (WHERE ctx IS NOT NULL),0) AS cur FROM e GROUP BY session) c2 ON c2.session=s.session
+        LEFT JOIN (SELECT e.session, count(*) AS n FROM e WHERE type<>'progress' AND EXISTS (SELECT 1 FROM e p WHERE p.session=e.session AND p.uuid=e.parent_uuid AND p.type='progress') GROUP BY e.session) k ON k.session=s.session"""
+    ),
+    "large_outputs": _with("SELECT session, count(*) AS outputs, CAST(sum(raw_size//4) AS BIGINT) AS tokens FROM b WHERE kind='tool_result' AND raw_size>=2000 GROUP BY session"),
+    "diagnose": _with(
+        """SELECT session, idx, 'chain_missing_parent' AS issue FROM mp UNION ALL SELECT session, idx, 'orphaned_result' FROM orp UNION ALL
+        SELECT session, idx, 'chain_bad_start' FROM (SELECT *, count(*) FILTER (WHERE type='user') OVER (PARTITION BY session ORDER BY idx) AS u FROM e WHERE type IN ('user','assistant')) WHERE type='assistant' AND u=0""",
+        _LINKS,
+    ),
     "continuity_index": _with("SELECT count(DISTINCT path) AS files, count(*) AS reads, round(CASE WHEN count(*)>0 THEN count(DISTINCT path)*100.0/CAST(count(*) AS DOUBLE) ELSE 100 END,6) AS score FROM fr", _FIRST),
     "decision_conflicts": _with(
         """SELECT a.point_session, z.session, a.scope, 'warning' AS severity FROM (SELECT session AS point_session, scope, min(ts) AS at0 FROM pt GROUP BY ALL) a JOIN (SELECT session, regexp_replace(path,'/[^/]*$','') AS scope, min(ts) AS first FROM e WHERE path IS NOT NULL GROUP BY ALL) z
