@@ -27,7 +27,7 @@ MEMO = 300_000
 
 
 def labellers(text: Column) -> dict[str, Column]:
-    """Votes of the heuristics on a text."""
+    """Votes of the heuristics on a text: most find one kind of junk and say nothing of other texts."""
     n = F.greatest(F.char_length(text), F.lit(1))
     words = F.split(F.trim(text), r"\s+")
     count = F.greatest(F.size(words), F.lit(1))
@@ -37,31 +37,34 @@ def labellers(text: Column) -> dict[str, Column]:
     marks = F.char_length(F.regexp_replace(text, r"[^.!?]", ""))
     lines = F.filter(F.split(text, "\n"), lambda x: x != "")
     repeated = 1 - F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1))
-    distinct = F.size(F.array_distinct(words)) / count
+    same = F.transform(F.array(words), lambda w: F.size(F.filter(w, lambda x, i: (i > 0) & (x == F.element_at(w, F.greatest(i, F.lit(1)))))))
+    echoes = F.element_at(same, 1) / count
+    variety = F.size(F.array_distinct(words)) / count
     length = n / count
 
-    def vote(good: Column, bad: Column) -> Column:
-        return F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0))
+    def against(bad: Column) -> Column:
+        return F.when(bad, F.lit(-1)).otherwise(F.lit(0))
 
     return {
-        "symbols": vote(bare / n < 0.01, bare / n > 0.04),
-        "mark_runs": vote(runs / count < 0.02, runs / count > 0.1),
-        "capitals": vote(upper / n < 0.06, upper / n > 0.2),
-        "sentences": vote((marks / count > 0.02) & (marks / count < 0.25), (marks / count > 0.6) | (marks == 0)),
-        "lines": vote((F.size(lines) > 2) & (repeated < 0.1), repeated > 0.3),
-        "variety": vote((count > 20) & (distinct > 0.3), (count > 40) & (distinct < 0.15)),
-        "word_length": vote((length > 3.5) & (length < 9), (length < 2.2) | (length > 14)),
-    }
+        "symbols": against(bare / n > 0.03),
+        "mark_runs": against(runs / count > 0.1),
+        "capitals": against(upper / n > 0.25),
+        "echoes": against(echoes > 0.15),
+        "lines": against((F.size(lines) > 2) & (repeated > 0.25)),
+        "variety": against((count > 40) & (variety < 0.2)),
+        "sentences": F.when((marks / count > 0.02) & (marks / count < 0.3) & (length > 3) & (length < 10), F.lit(1)).when((marks == 0) | (length > 14), F.lit(-1)).otherwise(F.lit(0)),
+    }
 
 
 def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, float]:
     """(posterior of good for each pattern, rates[class, labeller, vote + 1], prior of good).
 
-    votes: patterns x labellers of -1, 0, 1. Labellers are independent given the class; the start is their
-    majority, so good is the class that they call good.
+    votes: patterns x labellers of -1, 0, 1. Labellers are independent given the class; the start calls a
+    text bad by its share of votes against among all votes on it, so good is what they call good.
     """
     total = counts.sum()
-    post = np.clip(0.5 + 0.45 * np.sign(votes.sum(axis=1)) + 0.04 * np.tanh(votes.sum(axis=1)), 0.02, 0.98)
+    against = (votes < 0).sum(axis=1) / np.maximum((votes != 0).sum(axis=1), 1)
+    post = np.clip(0.95 - against, 0.05, 0.95)
     hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
     rates, prior = np.zeros((2, votes.shape[1], 3)), 0.5
     for _ in range(rounds):
