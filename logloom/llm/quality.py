@@ -1,7 +1,6 @@
 """Quality by weak labels: heuristic labellers, their accuracies by expectation-maximisation, a linear scorer.
 
-Each labeller votes good (1), bad (-1) or nothing (0) on a text, in built-in functions. Votes are counted by
-pattern over all documents, so at most 3^7 rows reach the driver, where EM estimates how often each labeller
+Each labeller votes good (1), bad (-1) or nothing (0) on a text. Votes are counted by pattern over all documents, so at most 3^7 rows reach the driver, where EM estimates how often each labeller
 votes each way on good and on bad texts, and the posterior of every pattern. A logistic scorer over hashed
 words and character shapes is fitted to posteriors of a bounded sample and scores whole texts.
 """
@@ -9,12 +8,13 @@ words and character shapes is fitted to posteriors of a bounded sample and score
 from __future__ import annotations
 
 import re
-import zlib
-from collections.abc import Iterator
+from collections import Counter
+from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
@@ -23,37 +23,36 @@ SAMPLE = 6000
 FEATURES = 1 << 15
 ROUNDS = 100
 EPOCHS = 12
-MEMO = 300_000
-
-
-def labellers(text: Column) -> dict[str, Column]:
-    """Votes of the heuristics on a text: most find one kind of junk and say nothing of other texts."""
-    n = F.greatest(F.char_length(text), F.lit(1))
-    words = F.split(F.trim(text), r"\s+")
-    count = F.greatest(F.size(words), F.lit(1))
-    bare = F.char_length(F.regexp_replace(text, r"[\p{L}\p{N}\s.,;:'’\"()!?-]", ""))
-    runs = F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s.]{2,}"))
-    upper = F.char_length(F.regexp_replace(text, r"[^\p{Lu}]", ""))
-    marks = F.char_length(F.regexp_replace(text, r"[^.!?]", ""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x != "")
-    repeated = 1 - F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1))
-    same = F.transform(F.array(words), lambda w: F.size(F.filter(w, lambda x, i: (i > 0) & (x == F.element_at(w, F.greatest(i, F.lit(1)))))))
-    echoes = F.element_at(same, 1) / count
-    variety = F.size(F.array_distinct(words)) / count
-    length = n / count
 
-    def against(bad: Column) -> Column:
-        return F.when(bad, F.lit(-1)).otherwise(F.lit(0))
+_SYMBOLS = b"#$%&*+=<>@[]^_`{|}~\\/"
+_CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_RUNS = re.compile(rb"[!-\-/:-@\[-`{-~]{2,}")
+
 
-    return {
-        "symbols": against(bare / n > 0.03),
-        "mark_runs": against(runs / count > 0.1),
-        "capitals": against(upper / n > 0.25),
-        "echoes": against(echoes > 0.15),
-        "lines": against((F.size(lines) > 2) & (repeated > 0.25)),
-        "variety": against((count > 40) & (variety < 0.2)),
-        "sentences": F.when((marks / count > 0.02) & (marks / count < 0.3) & (length > 3) & (length < 10), F.lit(1)).when((marks == 0) | (length > 14), F.lit(-1)).otherwise(F.lit(0)),
-    }
+def labellers(text: str) -> list[int]:
+    """Votes of the heuristics on a text: most find one kind of junk and say nothing of other texts.
+
+    In order: symbols, runs of marks, capitals, words said twice in a row, repeated lines, few different words,
+    and sentences (the one that also votes good).
+    """
+    raw = text.encode("utf-8", "surrogatepass")
+    words = text.split()
+    n, count = max(len(text), 1), max(len(words), 1)
+    symbols = len(raw) - len(raw.translate(None, _SYMBOLS))
+    capitals = len(raw) - len(raw.translate(None, _CAPITALS))
+    marks = raw.count(b".") + raw.count(b"!") + raw.count(b"?")
+    lines = [x for x in text.split("\n") if x]
+    length = n / count
+    against = [
+        symbols / n > 0.03,
+        len(_RUNS.findall(raw)) / count > 0.1,
+        capitals / n > 0.25,
+        sum(map(eq, words, words[1:])) / count > 0.15,
+        len(lines) > 2 and 1 - len(set(lines)) / len(lines) > 0.25,
+        count > 40 and len(set(words)) / count < 0.2,
+    ]
+    sentences = 1 if 0.02 < marks / count < 0.3 and 3 < length < 10 else -1 if not marks or length > 14 else 0
+    return [-int(x) for x in against] + [sentences]
 
 
 def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, float]:
@@ -79,46 +78,28 @@ def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int
     return post, rates, prior
 
 
-_SHAPE = [(re.compile(p), c) for p, c in ((r"[^\W\d_a-zß-ÿ]+", "A"), (r"[^\W\d_A-Z]+", "a"), (r"\d+", "0"))]
-
-
-def _shape(word: str) -> str:
-    for pattern, c in _SHAPE:
-        word = pattern.sub(c, word)
-    return word[:12]
-
-
-class Features:
-    """Hashed features of texts: the shape of every word, and the word itself; words seen are kept."""
-
-    def __init__(self) -> None:
-        self.memo: dict[str, tuple[int, int]] = {}
-
-    def _of(self, word: str) -> tuple[int, int]:
-        shape = zlib.crc32(b"s" + _shape(word).encode("utf-8", "surrogatepass"))
-        return shape % FEATURES, zlib.crc32(word.encode("utf-8", "surrogatepass")) % FEATURES
-
-    def sparse(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(features, values): shares of words, of length one in the square."""
-        words = text.split()
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        for w in words:
-            if w not in memo:
-                memo[w] = self._of(w)
-        if not words:
-            return np.zeros(1, np.int64), np.ones(1)
-        found = np.bincount(np.array([memo[w] for w in words], np.int64).ravel(), minlength=0)
-        at = np.flatnonzero(found)
-        values = np.sqrt(found[at])
-        return at, values / np.sqrt((values * values).sum())
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(features, values): roots of counts of hashed words, word forms and echoes, of length one."""
+    found: Counter = Counter()
+    for w, times in Counter(text.split()).items():
+        found[crc32(w.encode("utf-8", "surrogatepass")) % FEATURES] += times
+        last = w[-1]
+        form = (w.isupper(), w.islower(), w.isalpha(), last.isalnum(), last in ".,", min(len(w), 16) // 4)
+        found[crc32(repr(form).encode()) % FEATURES] += times
+    words = text.split()
+    echoes = sum(map(eq, words, words[1:]))
+    if echoes:
+        found[crc32(b"echo") % FEATURES] += echoes
+    if not found:
+        return np.zeros(1, np.int64), np.ones(1)
+    at = np.fromiter(found.keys(), np.int64, len(found))
+    values = np.sqrt(np.fromiter(found.values(), np.float64, len(found)))
+    return at, values / np.sqrt((values * values).sum())
 
 
 def fit(texts: list[str], target: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """Weights and bias of the logistic scorer by adaptive gradient steps on soft labels, classes balanced."""
-    features = Features()
-    rows = [features.sparse(t) for t in texts]
+    rows = [features(t) for t in texts]
     w, squares = np.zeros(FEATURES), np.full(FEATURES, 1e-6)
     share = float(np.clip(target.mean(), 0.02, 0.98))
     bias = 0.0
@@ -142,34 +123,34 @@ def scored(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     table gives no rows. The scorer is fitted on the `sample` rows with the smallest hashes.
     """
     text = text_of()
-    votes = labellers(text)
-    pattern = F.array(*[v.cast("int") for v in votes.values()])
-    marked = docs.withColumn("_votes", pattern)
-    counted = marked.groupBy("_votes").agg(F.count("*").alias("n")).collect()  # at most 3 ** len(votes) rows
+
+    @F.pandas_udf("array<int>")
+    def votes_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([labellers(t) for t in texts])
+
+    counted = docs.select(votes_of(text).alias("v")).groupBy("v").agg(F.count("*").alias("n")).collect()  # one row a pattern of votes
     if not counted:
         return docs.withColumn("weak_label", F.lit(0.5)).withColumn("score", F.lit(0.5))
-    patterns = np.array([r["_votes"] for r in counted])
+    patterns = np.array([r["v"] for r in counted])
     post, _, _ = expectation_maximisation(patterns, np.array([r["n"] for r in counted], float))
-    rows = [(list(map(int, p)), float(x)) for p, x in zip(patterns, post, strict=True)]
-    table = docs.sparkSession.createDataFrame(rows, "_votes array<int>, weak_label double")
-    weak = marked.join(F.broadcast(table), "_votes").drop("_votes")
-    picked = docs.select(text.alias("text")).withColumn("_h", F.xxhash64("text")).orderBy("_h").limit(sample).drop("_h")
-    votes_of = picked.withColumn("_votes", F.array(*[v.cast("int") for v in labellers(F.col("text")).values()]))
-    train = votes_of.join(F.broadcast(table), "_votes").select("text", "weak_label").toPandas().sort_values("text", kind="stable")
-    weights, bias = fit(train["text"].tolist(), train["weak_label"].to_numpy())
+    label = {tuple(map(int, p)): float(x) for p, x in zip(patterns, post, strict=True)}
+    # At most `sample` texts are fitted on.
+    picked = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).orderBy("h", F.length("text")).limit(sample).toPandas()
+    texts = picked["text"].tolist()
+    weights, bias = fit(texts, np.array([label[tuple(labellers(t))] for t in texts]))
     weights = weights.astype(np.float32)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        features = Features()
-        for texts in batches:
-            out = np.empty(len(texts))
-            for i, t in enumerate(texts):
-                at, v = features.sparse(t)
-                out[i] = weights[at] @ v + bias
-            yield pd.Series(1 / (1 + np.exp(-np.clip(out, -30, 30))))
-
-    return weak.withColumn("score", score(text))
+    @F.pandas_udf("struct<weak_label:double,score:double>")
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        out = np.empty((len(texts), 2))
+        for i, t in enumerate(texts):
+            at, v = features(t)
+            out[i] = label[tuple(labellers(t))], weights[at] @ v + bias
+        out[:, 1] = 1 / (1 + np.exp(-np.clip(out[:, 1], -30, 30)))
+        return pd.DataFrame(out, columns=["weak_label", "score"])
+
+    judged = docs.withColumn("_judged", judge(text))
+    return judged.select(*docs.columns, F.col("_judged.weak_label").alias("weak_label"), F.col("_judged.score").alias("score"))
 
 
 def report(docs: DataFrame) -> DataFrame:
