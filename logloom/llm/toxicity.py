@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, written
 
 TOXIC_ROWS, CLEAN_ROWS = 2000, 5000
 WORDS = 6000
@@ -224,7 +224,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """The model, or None if the labelled rows don't hold both classes."""
-    sample = training_rows(docs, labels)
+    sample = written(training_rows(docs, labels), "sample")  # the texts are scanned once for it
 
     bad, good = sample.filter("toxic = 1").select("doc", "text"), sample.filter("toxic = 0").select("doc", "text")
 
