@@ -20,6 +20,7 @@ BAND = (0.002, 0.05)
 FAMILIES = 8
 LEVELS = 5
 RANGES = 256
+RANGE_ROWS = 4000
 EMPTY = "-"
 
 
@@ -29,10 +30,9 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> list[int]:
-    """BUCKETS bits in 64-bit words: set for hashed terms whose share of documents lies in the band."""
+def lexicon(docs: DataFrame, total: int, band: tuple[float, float] = BAND) -> list[int]:
+    """BUCKETS bits in 64-bit words: set for hashed terms whose share of the `total` documents lies in the band."""
     hashed = docs.select(F.explode(F.array_distinct(F.transform(terms(text_of()), lambda h: h.bitwiseAND(F.lit(BUCKETS - 1))))).alias("b"))
-    total = docs.count()
     bits = (
         hashed.groupBy("b")
         .agg(F.count("*").alias("n"))
@@ -93,18 +93,22 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when(F.size(used) == 0, F.lit(0.0)).otherwise(same / F.size(used))
 
 
-def with_next(docs: DataFrame, columns: list[str], ranges: int = RANGES) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], ranges: int = RANGES, parts: int = 1) -> DataFrame:
     """`docs` (doc_id, `columns`) with next_<column>: the columns of the document after it by descending doc_id.
 
-    The document after the last is the first. Rows are dealt to ranges of doc_id by quantiles; the first row of
-    each range also ends the range before it, so no task sees more than a range. Equal ids are ordered by
-    `columns`, and null ids come last.
+    The document after the last is the first. Rows are dealt to ranges of doc_id by quantiles, each cut into
+    `parts` of equal width; the first row of each range also ends the range before it, so no task sees more than
+    a range. Equal ids are ordered by `columns`, and null ids come last.
     """
     keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
     edges = keyed.agg(F.percentile_approx("_id", [i / ranges for i in range(1, ranges)], 10000).alias("q")).first()["q"]
     edges = sorted(set(edges or []))
     bounds = F.array(*[F.lit(x) for x in edges]) if edges else F.array().cast("array<long>")
     keyed = keyed.withColumn("_range", F.size(F.filter(bounds, lambda b: b <= F.col("_id"))))
+    if parts > 1 and len(edges) > 1:
+        low, high = (F.element_at(F.array(*[F.lit(float(x)) for x in xs]), F.col("_range") + 1) for xs in ([edges[0], *edges], [*edges, edges[-1]]))
+        share = F.when(high > low, (F.col("_id").cast("double") - low) / (high - low)).otherwise(0.0)
+        keyed = keyed.withColumn("_range", F.col("_range") * parts + F.greatest(F.least(F.floor(share * parts), F.lit(parts - 1)), F.lit(0)).cast("int"))
     tops = {r["_range"]: r["top"] for r in keyed.groupBy("_range").agg(F.max("_id").alias("top")).collect()}  # one row a range
     order = sorted(tops, reverse=True)
     after = {a: tops[b] for a, b in zip(order, order[1:] + order[:1], strict=True)}
@@ -127,9 +131,10 @@ def report(docs: DataFrame) -> DataFrame:
     its own next; an empty table gives no rows. Other columns are not read.
     """
     slim = docs.select("doc_id", text_of().alias("text"))
-    band = lexicon(slim)
+    total = docs.count()
+    band = lexicon(slim, total)
     marked = slim.withColumn("fingerprint", fingerprint(F.col("text"), band))
-    paired = with_next(marked, ["text", "fingerprint"]).withColumn("n_chars", F.char_length("text").cast("long"))
+    paired = with_next(marked, ["text", "fingerprint"], parts=max(1, min(64, total // (RANGES * RANGE_ROWS)))).withColumn("n_chars", F.char_length("text").cast("long"))
     cut = F.expr("cast(n_chars div 3 as int)")
     edited = F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substr("next_text", F.lit(1), cut))
     paired = paired.withColumn("edited", edited)

@@ -34,3 +34,13 @@ def test_edits_are_nearer_than_strangers(spark):
     df = spark.createDataFrame([(i, " ".join(r.choice(vocabulary) for _ in range(r.randint(30, 200)))) for i in range(300)], "doc_id long, text string")
     got = imatch.report(df).collect()
     assert sum(g.near_edited > g.near_next for g in got) > 0.85 * len(got)
+
+
+def test_next_over_many_ranges(spark):
+    ids = [*range(0, 3000, 7), 10**9, 10**12, -5, None, 14]
+    df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    order = sorted(((i if i is not None else -(1 << 63), f"t{k}") for k, i in enumerate(ids)), key=lambda x: (-x[0], x[1]))
+    want = {order[k][1]: order[(k + 1) % len(order)][1] for k in range(len(order))}
+    for ranges, parts in ((8, 1), (8, 5), (64, 3)):
+        got = {r.text: r.next_text for r in imatch.with_next(df, ["text"], ranges, parts).collect()}
+        assert got == want
