@@ -26,7 +26,7 @@ def weekly_usage(sessions: DataFrame, anchor: str, limit: float) -> DataFrame:
 def repo_budget(sessions: DataFrame) -> DataFrame:
     """project, sessions, dollars, per_session, rank; one row a project reaches the ranking."""
     per = sessions.groupBy("project").agg(F.count("*").alias("sessions"), F.round(F.sum("dollars"), 2).alias("dollars"), F.round(F.avg("dollars"), 2).alias("per_session"))
-    return per.withColumn("rank", F.rank().over(Window.orderBy(F.desc("dollars"))))
+    return per.withColumn("rank", F.rank().over(Window.orderBy(F.desc("dollars"))).cast("long"))
 
 
 def latest_n(sessions: DataFrame, n: int) -> DataFrame:

@@ -108,7 +108,7 @@ def epoch_diff(entries: DataFrame) -> DataFrame:
 def top_files(entries: DataFrame, n: int = 3) -> DataFrame:
     """session, rank, path, writes: the files written most, ties by path."""
     per = entries.filter("tool = 'Edit'").groupBy("session", "path").agg(F.count("*").alias("writes"))
-    ranked = per.withColumn("rank", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("writes"), "path")))
+    ranked = per.withColumn("rank", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("writes"), "path")).cast("long"))
     return ranked.filter(F.col("rank") <= n).select("session", "rank", "path", "writes")
 
 

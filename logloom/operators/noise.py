@@ -108,4 +108,4 @@ def recommend(entries: DataFrame, blocks: DataFrame) -> DataFrame:
     progress = entries.filter("type = 'progress'").select("session", "idx", F.lit("progress").alias("category"))
     every = tags.unionByName(progress).join(entries.select("session", "idx", tokens().alias("t")), ["session", "idx"])
     per = every.groupBy("session", "category").agg(F.count("*").alias("rows"), F.sum("t").alias("tokens"))
-    return per.withColumn("rank", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("tokens"), "category")))
+    return per.withColumn("rank", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("tokens"), "category")).cast("long"))

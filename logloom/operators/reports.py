@@ -54,7 +54,7 @@ def recent_work(entries: DataFrame, n: int = 3) -> DataFrame:
     """session, kind, rank, label, count: top files and tools."""
     parts = [entries.filter(f"{c} is not null").groupBy("session", F.lit(k).alias("kind"), F.col(c).alias("label")).agg(F.count("*").alias("count")) for k, c in (("file", "path"), ("tool", "tool"))]
     w = Window.partitionBy("session", "kind").orderBy(F.desc("count"), "label")
-    return parts[0].unionByName(parts[1]).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("session", "kind", "rank", "label", "count")
+    return parts[0].unionByName(parts[1]).withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= n).select("session", "kind", "rank", "label", "count")
 
 
 def mark_rows(entries: DataFrame, markers: DataFrame) -> DataFrame:
