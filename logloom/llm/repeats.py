@@ -5,7 +5,8 @@ not needed to find all of them. The smallest of the hashed GRAM-byte strings ins
 bytes is its anchor; equal windows have equal anchors at equal places, and about one position in a
 hundred and forty is an anchor. So
 
-1. anchors are counted over all documents, and only those that occur twice stay;
+1. anchors are counted over all documents, and only those that occur twice stay; where all bytes in the
+   windows of an anchor agree between places, these are repeated, and one of them stays;
 2. the suffixes at the remaining anchors are sorted by Spark's external shuffle sort, which spills to
    disk, and each carries its common-prefix value with the suffix before it;
 3. the windows that start left of an anchor are induced from that order, step by step: at o bytes to the
@@ -30,7 +31,7 @@ from .common import text_of, written
 
 LENGTH = 400
 GRAM = 128
-HOT = 128
+HOT = 4096  # contexts of one anchor, of some 600 bytes each, that a task sorts at once
 CHUNK = 1 << 20
 BATCH = 4096
 
@@ -63,13 +64,22 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _hashes(data: np.ndarray, width: int) -> np.ndarray:
-    """Mixed rolling hash of each `width` bytes of `data`."""
-    n = len(data)
-    up, down = _power_tables(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_TABLE[data] * up[:n], out=sums[1:])
-    return _mixed((sums[width:] - sums[: n + 1 - width]) * down[: n + 1 - width])
+def _sums(data: np.ndarray) -> np.ndarray:
+    """Prefix sums of the polynomial hash mod 2^64."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_TABLE[data] * _power_tables(len(data) + 1)[0][: len(data)], out=sums[1:])
+    return sums
+
+
+def _hashes(sums: np.ndarray, width: int) -> np.ndarray:
+    """Mixed hash of each `width` bytes in a row."""
+    n = len(sums) - width
+    return _mixed((sums[width:] - sums[:n]) * _power_tables(len(sums))[1][:n])
+
+
+def _span_hashes(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Mixed hash of each span of bytes, its length taken in."""
+    return _mixed((sums[end] - sums[begin]) * _power_tables(len(sums))[1][begin] + (end - begin).astype(np.uint64))
 
 
 def _window_minima(keys: np.ndarray, width: int) -> np.ndarray:
@@ -83,20 +93,22 @@ def _window_minima(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors_of(data: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, its place, and the first and last start of the windows it belongs to."""
+def anchors_of(data: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Anchor hash, hash of all bytes in its windows, its place, and its first and last window start."""
     out: list[tuple[np.ndarray, ...]] = []
     place = np.uint64((1 << 24) - 1)
     for at in range(0, len(data) - length + 1, CHUNK):
         part = np.frombuffer(data, np.uint8, min(CHUNK + length - 1, len(data) - at), at)
-        h = _hashes(part, gram)
+        sums = _sums(part)
+        h = _hashes(sums, gram)
         keys = (h & ~place) | np.arange(len(h), dtype=np.uint64)
         least = (_window_minima(keys, length - gram + 1) & place).astype(np.int64)
         low = np.append(0, np.flatnonzero(np.diff(least)) + 1)
         high = np.append(low[1:], len(least)) - 1
         p = least[low]
-        out.append((h[p].view(np.int64), p + at, low + at, high + at))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4  # type: ignore[return-value]
+        context = _span_hashes(sums, low, high + length)
+        out.append((h[p].view(np.int64), context.view(np.int64), p + at, low + at, high + at))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _anchor_rows(length: int, gram: int):
@@ -111,12 +123,12 @@ def _anchor_rows(length: int, gram: int):
                     k2.append(np.full(len(rows[0]), b))
             if found:
                 cols = [np.concatenate(x) for x in zip(*found, strict=True)]
-                yield pd.DataFrame({"anchor": cols[0], "k1": np.concatenate(k1), "k2": np.concatenate(k2), "p": cols[1], "lo": cols[2], "hi": cols[3]})
+                yield pd.DataFrame({"anchor": cols[0], "context": cols[1], "k1": np.concatenate(k1), "k2": np.concatenate(k2), "p": cols[2], "lo": cols[3], "hi": cols[4]})
 
     return run
 
 
-def _contexts(length: int):
+def _contexts(length: int, hot: int):
     """Over texts with their repeated anchors: the bytes that the anchors' windows cover."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,7 +138,7 @@ def _contexts(length: int):
                 data = text.encode("utf-8", "surrogatepass")
                 for x in found:
                     lo, hi, p = x["lo"], x["hi"], x["p"]
-                    out.append((x["anchor"], x["n"] > HOT, data[p : hi + length], data[lo:p][::-1], k1, k2, p, lo, hi))
+                    out.append((x["anchor"], x["n"] > hot, data[p : hi + length], data[lo:p][::-1], k1, k2, p, lo, hi))
                 if len(out) > BATCH:
                     yield pd.DataFrame(out, columns=_CONTEXT)
                     out = []
@@ -228,7 +240,7 @@ def _hot_windows(length: int):
                 part = batch.iloc[at : at + 256]
                 found = []
                 for left, right in zip(part["left"], part["right"], strict=True):
-                    found.append(_hashes(np.frombuffer(left[::-1] + right, np.uint8), length).view(np.int64))
+                    found.append(_hashes(_sums(np.frombuffer(left[::-1] + right, np.uint8)), length).view(np.int64))
                 times = [len(x) for x in found]
                 cols = {c: np.repeat(part[c].to_numpy(), times) for c in ("anchor", "k1", "k2")}
                 start = np.repeat(part["lo"].to_numpy(), times) + np.concatenate([np.arange(t) for t in times])
@@ -237,27 +249,43 @@ def _hot_windows(length: int):
     return run
 
 
-def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(k1, k2, begin, end): byte spans of the texts `keyed` (k1, k2, text) that repeated strings cover.
 
     Spans may overlap. Copies of a text share their key, and each counts as an occurrence.
     """
     rows = keyed.filter(F.octet_length("text") >= length)
-    found = written(rows.mapInPandas(_anchor_rows(length, gram), "anchor long, k1 long, k2 long, p int, lo int, hi int"), "anchors")
-    counts = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
+    anchors = rows.mapInPandas(_anchor_rows(length, gram), "anchor long, context long, k1 long, k2 long, p int, lo int, hi int")
+    anchors = written(anchors, "anchors")
+    counts = anchors.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("context") == F.max("context")).alias("same")).filter("n > 1")
+    counts = written(counts, "counts")
+    twice = written(anchors.join(counts.select("anchor", "same"), "anchor").distinct(), "twice")
+
+    # All bytes of an anchor's windows agree: wholly repeated, and bytes need not be compared.
+    span = [F.col("lo").alias("begin"), (F.col("hi") + length).alias("end")]
+    alike = twice.filter("same").select("k1", "k2", *span)
+    mixed = twice.filter("not same")
+    contexts = mixed.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "p", "lo", "hi")).alias("r"))
+    contexts = written(contexts, "contexts")
+    twins = mixed.join(contexts.filter("n > 1").select("anchor", "context"), ["anchor", "context"]).select("k1", "k2", *span)
+
+    # One text of each context is compared with the other contexts of its anchor.
+    kinds = written(contexts.groupBy("anchor").agg(F.count("*").alias("n")), "kinds")
     wanted = (
-        found.join(counts, "anchor")
-        .distinct()
+        contexts.select("anchor", "r.*")
+        .join(kinds, "anchor")
         .groupBy("k1", "k2")
         .agg(F.collect_list(F.struct("anchor", "n", "p", "lo", "hi")).alias("found"))
     )
-    contexts = written(keyed.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "found").mapInPandas(_contexts(length), _CONTEXT_TYPE), "contexts")
-    usual = contexts.filter("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor", "right")
+    bytes_of = keyed.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "found").mapInPandas(_contexts(length, hot), _CONTEXT_TYPE)
+    bytes_of = written(bytes_of, "bytes")
+    usual = bytes_of.filter("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor", "right")
     spans = usual.mapInPandas(_induced(length), "k1 long, k2 long, begin int, end int")
-    windows = contexts.filter("hot").mapInPandas(_hot_windows(length), "anchor long, k1 long, k2 long, window long, start int")
-    twice = windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "window")
-    hot = windows.join(twice, ["anchor", "window"]).select("k1", "k2", F.col("start").alias("begin"), (F.col("start") + length).alias("end"))
-    return spans.union(hot)
+    windows = bytes_of.filter("hot").mapInPandas(_hot_windows(length), "anchor long, k1 long, k2 long, window long, start int")
+    again = windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "window")
+    again = written(again, "again")
+    hot_spans = windows.join(again, ["anchor", "window"]).select("k1", "k2", F.col("start").alias("begin"), (F.col("start") + length).alias("end"))
+    return written(alike.union(twins).union(spans).union(hot_spans), "spans")
 
 
 _KEPT = "struct<n_bytes:long,n_removed:long,n_spans:long,kept_sha256:string,kept:string>"
@@ -286,7 +314,7 @@ def _kept(with_text: bool):
     return kept
 
 
-def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = True) -> DataFrame:
+def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = True, hot: int = HOT) -> DataFrame:
     """`docs` with a struct column `cut`: n_bytes, n_removed, n_spans, kept_sha256, kept.
 
     Each byte that a string of `length` bytes covers which starts anywhere else too is removed, judged on
@@ -302,7 +330,7 @@ def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text:
         .filter("n > 1")
         .select("k1", "k2", F.lit(0).alias("begin"), "end")
     )
-    spans = repeated_spans(keys, length, gram).union(copies)
+    spans = repeated_spans(keys, length, gram, hot).union(copies)
     marked = spans.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.collect_list(F.struct("begin", "end")).alias("_spans"))
     joined = keyed.join(marked, ["_k1", "_k2"], "left")
     cut = _kept(with_text)(F.col("_text"), F.col("_spans.begin"), F.col("_spans.end"))

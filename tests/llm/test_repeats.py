@@ -41,9 +41,9 @@ def corpus(seed, n=60, size=300):
     return texts + ["", None, "x" * 150, texts[0], texts[0], "ab" * 90, "x" * 49]
 
 
-def compare(spark, texts, length, gram):
+def compare(spark, texts, length, gram, hot=128):
     df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, k1 string")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.cleaned(df, length, gram, False).select("doc_id", "cut.*").collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.cleaned(df, length, gram, False, hot).select("doc_id", "cut.*").collect()}
     want = brute(texts, length)
     assert [got[i] for i in range(len(texts))] == want
     assert sum(w[1] > 0 for w in want) > 5
@@ -53,23 +53,9 @@ def test_matches_brute_force(spark):
     compare(spark, corpus(1), 50, 16)
 
 
-def test_hot_anchors_match_brute_force(spark, monkeypatch):
-    """Every anchor as if it were shared by very many places."""
-    monkeypatch.setattr(repeats, "_contexts", hot_contexts(repeats._contexts))
-    compare(spark, corpus(2), 40, 12)
-
-
-def hot_contexts(make):
-    def made(length):
-        run = make(length)
-
-        def all_hot(batches):
-            for out in run(batches):
-                yield out.assign(hot=True)
-
-        return all_hot
-
-    return made
+def test_hot_anchors_match_brute_force(spark):
+    """Every anchor as if very many places shared it."""
+    compare(spark, corpus(2), 40, 12, hot=0)
 
 
 def test_text_goes_and_empty_table(spark):
