@@ -37,3 +37,14 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{scratch_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_held: dict[tuple, dict] = {}
+
+
+def worker_memo(owner: tuple) -> dict:
+    """This Python worker's memo of an operator, kept over tasks; a worker holds one operator's at a time."""
+    if owner not in _held:
+        _held.clear()
+        _held[owner] = {}
+    return _held[owner]

@@ -11,6 +11,8 @@ import os
 
 import numpy as np
 
+from .common import worker_memo
+
 #: Words that a worker keeps with their ids.
 MEMO = 1_200_000
 
@@ -34,6 +36,7 @@ class Encoder:
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError("ids must fit 16 bits")
         self.spaced = spaced
+        self.owner = ("tokens", path, spaced)
         self.memo: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
@@ -65,6 +68,7 @@ class Encoder:
         out = []
         first = 1 if self.spaced else 0
         blank = self._whole(" ") if self.spaced else b""
+        self.memo = worker_memo(self.owner)
         for at in range(0, len(texts), 64):
             part = texts[at : at + 64]
             split = [None if _is_odd(t) else (t if self.spaced else t.replace("\n", " ")).split(" ") for t in part]
@@ -81,6 +85,7 @@ class Encoder:
                     out.append(self._whole(words[0]) + b"".join([memo[w] for w in words[1:]]))
                 else:
                     out.append(b"".join([memo[w] for w in words]))
+        self.memo = {}
         return out
 
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import text_of, worker_memo, written
 
 TOXIC_ROWS, CLEAN_ROWS = 2000, 5000
 WORDS = 6000
@@ -32,7 +32,7 @@ DECAY = 0.6
 SPAN = 6
 LENGTH = 24
 CODES = 64
-MEMO = 400_000
+MEMO = 250_000
 WORST = 4
 CLEAN_WEIGHT = 3.0
 
@@ -284,9 +284,6 @@ def _worst(model: Model, extra: str):
     return run
 
 
-_memo: dict[int, dict[str, float]] = {}
-
-
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     """`docs` with score (0 to 1): how likely the text is toxic. Null text counts as empty; without a model 0."""
     if model is None:
@@ -295,10 +292,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        if stamp not in _memo:
-            _memo.clear()
-            _memo[stamp] = {}
-        return pd.Series(model.probability(model.documents(texts, _memo[stamp])))
+        return pd.Series(model.probability(model.documents(texts, worker_memo(("toxicity", stamp)))))
 
     return docs.withColumn("score", score(text_of()))
 
