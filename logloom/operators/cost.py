@@ -139,4 +139,4 @@ def entropy(entries: DataFrame, blocks: DataFrame) -> DataFrame:
         + 0.15 * F.least(F.col("orphans") / F.greatest("entries", F.lit(1)), F.lit(1.0)) + 0.10 * F.least("cuts", F.lit(10)) / 10
     )
     level = F.when(score <= 20, "LOW").when(score <= 50, "MEDIUM").when(score <= 75, "HIGH").otherwise("CRITICAL")
-    return rows.select("session", F.round(score, 4).alias("score"), level.alias("level"))
+    return rows.select("session", F.round(score, 9).alias("score"), level.alias("level"))

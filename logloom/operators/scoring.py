@@ -74,7 +74,7 @@ def cadence(m: DataFrame) -> DataFrame:
     tight = ((left >= 0) & (left < 5)) | (F.col("usage_percent") >= 85) | (F.col("compactions") >= 3)
     action = F.when(level == 0, "monitor").when(tight, "export, then cut").when(F.col("biggest") == "tangents", "split").otherwise("quick clean")
     status = F.when(level == 2, "overdue").when(level == 1, "due").otherwise("clean")
-    return m.select("session", F.round(score, 4).alias("score"), status.alias("status"), action.alias("action"))
+    return m.select("session", F.round(score, 9).alias("score"), status.alias("status"), action.alias("action"))
 
 
 def budget_risk(m: DataFrame, limit: float, spent: float) -> DataFrame:

@@ -288,7 +288,7 @@ ORACLE_SQL: dict[str, str] = {
     "top_files": _with("SELECT session, rank, path, writes FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY writes DESC, path) AS rank FROM (SELECT session, path, count(*) AS writes FROM e WHERE tool='Edit' GROUP BY ALL)) WHERE rank<=3"),
     "health": _with("SELECT session, noise_tokens, round(p,4) AS signal_percent, CASE WHEN p>90 THEN 'A' WHEN p>75 THEN 'B' WHEN p>60 THEN 'C' WHEN p>40 THEN 'D' ELSE 'F' END AS grade, biggest FROM hl", _TAGS),
     "entropy": _with(
-        """SELECT session, round(x,4) AS score, CASE WHEN x<=20 THEN 'LOW' WHEN x<=50 THEN 'MEDIUM' WHEN x<=75 THEN 'HIGH' ELSE 'CRITICAL' END AS level FROM (SELECT hl.session, 100*(0.30*(1-round(p,4)/100)+0.25*least(cur/165000.0::DOUBLE,1.0)+0.20*coalesce(d.drift,0)
+        """SELECT session, round(x,9) AS score, CASE WHEN x<=20 THEN 'LOW' WHEN x<=50 THEN 'MEDIUM' WHEN x<=75 THEN 'HIGH' ELSE 'CRITICAL' END AS level FROM (SELECT hl.session, 100*(0.30*(1-round(p,4)/100)+0.25*least(cur/165000.0::DOUBLE,1.0)+0.20*coalesce(d.drift,0)
         +0.15*least(coalesce(o.n,0)/CAST(greatest(entries,1) AS DOUBLE),1.0)+0.10*least(coalesce(k.n,0),10)/10.0) AS x FROM hl
         LEFT JOIN (SELECT session, round(sum(out_scope)/CAST(greatest(sum(in_scope)+sum(out_scope),1) AS DOUBLE),6) AS drift FROM sp GROUP BY session) d ON d.session=hl.session
         LEFT JOIN (SELECT session, count(*) AS n FROM orp GROUP BY session) o ON o.session=hl.session LEFT JOIN (SELECT session, count(*) AS n FROM c GROUP BY session) k ON k.session=hl.session)""",
@@ -383,7 +383,7 @@ ORACLE_SQL: dict[str, str] = {
         _TAGS, _SCOPE, _METRICS,
     ),
     "cadence": _with(
-        """SELECT session, round(x,4) AS score, CASE l WHEN 2 THEN 'overdue' WHEN 1 THEN 'due' ELSE 'clean' END AS status,
+        """SELECT session, round(x,9) AS score, CASE l WHEN 2 THEN 'overdue' WHEN 1 THEN 'due' ELSE 'clean' END AS status,
         CASE WHEN l=0 THEN 'monitor' WHEN (turns_left>=0 AND turns_left<5) OR usage_percent>=85 OR cuts>=3 THEN 'export, then cut' WHEN biggest='tangents' THEN 'split' ELSE 'quick clean' END AS action FROM
         (SELECT *, CASE WHEN since>50 AND noise_tokens>10000 AND l2=0 THEN 1 ELSE l2 END AS l FROM (SELECT *, CASE WHEN turns_left>=0 AND turns_left<10 AND noise_tokens>5000 THEN 2 ELSE l1 END AS l2 FROM
         (SELECT *, CASE WHEN ratio>0.30 THEN 2 WHEN ratio>0.15 THEN greatest(l0,1) ELSE l0 END AS l1 FROM (SELECT *, CASE WHEN x>=70 THEN 2 WHEN x>=40 THEN 1 ELSE 0 END AS l0 FROM
