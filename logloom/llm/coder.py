@@ -26,8 +26,8 @@ from .common import scratch_dir, text_of
 from .tokens import encoder
 
 BLOCK = 2048
-RECORD = 1 << 21
-SLOTS = 2048
+RECORD = 1 << 22
+SLOTS = 1024
 TOTAL = 1 << 18
 END_ID = 1
 
@@ -39,45 +39,47 @@ class _Model:
     """The predictions and adaptive distributions of n blocks in step."""
 
     def __init__(self, n: int):
-        self.lane = np.arange(n)
+        lane = np.arange(n, dtype=np.int32)
         self.one, self.two = np.zeros(n * SLOTS, np.int32), np.zeros(n * SLOTS, np.int32)  # id * 4 + confidence
-        self.a, self.b = np.full((n * 4, 4), 1 << 14, np.int64), np.full((n * 8, 4), 1 << 14, np.int64)
-        self.lean = np.full(n, 8, np.int64)
-        self.major, self.votes = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.base = self.lane * SLOTS
+        self.a, self.b = np.full((n * 4, 4), 1 << 14, np.int32), np.full((n * 8, 4), 1 << 14, np.int32)
+        self.lean = np.full((n, 1), 8, np.int32)
+        self.major, self.votes = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.last, self.before = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.base, self.quad, self.octet = lane * SLOTS, lane * 4, lane * 8
 
     def predict(self) -> np.ndarray:
         """Frequencies of the four outcomes: none, order 1, order 2, order 0 right."""
         self.i1 = self.base + ((self.last * 40503 >> 4) & (SLOTS - 1))
-        self.i2 = self.base + (((self.last * 31337 + self.before * 7919) >> 3) & (SLOTS - 1))
-        e1, e2 = self.one[self.i1], self.two[self.i2]
+        self.i2 = self.base + ((self.last * 31337 + self.before * 7919 >> 3) & (SLOTS - 1))
+        e1, e2 = self.one.take(self.i1), self.two.take(self.i2)
         self.p1, self.k1, self.p2, self.k2 = e1 >> 2, e1 & 3, e2 >> 2, e2 & 3
-        self.ia = self.lane * 4 + self.k2
-        self.ib = self.lane * 8 + self.k1 * 2 + (self.p1 == self.p2)
-        self.fa, self.fb = self.a[self.ia], self.b[self.ib]
-        return ((self.fa * self.lean[:, None] + self.fb * (16 - self.lean)[:, None]) >> 4) + 32
+        self.ia = self.quad + self.k2
+        self.ib = self.octet + self.k1 * 2 + (self.p1 == self.p2)
+        self.fa, self.fb = self.a.take(self.ia, axis=0), self.b.take(self.ib, axis=0)
+        return (self.fb + ((self.fa - self.fb) * self.lean >> 4)) + 32
 
     def outcome(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids == self.p2, 2, np.where(ids == self.p1, 1, np.where(ids == self.major, 3, 0)))
+        return np.where(ids == self.p2, 2, np.where(ids == self.p1, 1, np.where(ids == self.major, 3, 0))).astype(np.int32)
 
     def decoded(self, outcome: np.ndarray, escaped: np.ndarray) -> np.ndarray:
-        return np.choose(outcome, [escaped, self.p1, self.p2, self.major])
+        return np.where(outcome == 0, escaped, np.where(outcome == 1, self.p1, np.where(outcome == 2, self.p2, self.major)))
 
     def update(self, ids: np.ndarray, outcome: np.ndarray) -> None:
-        qa, qb = self.fa[self.lane, outcome], self.fb[self.lane, outcome]
-        self.lean = np.clip(self.lean + np.sign(qa - qb), 1, 15)
-        for table, i, f, rate in ((self.a, self.ia, self.fa, 5), (self.b, self.ib, self.fb, 5)):
-            f -= f >> rate
-            f[self.lane, outcome] += 1 << (16 - rate)
+        at = self.quad + outcome
+        qa, qb = self.fa.ravel().take(at), self.fb.ravel().take(at)
+        lean = self.lean[:, 0] + (qa > qb) - (qa < qb)
+        self.lean[:, 0] = np.minimum(np.maximum(lean, 1), 15)
+        for table, i, f in ((self.a, self.ia, self.fa), (self.b, self.ib, self.fb)):
+            f -= f >> 5
+            f.ravel()[at] += 1 << 11
             table[i] = f
         for table, i, p, k in ((self.one, self.i1, self.p1, self.k1), (self.two, self.i2, self.p2, self.k2)):
             hit = ids == p
-            keep = hit | (k > 0)
-            table[i] = np.where(keep, p * 4 + np.where(hit, np.minimum(k + 1, 3), k - 1), ids * 4 + 0)
+            more = np.where(hit, np.minimum(k + 1, 3), k - 1)
+            table[i] = np.where(more >= 0, p * 4 + more, ids * 4)
         same, free = ids == self.major, self.votes == 0
-        self.major = np.where(~same & free, ids, self.major)
-        self.votes += np.where(same | free, 1, -1)
+        self.major = np.where(free, ids, self.major)
+        self.votes += np.where(same | free, 1, -1).astype(np.int32)
         self.before, self.last = self.last, ids
 
 
@@ -89,22 +91,28 @@ class _Writer:
         self.out, self.at = np.zeros((n, room), "<u2"), np.zeros(n, np.int64)
 
     def put(self, below: np.ndarray, width: np.ndarray, total: np.ndarray) -> None:
+        """Narrows each coder to its part, and moves out the words that are settled."""
         part = self.range // total
-        self.low = self.low + part * below
+        self.low += part * below
         self.range = part * width
-        while (moved := self._settled()).any():
-            i = np.flatnonzero(moved)
-            self.out[i, self.at[i]] = self.low[i] >> np.uint64(48)
-            self.at[i] += 1
-            self.low[i] <<= _WORD
-            self.range[i] <<= _WORD
-
-    def _settled(self) -> np.ndarray:
-        near = (self.low ^ (self.low + self.range)) < _TOP
-        short = ~near & (self.range < _LOW)
-        if short.any():
-            self.range = np.where(short, (~self.low + np.uint64(1)) & (_LOW - np.uint64(1)), self.range)
-        return near | short
+        i = self._settled(self.low, self.range)
+        while len(i):
+            low, wide = self.low[i], self.range[i]
+            short = ((low ^ (low + wide)) >= _TOP) & (wide < _LOW)
+            wide = np.where(short, (~low + np.uint64(1)) & (_LOW - np.uint64(1)), wide)
+            self._move(i, low)
+            low, wide = low << _WORD, wide << _WORD
+            self.low[i], self.range[i] = low, wide
+            i = i[self._settled(low, wide)]
+
+    @staticmethod
+    def _settled(low: np.ndarray, wide: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(((low ^ (low + wide)) < _TOP) | (wide < _LOW))
+
+    def _move(self, i: np.ndarray, low: np.ndarray) -> None:
+        at = self.at[i]
+        self.out[i, at] = low >> np.uint64(48)
+        self.at[i] = at + 1
 
     def close(self) -> list[bytes]:
         for shift in (48, 32, 16, 0):
@@ -134,15 +142,8 @@ class _Reader(_Writer):
     def slot(self, total: np.ndarray) -> np.ndarray:
         return np.minimum((self.code - self.low) // (self.range // total), total - np.uint64(1))
 
-    def put(self, below: np.ndarray, width: np.ndarray, total: np.ndarray) -> None:
-        part = self.range // total
-        self.low = self.low + part * below
-        self.range = part * width
-        while (moved := self._settled()).any():
-            i = np.flatnonzero(moved)
-            self._take(i)
-            self.low[i] <<= _WORD
-            self.range[i] <<= _WORD
+    def _move(self, i: np.ndarray, low: np.ndarray) -> None:
+        self._take(i)
 
 
 def _scaled(counts: np.ndarray) -> np.ndarray:
@@ -177,17 +178,18 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[list[bytes], list[int],
     scaled = _scaled(np.bincount(grid, minlength=1 << 16))
     below = (np.cumsum(scaled) - scaled).astype(np.uint64)
     width = scaled.astype(np.uint64)
-    grid = np.ascontiguousarray(grid.reshape(n, steps).T)
+    grid = np.ascontiguousarray(grid.reshape(n, steps).T.astype(np.int32))
     model, writer = _Model(n), _Writer(n, 3 * steps + 16)
-    total, lane = np.uint64(TOTAL), np.arange(n)
+    total, quad, none = np.full(n, TOTAL, np.uint64), np.arange(n) * 4, np.uint64(0)
     for row in grid:
         freq = model.predict()
         outcome = model.outcome(row)
-        cum = np.cumsum(freq, axis=1).astype(np.uint64)
-        f = freq[lane, outcome].astype(np.uint64)
-        writer.put(cum[lane, outcome] - f, f, cum[:, 3])
+        cum = np.cumsum(freq, axis=1, dtype=np.int32)
+        at = quad + outcome
+        f = freq.ravel().take(at)
+        writer.put((cum.ravel().take(at) - f).astype(np.uint64), f.astype(np.uint64), cum[:, 3].astype(np.uint64))
         free = outcome == 0
-        writer.put(np.where(free, below[row], np.uint64(0)), np.where(free, width[row], total), np.full(n, total))
+        writer.put(np.where(free, below.take(row), none), np.where(free, width.take(row), total), total)
         model.update(row, outcome)
     raw = np.asarray(ids, "<u2").tobytes()
     crcs = [zlib.crc32(raw[2 * steps * i : 2 * steps * (i + 1)]) for i in range(n)]
@@ -201,22 +203,23 @@ def decode(blocks: list[bytes], crcs: list[int], table: bytes, count: int, block
     steps, n = min(block, count), len(blocks)
     scaled = _counts(table)
     below, width = (np.cumsum(scaled) - scaled).astype(np.uint64), scaled.astype(np.uint64)
-    of_slot = np.repeat(np.arange(1 << 16), scaled)
+    of_slot = np.repeat(np.arange(1 << 16, dtype=np.int32), scaled)
     model, reader = _Model(n), _Reader(blocks)
     reader.at = np.full(n, 4)
-    total, lane = np.full(n, TOTAL, np.uint64), np.arange(n)
+    total, quad, none = np.full(n, TOTAL, np.uint64), np.arange(n) * 4, np.uint64(0)
     out = np.zeros((steps, n), "<u2")
     for t in range(steps):
         freq = model.predict()
-        cum = np.cumsum(freq, axis=1).astype(np.uint64)
-        slot = reader.slot(cum[:, 3])
-        outcome = (slot[:, None] >= cum[:, :3]).sum(axis=1)
-        f = freq[lane, outcome].astype(np.uint64)
-        reader.put(cum[lane, outcome] - f, f, cum[:, 3])
+        cum = np.cumsum(freq, axis=1, dtype=np.int32)
+        every = cum[:, 3].astype(np.uint64)
+        slot = reader.slot(every).astype(np.int32)
+        outcome = (slot >= cum[:, 0]).astype(np.int32) + (slot >= cum[:, 1]) + (slot >= cum[:, 2])
+        at = quad + outcome
+        f = freq.ravel().take(at)
+        reader.put((cum.ravel().take(at) - f).astype(np.uint64), f.astype(np.uint64), every)
         free = outcome == 0
-        found = of_slot[reader.slot(total).astype(np.int64)]
-        row = model.decoded(outcome, found)
-        reader.put(np.where(free, below[row], np.uint64(0)), np.where(free, width[row], total), total)
+        row = model.decoded(outcome, of_slot.take(reader.slot(total).astype(np.int64)))
+        reader.put(np.where(free, below.take(row), none), np.where(free, width.take(row), total), total)
         model.update(row, outcome)
         out[t] = row
     ids = out.T.reshape(-1)[:count]
