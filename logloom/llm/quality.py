@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-SAMPLE = 6000
+SAMPLE = 4000
 FEATURES = 1 << 15
 ROUNDS = 100
 EPOCHS = 12
@@ -134,9 +134,11 @@ def scored(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     patterns = np.array([r["v"] for r in counted])
     post, _, _ = expectation_maximisation(patterns, np.array([r["n"] for r in counted], float))
     label = {tuple(map(int, p)): float(x) for p, x in zip(patterns, post, strict=True)}
-    # At most `sample` texts are fitted on.
-    picked = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).orderBy("h", F.length("text")).limit(sample).toPandas()
-    texts = picked["text"].tolist()
+    # At most `sample` texts, by hash, are fitted on; hashes are picked first, so no more texts are moved.
+    hashed = docs.select(F.xxhash64(text).alias("h"), text.alias("text"))
+    last = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    picked = hashed.filter(F.col("h") <= last).groupBy("h").agg(F.min("text").alias("text"))
+    texts = picked.select("text").toPandas().sort_values("text", kind="stable")["text"].tolist()
     weights, bias = fit(texts, np.array([label[tuple(labellers(t))] for t in texts]))
     weights = weights.astype(np.float32)
 
