@@ -238,19 +238,32 @@ def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3, block: i
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, distance: int = 3) -> DataFrame:
-    """`docs` without the near-duplicates: of each component the row with the smallest doc_id stays.
+def with_text_hash(docs: DataFrame) -> DataFrame:
+    """`docs` with a 128-bit hash of the text in two columns, _h1 and _h2; null text counts as empty."""
+    return docs.withColumn("_h1", F.xxhash64(text_of())).withColumn("_h2", F.xxhash64(text_of(), F.lit(7)))
+
 
-    Rows with one doc_id count as copies of each other: one of them stays.
+def survivors(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """One row of `docs` for each root of `rooted` (doc_id, _h1, _h2, root; a row for each of `docs`).
+
+    The row with the smallest doc_id stays, nulls last, then the one with the smallest hash of its text.
+    Rows are told apart by doc_id and text, so null and repeated ids take no other text along.
     """
-    groups = near_duplicates(docs, distance)
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_rows"))
-    keep = written(keep, "keep")
+    same = rooted.groupBy("root", "doc_id", "_h1", "_h2").agg(F.count("*").alias("_rows"))
+    least = same.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_h1", "_h2", "_rows")).alias("r"))
+    keep = written(least.select(F.col("r.doc_id").alias("_keep"), F.col("r._h1").alias("_k1"), F.col("r._h2").alias("_k2"), "r._rows"), "keep")
+    hashed = with_text_hash(docs)
+    of_row = F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2"))
+    once = hashed.join(keep.filter("_rows = 1"), of_row, "left_semi")
+    more = hashed.join(keep.filter("_rows > 1"), of_row, "left_semi").dropDuplicates(["doc_id", "_h1", "_h2"])
+    return once.unionByName(more).select(*docs.columns)
 
-    def rows_of(which: DataFrame) -> DataFrame:
-        return docs.join(which.select("_keep"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
 
-    return rows_of(keep.filter("_rows = 1")).unionByName(rows_of(keep.filter("_rows > 1")).dropDuplicates(["doc_id"]))
+def one_of_each(docs: DataFrame, distance: int = 3) -> DataFrame:
+    """`docs` without the near-duplicates: of each component of fingerprints one row stays (see `survivors`)."""
+    marked = written(with_fingerprints(with_text_hash(docs.select("doc_id", "text"))).select("doc_id", "_h1", "_h2", "fp"), "fingerprints")
+    roots = components(links(marked, distance)).withColumnRenamed("node", "fp")
+    return survivors(docs, marked.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -64,3 +64,13 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7), (None, 3)], "a long, b long")
     got = {r.node: r.root for r in graph.components(edges).collect()}
     assert all(got[i] == 0 for i in range(201)) and got[501] == 500 and len(got) == 203
+
+
+def test_one_of_each_under_null_and_repeated_ids(spark):
+    r = random.Random(5)
+    a, b, c, d, e = (" ".join(f"{x}{r.randrange(999)}" for _ in range(40)) for x in "abcde")
+    rows = [(None, a), (None, b), (None, b), (None, c), (7, c), (3, d), (3, e), (2, e), (9, a + "")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, source string")
+    out = simhash.one_of_each(df)
+    assert out.columns == df.columns
+    assert sorted((str(x.doc_id), x.text) for x in out.collect()) == sorted([("9", a), ("None", b), ("7", c), ("3", d), ("2", e)])
