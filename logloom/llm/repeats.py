@@ -252,7 +252,8 @@ def _hot_windows(length: int):
 def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(k1, k2, begin, end): byte spans of the texts `keyed` (k1, k2, text) that repeated strings cover.
 
-    Spans may overlap. Copies of a text share their key, and each counts as an occurrence.
+    Spans may overlap, and none comes twice. Copies of a text share their key, and each counts as an occurrence;
+    the bytes of one of them are compared.
     """
     rows = keyed.filter(F.octet_length("text") >= length)
     anchors = rows.mapInPandas(_anchor_rows(length, gram), "anchor long, context long, k1 long, k2 long, p int, lo int, hi int")
@@ -277,7 +278,9 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
         .groupBy("k1", "k2")
         .agg(F.collect_list(F.struct("anchor", "n", "p", "lo", "hi")).alias("found"))
     )
-    bytes_of = keyed.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "found").mapInPandas(_contexts(length, hot), _CONTEXT_TYPE)
+    wanted = written(wanted, "wanted")
+    one = keyed.join(wanted.select("k1", "k2"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    bytes_of = one.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "found").mapInPandas(_contexts(length, hot), _CONTEXT_TYPE)
     bytes_of = written(bytes_of, "bytes")
     usual = bytes_of.filter("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor", "right")
     spans = usual.mapInPandas(_induced(length), "k1 long, k2 long, begin int, end int")

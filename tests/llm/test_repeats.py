@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 from collections import defaultdict
 
 from logloom.llm import repeats
@@ -65,3 +66,14 @@ def test_text_goes_and_empty_table(spark):
     assert got[1].text == "A tail of its own" and got[2].text == "Head. " and got[3].text is None
     assert 4 not in got and got[1].n_chars == 17
     assert repeats.report(df.limit(0)).count() == 0
+
+
+def test_copies_of_a_text_give_its_spans_once(spark):
+    r = random.Random(8)
+    passage, *rest = ("".join(r.choice("abcdefgh ") for _ in range(160)) for _ in range(60))
+    texts = [x + passage + x[::-1] for x in rest] + [rest[0] + passage + rest[0][::-1]] * 3000
+    keyed = spark.createDataFrame([(zlib.crc32(t.encode()), len(t), t) for t in texts], "k1 long, k2 long, text string")
+    found = repeats.repeated_spans(keyed, 50, 16)
+    rows = found.collect()
+    assert len(rows) == len(set(rows)) < 2000
+    compare(spark, texts[:60] + texts[-200:], 50, 16)
