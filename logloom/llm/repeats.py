@@ -13,6 +13,8 @@ hundred and forty is an anchor. So
    left two windows are equal if their suffixes share length - o bytes (prefix values at the right) and
    their o bytes before the anchor are the same (prefix values of the reversed left contexts).
 
+Passages of some number of words are found in the same way, where each word counts as CODE bytes, its hash.
+
 The comparison at 2 and 3 is on bytes. An anchor that more than HOT places share is not sorted in one task:
 its windows are counted as (anchor, 64-bit window hash) rows by partial aggregation.
 """
@@ -20,10 +22,12 @@ its windows are counted as (anchor, 64-bit window hash) rows by partial aggregat
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +38,8 @@ GRAM = 128
 HOT = 4096  # contexts of one anchor, of some 600 bytes each, that a task sorts at once
 CHUNK = 1 << 20
 BATCH = 4096
+CODE = 8  # bytes that stand for a word
+SPAN, WORDS, COPY = range(3)  # what begin and end of a span are: bytes, bytes of codes, or all bytes of a copied text
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -111,12 +117,29 @@ def anchors_of(data: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _anchor_rows(length: int, gram: int):
+def _utf8(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+def _word_codes(text: str) -> bytes:
+    """CODE bytes for each word between white space, lower-cased."""
+    return b"".join([xxhash.xxh64_digest(_utf8(w)) for w in text.lower().split()])
+
+
+def _word_places(text: str, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte spans from the first to the last of the whole words in spans of codes."""
+    places = np.array([m.span() for m in re.finditer(r"\S+", text)], np.int64)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.append(0, np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)))
+    return at[places[-(-begin // CODE), 0]], at[places[end // CODE - 1, 1]]
+
+
+def _anchor_rows(length: int, gram: int, data_of: Callable[[str], bytes]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             k1, k2, found = [], [], []
             for a, b, text in zip(batch["k1"], batch["k2"], batch["text"], strict=True):
-                data = text.encode("utf-8", "surrogatepass")
+                data = data_of(text)
                 if len(data) >= length:
                     found.append(rows := anchors_of(data, length, gram))
                     k1.append(np.full(len(rows[0]), a))
@@ -128,14 +151,14 @@ def _anchor_rows(length: int, gram: int):
     return run
 
 
-def _contexts(length: int, hot: int):
+def _contexts(length: int, hot: int, data_of: Callable[[str], bytes]):
     """Over texts with their repeated anchors: the bytes that the anchors' windows cover."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for k1, k2, text, found in zip(batch["k1"], batch["k2"], batch["text"], batch["found"], strict=True):
-                data = text.encode("utf-8", "surrogatepass")
+                data = data_of(text)
                 for x in found:
                     lo, hi, p = x["lo"], x["hi"], x["p"]
                     out.append((x["anchor"], x["n"] > hot, data[p : hi + length], data[lo:p][::-1], k1, k2, p, lo, hi))
@@ -249,14 +272,17 @@ def _hot_windows(length: int):
     return run
 
 
-def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, words: bool = False) -> DataFrame:
     """(k1, k2, begin, end): byte spans of the texts `keyed` (k1, k2, text) that repeated strings cover.
 
+    With `words`, length, gram and spans are in bytes of the texts' word codes.
+
     Spans may overlap, and none comes twice. Copies of a text share their key, and each counts as an occurrence;
     the bytes of one of them are compared.
     """
-    rows = keyed.filter(F.octet_length("text") >= length)
-    anchors = rows.mapInPandas(_anchor_rows(length, gram), "anchor long, context long, k1 long, k2 long, p int, lo int, hi int")
+    data_of = _word_codes if words else _utf8
+    rows = keyed.filter(F.octet_length("text") >= (2 * length // CODE - 1 if words else length))
+    anchors = rows.mapInPandas(_anchor_rows(length, gram, data_of), "anchor long, context long, k1 long, k2 long, p int, lo int, hi int")
     anchors = written(anchors, "anchors")
     counts = anchors.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("context") == F.max("context")).alias("same")).filter("n > 1")
     counts = written(counts, "counts")
@@ -280,7 +306,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     )
     wanted = written(wanted, "wanted")
     one = keyed.join(wanted.select("k1", "k2"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
-    bytes_of = one.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "found").mapInPandas(_contexts(length, hot), _CONTEXT_TYPE)
+    bytes_of = one.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "found").mapInPandas(_contexts(length, hot, data_of), _CONTEXT_TYPE)
     bytes_of = written(bytes_of, "bytes")
     usual = bytes_of.filter("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor", "right")
     spans = usual.mapInPandas(_induced(length), "k1 long, k2 long, begin int, end int")
@@ -294,15 +320,26 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
 _KEPT = "struct<n_bytes:long,n_removed:long,n_spans:long,kept_sha256:string,kept:string>"
 
 
-def _kept(with_text: bool):
+def _kept(with_text: bool, length: int, words: int | None):
+    def places(text: str, n: int, begin: np.ndarray, end: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Spans in bytes of the text; copies that are neither long enough in bytes nor in words stay."""
+        if n < length and (kind == COPY).any() and len(text.split()) < words:
+            begin, end, kind = (x[kind != COPY] for x in (begin, end, kind))
+        coded = kind == WORDS
+        if coded.any():
+            begin, end = begin.copy(), end.copy()
+            begin[coded], end[coded] = _word_places(text, begin[coded], end[coded])
+        return begin, end
+
     @F.pandas_udf(_KEPT)
-    def kept(texts: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.DataFrame:
+    def kept(texts: pd.Series, begins: pd.Series, ends: pd.Series, kinds: pd.Series) -> pd.DataFrame:
         out = []
-        for text, b, e in zip(texts, begins, ends, strict=True):
-            data = text.encode("utf-8", "surrogatepass")
+        for text, b, e, k in zip(texts, begins, ends, kinds, strict=True):
+            data = _utf8(text)
             parts, at, spans, removed = [], 0, 0, 0
             if b is not None and len(b):
-                begin, end = np.asarray(b), np.asarray(e)
+                begin, end = places(text, len(data), *(np.asarray(x) for x in (b, e, k)))
+            if b is not None and len(b) and len(begin):
                 by = np.argsort(begin, kind="stable")
                 begin, reach = begin[by], np.maximum.accumulate(end[by])
                 first = np.flatnonzero(np.append(True, begin[1:] > reach[:-1]))
@@ -317,26 +354,32 @@ def _kept(with_text: bool):
     return kept
 
 
-def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = True, hot: int = HOT) -> DataFrame:
+def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = True, hot: int = HOT, words: int | None = None) -> DataFrame:
     """`docs` with a struct column `cut`: n_bytes, n_removed, n_spans, kept_sha256, kept.
 
     Each byte that a string of `length` bytes covers which starts anywhere else too is removed, judged on
     the input; strings do not cross rows. Null text counts as empty; repeated rows are copies of each
     other; texts shorter than `length` stay whole; `kept` leaves out bytes of characters cut in two.
+
+    With `words`, so do passages of that many words that start anywhere else too, however short they are;
+    case and the white space between words make no difference there.
     """
     keyed = docs.withColumn("_text", text_of()).withColumn("_k1", F.xxhash64("_text")).withColumn("_k2", F.xxhash64("_text", F.lit(7)))
     keys = keyed.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), F.col("_text").alias("text"))
     copies = (
-        keys.filter(F.octet_length("text") >= length)
+        keys.filter(F.octet_length("text") >= (length if words is None else min(length, 2 * words - 1)))
         .groupBy("k1", "k2")
         .agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("end"))
         .filter("n > 1")
-        .select("k1", "k2", F.lit(0).alias("begin"), "end")
+        .select("k1", "k2", F.lit(0).alias("begin"), "end", F.lit(COPY).alias("kind"))
     )
-    spans = repeated_spans(keys, length, gram, hot).union(copies)
-    marked = spans.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.collect_list(F.struct("begin", "end")).alias("_spans"))
+    spans = repeated_spans(keys, length, gram, hot).withColumn("kind", F.lit(SPAN)).union(copies)
+    if words is not None:
+        width = CODE * words
+        spans = spans.union(repeated_spans(keys, width, min(GRAM, width // 3), hot, True).withColumn("kind", F.lit(WORDS)))
+    marked = spans.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.collect_list(F.struct("begin", "end", "kind")).alias("_spans"))
     joined = keyed.join(marked, ["_k1", "_k2"], "left")
-    cut = _kept(with_text)(F.col("_text"), F.col("_spans.begin"), F.col("_spans.end"))
+    cut = _kept(with_text, length, words)(F.col("_text"), F.col("_spans.begin"), F.col("_spans.end"), F.col("_spans.kind"))
     return joined.select(*docs.columns, cut.alias("cut"))
 
 
@@ -346,12 +389,13 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", "cut.kept_sha256")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, words: int | None = None) -> DataFrame:
     """`docs` with the repeated passages taken out of their text; documents left empty by it go.
 
+    Passages are of LENGTH bytes or, where it is given, of `words` words, which may be fewer bytes.
     n_chars, where there is such a column, follows the text.
     """
-    found = cleaned(docs.withColumn("_before", F.octet_length(text_of()) > 0))
+    found = cleaned(docs.withColumn("_before", F.octet_length(text_of()) > 0), words=words)
     kept = found.filter("not _before or cut.kept != ''").withColumn("text", F.when(F.col("cut.n_removed") > 0, F.col("cut.kept")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("cut.n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))

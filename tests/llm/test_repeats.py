@@ -77,3 +77,29 @@ def test_copies_of_a_text_give_its_spans_once(spark):
     rows = found.collect()
     assert len(rows) == len(set(rows)) < 2000
     compare(spark, texts[:60] + texts[-200:], 50, 16)
+
+
+def test_passages_of_short_words_go(spark):
+    """51 words of 101 to 250 bytes go, 50 words stay; words count lower-cased, between any white space."""
+    r = random.Random(11)
+
+    def short(n):
+        return [r.choice("abcdefghé") + r.choice(["", "x", "yz"]) for _ in range(n)]
+
+    rows, want = [], {}
+    for g in range(12):
+        n = 51 if g % 2 else 50
+        passage = short(n) if g > 1 else [r.choice("abcdefgh") for _ in range(n)]
+        for k in range(3):
+            head, tail = ([f"{c}É{len(rows)}_{i}" for i in range(9)] for c in "ht")
+            middle = "\n ".join(passage).upper() if k == 1 else " ".join(passage)
+            text = f"{' '.join(head)} {middle} {' '.join(tail)}"
+            want[len(rows)] = f"{' '.join(head)}  {' '.join(tail)}" if n == 51 else text
+            rows.append((len(rows), text))
+    for text in (" ".join(short(51)), " ".join(short(50))):
+        for _ in range(2):
+            want[len(rows)] = text if len(text.split()) < 51 else None
+            rows.append((len(rows), text))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.text for x in repeats.without_repeats(df, words=51).collect()}
+    assert [got.get(i) for i in want] == list(want.values())
