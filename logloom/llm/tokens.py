@@ -1,8 +1,8 @@
 """Token ids by a public tokenizer, each distinct word encoded once by a worker.
 
 Both vocabularies break a text at a space or line feed after a character that is no white space, so the ids
-of a text are the ids of its words in a row. A text with other white space, or with spaces in a row, is
-encoded whole.
+of a text are the ids of its words in a row. A text with other white space, with spaces in a row or with the
+string of an added token, such as <|endoftext|>, is encoded whole.
 """
 
 from __future__ import annotations
@@ -25,18 +25,23 @@ def _is_odd(text: str) -> bool:
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 16-bit ids; `spaced` if a word's ids take in the space before it."""
+    """Encodes texts to little-endian unsigned 16-bit ids; `spaced` if a word's ids take in the space before it.
 
-    def __init__(self, path: str, spaced: bool):
+    With `plain` the string of an added token is text like any other, else it is that token, as the library has it.
+    """
+
+    def __init__(self, path: str, spaced: bool, plain: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        self.added = [] if plain else [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.heads = {t[0] for t in self.added} | {t[0].upper() for t in self.added}
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError("ids must fit 16 bits")
         self.spaced = spaced
-        self.owner = ("tokens", path, spaced)
+        self.owner = ("tokens", path, spaced, plain)
         self.memo: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
@@ -60,6 +65,9 @@ class Encoder:
         for w in ended:
             memo[w] = memo[w[:-1]] + marks[w[-1]]
 
+    def _has_added(self, text: str) -> bool:
+        return any(c in text for c in self.heads) and any(t in text.lower() for t in self.added)
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
@@ -71,7 +79,7 @@ class Encoder:
         self.memo = worker_memo(self.owner)
         for at in range(0, len(texts), 64):
             part = texts[at : at + 64]
-            split = [None if _is_odd(t) else (t if self.spaced else t.replace("\n", " ")).split(" ") for t in part]
+            split = [None if _is_odd(t) or self._has_added(t) else (t if self.spaced else t.replace("\n", " ")).split(" ") for t in part]
             if len(self.memo) > MEMO:
                 self.memo.clear()
             memo = self.memo
@@ -93,7 +101,7 @@ _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def encoder(path: str, spaced: bool) -> Encoder:
-    """This worker's encoder for a vocabulary file."""
+    """This worker's encoder for a vocabulary file, with the library's defaults."""
     if (path, spaced) not in _encoders:
-        _encoders[path, spaced] = Encoder(path, spaced)
+        _encoders[path, spaced] = Encoder(path, spaced, plain=False)
     return _encoders[path, spaced]

@@ -73,3 +73,20 @@ def test_report(spark):
             at += n
         assert at <= 1024
     assert packing.report(df.limit(0), path).count() == 0
+
+
+def test_added_tokens_in_a_text_are_those_of_the_library(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["end <|endoftext|> more", "<|startoftext|>a b<|endoftext|>", "<|ENDOFTEXT|> x", "a <| b", "plain text", "x<|endoftext|>\ny"]
+    for name, spaced in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        path = public_tokenizers.path(name)
+        t = Tokenizer.from_file(path)
+        want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u2").tobytes() for x in texts]
+        assert tokens.encoder(path, spaced).encode(texts) == want
+        assert any(len(w) == 2 * 3 for w in want) or spaced
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in packing.report(df, path).collect()}
+    for i, x in enumerate(texts):
+        ids = np.array(t.encode(x, add_special_tokens=False).ids + [2], "<u4")
+        assert (got[i].length, got[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
