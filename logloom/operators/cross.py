@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import noise
@@ -99,18 +99,52 @@ def productivity(sessions: DataFrame, commits: DataFrame, minutes: int = 30) ->
     return per.select("project", "sessions", "commits", F.round("d", 4).alias("dollars"), F.round(F.when(F.col("commits") > 0, F.col("d") / F.col("commits")), 6).alias("per_commit"), "hours")
 
 
+def _folders(path: Column) -> Column:
+    """A path and every folder above it, as an array."""
+    parts = F.split(path, "/")
+    return F.filter(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")), lambda x: x != "")
+
+
+def _scope(path: Column) -> Column:
+    """The parent folder of a path; the path itself where that is the root or nothing."""
+    folder = F.regexp_replace(path, r"/[^/]*$", "")
+    return F.when(folder.isin("", "."), path).otherwise(folder)
+
+
 def decision_conflicts(points: DataFrame, touches: DataFrame) -> DataFrame:
-    """point_session, session, scope, severity: later sessions that touch the folder of an earlier decision.
+    """point_session, session, scope, severity: later sessions that work where an earlier session has decided.
+
+    points: session, ts, path (a file of the decision), and perhaps constrained; touches: session, ts, path, and
+    perhaps deleted. Scopes are parent folders and hold all paths below them: ancestors are exploded, so the prefix
+    test is an equality.
 
-    points: session, ts, path (a file of the decision); touches: session, ts, path. Scopes are parent folders, so
-    the prefix test is an equality on each path's folder. A session that decided on the scope itself is left out.
+    - warning: a path in the scope is touched, and no scope of the session's own decisions is, holds or lies in it
+    - info: a path in the scope of a constrained decision is touched
+    - alert: a file of the decision is deleted; `scope` is that file
     """
-    folder = lambda c: F.regexp_replace(c, r"/[^/]*$", "")
-    decided = points.select(F.col("session").alias("point_session"), F.col("ts").alias("at"), folder("path").alias("scope")).groupBy("point_session", "scope").agg(F.min("at").alias("at"))
-    first = touches.select("session", folder("path").alias("scope"), "ts").groupBy("session", "scope").agg(F.min("ts").alias("first"))
-    own = points.select("session", folder("path").alias("scope")).distinct()
+    constrained = F.col("constrained") if "constrained" in points.columns else F.lit(False)
+    decided = points.select(F.col("session").alias("point_session"), "ts", _scope(F.col("path")).alias("scope"), F.when(constrained, F.col("ts")).alias("ts_c"))
+    decided = decided.groupBy("point_session", "scope").agg(F.min("ts").alias("at"), F.min("ts_c").alias("at_c"))
+    first = touches.groupBy("session", "path").agg(F.min("ts").alias("ts")).select("session", F.explode(_folders(F.col("path"))).alias("scope"), "ts")
+    first = first.groupBy("session", "scope").agg(F.min("ts").alias("first"))
     later = decided.join(first, "scope").filter((F.col("session") != F.col("point_session")) & (F.col("first") > F.col("at")))
-    return later.join(own, ["session", "scope"], "left_anti").select("point_session", "session", "scope", F.lit("warning").alias("severity"))
+
+    own = points.select("session", _scope(F.col("path")).alias("own")).distinct()
+    within = own.select("session", F.explode(_folders(F.col("own"))).alias("scope"))
+    above = later.select("session", "scope").distinct().withColumn("own", F.explode(_folders(F.col("scope")))).join(own, ["session", "own"], "left_semi")
+    known = within.union(above.select("session", "scope")).distinct()
+
+    def found(rows: DataFrame, severity: str) -> DataFrame:
+        return rows.select("point_session", "session", "scope", F.lit(severity).alias("severity"))
+
+    out = found(later.join(known, ["session", "scope"], "left_anti"), "warning")
+    if "constrained" in points.columns:
+        out = out.union(found(later.filter("first > at_c"), "info"))
+    if "deleted" in touches.columns:
+        files = points.groupBy(F.col("session").alias("point_session"), F.col("path").alias("scope")).agg(F.min("ts").alias("at"))
+        gone = touches.filter("deleted").groupBy("session", F.col("path").alias("scope")).agg(F.min("ts").alias("first"))
+        out = out.union(found(files.join(gone, "scope").filter("session != point_session and first > at"), "alert"))
+    return out
 
 
 def continuity_index(blocks: DataFrame) -> DataFrame:
