@@ -4,11 +4,12 @@ A block predicts each id three times: the id last seen after the two ids before
 before (order 1), and the block's majority id (order 0). Which of them is right, or none, is one of four
 outcomes, coded with a mix of two adaptive distributions: one by order-2 confidence, one by order-1
 confidence and agreement. The mix leans to the one that did better. An id that no prediction gives is coded
-from the record's id counts. Blocks start from nothing, so each is decoded alone with its record's counts,
-and all blocks of a record are coded in step as vectors. All arithmetic is on integers.
+by the block's adaptive order-0 frequencies of its first two hex digits, then its last two digits as they are.
+A block starts from nothing and needs nothing but itself; all blocks of a record are coded in step as
+vectors. All arithmetic is on integers, and four frequencies of 16 bits share a 64-bit word.
 
 A file row (record) holds whole documents in ascending doc_id order: doc ids, their lengths, coded blocks with
-their CRC-32, the id counts, and how many ids its part holds before it.
+their CRC-32, and how many ids its part holds before it.
 """
 
 from __future__ import annotations
@@ -25,58 +26,116 @@ from pyspark.sql import functions as F
 from .common import scratch_dir, text_of
 from .tokens import encoder
 
-BLOCK = 2048
-RECORD = 1 << 22
-SLOTS = 1024
-TOTAL = 1 << 18
+BLOCK = 1024
+RECORD = 1 << 23
+SLOTS = 256
 END_ID = 1
 
-_TOP, _LOW = np.uint64(1 << 48), np.uint64(1 << 32)
-_WORD = np.uint64(16)
+
+def _fields(values: list[int]) -> int:
+    """Four 16-bit numbers in a word, the first lowest."""
+    return sum(v << 16 * i for i, v in enumerate(values))
+
+
+_TOP, _LOW = np.uint64(1 << 48), np.uint64(1 << 42)
+_U = [np.uint64(x) for x in range(65)]
+_SHIFT = np.array([0, 16], np.uint64)
+_MASK = np.uint64(0xFFFF)
+
+# Cumulative frequencies of the outcomes none, order 1, order 2, order 0: of 4032 as adapted, of 4096 as coded.
+_SHARE, _SLOW = 4032, np.uint64(5)
+_EVEN = np.uint64(_fields([_SHARE * (i + 1) // 4 for i in range(4)]))
+_GAIN = np.array([_fields([(_SHARE >> 5) * (i >= o) for i in range(4)]) for o in range(4)], np.uint64)
+_KEPT, _MIXED, _FLOOR = (np.uint64(_fields([x] * 4)) for x in (0xFFFF >> 5, 0xFFF, 0))
+_FLOOR = np.uint64(_fields([16 * (i + 1) for i in range(4)]))
+_TOTAL_BITS = np.uint64(12)
+_OUTCOME = np.array([2 if i & 4 else 1 if i & 2 else 3 if i & 1 else 0 for i in range(8)], np.uint8)
+_AT = np.arange(4, dtype=np.uint64) * _U[16]
+
+# Cumulative frequencies of a hex digit: of 1008 as adapted, of 1024 as coded.
+_RAMP = np.arange(1, 17, dtype=np.int16)
+_AIM = np.where(np.arange(16) >= np.arange(16)[:, None], 1008, 0).astype(np.int16)
+_DIGIT_BITS, _TAIL_BITS = np.uint64(10), np.uint64(8)
+_LITERAL_BITS = np.uint64(28)
+_LITERAL = np.uint64(1 << 28)
+_ALL_BITS = _TOTAL_BITS + _LITERAL_BITS
+
+
+class _Digits:
+    """Adaptive distributions over hex digits, one a row."""
+
+    def __init__(self, rows: int, n: int):
+        self.table = np.tile((np.arange(1, 17) * 63).astype(np.int16), (rows, 1))
+        self.base = np.arange(0, 16 * n, 16)
+
+    def open(self, at: np.ndarray | None = None) -> None:
+        """Takes up the distributions in the rows `at`, or in all."""
+        self.at = at
+        self.rows = self.table if at is None else self.table.take(at, axis=0)
+        self.cum = self.rows + _RAMP
+
+    def find(self, slot: np.ndarray) -> np.ndarray:
+        """The digit whose part holds `slot`."""
+        below = (self.cum.ravel() <= np.repeat(slot.astype(np.int16), 16)).view(np.uint64)
+        ones = np.bitwise_count(below)
+        return np.minimum(ones[::2] + ones[1::2], 15).astype(np.int64)
+
+    def part(self, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(below, width) of each digit."""
+        flat, at = self.cum.ravel(), self.base + digit
+        below = flat.take(at - 1, mode="wrap") * (digit > 0)
+        return below.astype(np.uint64), (flat.take(at) - below).astype(np.uint64)
+
+    def learn(self, digit: np.ndarray) -> None:
+        self.rows += (_AIM.take(digit, axis=0) - self.rows) >> 4
+        if self.at is not None:
+            self.table[self.at] = self.rows
 
 
 class _Model:
     """The predictions and adaptive distributions of n blocks in step."""
 
     def __init__(self, n: int):
-        lane = np.arange(n, dtype=np.int32)
         self.one, self.two = np.zeros(n * SLOTS, np.int32), np.zeros(n * SLOTS, np.int32)  # id * 4 + confidence
-        self.a, self.b = np.full((n * 4, 4), 1 << 14, np.int32), np.full((n * 8, 4), 1 << 14, np.int32)
-        self.lean = np.full((n, 1), 8, np.int32)
+        self.a, self.b = np.full(n * 4, _EVEN), np.full(n * 8, _EVEN)
+        self.lean = np.full(n, 8, np.uint64)
         self.major, self.votes = np.zeros(n, np.int32), np.zeros(n, np.int32)
         self.last, self.before = np.zeros(n, np.int32), np.zeros(n, np.int32)
-        self.base, self.quad, self.octet = lane * SLOTS, lane * 4, lane * 8
+        self.base, self.quad, self.octet = np.arange(n) * SLOTS, np.arange(n) * 4, np.arange(n) * 8
+        self.first, self.second, self.rows17 = _Digits(n, n), _Digits(17 * n, n), np.arange(0, 17 * n, 17)
+        self.step = 0
 
     def predict(self) -> np.ndarray:
-        """Frequencies of the four outcomes: none, order 1, order 2, order 0 right."""
+        """Cumulative frequencies of the four outcomes in one word a block."""
         self.i1 = self.base + ((self.last * 40503 >> 4) & (SLOTS - 1))
         self.i2 = self.base + ((self.last * 31337 + self.before * 7919 >> 3) & (SLOTS - 1))
-        e1, e2 = self.one.take(self.i1), self.two.take(self.i2)
-        self.p1, self.k1, self.p2, self.k2 = e1 >> 2, e1 & 3, e2 >> 2, e2 & 3
+        self.e1, self.e2 = self.one.take(self.i1), self.two.take(self.i2)
+        self.p1, self.k1, self.p2, self.k2 = self.e1 >> 2, self.e1 & 3, self.e2 >> 2, self.e2 & 3
         self.ia = self.quad + self.k2
-        self.ib = self.octet + self.k1 * 2 + (self.p1 == self.p2)
-        self.fa, self.fb = self.a.take(self.ia, axis=0), self.b.take(self.ib, axis=0)
-        return (self.fb + ((self.fa - self.fb) * self.lean >> 4)) + 32
+        self.ib = self.octet + (self.k1 * 2 + (self.p1 == self.p2))
+        self.fa, self.fb = self.a.take(self.ia), self.b.take(self.ib)
+        return ((self.fa * self.lean + self.fb * (_U[16] - self.lean) >> _U[4]) & _MIXED) + _FLOOR
 
     def outcome(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids == self.p2, 2, np.where(ids == self.p1, 1, np.where(ids == self.major, 3, 0))).astype(np.int32)
+        hits = ((ids == self.p2).view(np.uint8) << 2) | ((ids == self.p1).view(np.uint8) << 1) | (ids == self.major).view(np.uint8)
+        return _OUTCOME.take(hits)
 
-    def decoded(self, outcome: np.ndarray, escaped: np.ndarray) -> np.ndarray:
-        return np.where(outcome == 0, escaped, np.where(outcome == 1, self.p1, np.where(outcome == 2, self.p2, self.major)))
+    def decoded(self, outcome: np.ndarray) -> np.ndarray:
+        """The predicted ids; zero where none is right."""
+        return np.where(outcome == 2, self.p2, np.where(outcome == 1, self.p1, np.where(outcome == 3, self.major, 0)))
 
     def update(self, ids: np.ndarray, outcome: np.ndarray) -> None:
-        at = self.quad + outcome
-        qa, qb = self.fa.ravel().take(at), self.fb.ravel().take(at)
-        lean = self.lean[:, 0] + (qa > qb) - (qa < qb)
-        self.lean[:, 0] = np.minimum(np.maximum(lean, 1), 15)
-        for table, i, f in ((self.a, self.ia, self.fa), (self.b, self.ib, self.fb)):
-            f -= f >> 5
-            f.ravel()[at] += 1 << 11
-            table[i] = f
-        for table, i, p, k in ((self.one, self.i1, self.p1, self.k1), (self.two, self.i2, self.p2, self.k2)):
-            hit = ids == p
-            more = np.where(hit, np.minimum(k + 1, 3), k - 1)
-            table[i] = np.where(more >= 0, p * 4 + more, ids * 4)
+        if not self.step & 3:
+            at = _AT.take(outcome)
+            qa, qb = (((f >> at) - (f << _U[16] >> at)) & _MASK for f in (self.fa, self.fb))
+            self.lean = np.minimum(np.maximum(self.lean + (qa > qb) - (qa < qb), _U[1]), _U[15])
+        self.step += 1
+        gain = _GAIN.take(outcome)
+        self.a[self.ia] = self.fa - ((self.fa >> _SLOW) & _KEPT) + gain
+        self.b[self.ib] = self.fb - ((self.fb >> _SLOW) & _KEPT) + gain
+        fresh = ids << 2
+        for table, i, e, p, k in ((self.one, self.i1, self.e1, self.p1, self.k1), (self.two, self.i2, self.e2, self.p2, self.k2)):
+            table[i] = np.where(ids == p, e + (k < 3), np.where(k > 0, e - 1, fresh))
         same, free = ids == self.major, self.votes == 0
         self.major = np.where(free, ids, self.major)
         self.votes += np.where(same | free, 1, -1).astype(np.int32)
@@ -88,138 +147,137 @@ class _Writer:
 
     def __init__(self, n: int, room: int):
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-        self.out, self.at = np.zeros((n, room), "<u2"), np.zeros(n, np.int64)
+        self.out, self.base, self.room = np.zeros(n * room, "<u2"), np.arange(0, n * room, room), room
+        self.at = self.base.copy()  # where each coder's next word goes
 
-    def put(self, below: np.ndarray, width: np.ndarray, total: np.ndarray) -> None:
-        """Narrows each coder to its part, and moves out the words that are settled."""
-        part = self.range // total
+    def put(self, below: np.ndarray, width: np.ndarray) -> None:
+        """Narrows every coder to its part of 2^40."""
+        part = self.range >> _ALL_BITS
         self.low += part * below
         self.range = part * width
-        i = self._settled(self.low, self.range)
-        while len(i):
-            low, wide = self.low[i], self.range[i]
-            short = ((low ^ (low + wide)) >= _TOP) & (wide < _LOW)
-            wide = np.where(short, (~low + np.uint64(1)) & (_LOW - np.uint64(1)), wide)
-            self._move(i, low)
-            low, wide = low << _WORD, wide << _WORD
-            self.low[i], self.range[i] = low, wide
-            i = i[self._settled(low, wide)]
-
-    @staticmethod
-    def _settled(low: np.ndarray, wide: np.ndarray) -> np.ndarray:
-        return np.flatnonzero(((low ^ (low + wide)) < _TOP) | (wide < _LOW))
-
-    def _move(self, i: np.ndarray, low: np.ndarray) -> None:
-        at = self.at[i]
-        self.out[i, at] = low >> np.uint64(48)
-        self.at[i] = at + 1
+        while self._settle():
+            pass
+
+    def _settle(self) -> bool:
+        """Moves out a word of every coder that has one settled; whether any had."""
+        apart = self.low ^ (self.low + self.range)
+        settled = apart < _TOP
+        short = (self.range < _LOW) > settled
+        if short.any():
+            i = np.flatnonzero(short)
+            self.range[i] = (~self.low[i] + _U[1]) & (_LOW - _U[1])
+            settled |= short
+        if not settled.any():
+            return False
+        self._move(settled)
+        shift = _SHIFT.take(settled.view(np.uint8))
+        self.low <<= shift
+        self.range <<= shift
+        self.at += settled
+        return True
+
+    def _move(self, settled: np.ndarray) -> None:
+        self.out[self.at] = self.low >> _U[48]
 
     def close(self) -> list[bytes]:
         for shift in (48, 32, 16, 0):
-            self.out[np.arange(len(self.at)), self.at] = (self.low >> np.uint64(shift)) & np.uint64(0xFFFF)
+            self.out[self.at] = (self.low >> _U[shift]) & _MASK
             self.at += 1
-        return [row[:n].tobytes() for row, n in zip(self.out, self.at.tolist(), strict=True)]
+        return [row[:n].tobytes() for row, n in zip(self.out.reshape(-1, self.room), (self.at - self.base).tolist(), strict=True)]
 
 
 class _Reader(_Writer):
     """The same coders, reading."""
 
     def __init__(self, blocks: list[bytes]):
-        n = len(blocks)
-        super().__init__(n, 0)
-        self.words = np.zeros((n, max(map(len, blocks)) // 2 + 4), "<u2")
-        for i, b in enumerate(blocks):
-            self.words[i, : len(b) // 2] = np.frombuffer(b, "<u2")
+        n, room = len(blocks), max(map(len, blocks)) // 2 + 8
+        super().__init__(n, room)
+        for at, b in zip(self.base.tolist(), blocks, strict=True):
+            self.out[at : at + len(b) // 2] = np.frombuffer(b, "<u2")
         self.code = np.zeros(n, np.uint64)
         for _ in range(4):
-            self._take(np.arange(n))
-
-    def _take(self, i: np.ndarray) -> None:
-        at = np.minimum(self.at[i], self.words.shape[1] - 1)
-        self.code[i] = (self.code[i] << _WORD) | self.words[i, at].astype(np.uint64)
-        self.at[i] += 1
-
-    def slot(self, total: np.ndarray) -> np.ndarray:
-        return np.minimum((self.code - self.low) // (self.range // total), total - np.uint64(1))
+            self._move(np.ones(n, bool))
+            self.at += 1
 
-    def _move(self, i: np.ndarray, low: np.ndarray) -> None:
-        self._take(i)
+    def _move(self, settled: np.ndarray) -> None:
+        self.code = np.where(settled, (self.code << _U[16]) | self.out.take(self.at, mode="clip"), self.code)
 
+    def outcome(self, freq: np.ndarray) -> np.ndarray:
+        """Which outcome the coders hold."""
+        self.part, self.over = self.range >> _ALL_BITS, self.code - self.low
+        unit = self.part << _LITERAL_BITS
+        return sum((((freq >> _U[s]) & _MASK) * unit <= self.over).view(np.uint8) for s in (0, 16, 32))
 
-def _scaled(counts: np.ndarray) -> np.ndarray:
-    """Counts scaled to sum to TOTAL, none of those above 0 to less than 1."""
-    seen = counts > 0
-    out = np.where(seen, np.maximum(counts * (TOTAL - int(seen.sum())) // max(1, int(counts.sum())), 1), 0)
-    out[int(np.argmax(out))] += TOTAL - int(out.sum())
-    return out
+    def literal(self, below: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """Where in 2^28 the coders stand within their outcome's part."""
+        return np.minimum((self.over - self.part * (below << _LITERAL_BITS)) // (self.part * width), _LITERAL - _U[1])
 
 
-def _table(counts: np.ndarray) -> bytes:
-    ids = np.flatnonzero(counts)
-    return zlib.compress(ids.astype("<u2").tobytes() + counts[ids].astype("<u4").tobytes(), 3)
+def _spans(freq: np.ndarray, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(below, width) of each outcome."""
+    at = _AT.take(outcome)
+    below = (freq << _U[16] >> at) & _MASK
+    return below, ((freq >> at) & _MASK) - below
 
 
-def _counts(table: bytes) -> np.ndarray:
-    raw = zlib.decompress(table)
-    n = len(raw) // 6
-    out = np.zeros(1 << 16, np.int64)
-    out[np.frombuffer(raw, "<u2", n)] = np.frombuffer(raw, "<u4", n, 2 * n)
-    return out
+def _put(coder: _Writer, model: _Model, spans: tuple, miss: np.ndarray, ids: np.ndarray, digits: tuple) -> None:
+    """Codes outcomes, and ids where none was right; the model adapts."""
+    (below, width), (high, middle, tail) = spans, digits
+    low1, wide1 = model.first.part(high)
+    low2, wide2 = model.second.part(middle)
+    wide = wide1 * wide2
+    inner = np.where(miss, (low1 << _U[18]) + wide1 * (low2 << _TAIL_BITS) + wide * tail, _U[0])
+    coder.put((below << _LITERAL_BITS) + width * inner, width * np.where(miss, wide, _LITERAL))
+    model.second.learn(middle)
+    model.first.learn(ids >> 12)
 
 
-def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[list[bytes], list[int], bytes]:
-    """(coded blocks, CRC-32 of each block's ids, id counts) of unsigned 16-bit ids."""
+def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[list[bytes], list[int]]:
+    """(coded blocks, CRC-32 of each block's ids) of unsigned 16-bit ids."""
     if not len(ids):
-        return [], [], b""
+        return [], []
     steps = min(block, len(ids))
     n = -(-len(ids) // steps)
-    grid = np.zeros(n * steps, np.int64)
+    grid = np.zeros(n * steps, np.int32)
     grid[: len(ids)] = ids
-    scaled = _scaled(np.bincount(grid, minlength=1 << 16))
-    below = (np.cumsum(scaled) - scaled).astype(np.uint64)
-    width = scaled.astype(np.uint64)
-    grid = np.ascontiguousarray(grid.reshape(n, steps).T.astype(np.int32))
+    grid = np.ascontiguousarray(grid.reshape(n, steps).T)
     model, writer = _Model(n), _Writer(n, 3 * steps + 16)
-    total, quad, none = np.full(n, TOTAL, np.uint64), np.arange(n) * 4, np.uint64(0)
     for row in grid:
         freq = model.predict()
         outcome = model.outcome(row)
-        cum = np.cumsum(freq, axis=1, dtype=np.int32)
-        at = quad + outcome
-        f = freq.ravel().take(at)
-        writer.put((cum.ravel().take(at) - f).astype(np.uint64), f.astype(np.uint64), cum[:, 3].astype(np.uint64))
-        free = outcome == 0
-        writer.put(np.where(free, below.take(row), none), np.where(free, width.take(row), total), total)
+        miss = outcome == 0
+        model.first.open()
+        digits = row >> 12, row >> 8 & 15, (row & 255).astype(np.uint64)
+        model.second.open(model.rows17 + np.where(miss, digits[0], 16))
+        _put(writer, model, _spans(freq, outcome), miss, row, digits)
         model.update(row, outcome)
     raw = np.asarray(ids, "<u2").tobytes()
-    crcs = [zlib.crc32(raw[2 * steps * i : 2 * steps * (i + 1)]) for i in range(n)]
-    return writer.close(), crcs, _table(scaled)
+    return writer.close(), [zlib.crc32(raw[2 * steps * i : 2 * steps * (i + 1)]) for i in range(n)]
 
 
-def decode(blocks: list[bytes], crcs: list[int], table: bytes, count: int, block: int = BLOCK) -> np.ndarray:
+def decode(blocks: list[bytes], crcs: list[int], count: int, block: int = BLOCK) -> np.ndarray:
     """The `count` ids of coded blocks; an error if a checksum fails."""
     if not count:
         return np.zeros(0, "<u2")
     steps, n = min(block, count), len(blocks)
-    scaled = _counts(table)
-    below, width = (np.cumsum(scaled) - scaled).astype(np.uint64), scaled.astype(np.uint64)
-    of_slot = np.repeat(np.arange(1 << 16, dtype=np.int32), scaled)
     model, reader = _Model(n), _Reader(blocks)
-    reader.at = np.full(n, 4)
-    total, quad, none = np.full(n, TOTAL, np.uint64), np.arange(n) * 4, np.uint64(0)
     out = np.zeros((steps, n), "<u2")
     for t in range(steps):
         freq = model.predict()
-        cum = np.cumsum(freq, axis=1, dtype=np.int32)
-        every = cum[:, 3].astype(np.uint64)
-        slot = reader.slot(every).astype(np.int32)
-        outcome = (slot >= cum[:, 0]).astype(np.int32) + (slot >= cum[:, 1]) + (slot >= cum[:, 2])
-        at = quad + outcome
-        f = freq.ravel().take(at)
-        reader.put((cum.ravel().take(at) - f).astype(np.uint64), f.astype(np.uint64), every)
-        free = outcome == 0
-        row = model.decoded(outcome, of_slot.take(reader.slot(total).astype(np.int64)))
-        reader.put(np.where(free, below.take(row), none), np.where(free, width.take(row), total), total)
+        outcome = reader.outcome(freq)
+        miss = outcome == 0
+        spans = _spans(freq, outcome)
+        slot = reader.literal(*spans)
+        model.first.open()
+        high = model.first.find(slot >> _U[18])
+        low, wide = model.first.part(high)
+        slot -= low << _U[18]
+        model.second.open(model.rows17 + np.where(miss, high, 16))
+        middle = model.second.find((slot / wide).astype(np.int64) >> 8)
+        low, more = model.second.part(middle)
+        tail = np.minimum(((slot - wide * (low << _TAIL_BITS)) / (wide * more)).astype(np.uint64), np.uint64(255))
+        row = np.where(miss, (high << 12 | middle << 8 | tail.astype(np.int64)).astype(np.int32), model.decoded(outcome))
+        _put(reader, model, spans, miss, row, (high, middle, tail))
         model.update(row, outcome)
         out[t] = row
     ids = out.T.reshape(-1)[:count]
@@ -230,14 +288,16 @@ def decode(blocks: list[bytes], crcs: list[int], table: bytes, count: int, block
     return ids
 
 
-RECORD_TYPE = "part int, seq int, before long, n_ids long, doc_ids array<long>, lengths array<long>, blocks array<binary>, crcs array<long>, counts binary"
+RECORD_TYPE = "part int, seq int, before long, n_ids long, doc_ids array<long>, lengths array<long>, blocks array<binary>, crcs array<long>"
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, block: int = BLOCK, record: int = RECORD) -> None:
     """Writes the ids of every text and its end id to Parquet record files under `path`, in doc_id order.
 
-    Rows are dealt to ranges of doc_id and sorted; a record ends with the document that fills it. Null text
-    counts as empty; repeated rows are each written; null ids come first.
+    Rows are dealt to ranges of doc_id and sorted; a record ends with the document that fills it, so a very long
+    text makes a long record. Null text counts as empty; repeated rows are each written, those of one id in the
+    order of their texts; null ids come first; an empty table gives files without records. Other columns are not
+    read. All rows of one id go to one range.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -248,9 +308,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, blo
 
         def close() -> pd.DataFrame:
             ids = np.frombuffer(b"".join(held), "<u2")
-            blocks, crcs, table = encode(ids, block)
-            row = (part, seq, before, len(ids), names, [len(h) // 2 for h in held], blocks, crcs, table)
-            return pd.DataFrame([row], columns=["part", "seq", "before", "n_ids", "doc_ids", "lengths", "blocks", "crcs", "counts"])
+            row = (part, seq, before, len(ids), names, [len(h) // 2 for h in held], *encode(ids, block))
+            return pd.DataFrame([row], columns=["part", "seq", "before", "n_ids", "doc_ids", "lengths", "blocks", "crcs"])
 
         for batch in batches:
             for doc, raw in zip(batch["doc_id"].astype(object), own.encode(batch["text"].tolist()), strict=True):
@@ -283,14 +342,13 @@ def read(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
-                raw = decode(list(r.blocks), list(r.crcs), r.counts, r.n_ids, block).astype("<u4").tobytes()
+                raw = decode(list(r.blocks), list(r.crcs), r.n_ids, block).astype("<u4").tobytes()
                 at, rows = 0, []
                 for doc, n in zip(r.doc_ids, r.lengths, strict=True):
                     rows.append((None if pd.isna(doc) else int(doc), offsets[r.part] + r.before + at, int(n), zlib.crc32(raw[4 * at : 4 * (at + int(n))])))
                     at += int(n)
                 yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # records are large
     return files.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
