@@ -97,9 +97,8 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at, values / np.sqrt((values * values).sum())
 
 
-def fit(texts: list[str], target: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """Weights and bias of the logistic scorer by adaptive gradient steps on soft labels, classes balanced."""
-    rows = [features(t) for t in texts]
     w, squares = np.zeros(FEATURES), np.full(FEATURES, 1e-6)
     share = float(np.clip(target.mean(), 0.02, 0.98))
     bias = 0.0
@@ -119,8 +118,9 @@ def fit(texts: list[str], target: np.ndarray, epochs: int = EPOCHS) -> tuple[np.
 def scored(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """`docs` with weak_label (the votes' posterior of good) and score (the linear scorer's), 0 to 1.
 
-    Null text counts as empty; an empty text is voted on as any other; repeated rows are each scored; an empty
-    table gives no rows. The scorer is fitted on the `sample` rows with the smallest hashes.
+    Null text counts as empty; an empty text is voted on as any other, a very long one whole; repeated rows are each
+    scored and count once in the sample, whose ties go by hash; an empty table gives no rows. Columns weak_label and
+    score of the input are replaced. The scorer is fitted on the `sample` texts with the smallest hashes.
     """
     text = text_of()
 
@@ -134,12 +134,20 @@ def scored(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     patterns = np.array([r["v"] for r in counted])
     post, _, _ = expectation_maximisation(patterns, np.array([r["n"] for r in counted], float))
     label = {tuple(map(int, p)): float(x) for p, x in zip(patterns, post, strict=True)}
-    # At most `sample` texts, by hash, are fitted on; hashes are picked first, so no more texts are moved.
+    # At most `sample` texts, by hash, are fitted on; hashes are picked first, so no more texts are moved, and what
+    # reaches the driver of a text are its features, at most FEATURES of them.
     hashed = docs.select(F.xxhash64(text).alias("h"), text.alias("text"))
     last = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     picked = hashed.filter(F.col("h") <= last).groupBy("h").agg(F.min("text").alias("text"))
-    texts = picked.select("text").toPandas().sort_values("text", kind="stable")["text"].tolist()
-    weights, bias = fit(texts, np.array([label[tuple(labellers(t))] for t in texts]))
+
+    @F.pandas_udf("struct<at:array<int>,value:array<float>,v:array<int>>")
+    def learned(texts: pd.Series) -> pd.DataFrame:
+        found = [features(t) for t in texts]
+        return pd.DataFrame({"at": [x.astype(np.int32) for x, _ in found], "value": [v.astype(np.float32) for _, v in found], "v": [labellers(t) for t in texts]})
+
+    rows = picked.select("h", learned("text").alias("f")).select("h", "f.*").toPandas().sort_values("h", kind="stable")
+    target = np.array([label[tuple(map(int, v))] for v in rows["v"]])
+    weights, bias = fit([(np.asarray(x, np.int64), np.asarray(v, np.float64)) for x, v in zip(rows["at"], rows["value"], strict=True)], target)
     weights = weights.astype(np.float32)
 
     @F.pandas_udf("struct<weak_label:double,score:double>")
@@ -151,8 +159,9 @@ def scored(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         out[:, 1] = 1 / (1 + np.exp(-np.clip(out[:, 1], -30, 30)))
         return pd.DataFrame(out, columns=["weak_label", "score"])
 
-    judged = docs.withColumn("_judged", judge(text))
-    return judged.select(*docs.columns, F.col("_judged.weak_label").alias("weak_label"), F.col("_judged.score").alias("score"))
+    own = [F.col(c) for c in docs.columns if c not in ("weak_label", "score")]
+    judged = docs.select(*own, judge(text).alias("_judged"))
+    return judged.select(*own, F.col("_judged.weak_label").alias("weak_label"), F.col("_judged.score").alias("score"))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -13,10 +13,11 @@ hundred and forty is an anchor. So
    left two windows are equal if their suffixes share length - o bytes (prefix values at the right) and
    their o bytes before the anchor are the same (prefix values of the reversed left contexts).
 
-Passages of some number of words are found in the same way, where each word counts as CODE bytes, its hash.
+Passages of some number of words are found in the same way, on the sequence of the words' 64-bit hashes.
 
-The comparison at 2 and 3 is on bytes. An anchor that more than HOT places share is not sorted in one task:
-its windows are counted as (anchor, 64-bit window hash) rows by partial aggregation.
+Two windows count as equal where a 64-bit hash of the anchor and one of all bytes in its windows agree; windows
+of one anchor that differ are compared on bytes. An anchor that more than HOT places share is not sorted in one
+task: its windows are counted as (anchor, 64-bit window hash) rows by partial aggregation.
 """
 
 from __future__ import annotations
@@ -37,9 +38,10 @@ LENGTH = 400
 GRAM = 128
 HOT = 4096  # contexts of one anchor, of some 600 bytes each, that a task sorts at once
 CHUNK = 1 << 20
+PASSAGE = 51  # words
 BATCH = 4096
-CODE = 8  # bytes that stand for a word
-SPAN, WORDS, COPY = range(3)  # what begin and end of a span are: bytes, bytes of codes, or all bytes of a copied text
+WORD_GRAM = 8
+SPAN, WORDS, COPY = range(3)  # what begin and end of a span are: bytes, words, or all bytes of a copied text
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -71,20 +73,20 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _sums(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of the polynomial hash mod 2^64."""
+    """Prefix sums of the polynomial hash mod 2^64 of bytes or 64-bit words."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * _power_tables(len(data) + 1)[0][: len(data)], out=sums[1:])
+    np.cumsum((_TABLE[data] if data.dtype == np.uint8 else data) * _power_tables(len(data) + 1)[0][: len(data)], out=sums[1:])
     return sums
 
 
 def _hashes(sums: np.ndarray, width: int) -> np.ndarray:
-    """Mixed hash of each `width` bytes in a row."""
+    """Mixed hash of each `width` items in a row."""
     n = len(sums) - width
     return _mixed((sums[width:] - sums[:n]) * _power_tables(len(sums))[1][:n])
 
 
 def _span_hashes(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Mixed hash of each span of bytes, its length taken in."""
+    """Mixed hash of each span of items, its length taken in."""
     return _mixed((sums[end] - sums[begin]) * _power_tables(len(sums))[1][begin] + (end - begin).astype(np.uint64))
 
 
@@ -99,12 +101,12 @@ def _window_minima(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors_of(data: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
+def anchors_of(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Anchor hash, hash of all bytes in its windows, its place, and its first and last window start."""
     out: list[tuple[np.ndarray, ...]] = []
     place = np.uint64((1 << 24) - 1)
     for at in range(0, len(data) - length + 1, CHUNK):
-        part = np.frombuffer(data, np.uint8, min(CHUNK + length - 1, len(data) - at), at)
+        part = data[at : at + CHUNK + length - 1]
         sums = _sums(part)
         h = _hashes(sums, gram)
         keys = (h & ~place) | np.arange(len(h), dtype=np.uint64)
@@ -121,20 +123,26 @@ def _utf8(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
-def _word_codes(text: str) -> bytes:
-    """CODE bytes for each word between white space, lower-cased."""
-    return b"".join([xxhash.xxh64_digest(_utf8(w)) for w in text.lower().split()])
+def _bytes_of(text: str) -> np.ndarray:
+    return np.frombuffer(_utf8(text), np.uint8)
+
+
+def _words_of(text: str) -> np.ndarray:
+    """A hash of each word between white space, lower-cased."""
+    digest = xxhash.xxh64_intdigest
+    words = text.lower().split()
+    return np.fromiter((digest(_utf8(w)) for w in words), np.uint64, len(words))
 
 
 def _word_places(text: str, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte spans from the first to the last of the whole words in spans of codes."""
+    """Byte spans of spans of words."""
     places = np.array([m.span() for m in re.finditer(r"\S+", text)], np.int64)
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     at = np.append(0, np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)))
-    return at[places[-(-begin // CODE), 0]], at[places[end // CODE - 1, 1]]
+    return at[places[begin, 0]], at[places[end - 1, 1]]
 
 
-def _anchor_rows(length: int, gram: int, data_of: Callable[[str], bytes]):
+def _anchor_rows(length: int, gram: int, data_of: Callable[[str], np.ndarray]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             k1, k2, found = [], [], []
@@ -151,8 +159,8 @@ def _anchor_rows(length: int, gram: int, data_of: Callable[[str], bytes]):
     return run
 
 
-def _contexts(length: int, hot: int, data_of: Callable[[str], bytes]):
-    """Over texts with their repeated anchors: the bytes that the anchors' windows cover."""
+def _contexts(length: int, hot: int, data_of: Callable[[str], np.ndarray]):
+    """Over texts with their repeated anchors: the items that the anchors' windows cover, as bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -161,7 +169,7 @@ def _contexts(length: int, hot: int, data_of: Callable[[str], bytes]):
                 data = data_of(text)
                 for x in found:
                     lo, hi, p = x["lo"], x["hi"], x["p"]
-                    out.append((x["anchor"], x["n"] > hot, data[p : hi + length], data[lo:p][::-1], k1, k2, p, lo, hi))
+                    out.append((x["anchor"], x["n"] > hot, data[p : hi + length].tobytes(), data[lo:p][::-1].tobytes(), k1, k2, p, lo, hi))
                 if len(out) > BATCH:
                     yield pd.DataFrame(out, columns=_CONTEXT)
                     out = []
@@ -197,8 +205,8 @@ def _runs(starts: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarra
     return owner[first], starts[first], starts[last] + length
 
 
-def _induced(length: int):
-    """Over contexts sorted by anchor and right context: spans covered by repeated windows."""
+def _induced(length: int, unit: int):
+    """Over contexts sorted by anchor and right context: spans covered by repeated windows; an item has `unit` bytes."""
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         anchor = rows["anchor"].to_numpy(np.int64)
@@ -207,10 +215,10 @@ def _induced(length: int):
         n = len(rows)
         new = np.append(True, np.diff(anchor) != 0)
         group = np.cumsum(new)
-        prefix = _common(right, length)
+        prefix = _common(right, length * unit) // unit
         prefix[new] = -1
         order = sorted(range(n), key=lambda i: (group[i], left[i]))
-        behind = _common([left[i] for i in order], length)
+        behind = _common([left[i] for i in order], length * unit) // unit
         behind[np.append(True, np.diff(group[order]) != 0)] = -1
         order_at = np.array(order)
         starts, owner = [], []
@@ -256,14 +264,15 @@ def _induced(length: int):
     return run
 
 
-def _hot_windows(length: int):
+def _hot_windows(length: int, kind: type):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
                 found = []
                 for left, right in zip(part["left"], part["right"], strict=True):
-                    found.append(_hashes(_sums(np.frombuffer(left[::-1] + right, np.uint8)), length).view(np.int64))
+                    before = np.frombuffer(left, kind)[::-1]
+                    found.append(_hashes(_sums(np.concatenate([before, np.frombuffer(right, kind)])), length).view(np.int64))
                 times = [len(x) for x in found]
                 cols = {c: np.repeat(part[c].to_numpy(), times) for c in ("anchor", "k1", "k2")}
                 start = np.repeat(part["lo"].to_numpy(), times) + np.concatenate([np.arange(t) for t in times])
@@ -275,13 +284,13 @@ def _hot_windows(length: int):
 def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, words: bool = False) -> DataFrame:
     """(k1, k2, begin, end): byte spans of the texts `keyed` (k1, k2, text) that repeated strings cover.
 
-    With `words`, length, gram and spans are in bytes of the texts' word codes.
+    With `words`, length, gram and spans are in words.
 
     Spans may overlap, and none comes twice. Copies of a text share their key, and each counts as an occurrence;
     the bytes of one of them are compared.
     """
-    data_of = _word_codes if words else _utf8
-    rows = keyed.filter(F.octet_length("text") >= (2 * length // CODE - 1 if words else length))
+    data_of, kind = (_words_of, np.uint64) if words else (_bytes_of, np.uint8)
+    rows = keyed.filter(F.octet_length("text") >= (2 * length - 1 if words else length))
     anchors = rows.mapInPandas(_anchor_rows(length, gram, data_of), "anchor long, context long, k1 long, k2 long, p int, lo int, hi int")
     anchors = written(anchors, "anchors")
     counts = anchors.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("context") == F.max("context")).alias("same")).filter("n > 1")
@@ -309,63 +318,66 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     bytes_of = one.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "found").mapInPandas(_contexts(length, hot, data_of), _CONTEXT_TYPE)
     bytes_of = written(bytes_of, "bytes")
     usual = bytes_of.filter("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor", "right")
-    spans = usual.mapInPandas(_induced(length), "k1 long, k2 long, begin int, end int")
-    windows = bytes_of.filter("hot").mapInPandas(_hot_windows(length), "anchor long, k1 long, k2 long, window long, start int")
+    spans = usual.mapInPandas(_induced(length, kind().itemsize), "k1 long, k2 long, begin int, end int")
+    windows = bytes_of.filter("hot").mapInPandas(_hot_windows(length, kind), "anchor long, k1 long, k2 long, window long, start int")
     again = windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "window")
     again = written(again, "again")
     hot_spans = windows.join(again, ["anchor", "window"]).select("k1", "k2", F.col("start").alias("begin"), (F.col("start") + length).alias("end"))
     return written(alike.union(twins).union(spans).union(hot_spans), "spans")
 
 
-_KEPT = "struct<n_bytes:long,n_removed:long,n_spans:long,kept_sha256:string,kept:string>"
+_KEPT = "struct<n_bytes:long,n_removed:long,n_spans:long,kept_sha256:string,n_gone:long,text:string>"
+
+
+def _without(data: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[bytes, int]:
+    """`data` without its spans, and how many runs they make."""
+    if not len(begin):
+        return data, 0
+    by = np.argsort(begin, kind="stable")
+    begin, reach = begin[by], np.maximum.accumulate(end[by])
+    first = np.flatnonzero(np.append(True, begin[1:] > reach[:-1]))
+    stops = reach[np.append(first[1:], len(begin)) - 1].tolist()
+    parts = [data[x:y] for x, y in zip([0, *stops], [*begin[first].tolist(), len(data)], strict=True)]
+    return b"".join(parts), len(first)
 
 
 def _kept(with_text: bool, length: int, words: int | None):
-    def places(text: str, n: int, begin: np.ndarray, end: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Spans in bytes of the text; copies that are neither long enough in bytes nor in words stay."""
-        if n < length and (kind == COPY).any() and len(text.split()) < words:
-            begin, end, kind = (x[kind != COPY] for x in (begin, end, kind))
-        coded = kind == WORDS
-        if coded.any():
-            begin, end = begin.copy(), end.copy()
-            begin[coded], end[coded] = _word_places(text, begin[coded], end[coded])
-        return begin, end
+    nothing = np.zeros(0, np.int64)
 
     @F.pandas_udf(_KEPT)
     def kept(texts: pd.Series, begins: pd.Series, ends: pd.Series, kinds: pd.Series) -> pd.DataFrame:
         out = []
         for text, b, e, k in zip(texts, begins, ends, kinds, strict=True):
             data = _utf8(text)
-            parts, at, spans, removed = [], 0, 0, 0
-            if b is not None and len(b):
-                begin, end = places(text, len(data), *(np.asarray(x) for x in (b, e, k)))
-            if b is not None and len(b) and len(begin):
-                by = np.argsort(begin, kind="stable")
-                begin, reach = begin[by], np.maximum.accumulate(end[by])
-                first = np.flatnonzero(np.append(True, begin[1:] > reach[:-1]))
-                for x, y in zip(begin[first].tolist(), reach[np.append(first[1:], len(begin)) - 1].tolist(), strict=True):
-                    parts.append(data[at:x])
-                    at, spans, removed = y, spans + 1, removed + y - x
-            parts.append(data[at:])
-            left = b"".join(parts)
-            out.append((len(data), removed, spans, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None))
-        return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            begin, end, kind = (nothing,) * 3 if b is None else (np.asarray(x) for x in (b, e, k))
+            own = (kind == SPAN) | (kind == COPY) & (len(data) >= length)
+            left, runs = _without(data, begin[own], end[own])
+            digest = hashlib.sha256(left).hexdigest()
+            n_left = len(left)
+            if words is not None and not own.all():
+                copied = (kind == COPY).any() and len(text.split()) >= words
+                coded = kind == WORDS
+                spans = [np.concatenate(x) for x in zip(_word_places(text, begin[coded], end[coded]), (begin[own], end[own]), strict=True)]
+                left = b"" if copied else _without(data, *spans)[0]
+            out.append((len(data), len(data) - n_left, runs, digest, len(data) - len(left), left.decode("utf-8", "ignore") if with_text else None))
+        return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_gone", "text"])
 
     return kept
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = True, hot: int = HOT, words: int | None = None) -> DataFrame:
-    """`docs` with a struct column `cut`: n_bytes, n_removed, n_spans, kept_sha256, kept.
+    """(row, cut) for every row of `docs`: the row itself, and n_bytes, n_removed, n_spans, kept_sha256, n_gone, text.
 
     Each byte that a string of `length` bytes covers which starts anywhere else too is removed, judged on
     the input; strings do not cross rows. Null text counts as empty; repeated rows are copies of each
-    other; texts shorter than `length` stay whole; `kept` leaves out bytes of characters cut in two.
+    other; texts shorter than `length` stay whole; `text` leaves out bytes of characters cut in two. Rows may have
+    any columns beside text; an empty table gives none.
 
-    With `words`, so do passages of that many words that start anywhere else too, however short they are;
-    case and the white space between words make no difference there.
+    With `words`, passages of that many words that start anywhere else too go from `text` as well, however short
+    they are; case and the white space between words make no difference there. n_gone counts what `text` lacks.
     """
-    keyed = docs.withColumn("_text", text_of()).withColumn("_k1", F.xxhash64("_text")).withColumn("_k2", F.xxhash64("_text", F.lit(7)))
-    keys = keyed.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), F.col("_text").alias("text"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), text_of().alias("text")).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64("text", F.lit(7))})
+    keys = keyed.select("k1", "k2", "text")
     copies = (
         keys.filter(F.octet_length("text") >= (length if words is None else min(length, 2 * words - 1)))
         .groupBy("k1", "k2")
@@ -375,28 +387,29 @@ def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text:
     )
     spans = repeated_spans(keys, length, gram, hot).withColumn("kind", F.lit(SPAN)).union(copies)
     if words is not None:
-        width = CODE * words
-        spans = spans.union(repeated_spans(keys, width, min(GRAM, width // 3), hot, True).withColumn("kind", F.lit(WORDS)))
-    marked = spans.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.collect_list(F.struct("begin", "end", "kind")).alias("_spans"))
-    joined = keyed.join(marked, ["_k1", "_k2"], "left")
-    cut = _kept(with_text, length, words)(F.col("_text"), F.col("_spans.begin"), F.col("_spans.end"), F.col("_spans.kind"))
-    return joined.select(*docs.columns, cut.alias("cut"))
+        spans = spans.union(repeated_spans(keys, words, min(WORD_GRAM, words), hot, True).withColumn("kind", F.lit(WORDS)))
+    marked = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "end", "kind")).alias("spans"))
+    joined = keyed.drop("text").join(marked, ["k1", "k2"], "left")
+    return joined.select("row", _kept(with_text, length, words)(text_of("row.text"), F.col("spans.begin"), F.col("spans.end"), F.col("spans.kind")).alias("cut"))
+
 
+def report(docs: DataFrame, words: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text for every document.
 
-def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document."""
-    found = cleaned(docs.select("doc_id", "text"), with_text=False)
-    return found.select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", "cut.kept_sha256")
+    The counts and the hash are of strings of LENGTH bytes; `text` is what is left where passages of `words` words
+    go too (see `cleaned`).
+    """
+    found = cleaned(docs.select("doc_id", "text"), words=words)
+    return found.select("row.doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", "cut.kept_sha256", "cut.text")
 
 
 def without_repeats(docs: DataFrame, words: int | None = None) -> DataFrame:
     """`docs` with the repeated passages taken out of their text; documents left empty by it go.
 
     Passages are of LENGTH bytes or, where it is given, of `words` words, which may be fewer bytes.
-    n_chars, where there is such a column, follows the text.
+    n_chars, where there is such a column, follows the text; other columns stay as they are, whatever their names.
     """
-    found = cleaned(docs.withColumn("_before", F.octet_length(text_of()) > 0), words=words)
-    kept = found.filter("not _before or cut.kept != ''").withColumn("text", F.when(F.col("cut.n_removed") > 0, F.col("cut.kept")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("cut.n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return kept.select(*docs.columns)
+    changed = F.col("cut.n_gone") > 0
+    found = cleaned(docs, words=words).filter("cut.n_gone < cut.n_bytes or cut.n_bytes = 0").filter(~changed | (F.col("cut.text") != ""))
+    new = {"text": F.when(changed, F.col("cut.text")).otherwise(F.col("row.text")), "n_chars": F.when(changed, F.char_length("cut.text").cast("long")).otherwise(F.col("row.n_chars"))}
+    return found.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

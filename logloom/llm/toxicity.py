@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of, worker_memo, written
@@ -32,7 +32,8 @@ DECAY = 0.6
 SPAN = 6
 LENGTH = 24
 CODES = 64
-MEMO = 250_000
+MEMO = 150_000
+SLICE = 32  # texts whose substrings are held at once
 WORST = 4
 CLEAN_WEIGHT = 3.0
 
@@ -233,8 +234,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                bags = [sorted(pick(t)) for t in batch["text"]]
-                yield pd.DataFrame({"doc": np.repeat(batch["doc"].to_numpy(), [len(b) for b in bags]), column: pd.Series([w for b in bags for w in b], dtype=object)})
+                for at in range(0, len(batch), SLICE):
+                    part = batch.iloc[at : at + SLICE]
+                    bags = [sorted(pick(t)) for t in part["text"]]
+                    yield pd.DataFrame({"doc": np.repeat(part["doc"].to_numpy(), [len(b) for b in bags]), column: pd.Series([w for b in bags for w in b], dtype=object)})
 
         return df.mapInPandas(run, f"doc long, {column} string")
 
@@ -253,8 +256,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         both = spread(bad, pick, "word").withColumn("bad", F.lit(1)).unionByName(spread(good, pick, "word").withColumn("bad", F.lit(0)))
         return both.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum(1 - F.col("bad")).alias("good"))
 
-    telling = counted(lambda t: {w[:200] for w in tokens_of(t) if not chosen.isdisjoint(grams_of(w))})
-    plain = counted(lambda t: {w[:200] for w in tokens_of(t) if chosen.isdisjoint(grams_of(w))})
+    telling = counted(lambda t: {w for w in tokens_of(t) if not chosen.isdisjoint(grams_of(w))})
+    plain = counted(lambda t: {w for w in tokens_of(t) if chosen.isdisjoint(grams_of(w))})
     score = F.col("bad") * F.log2(1 + (F.col("bad") / rows[1]) / ((F.col("good") + 1) / rows[0]))
     parts = [
         telling.orderBy(F.desc(score), "word").limit(WORDS // 2),
@@ -284,31 +287,37 @@ def _worst(model: Model, extra: str):
     return run
 
 
-def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """`docs` with score (0 to 1): how likely the text is toxic. Null text counts as empty; without a model 0."""
+def score_of(text: Column, model: Model | None) -> Column:
+    """How likely a text is toxic, 0 to 1; without a model 0."""
     if model is None:
-        return docs.withColumn("score", F.lit(0.0))
+        return F.lit(0.0)
     stamp = hash((float(model.bias), float(model.weights.sum()), float(model.curve.sum())))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.probability(model.documents(texts, worker_memo(("toxicity", stamp)))))
+        memo = worker_memo(("toxicity", stamp))
+        out = [model.probability(model.documents(texts.iloc[at : at + 8 * SLICE], memo)) for at in range(0, len(texts), 8 * SLICE)]
+        return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    return docs.withColumn("score", score(text_of()))
+    return score(text)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of `docs`.
 
-    Repeated rows are each scored. A null doc_id is scored, never held out and never labelled; several
+    Repeated rows are each scored, very long texts and words whole. A null doc_id is scored, never held out and never labelled; several
     labels of one document count as the highest; null labels are passed over; empty tables give no rows.
     """
     slim = docs.select("doc_id", "text")
-    out = scored(slim, fit(slim, labels))
+    out = slim.withColumn("score", score_of(text_of(), fit(slim, labels)))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs` without the rows whose text is scored 0.5 or more."""
-    return scored(docs, fit(docs.select("doc_id", "text"), labels)).filter("score < 0.5").select(*docs.columns)
+    """`docs` without the rows whose text is scored 0.5 or more.
+
+    All columns stay as they are, whatever their names; null text counts as empty, null ids and repeated rows are
+    judged by their text, and an empty table gives none.
+    """
+    return docs.filter(score_of(text_of(), fit(docs.select("doc_id", "text"), labels)) < 0.5)

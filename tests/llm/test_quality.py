@@ -29,3 +29,35 @@ def test_report_separates(spark):
     assert sum(g.keep for g in got if g.doc_id is not None and g.doc_id < 300) >= 290
     assert sum(g.keep for g in got if g.doc_id is not None and g.doc_id >= 300) <= 4
     assert quality.report(df.limit(0)).count() == 0
+
+
+def test_weak_labels_match_plain_em(spark):
+    """Posteriors by a plain loop over the documents, without patterns; columns that clash are replaced."""
+    r = random.Random(9)
+    texts = [" ".join(r.choice(["alpha", "beta.", "GAMMA", "##$", "beta."]) for _ in range(r.randint(0, 60))) for _ in range(150)]
+    texts += ["one line\n" * 9, "", None, texts[0], "very long text. " * 40_000]
+    votes = [quality.labellers(t or "") for t in texts]
+    post = []
+    for v in votes:
+        cast = [x for x in v if x]
+        post.append(min(0.95, max(0.05, 0.95 - sum(x < 0 for x in cast) / max(1, len(cast)))))
+    for _ in range(quality.ROUNDS):
+        rates = []
+        for c in (0, 1):
+            w = [p if c else 1 - p for p in post]
+            rates.append([[(sum(x for x, v in zip(w, votes) if v[j] == vote) + 1) / (sum(w) + 3) for vote in (-1, 0, 1)] for j in range(7)])
+        prior = min(0.98, max(0.02, sum(post) / len(post)))
+        new = []
+        for v in votes:
+            like = [1 - prior, prior]
+            for j, x in enumerate(v):
+                like = [like[c] * rates[c][j][x + 1] for c in (0, 1)]
+            new.append(like[1] / sum(like))
+        done = max(abs(a - b) for a, b in zip(new, post)) < 1e-7
+        if done:
+            break
+        post = new
+    df = spark.createDataFrame([(i, t, "old", "x") for i, t in enumerate(texts)], "doc_id long, text string, score string, weak_label string")
+    got = {g.doc_id: g for g in quality.scored(df).collect()}
+    assert max(abs(got[i].weak_label - p) for i, p in enumerate(post)) < 1e-5
+    assert quality.scored(df).columns == ["doc_id", "text", "weak_label", "score"]

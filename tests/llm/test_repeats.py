@@ -44,7 +44,7 @@ def corpus(seed, n=60, size=300):
 
 def compare(spark, texts, length, gram, hot=128):
     df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, k1 string")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.cleaned(df, length, gram, False, hot).select("doc_id", "cut.*").collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.cleaned(df, length, gram, False, hot).select("row.doc_id", "cut.*").collect()}
     want = brute(texts, length)
     assert [got[i] for i in range(len(texts))] == want
     assert sum(w[1] > 0 for w in want) > 5
@@ -103,3 +103,19 @@ def test_passages_of_short_words_go(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {x.doc_id: x.text for x in repeats.without_repeats(df, words=51).collect()}
     assert [got.get(i) for i in want] == list(want.values())
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    """A passage on both sides of a chunk's border of a text over 1 MiB, and input columns named like inner ones."""
+    r = random.Random(3)
+    passage = "".join(r.choice("abcdefgh") for _ in range(900))
+    head = "".join(r.choices("abcdefghij klmnop", k=repeats.CHUNK - 500))
+    tail = "".join(r.choices("abcdefghij klmnop", k=300_000))
+    texts = [head + passage + tail, passage[:600], passage[250:] + "X", tail[:390]]
+    names = ["cut", "row", "k1", "spans", "kind", "_text", "_before"]
+    df = spark.createDataFrame([(i, t, *[7 * i] * len(names)) for i, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = {x.doc_id: x for x in repeats.without_repeats(df).collect()}
+    assert got[0].text == head + tail and 1 not in got and got[2].text == "X" and got[3].text == tail[:390]
+    assert got[2].asDict() == {"doc_id": 2, "text": "X"} | dict.fromkeys(names, 14)
+    both = {x.doc_id: x for x in repeats.report(df).collect()}
+    assert both[0].n_removed == 900 and both[0].n_spans == 1 and both[1].n_removed == 600

@@ -34,6 +34,43 @@ def test_learns_and_tolerates_gaps(spark):
     assert by[1004].predicted == by[1005].predicted == by[None].predicted == 0
     kept = toxicity.without_toxic(docs, labels)
     assert kept.columns == docs.columns and kept.filter(F.col("doc_id") == 1001).count() == 0
+    assert kept.filter("doc_id < 1000 and score = 0.5").count() == kept.filter("doc_id < 1000").count() > 0
+
+
+def test_kernel_matches_plain_subsequences():
+    """The normalised kernel against all triples of characters within the span, by plain loops."""
+
+    def bag(word):
+        w, out = f"^{word}$", {}
+        for i in range(len(w)):
+            for j in range(i + 1, len(w)):
+                for k in range(j + 1, min(len(w), i + toxicity.SPAN)):
+                    key = (w[i], w[j], w[k])
+                    out[key] = out.get(key, 0.0) + toxicity.DECAY ** (k - i - 2)
+        return out
+
+    words = ["idiot", "idxiot", "moron", "tom", "aab", "abaab"]
+    codes, _ = toxicity._codes(words)
+    norms = toxicity._norms(codes)
+    for i, a in enumerate(words):
+        row = toxicity._apply(toxicity._explicit(codes, norms, i), codes, norms)
+        for j, b in enumerate(words):
+            x, y = bag(a), bag(b)
+
+            def occurrences(word):
+                w = f"^{word}$"
+                return sum(toxicity.DECAY ** (2 * (k - i - 2)) for i in range(len(w)) for j in range(i + 1, len(w)) for k in range(j + 1, min(len(w), i + toxicity.SPAN)))
+
+            want = sum(v * y.get(k, 0.0) for k, v in x.items()) / (occurrences(a) * occurrences(b)) ** 0.5
+            assert abs(row[j] - want) < 1e-6
+
+
+def test_very_long_texts_and_words(spark):
+    data = rows(seed=6)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data] + [(2000, "the er " * 60_000 + "idiot moron idiot scumbag"), (2001, "x" * 300_000), (2000, "the er")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in data] + [(2001, 0)], "doc_id long, toxic int")
+    got = toxicity.report(docs, labels).collect()
+    assert len(got) == len(data) + 3 and all(0 <= g.score <= 1 for g in got)
 
 
 def test_without_labels(spark):
