@@ -233,8 +233,9 @@ def _induced(length: int, unit: int):
             by = np.argsort(key, kind="stable")
             same = np.diff(key[by]) == 0
             hit = active[by[np.append(same, False) | np.append(False, same)]]
-            starts.append(p[hit] - o)
-            owner.append(hit)
+            if len(hit):
+                starts.append(p[hit] - o)
+                owner.append(hit)
         if not starts:
             return rows.iloc[:0][["k1", "k2"]].assign(begin=0, end=0)
         s, i = np.concatenate(starts), np.concatenate(owner)
