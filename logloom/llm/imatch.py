@@ -1,8 +1,10 @@
 """I-Match document fingerprints on several randomised lexicons, in built-in functions only.
 
-The lexicon holds the terms whose document frequency lies in a band. Frequencies are counted over all
-documents for 2^18 hashed terms, so what the driver gathers is one bit for each hashed term, whatever the
-input. A document's distinct lexicon terms are sorted by hash, and each randomised sub-lexicon (a hashed
+The lexicon holds the terms whose document frequency, counted over all documents for each term, lies in a band.
+As every lexicon term is in at least the band's lower share of the documents, it has at most the mean number of
+terms of a text over that share, whatever the input. It becomes a set of at most 2^21 bits in which a term has
+three places: a lexicon term always passes, another one with a chance of some per cent at most, and a term passes
+in all texts or in none. A document's distinct lexicon terms are sorted by hash, and each randomised sub-lexicon (a hashed
 share of the lexicon, from a quarter to a thousandth, in several families) gives the hash of the terms it
 keeps. Thin sub-lexicons keep a few terms of a long document, thick ones those of a short one, so some
 hashes outlive an edit. A text without lexicon terms keeps all its terms, one without terms is hashed whole.
@@ -10,17 +12,20 @@ hashes outlive an edit. A text without lexicon terms keeps all its terms, one wi
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, written
 
-BUCKETS = 1 << 18
+MOST_BITS = 21
+PLACES = 3
 BAND = (0.002, 0.05)
 FAMILIES = 8
 LEVELS = 5
 RANGES = 256
-RANGE_ROWS = 4000
+RANGE_ROWS = 16_000
 EMPTY = "-"
 
 
@@ -30,31 +35,36 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, total: int, band: tuple[float, float] = BAND) -> list[int]:
-    """BUCKETS bits in 64-bit words: set for hashed terms whose share of the `total` documents lies in the band."""
-    hashed = docs.select(F.explode(F.array_distinct(F.transform(terms(text_of()), lambda h: h.bitwiseAND(F.lit(BUCKETS - 1))))).alias("b"))
-    bits = (
-        hashed.groupBy("b")
-        .agg(F.count("*").alias("n"))
-        .filter((F.col("n") >= band[0] * total) & (F.col("n") <= band[1] * total))
-        .groupBy(F.shiftright("b", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits"))
-        .collect()  # at most BUCKETS / 64 rows
-    )
-    out = [0] * (BUCKETS // 64)
-    for r in bits:
+def lexicon(docs: DataFrame, total: int, band: tuple[float, float] = BAND) -> DataFrame:
+    """(h): the hashed terms whose share of the `total` documents lies in the band."""
+    counts = docs.select(F.explode(terms(text_of())).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    return counts.filter((F.col("n") >= band[0] * total) & (F.col("n") <= band[1] * total)).select("h")
+
+
+def bit_set(terms_in: DataFrame) -> list[int]:
+    """A power of two of bits in 64-bit words: PLACES bits are set for each term of the table."""
+    terms_in = written(terms_in, "lexicon")
+    bits = min(MOST_BITS, max(12, (16 * terms_in.count()).bit_length()))
+    places = terms_in.select(F.explode(F.array(*[F.shiftrightunsigned("h", 21 * j).bitwiseAND(F.lit((1 << bits) - 1)) for j in range(PLACES)])).alias("b"))
+    words = places.groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits"))
+    out = [0] * ((1 << bits) // 64)
+    for r in words.collect():  # at most 2^MOST_BITS / 64 rows
         out[r["word"]] = r["bits"]
     return out
 
 
 def fingerprint(text: Column, band: list[int]) -> Column:
     """FAMILIES x LEVELS hashes of eight hex digits, EMPTY where a sub-lexicon keeps no term of the text."""
-    known = F.expr("array(" + ",".join(f"{x}L" if x != -(1 << 63) else "(-9223372036854775807L - 1L)" for x in band) + ")")
+    known = F.split(F.lit(",".join(map(str, band))), ",").cast("array<long>")
+    mask = 64 * len(band) - 1
 
-    def inside(h: Column) -> Column:
-        b = h.bitwiseAND(F.lit(BUCKETS - 1))
+    def at(h: Column, j: int) -> Column:
+        b = F.shiftrightunsigned(h, 21 * j).bitwiseAND(F.lit(mask))
         return F.getbit(F.element_at(known, (F.shiftright(b, 6) + 1).cast("int")), b.bitwiseAND(F.lit(63)).cast("int")) == 1
 
+    def inside(h: Column) -> Column:
+        return reduce(lambda x, y: x & y, [at(h, j) for j in range(PLACES)])
+
     def code(kept: Column) -> Column:
         digits = F.substring(F.lpad(F.lower(F.hex(F.xxhash64(kept))), 16, "0"), 1, 8)
         return F.when(F.size(kept) == 0, F.lit(EMPTY)).otherwise(digits)
@@ -112,12 +122,11 @@ def with_next(docs: DataFrame, columns: list[str], ranges: int = RANGES, parts:
     tops = {r["_range"]: r["top"] for r in keyed.groupBy("_range").agg(F.max("_id").alias("top")).collect()}  # one row a range
     order = sorted(tops, reverse=True)
     after = {a: tops[b] for a, b in zip(order, order[1:] + order[:1], strict=True)}
-    head = keyed.filter(F.col("_id").isin(list(after.values()))).groupBy("_id").agg(F.min(F.struct(*columns)).alias("_h"))
-    home = F.explode(F.array(*[F.struct(F.lit(r).alias("_range"), F.lit(i).alias("_top")) for r, i in after.items()])) if after else None
-    if home is None:
+    if not after:
         return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    ends = head.select("_id", "_h", home.alias("_home")).filter("_home._top = _id")
-    ends = ends.select(F.lit(None).cast("long").alias("doc_id"), *[F.col(f"_h.{c}").alias(c) for c in columns], "_id", F.col("_home._range").alias("_range"), F.lit(1).alias("_end"))
+    homes = docs.sparkSession.createDataFrame(list(after.items()), "_range int, _id long")  # one row a range
+    head = keyed.drop("_range").join(F.broadcast(homes), "_id").groupBy("_id", "_range").agg(F.min(F.struct(*columns)).alias("_h"))
+    ends = head.select(F.lit(None).cast("long").alias("doc_id"), *[F.col(f"_h.{c}").alias(c) for c in columns], "_id", "_range", F.lit(1).alias("_end"))
     every = keyed.select("doc_id", *columns, "_id", "_range", F.lit(0).alias("_end")).unionByName(ends)
     w = Window.partitionBy("_range").orderBy("_end", F.desc("_id"), *columns)
     led = every.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
@@ -127,14 +136,15 @@ def with_next(docs: DataFrame, columns: list[str], ranges: int = RANGES, parts:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
-    Null text counts as empty; repeated rows follow each other; a null doc_id comes last; a sole document is
-    its own next; an empty table gives no rows. Other columns are not read.
+    Null text counts as empty; repeated rows follow each other, those of one doc_id in the order of their texts and in
+    one task; a null doc_id comes last; a sole document is its own next; very long texts are taken whole; an empty
+    table gives no rows. Other columns are not read.
     """
     slim = docs.select("doc_id", text_of().alias("text"))
     total = docs.count()
-    band = lexicon(slim, total)
+    band = bit_set(lexicon(slim, total))
     marked = slim.withColumn("fingerprint", fingerprint(F.col("text"), band))
-    paired = with_next(marked, ["text", "fingerprint"], parts=max(1, min(64, total // (RANGES * RANGE_ROWS)))).withColumn("n_chars", F.char_length("text").cast("long"))
+    paired = with_next(marked, ["text", "fingerprint"], parts=max(1, total // (RANGES * RANGE_ROWS))).withColumn("n_chars", F.char_length("text").cast("long"))
     cut = F.expr("cast(n_chars div 3 as int)")
     edited = F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substr("next_text", F.lit(1), cut))
     paired = paired.withColumn("edited", edited)

@@ -44,3 +44,73 @@ def test_next_over_many_ranges(spark):
     for ranges, parts in ((8, 1), (8, 5), (64, 3)):
         got = {r.text: r.next_text for r in imatch.with_next(df, ["text"], ranges, parts).collect()}
         assert got == want
+
+
+def test_fingerprints_match_plain_python(spark):
+    """Frequencies, lexicon, fingerprints and likeness by plain loops, with ties, repeated rows and a very long text."""
+    import random
+
+    import regex
+    import xxhash
+
+    def h64(data, seed=42):
+        return xxhash.xxh64_intdigest(data, seed)
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    r = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(r.choice([0, 2, 30, 90]))) for _ in range(260)] + ["Wörter, W1!", None, "?!", "lone " * 50_000]
+    texts += [texts[2], texts[2]]
+    rows = [(i // 2, t, "x") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, edited string")
+
+    def terms(text):
+        return {h64(w.encode()) for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w}
+
+    counts = {}
+    for t in texts:
+        for h in terms(t or ""):
+            counts[h] = counts.get(h, 0) + 1
+    total = len(texts)
+    words = {h for h, n in counts.items() if imatch.BAND[0] * total <= n <= imatch.BAND[1] * total}
+    assert {x.h % (1 << 64) for x in imatch.lexicon(df, total).collect()} == words and len(words) > 50
+    size = 1 << max(12, (16 * len(words)).bit_length())
+    places = {(h >> 21 * j) & (size - 1) for h in words for j in range(3)}
+
+    def of_array(values):
+        seed = 42
+        for v in values:
+            seed = h64(v.to_bytes(8, "little"), seed)
+        return f"{seed:016x}"[:8]
+
+    def fingerprint(text):
+        found = terms(text)
+        own = {h for h in found if all((h >> 21 * j) & (size - 1) in places for j in range(3))} or found or {h64(text.encode())}
+        own = sorted(own, key=signed)
+        codes = []
+        for family in range(imatch.FAMILIES):
+            for level in range(1, imatch.LEVELS + 1):
+                kept = [h for h in own if (h >> 6 * family) & ((1 << 2 * level) - 1) == 0]
+                codes.append(of_array(kept) if kept else "-")
+        if set(codes) == {"-"}:
+            codes = [hashlib.sha256(text.encode()).hexdigest()[:8]]
+        return " ".join(codes)
+
+    def likeness(a, b):
+        x, y = a.split(" "), b.split(" ")
+        x, y = x + [""] * (len(y) - len(x)), y + [""] * (len(x) - len(y))
+        used = [(p, q) for p, q in zip(x, y) if (p, q) != ("-", "-")]
+        return 1.0 if a == b else sum(p == q for p, q in used) / len(used) if used else 0.0
+
+    order = sorted(((i, t or "") for i, t, _ in rows), key=lambda x: (-x[0], x[1]))
+    want = []
+    for k, (i, t) in enumerate(order):
+        nxt = order[(k + 1) % len(order)][1]
+        c = len(t) // 3
+        edited = t[: len(t) - c] + nxt[:c]
+        own, changed = fingerprint(t), fingerprint(edited)
+        want.append((i, len(t), own, changed, round(likeness(own, changed), 9), round(likeness(own, fingerprint(nxt)), 9)))
+    got = [(g.doc_id, g.n_chars, g.fingerprint, g.edited_fingerprint, round(g.near_edited, 9), round(g.near_next, 9)) for g in imatch.report(df).collect()]
+    assert sorted(got) == sorted(want)
