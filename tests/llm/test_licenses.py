@@ -16,14 +16,15 @@ def base_of(text):
     return words, places
 
 
-def met(words):
+def met(words, templates=licenses.TEMPLATES, threshold=0.8):
     """Best containment of each template by trying every block."""
     best = {}
-    for text, label in licenses.TEMPLATES.items():
-        tokens = set(WORD.findall(lower(text)))
-        for at in range(0, max(1, len(words)), 32):
-            share = len(tokens & set(words[at : at + 64])) / len(tokens)
-            if share >= 0.8 - 1e-12:
+    for text in templates:
+        run = WORD.findall(lower(text))
+        tokens, size = set(run), -(-len(run) * 3 // 2)
+        for at in range(0, max(1, len(words))):
+            share = len(tokens & set(words[at : at + size])) / len(tokens)
+            if share >= threshold - 1e-12:
                 best[text] = max(best.get(text, 0), share)
     return best
 
@@ -54,3 +55,23 @@ def test_matches_brute_force(spark):
         assert g.labels == ",".join(sorted(labels | {licenses.TEMPLATES[k] for k in best}))
         assert abs(g.score - (1.0 if places else max(best.values(), default=0.0))) < 1e-12
     assert licenses.scanned(df.limit(0)).count() == 0
+
+
+def test_long_templates_ties_and_repeats(spark):
+    """Templates of hundreds of words given as a table, at any offset, in a long text; rows repeat and ids are null."""
+    r = random.Random(8)
+    long = " ".join(f"t{r.randint(0, 400)}" for _ in range(700))
+    table = {long: "long", "one two": "pair", "...": "none"}
+    cut = [w for w in long.split() if r.random() < 0.93]
+    few = [w for w in long.split() if r.random() < 0.6]
+    filler = ["filler"] * 5000
+    texts = [" ".join(filler + cut + filler * 20), " ".join(few), "two x one", "two x x one", " ".join(cut[::-1])]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (2, texts[2])]
+    df = spark.createDataFrame([(i, t, "l") for i, t in rows], "doc_id long, text string, labels string")
+    templates = spark.createDataFrame(list(table.items()), "text string, label string")
+    got = sorted(((g.doc_id if g.doc_id is not None else -1, g.labels, round(g.score, 9)) for g in licenses.scanned(df, templates).collect()))
+    want = []
+    for i, t in rows:
+        best = met(WORD.findall(lower(t)), {long: 0, "one two": 0})
+        want.append((-1 if i is None else i, ",".join(sorted(table[k] for k in best)), round(max(best.values(), default=0.0), 9)))
+    assert got == sorted(want) and {x[1] for x in want} == {"long", "", "pair"}
