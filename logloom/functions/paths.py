@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import tools
+
 
 def clean_path(path: Column) -> Column:
     """A path without empty and `.` parts, each `..` taking the part before it; an empty path is `.`."""
@@ -39,6 +41,30 @@ def path_suffix_match(path: Column, query: str) -> Column:
     return (path == query) | path.endswith("/" + query)
 
 
+def is_system_path(path: Column) -> Column:
+    """Whether a path lies in a folder of the system, on Unix or Windows."""
+    unix = path.rlike("^/(usr|bin|sbin|etc|tmp|var|dev|proc|sys)/")
+    return unix | F.lower(path).rlike(r"^c:\\(windows|program files|program files \(x86\)|programdata)\\")
+
+
+def bash_paths(command: Column) -> Column:
+    """The absolute paths among a command's words that are no system paths, quotes trimmed."""
+    words = F.transform(F.split(command, r"\s+"), lambda w: F.regexp_replace(w, "^[\"']+|[\"']+$", ""))
+    return F.filter(words, lambda w: w.startswith("/") & ~is_system_path(w))
+
+
+def retry_signature(name: Column, path: Column, command: Column, pattern: Column) -> Column:
+    """What a call tries: a file tool with its clean path, a command, a search with pattern and path, else the tool."""
+    some = lambda c: c.isNotNull() & (c != "")
+    file = name.isin(*tools.READS, *tools.WRITES) & some(path)
+    return (
+        F.when(file, F.concat(name, F.lit(":"), clean_path(path)))
+        .when(name.isin(*tools.BASH) & some(command), F.concat(F.lit("Bash:"), F.trim(command)))
+        .when(name.isin(*tools.SEARCHES) & some(pattern), F.concat(name, F.lit(":"), pattern, F.lit(":"), F.coalesce(path, F.lit(""))))
+        .otherwise(name)
+    )
+
+
 def register(spark: SparkSession) -> None:
     """SQL functions that Catalyst inlines: grade, retry_signature, project_name."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION grade(p DOUBLE) RETURNS STRING RETURN CASE WHEN p > 90 THEN 'A' WHEN p > 75 THEN 'B' WHEN p > 60 THEN 'C' WHEN p > 40 THEN 'D' ELSE 'F' END")

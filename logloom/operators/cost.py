@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import noise, sequence
+from . import noise, sequence, tools
+
+
+#: Dollars for a million tokens of a model that no prefix fits.
+DEFAULT_PRICE = {"p_in": 15.0, "p_out": 75.0, "p_write": 3.75, "p_read": 0.75}
 
 
 def total(column: str = "dollars") -> Column:
@@ -16,13 +20,19 @@ def total(column: str = "dollars") -> Column:
 def turn_costs(entries: DataFrame, prices: DataFrame) -> DataFrame:
     """Rows with usage and dollars: each at its own model's price, by the longest prefix that fits; no model is 'unknown'."""
     used = entries.filter("ctx is not null").withColumn("model", F.coalesce("model", F.lit("unknown")))
-    models = used.select("model").distinct()
-    best = models.join(F.broadcast(prices), F.col("model").startswith(F.col("prefix"))).groupBy("model").agg(F.max_by(F.struct(*prices.columns), F.length("prefix")).alias("p"))
+    table = sorted((r.asDict() for r in prices.collect()), key=lambda r: (-len(r["prefix"]), r["prefix"]))  # a parameter of a few rows
+
+    def price(r: dict) -> Column:
+        return F.struct(*[F.lit(r[c]).cast("double").alias(c) for c in ("p_in", "p_out", "p_write", "p_read")])
+
+    best = price(next((r for r in table if not r["prefix"]), DEFAULT_PRICE))
+    for r in reversed([r for r in table if r["prefix"]]):
+        best = F.when(F.col("model").startswith(r["prefix"]), price(r)).otherwise(best)
     dollars = (
         F.col("input_tokens") * F.col("p.p_in") + F.col("output_tokens") * F.col("p.p_out")
         + F.col("cache_creation_tokens") * F.col("p.p_write") + F.col("cache_read_tokens") * F.col("p.p_read")
     ) / 1e6
-    return used.join(best, "model").withColumn("dollars", dollars).drop("p")
+    return used.withColumn("p", best).withColumn("dollars", dollars).drop("p")
 
 
 def model_cost(entries: DataFrame, prices: DataFrame) -> DataFrame:
@@ -90,7 +100,7 @@ def ghost_files(entries: DataFrame) -> DataFrame:
     """session, epoch, path: files of an epoch that the next epoch writes."""
     rows = sequence.assign_epochs(entries).filter("path is not null")
     held = rows.select("session", "epoch", "path").distinct()
-    written = rows.filter(F.col("tool").isin("Write", "Edit", "write_file", "edit_file", "WriteFile", "NotebookEdit")).select("session", (F.col("epoch") - 1).alias("epoch"), "path").distinct()
+    written = rows.filter(F.col("tool").isin(*tools.SINGLE_WRITES)).select("session", (F.col("epoch") - 1).alias("epoch"), "path").distinct()
     return held.join(written, ["session", "epoch", "path"])
 
 
@@ -107,7 +117,7 @@ def epoch_diff(entries: DataFrame) -> DataFrame:
 
 def top_files(entries: DataFrame, n: int = 3) -> DataFrame:
     """session, rank, path, writes: the files written most, ties by path."""
-    per = entries.filter("tool = 'Edit'").groupBy("session", "path").agg(F.count("*").alias("writes"))
+    per = entries.filter(F.col("tool").isin(*tools.SINGLE_WRITES) & F.col("path").isNotNull()).groupBy("session", "path").agg(F.count("*").alias("writes"))
     ranked = per.withColumn("rank", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("writes"), "path")).cast("long"))
     return ranked.filter(F.col("rank") <= n).select("session", "rank", "path", "writes")
 

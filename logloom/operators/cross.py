@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import noise
+from . import noise, tools
 
 
 def file_stats(entries: DataFrame, n: int = 12) -> DataFrame:
@@ -47,11 +47,10 @@ def file_touch_edges(entries: DataFrame, least: int = 2, max_sessions: int | Non
     return hubs if max_sessions is None else hubs.filter(F.col("sessions") <= max_sessions)
 
 
-def temporal_edges(entries: DataFrame, projects: int = 10) -> DataFrame:
+def temporal_edges(entries: DataFrame) -> DataFrame:
     """session, next_session, gap_seconds: sessions of one project, each with the next by start, at most a day apart."""
-    per = entries.groupBy("session").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    per = per.withColumn("project", F.col("session").cast("long") % projects)
-    w = Window.partitionBy("project").orderBy("a", F.col("session").cast("long"))
+    per = entries.groupBy("project", "session").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    w = Window.partitionBy("project").orderBy("a", "session")
     pairs = per.withColumn("next_session", F.lead("session").over(w)).withColumn("next_a", F.lead("a").over(w)).filter("next_session is not null")
     gap = F.greatest(F.unix_seconds(F.date_trunc("second", "next_a")) - F.unix_seconds(F.date_trunc("second", "b")), F.lit(0))
     return pairs.withColumn("gap_seconds", gap).filter("gap_seconds <= 86400").select("session", "next_session", "gap_seconds")
@@ -60,8 +59,7 @@ def temporal_edges(entries: DataFrame, projects: int = 10) -> DataFrame:
 def file_lineage(entries: DataFrame, suffix: str) -> DataFrame:
     """session, idx, action, path of every touch of paths that end in a part."""
     hit = (F.col("path") == suffix) | F.col("path").endswith("/" + suffix)
-    action = F.when(F.lower("tool") == "read", "read").when(F.lower("tool").isin("edit", "multiedit", "notebookedit"), "edit").otherwise("bash")
-    return entries.filter(hit).select("session", "idx", action.alias("action"), "path")
+    return entries.filter(hit).select("session", "idx", tools.action(F.col("tool")).alias("action"), "path")
 
 
 def commit_session_join(sessions: DataFrame, commits: DataFrame, minutes: int = 30) -> DataFrame:

@@ -16,7 +16,10 @@ def _cut(df: DataFrame) -> DataFrame:
     """`df` checkpointed in the session's shared folder; one is set only where there is none."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
@@ -57,10 +60,11 @@ def chain_integrity(entries: DataFrame) -> DataFrame:
     return out.select("session", (F.col("steps") + 1).alias("length"), F.col("beyond").isNotNull().alias("broken"), (F.col("type") == "assistant").alias("starts_with_assistant"))
 
 
-def cascade(entries: DataFrame, results: DataFrame, seeds: DataFrame, keep: DataFrame | None = None, rounds: int = 200) -> DataFrame:
+def cascade(entries: DataFrame, results: DataFrame, seeds: DataFrame, keep: DataFrame | None = None) -> DataFrame:
     """session, uuid of all rows that go with `seeds` (session, uuid): children of any, result owners of calls.
 
-    results: session, uuid (of the owner), call_uuid. Rows of `keep` stay and stop the cascade.
+    results: session, uuid (of the owner), call_uuid. Rows of `keep` stay and stop the cascade. It goes to any
+    depth, a join of the frontier a hop, and ends as every hop adds rows that were not gone.
     """
     edges = entries.filter("parent_uuid is not null").select("session", F.col("parent_uuid").alias("src"), F.col("uuid").alias("dst"))
     edges = edges.union(results.select("session", F.col("call_uuid").alias("src"), F.col("uuid").alias("dst"))).distinct()
@@ -69,13 +73,12 @@ def cascade(entries: DataFrame, results: DataFrame, seeds: DataFrame, keep: Data
         seeds = seeds.join(keep.select("session", "uuid"), ["session", "uuid"], "left_anti")
     edges = _cut(edges)
     gone = front = _cut(seeds.select("session", "uuid").distinct())
-    for _ in range(rounds):
+    while True:
         step = front.withColumnRenamed("uuid", "src").join(edges, ["session", "src"]).select("session", F.col("dst").alias("uuid")).distinct()
         front = _cut(step.join(gone, ["session", "uuid"], "left_anti"))
         if not front.limit(1).count():
             return gone
         gone = _cut(gone.union(front))
-    raise RuntimeError("the cascade did not end")
 
 
 def resolve_parents(entries: DataFrame, gone: DataFrame) -> DataFrame:

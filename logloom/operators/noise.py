@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import sequence
+from ..functions import paths
+from . import sequence, tools
 
-READS = ("Read", "View", "read_file", "ReadFile")
-WRITES = ("Write", "Edit", "write_file", "edit_file", "WriteFile", "NotebookEdit", "MultiEdit")
+READS, WRITES = tools.READS, tools.WRITES
 
 
 def tokens(size: str = "raw_size"):
@@ -40,10 +40,11 @@ def failed_retries(blocks: DataFrame, back: int = 5, ahead: int = 6) -> DataFram
     """session, call_idx, error_idx, retry_idx, tokens: failed calls that were tried again soon.
 
     The failing call is the nearest with the result's id in the `back` rows before it; the retry is the first
-    call of the same tool and path in the `ahead` rows after the error.
+    call that tries the same (see `paths.retry_signature`) in the `ahead` rows after the error.
     """
+    signature = paths.retry_signature(*[F.col(c) if c in blocks.columns else F.lit(None).cast("string") for c in ("name", "path", "command", "pattern")])
     errors = blocks.filter("kind = 'tool_result' and is_error").select("session", F.col("idx").alias("error_idx"), F.col("tool_use_id").alias("id"), F.col("raw_size").alias("error_size"))
-    calls = blocks.filter("kind = 'tool_use'").select("session", "id", F.col("idx").alias("call_idx"), F.col("raw_size").alias("call_size"), F.concat_ws(":", "name", "path").alias("signature"))
+    calls = blocks.filter("kind = 'tool_use'").select("session", "id", F.col("idx").alias("call_idx"), F.col("raw_size").alias("call_size"), signature.alias("signature"))
     behind = (F.col("call_idx") < F.col("error_idx")) & (F.col("call_idx") >= F.col("error_idx") - back)
     failed = errors.join(calls, ["session", "id"]).filter(behind).groupBy("session", "error_idx", "id", "error_size").agg(F.max_by(F.struct("call_idx", "call_size", "signature"), "call_idx").alias("c"))
     failed = failed.select("session", "error_idx", "error_size", "c.*")
@@ -66,19 +67,23 @@ def orphan_results(blocks: DataFrame) -> DataFrame:
 
 
 def detect_sidechains(entries: DataFrame, blocks: DataFrame) -> DataFrame:
-    """session, idx, reasons, grp, reconnect_to: rows off the main chain, in runs of consecutive rows.
+    """session, idx, reasons, grp, reconnect_to, class: rows off the main chain, in runs of consecutive rows.
 
-    reconnect_to is the uuid of the nearest earlier row whose parent can be found.
+    They are flagged, miss their parent or answer no call. reconnect_to is the uuid of the nearest earlier row whose
+    parent can be found; without one, and for answers to no call, the class is prune-only, else repairable.
     """
     bad = missing_parents(entries).select("session", "idx", F.lit("missing_parent").alias("reason"))
-    bad = bad.union(orphan_results(blocks).select("session", "idx", F.lit("orphan_result")))
+    bad = bad.union(orphan_results(blocks).select("session", "idx", F.lit("orphaned_tool_result")))
+    if "is_sidechain" in entries.columns:
+        bad = bad.union(entries.filter("is_sidechain").select("session", "idx", F.lit("flagged_sidechain")))
     per = bad.groupBy("session", "idx").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
     rows = entries.select("session", "idx", "uuid", "parent_uuid").join(per, ["session", "idx"], "left")
     good = F.when(~F.coalesce(F.col("reasons").contains("missing_parent"), F.lit(False)) & F.col("parent_uuid").isNotNull(), F.col("uuid"))
     rows = rows.withColumn("reconnect_to", F.last(good, ignorenulls=True).over(sequence.before())).filter("reasons is not null")
+    kind = F.when(F.col("reasons").contains("orphaned_tool_result") | F.col("reconnect_to").isNull(), "prune-only").otherwise("repairable")
     run = F.col("idx") - F.row_number().over(sequence.by_idx())
     rows = rows.withColumn("_run", run)
-    return rows.select("session", "idx", "reasons", (F.dense_rank().over(Window.partitionBy("session").orderBy("_run")) - 1).cast("long").alias("grp"), "reconnect_to")
+    return rows.select("session", "idx", "reasons", (F.dense_rank().over(Window.partitionBy("session").orderBy("_run")) - 1).cast("long").alias("grp"), "reconnect_to", kind.alias("class"))
 
 
 def noise_tags(entries: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import cost, noise, sequence
+from . import cost, noise, sequence, tools
 
 
 def epoch_summary(entries: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def epoch_summary(entries: DataFrame) -> DataFrame:
     rows = sequence.assign_epochs(entries).withColumn("last", F.max("epoch").over(Window.partitionBy("session"))).filter("epoch < last")
     return rows.groupBy("session", "epoch").agg(
         F.count_if(F.col("type").isin("user", "assistant")).alias("turns"), F.coalesce(F.max("ctx"), F.lit(0)).alias("peak_ctx"), F.count_distinct("path").alias("files"),
-        F.count_if(F.col("tool") == "Read").alias("reads"), F.count_if(F.col("tool") == "Edit").alias("edits"),
+        F.count_if(F.col("tool").isin(*tools.READS)).alias("reads"), F.count_if(F.col("tool").isin(*tools.WRITES)).alias("edits"),
     )
 
 

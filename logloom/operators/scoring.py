@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import cost, noise, sequence
+from . import cost, noise, sequence, tools
 
 
 def metrics(entries: DataFrame, blocks: DataFrame, prices: DataFrame, per_epoch: int = 5) -> DataFrame:
@@ -16,7 +16,7 @@ def metrics(entries: DataFrame, blocks: DataFrame, prices: DataFrame, per_epoch:
     ranked = noise.recommend(entries, blocks)
     waste = ranked.groupBy("session").agg(F.sum("tokens").alias("noise_tokens"), F.max(F.when(F.col("rank") == 1, F.col("category"))).alias("biggest"))
     epochs = sequence.assign_epochs(entries).withColumn("last", F.max("epoch").over(Window.partitionBy("session")))
-    edits = epochs.filter("tool = 'Edit' and epoch < last").groupBy("session", "epoch").agg(F.least(F.count("*"), F.lit(per_epoch)).alias("n")).groupBy("session").agg(F.sum("n").alias("decisions"))
+    edits = epochs.filter(F.col("tool").isin(*tools.WRITES) & F.expr("epoch < last")).groupBy("session", "epoch").agg(F.least(F.count("*"), F.lit(per_epoch)).alias("n")).groupBy("session").agg(F.sum("n").alias("decisions"))
     per = epochs.groupBy("session").agg(
         F.max("last").alias("compactions"), F.count_if((F.col("epoch") == F.col("last")) & F.col("ctx").isNotNull()).alias("uses"), F.count_if(F.col("type").isin("user", "assistant")).alias("talk")
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tools
+
 DROP = 50_000
 LIMIT = 165_000
 WINDOW = 200_000
@@ -88,16 +90,21 @@ def distance(ctx: Column, rate: Column, limit: int = LIMIT) -> Column:
     return F.when(rate <= 0, -1).when(ctx >= limit, 0).otherwise(F.floor((limit - ctx) / rate)).cast("long")
 
 
+def branch_rows(entries: DataFrame, gap: str = "30 minutes", drop: int = DROP) -> DataFrame:
+    """`entries` with compacted (a compaction opens the row's epoch here) and branch, the branch's number."""
+    rows = assign_epochs(entries, drop)
+    cut = F.lag("epoch").over(by_idx()) != F.col("epoch")
+    quiet = F.col("ts") - F.lag("ts").over(by_idx()) >= F.expr(f"interval {gap}")
+    starts = F.coalesce(cut | F.coalesce(quiet, F.lit(False)), F.lit(False))
+    return rows.withColumn("compacted", F.coalesce(cut, F.lit(False))).withColumn("branch", F.sum(starts.cast("long")).over(so_far()))
+
+
 def find_branches(entries: DataFrame, gap: str = "30 minutes", drop: int = DROP) -> DataFrame:
     """session, branch, entries, tokens, user_turns, first_ts, last_ts, paths, has_compaction, is_last.
 
     A branch starts at a compaction or where two rows in a row lie `gap` or more apart.
     """
-    rows = assign_epochs(entries, drop)
-    cut = F.lag("epoch").over(by_idx()) != F.col("epoch")
-    quiet = F.col("ts") - F.lag("ts").over(by_idx()) >= F.expr(f"interval {gap}")
-    starts = F.coalesce(cut | F.coalesce(quiet, F.lit(False)), F.lit(False))
-    rows = rows.withColumn("compacted", F.coalesce(cut, F.lit(False))).withColumn("branch", F.sum(starts.cast("long")).over(so_far()))
+    rows = branch_rows(entries, gap, drop)
     per = rows.groupBy("session", "branch").agg(
         F.count("*").alias("entries"), F.sum(F.floor(F.col("raw_size") / 4)).alias("tokens"), F.count_if(F.col("type") == "user").alias("user_turns"),
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count_distinct("path").alias("paths"), F.bool_or("compacted").alias("has_compaction"),
@@ -143,7 +150,7 @@ def scopes(entries: DataFrame) -> DataFrame:
     """`entries` with ext, home, mod, conv: refers outside, refers inside, modifies, is conversational."""
     ext = F.coalesce(outside(F.col("path"), F.col("cwd")), F.lit(False))
     home = F.coalesce(~outside(F.col("path"), F.col("cwd")), F.lit(False))
-    return entries.withColumns({"ext": ext, "home": home, "mod": F.coalesce((F.col("tool") == "Edit") & home, F.lit(False)), "conv": F.col("type").isin("user", "assistant")})
+    return entries.withColumns({"ext": ext, "home": home, "mod": F.coalesce(F.col("tool").isin(*tools.MODIFYING) & home, F.lit(False)), "conv": F.col("type").isin("user", "assistant")})
 
 
 def tangent_rows(entries: DataFrame, mixed_may_start: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, cost, cross, graphops, injection, noise, reports, scoring, sequence, text
 from ..sources import bridge
+from . import views
 from .orders import ORDER_QUERIES, ORDER_SQL
 from .streams import STREAM_QUERIES
 
@@ -149,21 +150,21 @@ _RESULTS = f"""SELECT u.session, u.id, min(r.idx) AS result_idx, arg_min(r.raw_s
  FROM ({_CALLS}) u JOIN b r ON r.session=u.session AND r.kind='tool_result' AND r.tool_use_id=u.id AND r.idx>u.call_idx AND r.idx<=u.call_idx+4 GROUP BY ALL"""
 _STALE = f"""st AS (SELECT x.session, x.path, x.idx, coalesce(r.result_idx,-1) AS result_idx, x.raw_size//4 + coalesce(r.result_size//4,0) AS tokens
  FROM (SELECT *, lead(idx) OVER (PARTITION BY session,path,version ORDER BY idx) AS again FROM
-  (SELECT *, sum(CASE WHEN name='Edit' THEN 1 ELSE 0 END) OVER (PARTITION BY session,path ORDER BY idx) AS version FROM b WHERE kind='tool_use') WHERE name='Read') x
+  (SELECT *, sum(CASE WHEN name IN ('Edit','Write') THEN 1 ELSE 0 END) OVER (PARTITION BY session,path ORDER BY idx) AS version FROM b WHERE kind='tool_use' AND name IN ('Read','Edit','Write')) WHERE name='Read') x
  LEFT JOIN ({_RESULTS}) r ON r.session=x.session AND r.id=x.id WHERE again IS NOT NULL)"""
 _RETRY = """rt AS (SELECT f.session, f.call_idx, f.error_idx, min(n.idx) AS retry_idx, f.call_size//4 + f.error_size//4 AS tokens FROM
- (SELECT e.session, e.idx AS error_idx, e.raw_size AS error_size, max(u.idx) AS call_idx, arg_max(u.raw_size,u.idx) AS call_size, arg_max(u.name||':'||u.path,u.idx) AS sig
+ (SELECT e.session, e.idx AS error_idx, e.raw_size AS error_size, max(u.idx) AS call_idx, arg_max(u.raw_size,u.idx) AS call_size, arg_max(u.sig,u.idx) AS sig
   FROM b e JOIN b u ON u.session=e.session AND u.kind='tool_use' AND u.id=e.tool_use_id AND u.idx<e.idx AND u.idx>=e.idx-5 WHERE e.kind='tool_result' AND e.is_error GROUP BY ALL) f
- JOIN b n ON n.session=f.session AND n.kind='tool_use' AND n.name||':'||n.path=f.sig AND n.idx>f.error_idx AND n.idx<=f.error_idx+6 GROUP BY ALL)"""
+ JOIN b n ON n.session=f.session AND n.kind='tool_use' AND n.sig=f.sig AND n.idx>f.error_idx AND n.idx<=f.error_idx+6 GROUP BY ALL)"""
 _LINKS = """mp AS (SELECT session, idx, parent_uuid FROM e WHERE parent_uuid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM e k WHERE k.session=e.session AND k.uuid=e.parent_uuid)),
 orp AS (SELECT session, idx, tool_use_id FROM b WHERE kind='tool_result' AND NOT EXISTS (SELECT 1 FROM b k WHERE k.kind='tool_use' AND k.session=b.session AND k.id=b.tool_use_id)),
 sc AS (SELECT session, idx, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM
- (SELECT session, idx, 'missing_parent' AS reason FROM mp UNION ALL SELECT session, idx, 'orphan_result' FROM orp) GROUP BY ALL)"""
+ (SELECT session, idx, 'missing_parent' AS reason FROM mp UNION ALL SELECT session, idx, 'orphaned_tool_result' FROM orp UNION ALL SELECT session, idx, 'flagged_sidechain' FROM e WHERE is_sidechain) GROUP BY ALL)"""
 
 
 def _tangent(start: str) -> str:
     return f"""t0 AS (SELECT *, coalesce(NOT (path='/w/r0' OR starts_with(path,'/w/r0/')),false) AS ext, coalesce(path='/w/r0' OR starts_with(path,'/w/r0/'),false) AS home, type IN ('user','assistant') AS conv FROM e),
-t1 AS (SELECT *, coalesce(tool='Edit' AND home,false) AS m, coalesce(last_value(CASE WHEN conv THEN ext END IGNORE NULLS) OVER (PARTITION BY session ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),false) AS pv FROM t0),
+t1 AS (SELECT *, coalesce(tool IN ('Edit','Write','Bash') AND home,false) AS m, coalesce(last_value(CASE WHEN conv THEN ext END IGNORE NULLS) OVER (PARTITION BY session ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),false) AS pv FROM t0),
 t2 AS (SELECT *, (m OR (home AND NOT ext) OR (conv AND NOT ext AND NOT home AND NOT pv)) AS brk, ({start}) AS st FROM t1),
 t3 AS (SELECT *, sum(CASE WHEN brk THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY idx) AS isl FROM t2),
 tg AS (SELECT * FROM (SELECT *, max(CASE WHEN st THEN 1 ELSE 0 END) OVER (PARTITION BY session, isl ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS live FROM t3) WHERE NOT brk AND live=1)"""
@@ -211,7 +212,7 @@ _GROWTH = """SELECT session, cur AS current_ctx, round(g,6) AS growth_rate, CASE
         (SELECT session, max(le) AS cuts, coalesce(arg_max(ctx,idx) FILTER (WHERE ctx IS NOT NULL),0) AS cur, arg_min(ctx,idx) FILTER (WHERE ctx IS NOT NULL AND epoch=le) AS st,
         count(*) FILTER (WHERE ctx IS NOT NULL AND epoch=le) AS uses, count(*) FILTER (WHERE type IN ('user','assistant')) AS talk
         FROM (SELECT *, max(epoch) OVER (PARTITION BY session) AS le FROM ep) GROUP BY session))"""
-_SUMMARY = """SELECT session, epoch, count(*) FILTER (WHERE type IN ('user','assistant')) AS turns, coalesce(max(ctx),0) AS peak_ctx, count(DISTINCT path) AS files, count(*) FILTER (WHERE tool='Read') AS reads, count(*) FILTER (WHERE tool='Edit') AS edits
+_SUMMARY = """SELECT session, epoch, count(*) FILTER (WHERE type IN ('user','assistant')) AS turns, coalesce(max(ctx),0) AS peak_ctx, count(DISTINCT path) AS files, count(*) FILTER (WHERE tool='Read') AS reads, count(*) FILTER (WHERE tool IN ('Edit','Write')) AS edits
  FROM (SELECT *, max(epoch) OVER (PARTITION BY session) AS le FROM ep) WHERE epoch<le GROUP BY session, epoch"""
 _METRICS = f"""gr AS ({_GROWTH}),
 mx AS (SELECT p.session, coalesce(n.noise_tokens,0) AS noise_tokens, n.biggest, g.current_ctx, round(g.current_ctx*100.0/200000,4) AS usage_percent, g.growth_rate, g.turns_left, p.cuts,
@@ -220,7 +221,7 @@ mx AS (SELECT p.session, coalesce(n.noise_tokens,0) AS noise_tokens, n.biggest,
  FROM (SELECT session, max(le) AS cuts, count(*) FILTER (WHERE epoch=le AND ctx IS NOT NULL) AS uses, count(*) FILTER (WHERE type IN ('user','assistant')) AS talk FROM (SELECT *, max(epoch) OVER (PARTITION BY session) AS le FROM ep) GROUP BY session) p
  JOIN gr g ON g.session=p.session LEFT JOIN hl n ON n.session=p.session
  LEFT JOIN (SELECT session, round(CAST(sum(CAST(dollars AS DECIMAL(20,9))) AS DOUBLE),9) AS d FROM cost GROUP BY session) k ON k.session=p.session
- LEFT JOIN (SELECT session, CAST(sum(least(n,5)) AS BIGINT) AS n FROM (SELECT session, epoch, count(*) AS n FROM (SELECT *, max(epoch) OVER (PARTITION BY session) AS le FROM ep) WHERE tool='Edit' AND epoch<le GROUP BY ALL) GROUP BY session) x ON x.session=p.session
+ LEFT JOIN (SELECT session, CAST(sum(least(n,5)) AS BIGINT) AS n FROM (SELECT session, epoch, count(*) AS n FROM (SELECT *, max(epoch) OVER (PARTITION BY session) AS le FROM ep) WHERE tool IN ('Edit','Write') AND epoch<le GROUP BY ALL) GROUP BY session) x ON x.session=p.session
  LEFT JOIN (SELECT session, round(sum(out_scope)/CAST(greatest(sum(in_scope)+sum(out_scope),1) AS DOUBLE),6) AS drift FROM sp GROUP BY session) f ON f.session=p.session),
 de AS (SELECT session, decisions, round(CASE WHEN decisions>0 THEN dollars/decisions ELSE 0 END,6) AS cpd, CASE WHEN decisions>0 THEN talk//decisions ELSE 0 END AS ttc,
  round(CASE WHEN decisions>0 AND talk>0 THEN decisions/CAST(talk AS DOUBLE) ELSE 0 END,6) AS density, CASE WHEN decisions>0 THEN drift ELSE 0 END AS cdr FROM mx)"""
@@ -255,7 +256,7 @@ ORACLE_SQL: dict[str, str] = {
     "missing_parents": _with("SELECT * FROM mp", _LINKS),
     "orphan_results": _with("SELECT * FROM orp", _LINKS),
     "detect_sidechains": _with(
-        """SELECT session, idx, reasons, dense_rank() OVER (PARTITION BY session ORDER BY run)-1 AS grp, reconnect_to FROM (SELECT *, idx-row_number() OVER (PARTITION BY session ORDER BY idx) AS run FROM
+        """SELECT session, idx, reasons, dense_rank() OVER (PARTITION BY session ORDER BY run)-1 AS grp, reconnect_to, CASE WHEN contains(reasons,'orphaned_tool_result') OR reconnect_to IS NULL THEN 'prune-only' ELSE 'repairable' END AS class FROM (SELECT *, idx-row_number() OVER (PARTITION BY session ORDER BY idx) AS run FROM
         (SELECT e.session, e.idx, sc.reasons, last_value(CASE WHEN e.parent_uuid IS NOT NULL AND coalesce(sc.reasons,'') NOT LIKE '%missing_parent%' THEN e.uuid END IGNORE NULLS) OVER (PARTITION BY e.session ORDER BY e.idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reconnect_to
         FROM e LEFT JOIN sc ON sc.session=e.session AND sc.idx=e.idx) WHERE reasons IS NOT NULL)""",
         _LINKS,
@@ -280,12 +281,12 @@ ORACLE_SQL: dict[str, str] = {
     "epoch_scopes": _with("SELECT * FROM sp", _SCOPE),
     "scope_drift": _with("SELECT session, CAST(sum(in_scope) AS BIGINT) AS in_scope, CAST(sum(out_scope) AS BIGINT) AS out_scope, round(sum(out_scope)/CAST(greatest(sum(in_scope)+sum(out_scope),1) AS DOUBLE),6) AS drift FROM sp GROUP BY session", _SCOPE),
     "half_life": _with("SELECT session, epoch, count(*) AS files, count(*) FILTER (WHERE l=epoch) AS dropped, round(count(*) FILTER (WHERE l=epoch)/CAST(count(*) AS DOUBLE),6) AS decay FROM (SELECT *, max(epoch) OVER (PARTITION BY session, path) AS l FROM (SELECT DISTINCT session, epoch, path FROM ep WHERE path IS NOT NULL)) GROUP BY ALL"),
-    "ghost_files": _with("SELECT DISTINCT a.session, a.epoch, a.path FROM ep a JOIN ep z ON z.session=a.session AND z.epoch=a.epoch+1 AND z.path=a.path AND z.tool='Edit' WHERE a.path IS NOT NULL"),
+    "ghost_files": _with("SELECT DISTINCT a.session, a.epoch, a.path FROM ep a JOIN ep z ON z.session=a.session AND z.epoch=a.epoch+1 AND z.path=a.path AND z.tool IN ('Edit','Write') WHERE a.path IS NOT NULL"),
     "epoch_diff": _with(
         """SELECT session, epoch, CAST(len([x for x in f if NOT list_contains(pf,x)]) AS BIGINT) AS added, CAST(len([x for x in pf if NOT list_contains(f,x)]) AS BIGINT) AS dropped, CAST(len([x for x in f if list_contains(pf,x)]) AS BIGINT) AS kept
         FROM (SELECT *, lag(f) OVER (PARTITION BY session ORDER BY epoch) AS pf FROM (SELECT session, epoch, coalesce(list(DISTINCT path) FILTER (WHERE path IS NOT NULL),[]) AS f FROM ep GROUP BY ALL)) WHERE pf IS NOT NULL"""
     ),
-    "top_files": _with("SELECT session, rank, path, writes FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY writes DESC, path) AS rank FROM (SELECT session, path, count(*) AS writes FROM e WHERE tool='Edit' GROUP BY ALL)) WHERE rank<=3"),
+    "top_files": _with("SELECT session, rank, path, writes FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY writes DESC, path) AS rank FROM (SELECT session, path, count(*) AS writes FROM e WHERE tool IN ('Edit','Write') GROUP BY ALL)) WHERE rank<=3"),
     "health": _with("SELECT session, noise_tokens, round(p,4) AS signal_percent, CASE WHEN p>90 THEN 'A' WHEN p>75 THEN 'B' WHEN p>60 THEN 'C' WHEN p>40 THEN 'D' ELSE 'F' END AS grade, biggest FROM hl", _TAGS),
     "entropy": _with(
         """SELECT session, round(x,9) AS score, CASE WHEN x<=20 THEN 'LOW' WHEN x<=50 THEN 'MEDIUM' WHEN x<=75 THEN 'HIGH' ELSE 'CRITICAL' END AS level FROM (SELECT hl.session, 100*(0.30*(1-round(p,4)/100)+0.25*least(cur/165000.0::DOUBLE,1.0)+0.20*coalesce(d.drift,0)
@@ -301,9 +302,9 @@ ORACLE_SQL: dict[str, str] = {
     "file_touch_edges": _with("SELECT path, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS touches FROM (SELECT path, session, count(*) AS n FROM e WHERE path IS NOT NULL GROUP BY ALL HAVING count(*)>=2) GROUP BY path HAVING count(*)>=2"),
     "temporal_edges": _with(
         """SELECT session, next_session, gap_seconds FROM (SELECT *, greatest(CAST(epoch(date_trunc('second',na)) AS BIGINT)-CAST(epoch(date_trunc('second',z)) AS BIGINT),0) AS gap_seconds FROM
-        (SELECT *, lead(session) OVER w AS next_session, lead(a) OVER w AS na FROM (SELECT session, min(ts) AS a, max(ts) AS z FROM e GROUP BY session) WINDOW w AS (PARTITION BY CAST(session AS BIGINT)%10 ORDER BY a, CAST(session AS BIGINT))) WHERE next_session IS NOT NULL) WHERE gap_seconds<=86400"""
+        (SELECT *, lead(session) OVER w AS next_session, lead(a) OVER w AS na FROM (SELECT session, project, min(ts) AS a, max(ts) AS z FROM e GROUP BY session, project) WINDOW w AS (PARTITION BY project ORDER BY a, session)) WHERE next_session IS NOT NULL) WHERE gap_seconds<=86400"""
     ),
-    "file_lineage": _with("SELECT session, idx, CASE tool WHEN 'Read' THEN 'read' ELSE 'edit' END AS action, path FROM e WHERE path='f3' OR path LIKE '%/f3'"),
+    "file_lineage": _with("SELECT session, idx, CASE tool WHEN 'Read' THEN 'read' WHEN 'Write' THEN 'write' WHEN 'Edit' THEN 'edit' WHEN 'Grep' THEN 'search' ELSE 'bash' END AS action, path FROM e WHERE path='f3' OR path LIKE '%/f3'"),
     "chain_integrity": _with(
         """SELECT session, len AS length, top_parent IS NOT NULL AS broken, top_type='assistant' AS starts_with_assistant FROM (SELECT session, max(d)+1 AS len, arg_max(struct_pack(p := parent_uuid),d).p AS top_parent, arg_max(type,d) AS top_type FROM walk GROUP BY session)""",
         """walk AS (SELECT session, uuid, parent_uuid, type, 0 AS d FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY idx DESC) AS r FROM e) WHERE r=1
@@ -421,3 +422,9 @@ ORACLE_SQL: dict[str, str] = {
     "stream_cost_windows": _with("SELECT CAST(DATE '1970-01-01' + CAST(7*floor(epoch(ts)/604800.0) AS INT) AS DATE) AS week_start, count(*) AS turns, round(CAST(sum(CAST(dollars AS DECIMAL(20,9))) AS DOUBLE),9) AS dollars FROM cost GROUP BY 1"),
     "comment_scan": r"""SELECT page_id, CAST(len(c) AS BIGINT) AS comments, CAST(len([x for x in c if contains(lower(x),'nav') OR contains(lower(x),'ad')]) AS BIGINT) AS hits FROM (SELECT page_id, regexp_extract_all(html,'<!--(.*?)-->',1) AS c FROM pages)""",
 } | ORDER_SQL
+
+_VIEWS, _VIEW_SQL = views.build(
+    _entries, _blocks, _both, _priced, _scored, _of, _with, _tangent, {"first": _FIRST, "tags": _TAGS, "scope": _SCOPE, "metrics": _METRICS}, ORACLE_SQL
+)
+QUERIES |= _VIEWS
+ORACLE_SQL |= _VIEW_SQL
