@@ -60,25 +60,47 @@ def chain_integrity(entries: DataFrame) -> DataFrame:
     return out.select("session", (F.col("steps") + 1).alias("length"), F.col("beyond").isNotNull().alias("broken"), (F.col("type") == "assistant").alias("starts_with_assistant"))
 
 
+def _descendants(links: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
+    """session, uuid of `seeds` and all rows below them. links: session, uuid, parent_uuid, one row a uuid; null ends a chain.
+
+    Pointers double each round; a row is done when its pointer has met a seed or has ended.
+    """
+    marked = links.join(seeds.select("session", "uuid", F.lit(True).alias("gone")), ["session", "uuid"], "left")
+    rows = _cut(marked.select("session", "uuid", F.when(F.col("gone").isNull(), F.col("parent_uuid")).alias("up"), F.coalesce("gone", F.lit(False)).alias("gone")))
+    for _ in range(rounds):
+        if not rows.filter("up is not null").limit(1).count():
+            break
+        ahead = rows.select("session", F.col("uuid").alias("up"), F.col("up").alias("next"), F.col("gone").alias("met"))
+        met = F.coalesce("met", F.lit(False))
+        rows = _cut(rows.join(ahead, ["session", "up"], "left").select("session", "uuid", F.when(~met, F.col("next")).alias("up"), (F.col("gone") | met).alias("gone")))
+    return rows.filter("gone").select("session", "uuid")
+
+
 def cascade(entries: DataFrame, results: DataFrame, seeds: DataFrame, keep: DataFrame | None = None) -> DataFrame:
     """session, uuid of all rows that go with `seeds` (session, uuid): children of any, result owners of calls.
 
-    results: session, uuid (of the owner), call_uuid. Rows of `keep` stay and stop the cascade. It goes to any
-    depth, a join of the frontier a hop, and ends as every hop adds rows that were not gone.
+    results: session, uuid (of the owner), call_uuid. Rows of `keep` stay and stop the cascade. It goes to any depth:
+    children are found by doubling pointers, and only a call that went above an owner that did not asks for another
+    turn. Of rows with one uuid the last counts.
     """
-    edges = entries.filter("parent_uuid is not null").select("session", F.col("parent_uuid").alias("src"), F.col("uuid").alias("dst"))
-    edges = edges.union(results.select("session", F.col("call_uuid").alias("src"), F.col("uuid").alias("dst"))).distinct()
-    if keep is not None:
-        edges = edges.join(keep.select("session", F.col("uuid").alias("dst")), ["session", "dst"], "left_anti").select("session", "src", "dst")
-        seeds = seeds.join(keep.select("session", "uuid"), ["session", "uuid"], "left_anti")
-    edges = _cut(edges)
-    gone = front = _cut(seeds.select("session", "uuid").distinct())
+    links = last_by_uuid(entries).select("session", "uuid", "parent_uuid")
+    kept = keep.select("session", "uuid").distinct() if keep is not None else None
+    if kept is not None:
+        links = links.join(kept.withColumn("kept", F.lit(True)), ["session", "uuid"], "left").select("session", "uuid", F.when(F.col("kept").isNull(), F.col("parent_uuid")).alias("parent_uuid"))
+        seeds = seeds.join(kept, ["session", "uuid"], "left_anti")
+        results = results.join(kept, ["session", "uuid"], "left_anti")
+    seeds = seeds.select("session", "uuid").distinct()
+    unseen = seeds.join(links, ["session", "uuid"], "left_anti").withColumn("parent_uuid", F.lit(None).cast(links.schema["parent_uuid"].dataType))
+    links = _cut(links.unionByName(unseen))
+    rounds = int(links.groupBy("session").count().agg(F.max("count")).first()[0] or 1).bit_length() + 1
+    owners = _cut(results.select("session", "uuid", F.col("call_uuid").alias("call")).distinct())
     while True:
-        step = front.withColumnRenamed("uuid", "src").join(edges, ["session", "src"]).select("session", F.col("dst").alias("uuid")).distinct()
-        front = _cut(step.join(gone, ["session", "uuid"], "left_anti"))
-        if not front.limit(1).count():
+        gone = _cut(_descendants(links, seeds, rounds))
+        more = owners.join(gone.withColumnRenamed("uuid", "call"), ["session", "call"], "left_semi").select("session", "uuid").distinct()
+        more = _cut(more.join(gone, ["session", "uuid"], "left_anti"))
+        if not more.limit(1).count():
             return gone
-        gone = _cut(gone.union(front))
+        seeds = gone.union(more)
 
 
 def resolve_parents(entries: DataFrame, gone: DataFrame) -> DataFrame:

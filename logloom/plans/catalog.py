@@ -15,7 +15,8 @@ from .streams import STREAM_QUERIES
 
 KEYWORDS = ["tion", "the"]
 PHRASES = ["nav", "ad"]
-SIGNS = ["ad", "click"]
+#: Words that occur in the pages, besides the operator's own phrases.
+SIGNS = [*injection.IMPERATIVE, "ad", "click"]
 TODO, QUESTION = "(^|[^a-z])(the|tion)([^a-z]|$)", "(^|[^a-z])(an|of)([^a-z]|$)"
 
 
@@ -189,7 +190,7 @@ def _first(patterns: list[str]) -> str:
     return f"CASE {cases} END"
 
 
-_SIGN = "CASE WHEN contains(lower({0}),'ad') THEN 'ad' WHEN contains(lower({0}),'click') THEN 'click' END"
+_SIGN = "CASE " + " ".join(f"WHEN contains(lower({{0}}),'{p}') THEN '{p}'" for p in SIGNS) + " END"
 _INJECTION = f"""WITH inj AS (SELECT page_id, kind, severity, pattern FROM (
  SELECT page_id, 'zero_width' AS kind, 'critical' AS severity, nullif(regexp_extract(html,'[{"".join(chr(int(c[2:], 16)) for c in injection.ZERO_WIDTH)}]',0),'') AS pattern FROM pages
  UNION ALL SELECT page_id, 'system_like', 'high', {_first(injection.SYSTEM_LIKE)} FROM pages
@@ -398,6 +399,14 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "noise_multiplier": _with("SELECT session, round(ratio,6) AS multiplier, noise_tokens*greatest(turns_left,0) AS projected_tokens FROM mx", _TAGS, _SCOPE, _METRICS),
     "clean_audit": _with("SELECT session, phase, count(*) AS rows, CAST(sum(raw_size) AS BIGINT) AS bytes, CAST(sum(raw_size//4) AS BIGINT) AS tokens FROM out JOIN e USING (session, idx) GROUP BY ALL", _TAGS, _OUT),
+    "clean_all": _with(
+        """SELECT k.session, row_number() OVER (PARTITION BY k.session ORDER BY k.idx)-1 AS idx, k.uuid, CASE WHEN p.uuid IS NULL THEN k.parent_uuid ELSE t.target END AS parent_uuid, k.type
+        FROM (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM out o WHERE o.session=e.session AND o.idx=e.idx)) k LEFT JOIN gone p ON p.session=k.session AND p.uuid=k.parent_uuid
+        LEFT JOIN (SELECT session, origin, arg_max(struct_pack(p := parent_uuid),d).p AS target FROM up GROUP BY ALL) t ON t.session=k.session AND t.origin=k.parent_uuid""",
+        _TAGS, _OUT, "gone AS (SELECT e.session, e.uuid, e.parent_uuid FROM e JOIN out o ON o.session=e.session AND o.idx=e.idx)",
+        """up AS (SELECT session, uuid AS origin, parent_uuid, 0 AS d FROM gone
+        UNION ALL SELECT u.session, u.origin, g.parent_uuid, u.d+1 FROM up u JOIN gone g ON g.session=u.session AND g.uuid=u.parent_uuid)""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
     "clean_tiers": _with("SELECT session, row_number() OVER (PARTITION BY session ORDER BY idx)-1 AS idx, uuid, type FROM e WHERE NOT EXISTS (SELECT 1 FROM out o WHERE o.session=e.session AND o.idx=e.idx AND o.phase NOT IN ('tangents','sidechains'))", _TAGS, _OUT.replace("WHERE category", "WHERE category NOT IN ('tangents','sidechains') AND category")),
     "delete_rows": _with(
         """SELECT k.session, k.idx, k.uuid, CASE WHEN p.uuid IS NULL THEN k.parent_uuid ELSE t.target END AS parent_uuid FROM (SELECT * FROM e WHERE type<>'progress') k

@@ -91,6 +91,17 @@ def strip_type(lines: DataFrame, kind: str) -> DataFrame:
     return lines.filter(~(F.col("raw").contains(f'"type":"{kind}"') | F.col("raw").contains(f'"type": "{kind}"')))
 
 
+def with_parents(rows: DataFrame) -> DataFrame:
+    """`rows` with the parent of the line itself as in the column parent_uuid; lines whose parent is the same stay as read."""
+    old = F.expr("nullif(get_json_object(raw, '$.parentUuid'), '')")
+    new = F.coalesce(F.concat(F.lit('"'), F.col("parent_uuid").cast("string"), F.lit('"')), F.lit("null"))
+    line = F.col("raw")
+    for gap in ("", " "):
+        line = F.replace(line, F.concat(F.lit(f'"parentUuid":{gap}"'), old, F.lit('"')), F.concat(F.lit(f'"parentUuid":{gap}'), new))
+    return rows.withColumn("raw", F.when(old.isNull() | old.eqNullSafe(F.col("parent_uuid").cast("string")), F.col("raw")).otherwise(line))
+
+
 def write_sessions(rows: DataFrame, path: str, order: str = "idx") -> None:
-    """One folder a session under a new path, lines in order."""
+    """One folder a session under a new path, lines in order, parents as in the column parent_uuid where there is one."""
+    rows = with_parents(rows) if "parent_uuid" in rows.columns else rows
     rows.repartition("session").sortWithinPartitions("session", order).select("session", F.col("raw").alias("value")).write.partitionBy("session").text(path)
