@@ -125,7 +125,8 @@ def with_next(docs: DataFrame, columns: list[str], ranges: int = RANGES, parts:
     if not after:
         return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
     homes = docs.sparkSession.createDataFrame(list(after.items()), "_range int, _id long")  # one row a range
-    head = keyed.drop("_range").join(F.broadcast(homes), "_id").groupBy("_id", "_range").agg(F.min(F.struct(*columns)).alias("_h"))
+    firsts = keyed.drop("_range").join(F.broadcast(homes.select("_id")), "_id", "left_semi")  # goes below what makes the columns
+    head = firsts.groupBy("_id").agg(F.min(F.struct(*columns)).alias("_h")).join(F.broadcast(homes), "_id")
     ends = head.select(F.lit(None).cast("long").alias("doc_id"), *[F.col(f"_h.{c}").alias(c) for c in columns], "_id", "_range", F.lit(1).alias("_end"))
     every = keyed.select("doc_id", *columns, "_id", "_range", F.lit(0).alias("_end")).unionByName(ends)
     w = Window.partitionBy("_range").orderBy("_end", F.desc("_id"), *columns)
