@@ -58,11 +58,12 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocks(rows: DataFrame) -> DataFrame:
-    """session, idx, kind, name, path, id, tool_use_id, is_error, raw_size of each tool call and tool result."""
+    """session, idx, kind, name, path, id, tool_use_id, is_error, raw_size, command, pattern of each tool call and tool result; the last two are null where `rows` has none."""
     kind = F.when(F.col("tool").isNotNull(), "tool_use").when(F.col("result_for").isNotNull(), "tool_result")
     found = rows.select(
         "session", "idx", kind.alias("kind"), F.col("tool").alias("name"), "path",
-        F.when(F.col("tool").isNotNull(), F.col("uuid")).alias("id"), F.col("result_for").alias("tool_use_id"), "is_error", "raw_size", "command", "pattern",
+        F.when(F.col("tool").isNotNull(), F.col("uuid")).alias("id"), F.col("result_for").alias("tool_use_id"), "is_error", "raw_size",
+        *[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("command", "pattern")],
     )
     return found.filter("kind is not null")
 
