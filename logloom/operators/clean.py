@@ -12,9 +12,8 @@ PHASES = ("progress", "sidechains", "tangents", "failed_retries", "stale_reads")
 
 def delete_rows(entries: DataFrame, gone: DataFrame) -> DataFrame:
     """`entries` without the rows of `gone` (session, uuid), children re-pointed to the nearest row that stays."""
-    parents = graphops.resolve_parents(entries, gone)
-    rest = entries.join(gone.select("session", "uuid"), ["session", "uuid"], "left_anti").drop("parent_uuid")
-    return rest.join(parents, ["session", "uuid"])
+    rest = entries.join(gone.select("session", "uuid"), ["session", "uuid"], "left_anti")
+    return graphops.repoint(rest, graphops.targets(entries, gone))
 
 
 def marked(entries: DataFrame, blocks: DataFrame, phases: tuple[str, ...] = PHASES, keep: DataFrame | None = None) -> DataFrame:
@@ -34,8 +33,7 @@ def clean_all(entries: DataFrame, blocks: DataFrame, phases: tuple[str, ...] = P
     out = marked(entries, blocks, phases, keep)
     gone = entries.join(out.select("session", "idx"), ["session", "idx"], "left_semi").select("session", "uuid").filter("uuid is not null")
     rest = entries.join(out.select("session", "idx"), ["session", "idx"], "left_anti")
-    parents = graphops.resolve_parents(entries.filter("uuid is not null"), gone)
-    rest = rest.drop("parent_uuid").join(parents, ["session", "uuid"], "left")
+    rest = graphops.repoint(rest, graphops.targets(entries, gone))
     return rest.withColumn("idx", (F.row_number().over(sequence.by_idx()) - 1).cast("long"))
 
 

@@ -103,19 +103,27 @@ def cascade(entries: DataFrame, results: DataFrame, seeds: DataFrame, keep: Data
         seeds = gone.union(more)
 
 
+def targets(entries: DataFrame, gone: DataFrame) -> DataFrame:
+    """session, parent_uuid, target, was_gone: for each row of `gone` (session, uuid) its nearest ancestor that stays, null if there is none."""
+    links = last_by_uuid(entries).select("session", "uuid", "parent_uuid")
+    removed = links.join(gone.select("session", "uuid").distinct(), ["session", "uuid"], "left_semi")
+    inside = removed.select("session", F.col("uuid").alias("parent_uuid"), F.lit(True).alias("in_gone"))
+    chain = removed.join(inside, ["session", "parent_uuid"], "left").select("session", "uuid", F.when(F.col("in_gone"), F.col("parent_uuid")).alias("parent_uuid"))
+    tops = ancestors(chain).filter("not looped").select("session", F.col("uuid").alias("parent_uuid"), "top")
+    final = tops.join(removed.select("session", F.col("uuid").alias("top"), F.col("parent_uuid").alias("target")), ["session", "top"]).select("session", "parent_uuid", "target")
+    return removed.select("session", F.col("uuid").alias("parent_uuid"), F.lit(True).alias("was_gone")).join(final, ["session", "parent_uuid"], "left")
+
+
+def repoint(rows: DataFrame, to: DataFrame) -> DataFrame:
+    """`rows` whose removed parents are replaced (see `targets`); every row stays once, also without or with a shared uuid."""
+    out = rows.join(to, ["session", "parent_uuid"], "left").withColumn("parent_uuid", F.when(F.col("was_gone"), F.col("target")).otherwise(F.col("parent_uuid")))
+    return out.select(*rows.columns)
+
+
 def resolve_parents(entries: DataFrame, gone: DataFrame) -> DataFrame:
     """session, uuid, parent_uuid of the rows that stay, re-pointed to their nearest ancestor that stays.
 
     A parent that is not there is kept as it is; a chain that ends in a removed row gives null.
     """
-    links = last_by_uuid(entries).select("session", "uuid", "parent_uuid")
-    marked = links.join(gone.select("session", "uuid", F.lit(True).alias("gone")), ["session", "uuid"], "left")
-    removed = marked.filter("gone").select("session", "uuid", "parent_uuid")
-    inside = removed.select("session", F.col("uuid").alias("parent_uuid"), F.lit(True).alias("in_gone"))
-    chain = removed.join(inside, ["session", "parent_uuid"], "left").select("session", "uuid", F.when(F.col("in_gone"), F.col("parent_uuid")).alias("parent_uuid"))
-    tops = ancestors(chain).filter("not looped").select("session", F.col("uuid").alias("parent_uuid"), "top")
-    final = tops.join(removed.select("session", F.col("uuid").alias("top"), F.col("parent_uuid").alias("target")), ["session", "top"]).select("session", "parent_uuid", "target", F.lit(True).alias("hit"))
-    kept = entries.join(gone, ["session", "uuid"], "left_anti").select("session", "uuid", "parent_uuid")
-    lost = removed.select("session", F.col("uuid").alias("parent_uuid"), F.lit(True).alias("was_gone"))
-    out = kept.join(final, ["session", "parent_uuid"], "left").join(lost, ["session", "parent_uuid"], "left")
-    return out.select("session", "uuid", F.when(F.col("was_gone"), F.col("target")).otherwise(F.col("parent_uuid")).alias("parent_uuid"))
+    kept = entries.join(gone.select("session", "uuid"), ["session", "uuid"], "left_anti").select("session", "uuid", "parent_uuid")
+    return repoint(kept, targets(entries, gone))

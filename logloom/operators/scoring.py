@@ -100,12 +100,14 @@ def prune_verdict(m: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def zombie(stats: DataFrame, size: int = 30 * 1024 * 1024, cuts: int = 12) -> DataFrame:
-    """session, signals of desktop sessions with two or more of: large file, lost context, many compactions.
+    """session, signals, reason of desktop sessions with two or more of: large file, lost context, many compactions.
 
     stats: session, starts_queued, bytes, current_ctx, assistant_rows, compactions.
     """
-    n = (F.col("bytes") > size).cast("int") + ((F.col("current_ctx") == 0) & (F.col("assistant_rows") > 10)).cast("int") + (F.col("compactions") > cuts).cast("int")
-    return stats.filter("starts_queued").withColumn("signals", n).filter("signals >= 2").select("session", "signals")
+    large, many, none = F.col("bytes") > size, F.col("compactions") > cuts, F.col("current_ctx") == 0
+    n = large.cast("int") + (none & (F.col("assistant_rows") > 10)).cast("int") + many.cast("int")
+    reason = F.when(large & none, "large file, lost context").when(many & none, "many compactions, lost context").when(large & many, "large file, many compactions").otherwise("too large")
+    return stats.filter("starts_queued").withColumn("signals", n.cast("long")).filter("signals >= 2").select("session", "signals", reason.alias("reason"))
 
 
 def noise_multiplier(m: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, cost, cross, graphops, injection, noise, reports, scoring, sequence, text
 from ..sources import bridge
-from . import views
+from . import rewrites, views
 from .orders import ORDER_QUERIES, ORDER_SQL
 from .streams import STREAM_QUERIES
 
@@ -437,3 +437,8 @@ _VIEWS, _VIEW_SQL = views.build(
 )
 QUERIES |= _VIEWS
 ORACLE_SQL |= _VIEW_SQL
+_REWRITES, _REWRITE_SQL = rewrites.build(
+    _entries, _blocks, _both, _priced, _scored, _of, _with, _tangent, {"first": _FIRST, "tags": _TAGS, "scope": _SCOPE, "metrics": _METRICS}, ORACLE_SQL
+)
+QUERIES |= _REWRITES
+ORACLE_SQL |= _REWRITE_SQL
