@@ -43,7 +43,7 @@ def record_snapshot(entries: DataFrame, blocks: DataFrame, prices: DataFrame) ->
     for p in parts:
         base = base.join(p, "session", "left")
     hours = F.col("seconds") / 3600
-    return base.withColumn("hours", F.round(hours, 6)).withColumn("per_hour", F.round(F.when(F.col("seconds") > 0, F.col("dollars") / hours), 6)).drop("seconds")
+    return base.withColumn("hours", hours).withColumn("per_hour", F.round(F.when(F.col("seconds") > 0, F.col("dollars") / hours), 6)).drop("seconds")
 
 
 def fleet_health(entries: DataFrame, blocks: DataFrame, prices: DataFrame) -> DataFrame:

@@ -142,7 +142,7 @@ def build(entries, blocks, both, priced, scored, of, sql, tangent, pieces: dict[
         "fleet_health": all_three(overview.fleet_health),
         "budget_actions": all_three(actions),
         "quick_list_scores": both(quick),
-        "zombie": entries(lambda e: scoring.zombie(_stats(e), 60_000, 3)),
+        "zombie": entries(lambda e: scoring.zombie(_stats(e), 60_000, 0)),
         "filter_snapshots": lambda s, d: overview.filter_snapshots(_orders(s, d), "180 days").select("session", "project"),
         "weekly_savings": lambda s, d: overview.weekly_savings(bridge.table(s, d, "lineitem").select(F.col("l_shipdate").alias("ts"), F.col("l_extendedprice").alias("avoided")), ANCHOR),
     }
@@ -194,7 +194,7 @@ def build(entries, blocks, both, priced, scored, of, sql, tangent, pieces: dict[
             pieces["scope"],
         ),
         "record_snapshot": sql(
-            f"""SELECT q.session, q.project, q.turns, q.compactions, x.usage_percent, h.grade AS signal_grade, h.signal_percent, h.noise_tokens, h.biggest AS top_noise, c.dollars, c.per_turn, c.primary_model, round(d.seconds/3600,6) AS hours, round(CASE WHEN d.seconds>0 THEN c.dollars/(d.seconds/3600) END,6) AS per_hour
+            f"""SELECT q.session, q.project, q.turns, q.compactions, x.usage_percent, h.grade AS signal_grade, h.signal_percent, h.noise_tokens, h.biggest AS top_noise, c.dollars, c.per_turn, c.primary_model, d.seconds/3600 AS hours, round(CASE WHEN d.seconds>0 THEN c.dollars/(d.seconds/3600) END,6) AS per_hour
             FROM (SELECT session, project, count(*) FILTER (WHERE type IN ('user','assistant')) AS turns, max(epoch) AS compactions FROM ep GROUP BY ALL) q LEFT JOIN ({oracle['session_duration']}) d ON d.session=q.session LEFT JOIN ({oracle['context_stats']}) x ON x.session=q.session
             LEFT JOIN ({oracle['health']}) h ON h.session=q.session LEFT JOIN ({oracle['session_cost']}) c ON c.session=q.session"""
         ),
@@ -210,7 +210,7 @@ def build(entries, blocks, both, priced, scored, of, sql, tangent, pieces: dict[
             f"""qk AS (SELECT s.session, s.cur AS current_ctx, s.cuts, h.sig, 1200.0::DOUBLE AS growth_rate, greatest(165000-s.cur,0)//1200 AS turns_left, 0 AS since, 0.0::DOUBLE AS usage_percent, CAST(NULL AS VARCHAR) AS biggest, CAST(floor(s.cur*(100-h.sig)/100.0::DOUBLE) AS BIGINT) AS noise_tokens,
             CAST(floor(s.cur*(100-h.sig)/100.0::DOUBLE) AS BIGINT)/CAST(s.cur AS DOUBLE) AS ratio FROM {stats} s JOIN (SELECT session, CAST(floor(signal_percent) AS BIGINT) AS sig FROM ({oracle['health']})) h ON h.session=s.session WHERE s.cur>0)""",
         ),
-        "zombie": sql(f"SELECT session, signals, CASE WHEN bytes>60000 AND cur=0 THEN 'large file, lost context' WHEN cuts>3 AND cur=0 THEN 'many compactions, lost context' WHEN bytes>60000 AND cuts>3 THEN 'large file, many compactions' ELSE 'too large' END AS reason FROM (SELECT *, CAST(CAST(bytes>60000 AS INT)+CAST(cur=0 AND talk>10 AS INT)+CAST(cuts>3 AS INT) AS BIGINT) AS signals FROM {stats} WHERE queued) WHERE signals>=2"),
+        "zombie": sql(f"SELECT session, signals, CASE WHEN bytes>60000 AND cur=0 THEN 'large file, lost context' WHEN cuts>0 AND cur=0 THEN 'many compactions, lost context' WHEN bytes>60000 AND cuts>0 THEN 'large file, many compactions' ELSE 'too large' END AS reason FROM (SELECT *, CAST(CAST(bytes>60000 AS INT)+CAST(cur=0 AND talk>10 AS INT)+CAST(cuts>0 AS INT) AS BIGINT) AS signals FROM {stats} WHERE queued) WHERE signals>=2"),
         "filter_snapshots": "SELECT o_orderkey AS session, o_custkey AS project FROM orders WHERE CAST(o_orderdate AS DATE) >= (SELECT max(CAST(o_orderdate AS DATE)) FROM orders) - INTERVAL 180 DAY",
         "weekly_savings": f"SELECT CAST(DATE '{ANCHOR}' + CAST(week*7 AS INT) AS DATE) AS week_start, count(*) AS events, round(CAST(sum(CAST(l_extendedprice AS DECIMAL(20,4))) AS DOUBLE),2) AS avoided FROM (SELECT *, floor(date_diff('day', DATE '{ANCHOR}', CAST(l_shipdate AS DATE))/7.0) AS week FROM lineitem) GROUP BY week",
         "stream_branches": sql("SELECT session, min(ts) AS first_ts, count(*) AS rows FROM (SELECT *, sum(CASE WHEN far THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY ts, idx) AS g FROM (SELECT *, coalesce(ts-lag(ts) OVER (PARTITION BY session ORDER BY ts, idx) > INTERVAL 12 HOUR,false) AS far FROM e)) GROUP BY session, g"),
