@@ -20,7 +20,9 @@ def clean_path(path: Column) -> Column:
 
     folded = F.aggregate(parts, F.expr("cast(array() as array<string>)"), step)
     joined = F.concat(F.when(rooted, "/").otherwise(""), F.array_join(folded, "/"))
-    return F.when(joined == "", ".").otherwise(joined)
+    # Most paths are clean; the fold is for the others.
+    plain = path.rlike(r"^/?[^/]") & ~path.rlike(r"//|(^|/)\.\.?(/|$)|/$")
+    return F.when(plain, path).otherwise(F.when(joined == "", ".").otherwise(joined))
 
 
 def external_root(path: Column, cwd: Column) -> Column:
@@ -66,7 +68,7 @@ def retry_signature(name: Column, path: Column, command: Column, pattern: Column
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions that Catalyst inlines: grade, retry_signature, project_name."""
+    """SQL functions that Catalyst inlines: grade, clean_path, decision_hint, retry_signature, project_name."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION grade(p DOUBLE) RETURNS STRING RETURN CASE WHEN p > 90 THEN 'A' WHEN p > 75 THEN 'B' WHEN p > 60 THEN 'C' WHEN p > 40 THEN 'D' ELSE 'F' END")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION retry_signature(tool STRING, path STRING, command STRING) RETURNS STRING RETURN CASE WHEN command IS NOT NULL THEN concat('Bash:', trim(command)) WHEN path IS NOT NULL THEN concat(tool, ':', path) ELSE tool END")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION project_name(f STRING) RETURNS STRING RETURN element_at(filter(split(f, '-'), x -> x != ''), -1)")

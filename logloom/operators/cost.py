@@ -12,27 +12,60 @@ from . import noise, sequence, tools
 DEFAULT_PRICE = {"p_in": 15.0, "p_out": 75.0, "p_write": 3.75, "p_read": 0.75}
 
 
+def touched(rows: DataFrame, *columns: str) -> DataFrame:
+    """`columns`, path, tool: a row each reference."""
+    return rows.select(*columns, F.explode("refs").alias("_r")).select(*columns, "_r.path", "_r.tool")
+
+
+def used_tools(rows: DataFrame, *columns: str) -> DataFrame:
+    """`columns`, tool: a row each call."""
+    return rows.select(*columns, F.explode("tools").alias("tool"))
+
+
+def paths_of(refs: str = "refs") -> Column:
+    return F.transform(refs, lambda r: r["path"])
+
+
+def count_paths() -> Column:
+    """How many different paths the rows of a group refer to."""
+    return F.size(F.array_distinct(F.flatten(F.collect_set(paths_of())))).cast("long")
+
+
 def total(column: str = "dollars") -> Column:
     """A sum of dollars that does not depend on the order of rows."""
     return F.sum(F.col(column).cast("decimal(20,9)"))
 
 
-def turn_costs(entries: DataFrame, prices: DataFrame) -> DataFrame:
-    """Rows with usage and dollars: each at its own model's price, by the longest prefix that fits; no model is 'unknown'."""
-    used = entries.filter("ctx is not null").withColumn("model", F.coalesce("model", F.lit("unknown")))
-    table = sorted((r.asDict() for r in prices.collect()), key=lambda r: (-len(r["prefix"]), r["prefix"]))  # a parameter of a few rows
+def price_table(prices: DataFrame | list[dict], most: int = 1000) -> list[dict]:
+    """The price list, the longest prefixes first. It is a parameter: a list of over `most` prefixes is refused."""
+    if isinstance(prices, list):
+        return prices
+    rows = [r.asDict() for r in prices.limit(most + 1).collect()]
+    if len(rows) > most:
+        raise ValueError(f"a price list of over {most} rows")
+    return sorted(rows, key=lambda r: (-len(r["prefix"]), r["prefix"]))
+
+
+def priced(model: Column, prices: DataFrame | list[dict]) -> Column:
+    """Dollars of a row's tokens at the price of a model, by the longest prefix that fits."""
+    table = price_table(prices)
 
     def price(r: dict) -> Column:
         return F.struct(*[F.lit(r[c]).cast("double").alias(c) for c in ("p_in", "p_out", "p_write", "p_read")])
 
     best = price(next((r for r in table if not r["prefix"]), DEFAULT_PRICE))
     for r in reversed([r for r in table if r["prefix"]]):
-        best = F.when(F.col("model").startswith(r["prefix"]), price(r)).otherwise(best)
-    dollars = (
-        F.col("input_tokens") * F.col("p.p_in") + F.col("output_tokens") * F.col("p.p_out")
-        + F.col("cache_creation_tokens") * F.col("p.p_write") + F.col("cache_read_tokens") * F.col("p.p_read")
+        best = F.when(model.startswith(r["prefix"]), price(r)).otherwise(best)
+    return (
+        F.col("input_tokens") * best["p_in"] + F.col("output_tokens") * best["p_out"]
+        + F.col("cache_creation_tokens") * best["p_write"] + F.col("cache_read_tokens") * best["p_read"]
     ) / 1e6
-    return used.withColumn("p", best).withColumn("dollars", dollars).drop("p")
+
+
+def turn_costs(entries: DataFrame, prices: DataFrame) -> DataFrame:
+    """Rows with usage and dollars: each at its own model's price, by the longest prefix that fits; no model is 'unknown'."""
+    used = entries.filter("ctx is not null").withColumn("model", F.coalesce("model", F.lit("unknown")))
+    return used.withColumn("dollars", priced(F.col("model"), prices))
 
 
 def model_cost(entries: DataFrame, prices: DataFrame) -> DataFrame:
@@ -76,10 +109,11 @@ def context_stats(entries: DataFrame) -> DataFrame:
 
 
 def epoch_scopes(entries: DataFrame) -> DataFrame:
-    """session, epoch, in_scope, out_scope: conversational rows with paths, counted in and out of scope."""
-    rows = sequence.scopes(sequence.assign_epochs(entries)).filter("conv and path is not null")
-    per = rows.groupBy("session", "epoch").agg(F.count_if("home").alias("in_scope"), F.count_if("ext").alias("out_scope"))
-    return per
+    """session, epoch, in_scope, out_scope: conversational rows with paths; a row with both kinds counts by its share, sums are rounded."""
+    rows = sequence.scopes(sequence.assign_epochs(entries)).filter("conv and n_ext + n_home > 0")
+    part = (F.col("n_ext") / (F.col("n_ext") + F.col("n_home"))).cast("decimal(20,9)")
+    whole = lambda c: F.floor(F.sum(c) + F.lit(0.5).cast("decimal(20,9)")).cast("long")
+    return rows.groupBy("session", "epoch").agg(whole(1 - part).alias("in_scope"), whole(part).alias("out_scope"))
 
 
 def scope_drift(entries: DataFrame) -> DataFrame:
@@ -90,7 +124,7 @@ def scope_drift(entries: DataFrame) -> DataFrame:
 
 def half_life(entries: DataFrame) -> DataFrame:
     """session, epoch, files, dropped, decay: the share of an epoch's files that no later epoch touches."""
-    rows = sequence.assign_epochs(entries).filter("path is not null").select("session", "epoch", "path").distinct()
+    rows = touched(sequence.assign_epochs(entries), "session", "epoch").select("session", "epoch", "path").distinct()
     rows = rows.withColumn("last", F.max("epoch").over(Window.partitionBy("session", "path")))
     per = rows.groupBy("session", "epoch").agg(F.count("*").alias("files"), F.count_if(F.col("last") == F.col("epoch")).alias("dropped"))
     return per.withColumn("decay", F.round(F.col("dropped") / F.col("files"), 6))
@@ -98,7 +132,7 @@ def half_life(entries: DataFrame) -> DataFrame:
 
 def ghost_files(entries: DataFrame) -> DataFrame:
     """session, epoch, path: files of an epoch that the next epoch writes."""
-    rows = sequence.assign_epochs(entries).filter("path is not null")
+    rows = touched(sequence.assign_epochs(entries), "session", "epoch")
     held = rows.select("session", "epoch", "path").distinct()
     written = rows.filter(F.col("tool").isin(*tools.SINGLE_WRITES)).select("session", (F.col("epoch") - 1).alias("epoch"), "path").distinct()
     return held.join(written, ["session", "epoch", "path"])
@@ -106,7 +140,7 @@ def ghost_files(entries: DataFrame) -> DataFrame:
 
 def epoch_diff(entries: DataFrame) -> DataFrame:
     """session, epoch, added, dropped, kept: files against the epoch before."""
-    sets = sequence.assign_epochs(entries).groupBy("session", "epoch").agg(F.collect_set("path").alias("files"))
+    sets = sequence.assign_epochs(entries).groupBy("session", "epoch").agg(F.array_distinct(F.flatten(F.collect_set(paths_of()))).alias("files"))
     before = F.lag("files").over(Window.partitionBy("session").orderBy("epoch"))
     pairs = sets.withColumn("before", before).filter("before is not null")
     return pairs.select(
@@ -117,7 +151,7 @@ def epoch_diff(entries: DataFrame) -> DataFrame:
 
 def top_files(entries: DataFrame, n: int = 3) -> DataFrame:
     """session, rank, path, writes: the files written most, ties by path."""
-    per = entries.filter(F.col("tool").isin(*tools.SINGLE_WRITES) & F.col("path").isNotNull()).groupBy("session", "path").agg(F.count("*").alias("writes"))
+    per = touched(entries, "session").filter(F.col("tool").isin(*tools.SINGLE_WRITES)).groupBy("session", "path").agg(F.count("*").alias("writes"))
     ranked = per.withColumn("rank", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("writes"), "path")).cast("long"))
     return ranked.filter(F.col("rank") <= n).select("session", "rank", "path", "writes")
 
@@ -126,6 +160,11 @@ def grade(percent: Column) -> Column:
     return F.when(percent > 90, "A").when(percent > 75, "B").when(percent > 60, "C").when(percent > 40, "D").otherwise("F")
 
 
+def grade_ratio(grade: Column) -> Column:
+    """The share that a grade stands for."""
+    return F.when(grade == "A", 0.95).when(grade == "B", 0.80).when(grade == "C", 0.65).when(grade == "D", 0.45).otherwise(0.20)
+
+
 def health(entries: DataFrame, blocks: DataFrame) -> DataFrame:
     """session, noise_tokens, signal_percent, grade, biggest: how much of the context is signal."""
     stats = context_stats(entries).select("session", "current_ctx")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import noise, tools
+from . import cost, noise, tools
 
 
 def file_stats(entries: DataFrame, n: int = 12) -> DataFrame:
     """path, touches, sessions of the `n` files touched most; ties by sessions, then path."""
-    per = entries.filter("path is not null").groupBy("path").agg(F.count("*").alias("touches"), F.count_distinct("session").alias("sessions"))
+    per = cost.touched(entries, "session").groupBy("path").agg(F.count("*").alias("touches"), F.count_distinct("session").alias("sessions"))
     return per.orderBy(F.desc("touches"), F.desc("sessions"), "path").limit(n)
 
 
@@ -42,7 +42,7 @@ def file_touch_edges(entries: DataFrame, least: int = 2, max_sessions: int | Non
 
     The hub form of session pairs: a file with n sessions stands for its n (n - 1) / 2 pairs.
     """
-    per = entries.filter("path is not null").groupBy("path", "session").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    per = cost.touched(entries, "session").groupBy("path", "session").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     hubs = per.groupBy("path").agg(F.count("*").alias("sessions"), F.sum("n").alias("touches")).filter("sessions >= 2")
     return hubs if max_sessions is None else hubs.filter(F.col("sessions") <= max_sessions)
 
@@ -59,7 +59,7 @@ def temporal_edges(entries: DataFrame) -> DataFrame:
 def file_lineage(entries: DataFrame, suffix: str) -> DataFrame:
     """session, idx, action, path of every touch of paths that end in a part."""
     hit = (F.col("path") == suffix) | F.col("path").endswith("/" + suffix)
-    return entries.filter(hit).select("session", "idx", tools.action(F.col("tool")).alias("action"), "path")
+    return cost.touched(entries, "session", "idx").filter(hit).select("session", "idx", tools.action(F.col("tool")).alias("action"), "path")
 
 
 def commit_session_join(sessions: DataFrame, commits: DataFrame, minutes: int = 30) -> DataFrame:

@@ -24,34 +24,52 @@ def results_of(blocks: DataFrame, ahead: int = 4) -> DataFrame:
     return found.groupBy("session", "id").agg(F.min("result_idx").alias("result_idx"), F.min_by("result_size", "result_idx").alias("result_size"))
 
 
+def block_marks(blocks: DataFrame, ahead: int = 4, back: int = 5, retry: int = 6) -> DataFrame:
+    """`blocks` with answer, call, stale, retry_idx, orphan, shell_result; every window lies in a session, so one exchange serves all.
+
+    answer is the first result of a call in the `ahead` rows after it (idx, raw_size), call the nearest call of a
+    result in the `back` rows before it; stale holds for reads of a path that a later read repeats with no write between;
+    retry_idx is the first call that tries the same (see `paths.retry_signature`) in the `retry` rows after an error.
+    """
+    use, result = F.col("kind") == "tool_use", F.col("kind") == "tool_result"
+    column = lambda c, kind="string": F.col(c) if c in blocks.columns else F.lit(None).cast(kind)
+    file = use & F.col("name").isin(*READS, *WRITES)
+    b = blocks.repartition("session").withColumns({
+        "_key": F.coalesce(F.when(use, F.col("id")), F.when(result, F.col("tool_use_id"))), "_at": F.coalesce(column("block_idx", "int"), F.lit(0)),
+        "_sig": F.when(use, paths.retry_signature(*[column(c) for c in ("name", "path", "command", "pattern")])), "_path": F.when(file, paths.clean_path(F.col("path"))),
+    })
+    key, near = Window.partitionBy("session", "_key"), Window.partitionBy("session", "_key").orderBy("idx")
+    b = b.withColumns({
+        "answer": F.when(use, F.min(F.when(result, F.struct("idx", "raw_size"))).over(near.rangeBetween(1, ahead))),
+        "call": F.when(result, F.max(F.when(use, F.struct("idx", "raw_size", F.col("_sig").alias("sig")))).over(near.rangeBetween(-back, -1))),
+        "_known": F.max(use).over(key), "_shell": F.max(use & F.col("name").isin(*tools.BASH)).over(key),
+    })
+    named = F.col("_key").isNotNull() & (F.col("_key").cast("string") != "")
+    b = b.withColumns({"orphan": result & named & ~F.coalesce("_known", F.lit(False)), "shell_result": result & named & F.coalesce("_shell", F.lit(False))})
+    path = Window.partitionBy("session", "_path").orderBy("idx", "_at")
+    write = F.col("_path").isNotNull() & F.col("name").isin(*WRITES)
+    b = b.withColumn("_version", F.sum(write.cast("long")).over(path.rowsBetween(Window.unboundedPreceding, 0)))
+    later = Window.partitionBy("session", "_path", "_version").orderBy("idx", "_at").rowsBetween(1, Window.unboundedFollowing)
+    read = F.col("_path").isNotNull() & F.col("name").isin(*READS)
+    b = b.withColumn("stale", F.coalesce(read & F.max(read).over(later), F.lit(False)))
+    failed = result & F.coalesce("is_error", F.lit(False)) & F.col("call").isNotNull()
+    b = b.withColumn("_sig", F.coalesce("_sig", F.when(failed, F.col("call.sig"))))
+    same = Window.partitionBy("session", "_sig").orderBy("idx").rangeBetween(1, retry)
+    b = b.withColumn("retry_idx", F.when(failed, F.min(F.when(use, F.col("idx"))).over(same)))
+    return b.drop("_key", "_at", "_sig", "_path", "_known", "_shell", "_version")
+
+
 def stale_reads(blocks: DataFrame) -> DataFrame:
     """session, path, idx, result_idx, tokens: reads of a path that a later read repeats with no write between."""
-    used = blocks.filter("kind = 'tool_use' and path is not null").filter(F.col("name").isin(*READS, *WRITES))
-    w = Window.partitionBy("session", "path").orderBy("idx")
-    used = used.withColumn("version", F.sum(F.col("name").isin(*WRITES).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    reads = used.filter(F.col("name").isin(*READS))
-    again = F.lead("idx").over(Window.partitionBy("session", "path", "version").orderBy("idx"))
-    stale = reads.withColumn("again", again).filter("again is not null")
-    out = stale.join(results_of(blocks), ["session", "id"], "left")
-    return out.select("session", "path", "idx", F.coalesce("result_idx", F.lit(-1)).alias("result_idx"), (tokens() + F.coalesce(F.floor(F.col("result_size") / 4), F.lit(0))).alias("tokens"))
+    stale = block_marks(blocks).filter("stale")
+    size = tokens() + F.coalesce(F.floor(F.col("answer.raw_size") / 4), F.lit(0))
+    return stale.select("session", paths.clean_path(F.col("path")).alias("path"), "idx", F.coalesce("answer.idx", F.lit(-1)).alias("result_idx"), size.alias("tokens"))
 
 
 def failed_retries(blocks: DataFrame, back: int = 5, ahead: int = 6) -> DataFrame:
-    """session, call_idx, error_idx, retry_idx, tokens: failed calls that were tried again soon.
-
-    The failing call is the nearest with the result's id in the `back` rows before it; the retry is the first
-    call that tries the same (see `paths.retry_signature`) in the `ahead` rows after the error.
-    """
-    signature = paths.retry_signature(*[F.col(c) if c in blocks.columns else F.lit(None).cast("string") for c in ("name", "path", "command", "pattern")])
-    errors = blocks.filter("kind = 'tool_result' and is_error").select("session", F.col("idx").alias("error_idx"), F.col("tool_use_id").alias("id"), F.col("raw_size").alias("error_size"))
-    calls = blocks.filter("kind = 'tool_use'").select("session", "id", F.col("idx").alias("call_idx"), F.col("raw_size").alias("call_size"), signature.alias("signature"))
-    behind = (F.col("call_idx") < F.col("error_idx")) & (F.col("call_idx") >= F.col("error_idx") - back)
-    failed = errors.join(calls, ["session", "id"]).filter(behind).groupBy("session", "error_idx", "id", "error_size").agg(F.max_by(F.struct("call_idx", "call_size", "signature"), "call_idx").alias("c"))
-    failed = failed.select("session", "error_idx", "error_size", "c.*")
-    later = calls.select("session", "signature", F.col("call_idx").alias("retry_idx"))
-    soon = (F.col("retry_idx") > F.col("error_idx")) & (F.col("retry_idx") <= F.col("error_idx") + ahead)
-    out = failed.join(later, ["session", "signature"]).filter(soon).groupBy("session", "call_idx", "error_idx", "call_size", "error_size").agg(F.min("retry_idx").alias("retry_idx"))
-    return out.select("session", "call_idx", "error_idx", "retry_idx", (tokens("call_size") + tokens("error_size")).alias("tokens"))
+    """session, call_idx, error_idx, retry_idx, tokens: failed calls that were tried again soon; see `block_marks`."""
+    again = block_marks(blocks, back=back, retry=ahead).filter("retry_idx is not null")
+    return again.select("session", F.col("call.idx").alias("call_idx"), F.col("idx").alias("error_idx"), "retry_idx", (tokens("call.raw_size") + tokens()).alias("tokens"))
 
 
 def missing_parents(entries: DataFrame) -> DataFrame:
@@ -92,7 +110,7 @@ def noise_tags(entries: DataFrame, blocks: DataFrame) -> DataFrame:
     retries = failed_retries(blocks)
     ends = lambda df, name, *cols: [df.select("session", F.col(c).alias("idx"), F.lit(name).alias("category")) for c in cols]
     parts = ends(stale, "stale_reads", "idx", "result_idx") + ends(retries, "failed_retries", "call_idx", "error_idx")
-    parts += ends(sequence.tangent_rows(entries), "tangents", "idx") + ends(detect_sidechains(entries, blocks), "sidechains", "idx")
+    parts += ends(sequence.tangent_marks(entries).filter("tangent"), "tangents", "idx") + ends(detect_sidechains(entries, blocks), "sidechains", "idx")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -15,9 +15,9 @@ def timeline(entries: DataFrame, prices: DataFrame, markers: DataFrame) -> DataF
     name. ghosts are files of the epoch before that this one writes; marks count rows of `markers` (session, uuid, marker).
     """
     rows = sequence.assign_epochs(entries)
-    folders = rows.filter("path is not null").select("session", "epoch", "path").distinct().groupBy("session", "epoch", F.regexp_replace("path", "/[^/]*$", "").alias("dir")).agg(F.count("*").alias("n"))
+    folders = cost.touched(rows, "session", "epoch").select("session", "epoch", "path").distinct().groupBy("session", "epoch", F.regexp_replace("path", "/[^/]*$", "").alias("dir")).agg(F.count("*").alias("n"))
     folder = folders.groupBy("session", "epoch").agg(F.min_by("dir", F.struct(-F.col("n"), F.col("dir"))).alias("dir"))
-    used = rows.filter("tool is not null").groupBy("session", "epoch", "tool").agg(F.count("*").alias("n"))
+    used = cost.used_tools(rows, "session", "epoch").groupBy("session", "epoch", "tool").agg(F.count("*").alias("n"))
     tool = used.groupBy("session", "epoch").agg(F.min_by("tool", F.struct(-F.col("n"), F.col("tool"))).alias("tool"))
     scopes = cost.epoch_scopes(entries)
     ghosts = cost.ghost_files(entries).groupBy("session", (F.col("epoch") + 1).alias("epoch")).agg(F.count("*").alias("ghosts"))

@@ -12,8 +12,8 @@ def epoch_summary(entries: DataFrame) -> DataFrame:
     """session, epoch, turns, peak_ctx, files, reads, edits of each closed epoch."""
     rows = sequence.assign_epochs(entries).withColumn("last", F.max("epoch").over(Window.partitionBy("session"))).filter("epoch < last")
     return rows.groupBy("session", "epoch").agg(
-        F.count_if(F.col("type").isin("user", "assistant")).alias("turns"), F.coalesce(F.max("ctx"), F.lit(0)).alias("peak_ctx"), F.count_distinct("path").alias("files"),
-        F.count_if(F.col("tool").isin(*tools.READS)).alias("reads"), F.count_if(F.col("tool").isin(*tools.WRITES)).alias("edits"),
+        F.count_if(F.col("type").isin("user", "assistant")).alias("turns"), F.coalesce(F.max("ctx"), F.lit(0)).alias("peak_ctx"), cost.count_paths().alias("files"),
+        F.sum(F.size(F.filter("tools", lambda x: x.isin(*tools.READS)))).alias("reads"), F.sum(F.size(F.filter("tools", lambda x: x.isin(*tools.WRITES)))).alias("edits"),
     )
 
 
@@ -29,7 +29,7 @@ def archaeology(entries: DataFrame) -> DataFrame:
 def epoch_timeline(entries: DataFrame, prices: DataFrame) -> DataFrame:
     """session, epoch, dollars, peak_ctx, turns, files, topic, active: topic is the file touched most."""
     rows = sequence.assign_epochs(entries)
-    touched = rows.filter("path is not null").groupBy("session", "epoch", "path").agg(F.count("*").alias("n"))
+    touched = cost.touched(rows, "session", "epoch").groupBy("session", "epoch", "path").agg(F.count("*").alias("n"))
     best = touched.withColumn("r", F.row_number().over(Window.partitionBy("session", "epoch").orderBy(F.desc("n"), "path"))).filter("r = 1").select("session", "epoch", F.col("path").alias("topic"))
     files = touched.groupBy("session", "epoch").agg(F.count("*").alias("files"))
     out = cost.epoch_cost(entries, prices).join(files, ["session", "epoch"], "left").join(best, ["session", "epoch"], "left")
@@ -52,7 +52,8 @@ def flight_record(entries: DataFrame, early: float = 0.4, short: int = 20) -> Da
 
 def recent_work(entries: DataFrame, n: int = 3) -> DataFrame:
     """session, kind, rank, label, count: top files and tools."""
-    parts = [entries.filter(f"{c} is not null").groupBy("session", F.lit(k).alias("kind"), F.col(c).alias("label")).agg(F.count("*").alias("count")) for k, c in (("file", "path"), ("tool", "tool"))]
+    each = {"file": cost.touched(entries, "session").select("session", F.col("path").alias("label")), "tool": cost.used_tools(entries, "session").select("session", F.col("tool").alias("label"))}
+    parts = [rows.groupBy("session", F.lit(k).alias("kind"), "label").agg(F.count("*").alias("count")) for k, rows in each.items()]
     w = Window.partitionBy("session", "kind").orderBy(F.desc("count"), "label")
     return parts[0].unionByName(parts[1]).withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= n).select("session", "kind", "rank", "label", "count")
 
@@ -68,7 +69,7 @@ def range_metadata(entries: DataFrame, prices: DataFrame, first: int, last: int)
     """session, rows, tokens, dollars, files of rows first to last."""
     part = entries.filter(F.col("idx").between(first, last))
     spent = cost.turn_costs(part, prices).groupBy("session").agg(F.round(cost.total().cast("double"), 9).alias("dollars"))
-    per = part.groupBy("session").agg(F.count("*").alias("rows"), F.sum(noise.tokens()).alias("tokens"), F.count_distinct("path").alias("files"))
+    per = part.groupBy("session").agg(F.count("*").alias("rows"), F.sum(noise.tokens()).alias("tokens"), cost.count_paths().alias("files"))
     return per.join(spent, "session", "left").withColumn("dollars", F.coalesce("dollars", F.lit(0.0)))
 
 

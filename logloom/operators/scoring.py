@@ -2,33 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import cost, noise, sequence, tools
+from . import frame
 
 
-def metrics(entries: DataFrame, blocks: DataFrame, prices: DataFrame, per_epoch: int = 5) -> DataFrame:
-    """session, noise_tokens, biggest, current_ctx, usage_percent, growth_rate, turns_left, compactions, since_cleanup, talk, dollars, decisions, drift.
-
-    Edits in closed epochs stand for decisions, `per_epoch` an epoch at most.
-    """
-    ranked = noise.recommend(entries, blocks)
-    waste = ranked.groupBy("session").agg(F.sum("tokens").alias("noise_tokens"), F.max(F.when(F.col("rank") == 1, F.col("category"))).alias("biggest"))
-    epochs = sequence.assign_epochs(entries).withColumn("last", F.max("epoch").over(Window.partitionBy("session")))
-    edits = epochs.filter(F.col("tool").isin(*tools.WRITES) & F.expr("epoch < last")).groupBy("session", "epoch").agg(F.least(F.count("*"), F.lit(per_epoch)).alias("n")).groupBy("session").agg(F.sum("n").alias("decisions"))
-    per = epochs.groupBy("session").agg(
-        F.max("last").alias("compactions"), F.count_if((F.col("epoch") == F.col("last")) & F.col("ctx").isNotNull()).alias("uses"), F.count_if(F.col("type").isin("user", "assistant")).alias("talk")
-    )
-    per = per.withColumn("since_cleanup", F.when(F.col("uses") > 0, F.col("uses")).otherwise(F.col("talk"))).drop("uses")
-    grown = sequence.growth(entries).select("session", "current_ctx", "growth_rate", "turns_left")
-    spent = cost.session_cost(entries, prices).select("session", "dollars")
-    drift = cost.scope_drift(entries).select("session", "drift")
-    out = per.join(grown, "session")
-    for other in (waste, edits, spent, drift):
-        out = out.join(other, "session", "left")
-    out = out.na.fill(0, ["noise_tokens", "decisions", "dollars", "drift"])
-    return out.withColumn("usage_percent", F.round(F.col("current_ctx") * 100.0 / sequence.WINDOW, 4))
+def metrics(entries: DataFrame, blocks: DataFrame, prices: DataFrame) -> DataFrame:
+    """The facts of each session (see `frame.facts`), which the scores take."""
+    return frame.of(entries, blocks, prices)
 
 
 def clamp(x: Column) -> Column:
@@ -45,7 +27,7 @@ def decision_economics(m: DataFrame) -> DataFrame:
     return m.select(
         "session", "decisions", F.round(F.when(some, F.col("dollars") / F.col("decisions")).otherwise(0.0), 6).alias("cpd"),
         F.when(some, F.floor(F.col("talk") / F.col("decisions"))).otherwise(F.lit(0)).cast("long").alias("ttc"),
-        F.round(F.when(some & (F.col("talk") > 0), F.col("decisions") / F.col("talk")).otherwise(0.0), 6).alias("density"), F.when(some, F.col("drift")).otherwise(0.0).alias("cdr"),
+        F.round(F.when(some & (F.col("talk") > 0), F.col("decisions") / F.col("talk")).otherwise(0.0), 6).alias("density"), F.when(some, F.round("drift", 9)).otherwise(0.0).alias("cdr"),
     )
 
 
@@ -58,7 +40,8 @@ def gauge(m: DataFrame, ctx: float = 75.0, cpd: float = 15.0, ttc: int = 90, cdr
     score = F.when(F.col("usage_percent") > 92, 4).otherwise(base)
     score = F.greatest(score, F.when(some & (F.col("density") < 0.05), 2).otherwise(0), F.when(F.col("cdr") > cdr, 2).otherwise(0), F.when((F.col("compactions") > 0) & ~some, 1).otherwise(0))
     state = F.when(score >= 3, "emergency").when(score == 2, "unstable").when(score == 1, "degrading").otherwise("healthy")
-    action = F.when(score >= 3, "amputate").when(score == 2, "split").when(score == 1, "clean").otherwise("continue")
+    # The names of states and actions.
+    action = F.when(score >= 3, "amputate").when(score == 2, "split or distill").when(score == 1, "clean --all").otherwise("continue")
     return rows.select("session", score.cast("long").alias("gauge"), state.alias("state"), action.alias("action"))
 
 
@@ -72,7 +55,8 @@ def cadence(m: DataFrame) -> DataFrame:
     third = F.when((left >= 0) & (left < 10) & (waste > 5000), 2).otherwise(second)
     level = F.when((since > 50) & (waste > 10000) & (third == 0), 1).otherwise(third)
     tight = ((left >= 0) & (left < 5)) | (F.col("usage_percent") >= 85) | (F.col("compactions") >= 3)
-    action = F.when(level == 0, "monitor").when(tight, "export, then cut").when(F.col("biggest") == "tangents", "split").otherwise("quick clean")
+    # The names of states and actions.
+    action = F.when(level == 0, "monitor").when(tight, "export decisions then amputate").when(F.col("biggest") == "tangents", "split tangent range first").otherwise("quick-clean --live")
     status = F.when(level == 2, "overdue").when(level == 1, "due").otherwise("clean")
     return m.select("session", F.round(score, 9).alias("score"), status.alias("status"), action.alias("action"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import paths
 from . import tools
 
 DROP = 50_000
@@ -107,16 +108,14 @@ def find_branches(entries: DataFrame, gap: str = "30 minutes", drop: int = DROP)
     rows = branch_rows(entries, gap, drop)
     per = rows.groupBy("session", "branch").agg(
         F.count("*").alias("entries"), F.sum(F.floor(F.col("raw_size") / 4)).alias("tokens"), F.count_if(F.col("type") == "user").alias("user_turns"),
-        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count_distinct("path").alias("paths"), F.bool_or("compacted").alias("has_compaction"),
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.size(F.array_distinct(F.flatten(F.collect_set(F.transform("refs", lambda r: r["path"]))))).cast("long").alias("paths"), F.bool_or("compacted").alias("has_compaction"),
     )
     return per.withColumn("is_last", F.col("branch") == F.max("branch").over(Window.partitionBy("session")))
 
 
 def active_cwd(entries: DataFrame) -> DataFrame:
     """session, idx, active_cwd: the last directory so far, before that the session's first."""
-    known = F.expr("nullif(cwd, '')")
-    first = F.first(known, ignorenulls=True).over(by_idx().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return entries.select("session", "idx", F.coalesce(F.last(known, ignorenulls=True).over(so_far()), first).alias("active_cwd"))
+    return entries.select("session", "idx", active().alias("active_cwd"))
 
 
 def session_duration(entries: DataFrame) -> DataFrame:
@@ -135,44 +134,76 @@ def spikes(entries: DataFrame, rise: int = 30_000, drop: int = DROP, burst: int
     used = turns.filter("ctx > 0").withColumn("before", F.lag("ctx").over(by_idx()))
     change = F.col("ctx") - F.col("before")
     jumps = used.filter((change > rise) | (-change > drop)).select("session", "turn", F.when(change > 0, "spike").otherwise("compaction").alias("event"), F.abs(change).alias("amount"))
-    seen = turns.filter("path is not null").groupBy("session", "path").agg(F.min("turn").alias("turn"))
+    seen = turns.select("session", "turn", F.explode("refs").alias("r")).groupBy("session", F.col("r.path").alias("path")).agg(F.min("turn").alias("turn"))
     new = seen.groupBy("session", "turn").agg(F.count("*").alias("amount")).withColumn("first", F.min("turn").over(Window.partitionBy("session")))
     bursts = new.filter((F.col("turn") > F.col("first")) & (F.col("amount") >= burst)).select("session", "turn", F.lit("burst").alias("event"), "amount")
     return jumps.unionByName(bursts)
 
 
 def outside(path: Column, cwd: Column) -> Column:
-    """Whether a path is neither the directory nor below it."""
-    return (path != cwd) & ~path.startswith(F.concat(cwd, F.lit("/")))
+    """Whether a clean path is neither the directory nor below it."""
+    return (path != cwd) & ~path.startswith(F.when(cwd == "/", "/").otherwise(F.concat(cwd, F.lit("/"))))
+
+
+def active(cwd: str = "cwd") -> Column:
+    """The last working directory so far, before that the session's first; null where it has none."""
+    known = paths.clean_path(F.expr(f"nullif({cwd}, '')"))
+    first = F.first(known, ignorenulls=True).over(by_idx().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return F.coalesce(F.last(known, ignorenulls=True).over(so_far()), first)
 
 
 def scopes(entries: DataFrame) -> DataFrame:
-    """`entries` with ext, home, mod, conv: refers outside, refers inside, modifies, is conversational."""
-    ext = F.coalesce(outside(F.col("path"), F.col("cwd")), F.lit(False))
-    home = F.coalesce(~outside(F.col("path"), F.col("cwd")), F.lit(False))
-    return entries.withColumns({"ext": ext, "home": home, "mod": F.coalesce(F.col("tool").isin(*tools.MODIFYING) & home, F.lit(False)), "conv": F.col("type").isin("user", "assistant")})
+    """`entries` with n_ext, n_home, repos, ext, home, mod, conv: how many paths lie outside and inside the active folder, the outside roots, whether it modifies inside, is conversational."""
+    rows = entries.withColumn("_cwd", active())
+    known = F.col("_cwd").isNotNull()
+    away = F.filter("refs", lambda r: outside(r["path"], F.col("_cwd")))
+    rows = rows.withColumn("_away", F.when(known, away).otherwise(F.slice("refs", 1, 0)))
+    rows = rows.withColumns({
+        "n_ext": F.size("_away"), "n_home": F.when(known, F.size("refs") - F.size("_away")).otherwise(0), "repos": F.array_distinct(F.transform("_away", lambda r: paths.external_root(r["path"], F.col("_cwd")))),
+        "mod": known & F.exists("refs", lambda r: r["tool"].isin(*tools.MODIFYING) & ~outside(r["path"], F.col("_cwd"))), "conv": F.col("type").isin("user", "assistant"),
+    })
+    return rows.withColumns({"ext": F.col("n_ext") > 0, "home": F.col("n_home") > 0}).drop("_away")
 
 
-def tangent_rows(entries: DataFrame, mixed_may_start: bool = False) -> DataFrame:
-    """Rows of out-of-scope islands with their island number.
+def tangent_marks(entries: DataFrame, rows: int = 2, tokens: int = 100) -> DataFrame:
+    """`entries` with their scopes and out-of-scope islands.
 
     A breaker modifies in scope, is in scope only, or is a conversational row without paths after one without
-    outside paths. Between breakers an island runs from the first row that starts one.
+    outside paths. Between breakers an island runs from the first row that starts one; a row of both scopes starts
+    none, but goes on with one, and counts by its share. island and drift_island (where such a row may start one)
+    are null outside; tangent holds for islands of at least `rows` rows and `tokens` tokens.
     """
-    rows = scopes(entries)
+    r = scopes(entries)
     earlier = F.coalesce(F.last(F.when(F.col("conv"), F.col("ext")), ignorenulls=True).over(before()), F.lit(False))
     plain = F.col("conv") & ~F.col("ext") & ~F.col("home")
     breaker = F.col("mod") | (F.col("home") & ~F.col("ext")) | (plain & ~earlier)
     start = F.col("ext") & ~F.col("mod")
-    start = start if mixed_may_start else start & ~F.col("home")
-    rows = rows.withColumn("breaker", breaker).withColumn("start", start).withColumn("island", F.sum(F.col("breaker").cast("long")).over(so_far()))
-    inside = Window.partitionBy("session", "island").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("on", F.max(F.col("start").cast("int")).over(inside)).filter("not breaker and on = 1")
+    t = F.floor(F.col("raw_size") / 4)
+    r = r.withColumns({"_breaker": breaker, "_start": start})
+    at = lambda c: F.coalesce(F.max(F.when(c, F.col("idx"))).over(so_far()), F.lit(-1))
+    r = r.withColumns({"_cut": at(F.col("_breaker")), "_pure": at(F.col("_start") & ~F.col("home")), "_any": at(F.col("_start"))})
+    live = lambda c: F.when(~F.col("_breaker") & (F.col(c) > F.col("_cut")), F.col("_cut"))
+    mixed = F.col("ext") & F.col("home")
+    r = r.withColumns({
+        "island": live("_pure"), "drift_island": live("_any"),
+        "tangent_tokens": F.when(mixed, F.floor(t * F.round(F.col("n_ext") / (F.col("n_ext") + F.col("n_home")), 12))).otherwise(t),
+    })
+    whole = Window.partitionBy("session", "_cut")
+    on = F.col("island").isNotNull()
+    r = r.withColumns({"_rows": F.count_if(on).over(whole), "_tokens": F.sum(F.when(on, F.col("tangent_tokens"))).over(whole)})
+    return r.withColumn("tangent", on & (F.col("_rows") >= rows) & (F.col("_tokens") >= tokens)).drop("_breaker", "_start", "_cut", "_pure", "_any", "_rows", "_tokens", "_cwd")
+
+
+def tangent_rows(entries: DataFrame, mixed_may_start: bool = False) -> DataFrame:
+    """Rows of out-of-scope islands with their island's number; see `tangent_marks`."""
+    rows = tangent_marks(entries)
+    return rows.withColumn("island", F.col("drift_island" if mixed_may_start else "island")).filter("island is not null")
 
 
 def find_tangents(entries: DataFrame, rows: int = 2, tokens: int = 100, mixed_may_start: bool = False) -> DataFrame:
-    """session, first_idx, last_idx, entries, tokens of each island of at least `rows` rows and `tokens` tokens."""
+    """session, first_idx, last_idx, entries, tokens, mixed, roots of each island of at least `rows` rows and `tokens` tokens; mixed counts its rows of both scopes, roots the outside folders."""
     per = tangent_rows(entries, mixed_may_start).groupBy("session", "island").agg(
-        F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.count("*").alias("entries"), F.sum(F.floor(F.col("raw_size") / 4)).alias("tokens")
-    )
+        F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.count("*").alias("entries"), F.sum("tangent_tokens").alias("tokens"),
+        F.count_if(F.col("ext") & F.col("home")).alias("mixed"), F.size(F.array_distinct(F.flatten(F.collect_set("repos")))).cast("long").alias("roots"),
+    )
     return per.filter((F.col("entries") >= rows) & (F.col("tokens") >= tokens)).drop("island")

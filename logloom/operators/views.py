@@ -21,7 +21,7 @@ LARGE, LARGE_SHARE = 2000, 0.30
 
 def tool_class_pred(entries: DataFrame) -> DataFrame:
     """session, class, calls: tool calls by every class that holds the tool."""
-    rows = entries.filter("tool is not null").select("session", "tool")
+    rows = cost.used_tools(entries, "session")
     return rows.join(F.broadcast(tools.tool_class(entries.sparkSession)), "tool").groupBy("session", "class").agg(F.count("*").alias("calls"))
 
 
@@ -34,7 +34,7 @@ def command_paths(blocks: DataFrame) -> DataFrame:
 def distinct_tools(entries: DataFrame) -> DataFrame:
     """session, tools: how many tools closed epochs use."""
     rows = sequence.assign_epochs(entries).withColumn("last", F.max("epoch").over(Window.partitionBy("session")))
-    return rows.groupBy("session").agg(F.count_distinct(F.when(F.col("epoch") < F.col("last"), F.col("tool"))).alias("tools"))
+    return rows.groupBy("session").agg(F.size(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("epoch") < F.col("last"), F.col("tools")))))).cast("long").alias("tools"))
 
 
 def cache_read_cost(entries: DataFrame, rate: float = cost.DEFAULT_PRICE["p_read"]) -> DataFrame:
@@ -68,7 +68,7 @@ def branch_costs(entries: DataFrame, prices: DataFrame, gap: str = "30 minutes")
     rows = sequence.branch_rows(entries, gap)
     spent = cost.turn_costs(rows, prices).groupBy("session", "branch").agg(F.round(cost.total().cast("double"), 9).alias("dollars"))
     per = rows.groupBy("session", "branch").agg(F.count("*").alias("entries"))
-    away = rows.filter(sequence.outside(F.col("path"), F.col("cwd"))).groupBy("session", "branch", paths.external_root(F.col("path"), F.col("cwd")).alias("repo")).agg(F.count("*").alias("n"))
+    away = sequence.scopes(rows).select("session", "branch", F.explode("repos").alias("repo")).groupBy("session", "branch", "repo").agg(F.count("*").alias("n"))
     best = away.groupBy("session", "branch").agg(F.min_by("repo", F.struct(-F.col("n"), F.col("repo"))).alias("repo"))
     out = per.join(spent, ["session", "branch"], "left").join(best, ["session", "branch"], "left")
     return out.withColumn("dollars", F.coalesce("dollars", F.lit(0.0)))
@@ -77,8 +77,7 @@ def branch_costs(entries: DataFrame, prices: DataFrame, gap: str = "30 minutes")
 def drift_entries(entries: DataFrame) -> DataFrame:
     """session, idx, repo: rows of out-of-scope islands with the outside folder their island touches most (ties by name)."""
     rows = sequence.tangent_rows(entries, mixed_may_start=True)
-    root = F.when(F.col("ext"), paths.external_root(F.col("path"), F.col("cwd")))
-    counts = rows.withColumn("repo", root).filter("repo is not null").groupBy("session", "island", "repo").agg(F.count("*").alias("n"))
+    counts = rows.select("session", "island", F.explode("repos").alias("repo")).groupBy("session", "island", "repo").agg(F.count("*").alias("n"))
     best = counts.groupBy("session", "island").agg(F.min_by("repo", F.struct(-F.col("n"), F.col("repo"))).alias("repo"))
     return rows.join(best, ["session", "island"]).select("session", "idx", "repo")
 
@@ -151,7 +150,7 @@ def tombstone(turns: DataFrame, gone: Column, mark: str = "[removed]") -> DataFr
 def session_diff(entries: DataFrame) -> DataFrame:
     """session, next_session, added, dropped, kept: files of the last epochs of a session and the next of its project."""
     rows = sequence.assign_epochs(entries).withColumn("last", F.max("epoch").over(Window.partitionBy("session")))
-    per = rows.groupBy("project", "session").agg(F.min("ts").alias("a"), F.collect_set(F.when(F.col("epoch") == F.col("last"), F.col("path"))).alias("files"))
+    per = rows.groupBy("project", "session").agg(F.min("ts").alias("a"), F.array_distinct(F.flatten(F.collect_set(F.when(F.col("epoch") == F.col("last"), cost.paths_of())))).alias("files"))
     w = Window.partitionBy("project").orderBy("a", "session")
     pairs = per.withColumns({"next_session": F.lead("session").over(w), "then": F.lead("files").over(w)}).filter("next_session is not null")
     return pairs.select(
@@ -169,7 +168,7 @@ def decision_edges(points: DataFrame, touches: DataFrame) -> DataFrame:
 def project_graph(entries: DataFrame, least: int = 2) -> DataFrame:
     """kind, src, dst, weight: projects, shared files and time as edges; a project or file stands for all pairs of its sessions."""
     own = entries.groupBy("project", "session").agg(F.count("*").alias("weight")).select(F.lit("project").alias("kind"), F.col("project").alias("src"), F.col("session").alias("dst"), "weight")
-    per = entries.filter("path is not null").groupBy("path", "session").agg(F.count("*").alias("weight")).filter(F.col("weight") >= least)
+    per = cost.touched(entries, "session").groupBy("path", "session").agg(F.count("*").alias("weight")).filter(F.col("weight") >= least)
     shared = per.groupBy("path").agg(F.count("*").alias("n")).filter("n >= 2").select("path")
     file = per.join(shared, "path", "left_semi").select(F.lit("file").alias("kind"), F.col("path").alias("src"), F.col("session").alias("dst"), "weight")
     spans = entries.groupBy("project", "session").agg(F.min("ts").alias("a"))

@@ -20,7 +20,7 @@ COMMANDS = (" git diff", " ls -l", " cat")
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """session, idx, ts, type, uuid, parent_uuid, cwd, ctx and token counters, model, raw_size, tool, path, command, pattern, is_error, result_for, is_sidechain, project."""
+    """session, idx, ts, type, uuid, parent_uuid, cwd, ctx and token counters, model, raw_size, tool, path, command, pattern, is_error, result_for, is_sidechain, project; tools and refs hold the one call of a row."""
     w = Window.partitionBy("session").orderBy("ts", "event_id")
     call = F.col("event_type").isin("click", "purchase")
     answer = F.col("event_type").isin("view", "error")
@@ -50,6 +50,9 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("command", F.when(F.col("tool") == "Bash", F.concat(F.element_at(F.array(*map(F.lit, COMMANDS)), (F.col("raw_size") % 3 + 1).cast("int")), F.lit(" /etc/hosts '"), "path", F.lit("' "))))
     rows = rows.withColumn("path", F.coalesce(F.element_at(paths.bash_paths(F.col("command")), 1), "path"))
     rows = rows.withColumn("pattern", F.when(F.col("tool") == "Grep", F.concat(F.lit("p"), (F.col("raw_size") % 3).cast("string"))))
+    held = F.struct("path", "tool")
+    rows = rows.withColumn("tools", F.when(F.col("tool").isNotNull(), F.array("tool")).otherwise(F.expr("cast(array() as array<string>)")))
+    rows = rows.withColumn("refs", F.when(F.col("path").isNotNull(), F.array(held)).otherwise(F.slice(F.array(held), 1, 0)))
     return rows.withColumns({
         "input_tokens": part(10), "cache_creation_tokens": part(5), "cache_read_tokens": F.col("ctx") - part(10) - part(5),
         "output_tokens": F.when(F.col("ctx").isNotNull(), F.col("raw_size") - 200),

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import paths
+from ..operators import tools
+
 USAGE = T.StructType([T.StructField(n, T.LongType()) for n in ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")] + [T.StructField("service_tier", T.StringType())])
 MESSAGE = T.StructType([T.StructField(n, T.StringType()) for n in ("role", "content", "model", "id", "type", "stop_reason")] + [T.StructField("usage", USAGE)])
 _TEXT = ("type", "uuid", "parentUuid", "timestamp", "sessionId", "cwd", "version", "gitBranch", "userType", "slug", "customTitle", "agentName", "permissionMode", "requestId", "toolUseID", "parentToolUseID", "messageId", "data", "snapshot", "toolUseResult")
@@ -15,19 +18,68 @@ BLOCK = T.StructType([T.StructField(n, T.StringType()) for n in ("type", "text",
 
 
 def scan_lines(spark: SparkSession, path: str) -> DataFrame:
-    """session, line, raw of every physical line under a folder; session is the file's name, line counts from 1."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path)
+    """session, line, raw of every physical line under a folder; session is the file's name, line counts from 1.
+
+    Files that `write_sessions` made belong to the session that their folder names.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "{*.jsonl,part-*.txt}").text(path)
     lines = lines.select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("_metadata.file_modification_time").alias("modified"), F.monotonically_increasing_id().alias("n"))
     w = Window.partitionBy("file").orderBy("at", "n")
-    name = F.regexp_extract("file", r"([^/]+)\.jsonl$", 1)
+    name = F.coalesce(F.expr(r"nullif(regexp_extract(file, '/session=([^/]+)/part-[^/]*$', 1), '')"), F.regexp_extract("file", r"([^/]+)\.jsonl$", 1))
     folder = F.regexp_extract("file", r"([^/]+)/[^/]+$", 1)
     return lines.select(name.alias("session"), folder.alias("project"), "modified", F.row_number().over(w).cast("long").alias("line"), "raw")
 
 
+def _field(block: Column, name: str) -> Column:
+    """A text field of a tool call's input; none where it is missing or empty."""
+    value = F.get_json_object(block["input"], f"$.{name}")
+    return F.when(value != "", value)
+
+
+def tool_path(block: Column) -> Column:
+    """The clean path of a tool call's input, if it has one."""
+    return paths.clean_path(F.coalesce(_field(block, "file_path"), _field(block, "path")))
+
+
+# What in a tool's answer, in any case, tells an error.
+ERRORS = ("error:", "permission denied", "no such file", "command not found", "exit status", "fatal:", "panic:", "traceback", "exception:")
+
+
+def is_error_result(block: Column) -> Column:
+    """Whether a tool result says that it failed, by its flag or its text."""
+    said = F.from_json(block["content"], T.ArrayType(BLOCK))
+    texts = F.when(F.ltrim(block["content"]).startswith("[") & said.isNotNull(), F.transform(F.filter(said, lambda b: b["type"] == "text"), lambda b: b["text"])).otherwise(F.array(block["content"]))
+    hit = F.exists(texts, lambda t: F.coalesce(F.lower(t).rlike("|".join(ERRORS)), F.lit(False)))
+    return F.coalesce(block["is_error"], F.lit(False)) | F.coalesce(hit, F.lit(False))
+
+
+def content_blocks(content: Column) -> Column:
+    """A message's content as blocks; a plain text is one text block."""
+    one = F.array(F.struct(F.lit("text").alias("type"), content.alias("text"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in BLOCK.fields[2:]]))
+    many = F.when(F.substring(F.ltrim(content), 1, 1) == "[", F.from_json(content, T.ArrayType(BLOCK)))
+    return F.when(content.isNotNull(), F.coalesce(many, one))
+
+
+def with_references(rows: DataFrame) -> DataFrame:
+    """`rows` with blocks folded into sets: text, tools (names of calls) and refs (path, tool), first the calls' paths, then those in shell commands."""
+    uses = F.filter("blocks", lambda b: b["type"] == "tool_use")
+    refs = F.transform(uses, lambda b: F.struct(tool_path(b).alias("path"), b["name"].alias("tool")))
+    shell = F.filter(uses, lambda b: b["name"].isin(*tools.BASH))
+    typed = F.flatten(F.transform(shell, lambda b: F.transform(F.coalesce(paths.bash_paths(_field(b, "command")), F.expr("cast(array() as array<string>)")), lambda p: F.struct(paths.clean_path(p).alias("path"), b["name"].alias("tool")))))
+    none = F.expr("cast(array() as array<struct<path:string,tool:string>>)")
+    texts = F.transform(F.filter("blocks", lambda b: (b["type"] == "text") & b["text"].isNotNull()), lambda b: b["text"])
+    return rows.withColumns({
+        "tools": F.coalesce(F.transform(uses, lambda b: b["name"]), F.expr("cast(array() as array<string>)")),
+        "refs": F.coalesce(F.concat(F.filter(refs, lambda r: r["path"].isNotNull()), typed), none),
+        "text": F.when(F.size(texts) > 0, F.array_join(texts, "\n")),
+    })
+
+
 def parse(lines: DataFrame) -> DataFrame:
     """Typed rows of the lines that parse, with idx from 0; blank and malformed lines are passed over.
 
-    A line whose known field has another type is malformed, and so is one with a bad time.
+    A line whose known field has another type is malformed, and so is one with a bad time. Besides the fields of the
+    line a row has its content as `blocks` and what `with_references` tells of them, which the operators use.
     """
     parsed = F.from_json("raw", ENTRY, {"mode": "PERMISSIVE"})
     rows = lines.withColumn("e", parsed).withColumn("ts", F.try_to_timestamp(F.col("e.timestamp")))
@@ -39,7 +91,7 @@ def parse(lines: DataFrame) -> DataFrame:
     u = "e.message.usage."
     n = lambda c: F.coalesce(F.col(u + c), F.lit(0))
     used = F.col("e.message.usage").isNotNull()
-    return rows.select(
+    out = rows.select(
         "session", "project", "modified", "line", (F.row_number().over(w) - 1).cast("long").alias("idx"), "raw", F.octet_length("raw").cast("long").alias("raw_size"),
         F.coalesce("e.type", F.lit("")).alias("type"), F.expr("nullif(e.uuid, '')").alias("uuid"), F.expr("nullif(e.parentUuid, '')").alias("parent_uuid"), "ts",
         F.coalesce("e.cwd", F.lit("")).alias("cwd"), F.coalesce("e.isSidechain", F.lit(False)).alias("is_sidechain"), F.col("e.toolUseResult").alias("tool_use_result"),
@@ -48,6 +100,7 @@ def parse(lines: DataFrame) -> DataFrame:
         F.when(used, n("input_tokens")).alias("input_tokens"), F.when(used, n("output_tokens")).alias("output_tokens"),
         F.when(used, n("cache_creation_input_tokens")).alias("cache_creation_tokens"), F.when(used, n("cache_read_input_tokens")).alias("cache_read_tokens"),
     )
+    return with_references(out.withColumn("blocks", content_blocks(F.col("content"))))
 
 
 def scan_entries(spark: SparkSession, path: str) -> DataFrame:
@@ -55,13 +108,19 @@ def scan_entries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def explode_blocks(entries: DataFrame) -> DataFrame:
-    """session, idx, block_idx and the fields of each content block; a plain text is one text block."""
-    is_list = F.substring(F.ltrim("content"), 1, 1) == "["
-    one = F.array(F.struct(F.lit("text").alias("type"), F.col("content").alias("text"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in BLOCK.fields[2:]]))
-    found = F.when(is_list, F.from_json("content", T.ArrayType(BLOCK))).when(F.col("content").isNotNull(), one)
-    out = entries.filter("content is not null").select("session", "idx", "raw_size", F.posexplode(found).alias("block_idx", "b")).select("session", "idx", "raw_size", "block_idx", "b.*")
-    path = F.coalesce(F.expr("nullif(get_json_object(input, '$.file_path'), '')"), F.expr("nullif(get_json_object(input, '$.path'), '')"))
-    return out.withColumn("path", path).withColumn("kind", F.col("type"))
+    """session, idx, block_idx and the fields of each content block, with kind, clean path, command, pattern and result_size of a call or result.
+
+    is_error holds for results that say so by their flag or their text; raw_size is that of the whole row.
+    """
+    out = entries.select("session", "idx", F.col("type").alias("row_type"), "raw_size", F.posexplode("blocks").alias("block_idx", "b"))
+    b = F.col("b")
+    use = b["type"] == "tool_use"
+    failed = (b["type"] == "tool_result") & is_error_result(b)
+    return out.select(
+        "session", "idx", "row_type", "raw_size", "block_idx", *[b[f.name].alias(f.name) for f in BLOCK.fields if f.name != "is_error"], F.coalesce(failed, F.lit(False)).alias("is_error"), b["type"].alias("kind"),
+        F.when(use, tool_path(b)).alias("path"), F.when(use, _field(b, "command")).alias("command"), F.when(use, _field(b, "pattern")).alias("pattern"),
+        F.when(b["type"] == "tool_result", F.coalesce(F.octet_length(b["content"]), F.lit(0))).cast("long").alias("result_size"),
+    )
 
 
 def session_stats(lines: DataFrame, entries: DataFrame) -> DataFrame:
