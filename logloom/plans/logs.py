@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import frame, scoring, sequence
 from ..sources import bridge, eventlog, jsonl
 from ..sources.eventlog import with_sql
+from ..sources.scratch import written
 
 _W = "PARTITION BY session ORDER BY idx"
 _ALL = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
@@ -84,7 +85,7 @@ def _sql(body: str) -> str:
 def log(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Entries, blocks and prices."""
     rows = eventlog.entries(spark, d)
-    return rows, jsonl.explode_blocks(rows), bridge.prices(spark)
+    return rows, written(jsonl.explode_blocks(rows), "blocks"), bridge.prices(spark)
 
 
 def _log(f) -> Callable[[SparkSession, str], DataFrame]:

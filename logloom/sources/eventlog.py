@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bridge, jsonl
+from .scratch import written
 
 CALLS = 3
 
@@ -77,8 +78,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the log, parsed."""
-    return jsonl.parse(lines(spark, sf_dir))
+    """The rows of the log, parsed and written."""
+    return written(jsonl.parse(written(lines(spark, sf_dir), "lines")), "entries")
 
 
 def _for_duckdb(text: str) -> str:
