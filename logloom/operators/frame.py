@@ -178,35 +178,53 @@ def recommend(s: DataFrame) -> DataFrame:
     return each.select("session", rank.alias("rank"), "category", "rows", "tokens", gained.alias("turns_gained"))
 
 
+def _named(columns: dict[str, Column]) -> list[Column]:
+    return [c.alias(n) for n, c in columns.items()]
+
+
+def noise_columns() -> dict[str, Column]:
+    """What `noise_ledger` tells of a session's facts."""
+    after = F.greatest(F.col("current_ctx") - F.col("noise_tokens"), F.lit(0)) * 100.0 / sequence.WINDOW
+    return {
+        "stale_reads": F.col("stale_tokens"), "failed_retries": F.col("retry_tokens"), "tangents": F.col("tangent_full"), "sidechains": F.col("side_tokens"), "noisy_rows": F.col("noisy_rows"),
+        "union_tokens": F.col("union_tokens"), "overlap_tokens": F.col("overlap_tokens"), "total_tokens": F.col("noise_tokens"), "projected_percent": F.round(after, 4),
+    }
+
+
 def noise_ledger(s: DataFrame) -> DataFrame:
     """session, tokens of each indexed category with repeats, union_tokens with each row once, overlap_tokens, total with the other categories, projected_percent."""
-    after = F.greatest(F.col("current_ctx") - F.col("noise_tokens"), F.lit(0)) * 100.0 / sequence.WINDOW
-    return s.select(
-        "session", F.col("stale_tokens").alias("stale_reads"), F.col("retry_tokens").alias("failed_retries"), F.col("tangent_full").alias("tangents"), F.col("side_tokens").alias("sidechains"),
-        "noisy_rows", "union_tokens", "overlap_tokens", F.col("noise_tokens").alias("total_tokens"), F.round(after, 4).alias("projected_percent"),
-    )
+    return s.select("session", *_named(noise_columns()))
 
 
 def signal() -> Column:
     return F.when(F.col("current_ctx") <= 0, 100.0).otherwise(F.greatest(F.col("current_ctx") - F.col("noise_tokens"), F.lit(0)) * 100.0 / F.col("current_ctx"))
 
 
+def health_columns() -> dict[str, Column]:
+    """What `health` tells of a session's facts."""
+    some = F.col("current_ctx") > 0
+    return {
+        "noise_tokens": F.when(some, F.col("noise_tokens")).otherwise(0), "signal_tokens": F.when(some, F.greatest(F.col("current_ctx") - F.col("noise_tokens"), F.lit(0))).otherwise(0),
+        "signal_percent": F.round(signal(), 4), "grade": cost.grade(signal()), "biggest": F.when(some, F.col("biggest")),
+    }
+
+
 def health(s: DataFrame) -> DataFrame:
     """session, noise_tokens, signal_tokens, signal_percent, grade, biggest: how much of the context is signal; without context all of it."""
-    some = F.col("current_ctx") > 0
-    return s.select(
-        "session", F.when(some, F.col("noise_tokens")).otherwise(0).alias("noise_tokens"), F.when(some, F.greatest(F.col("current_ctx") - F.col("noise_tokens"), F.lit(0))).otherwise(0).alias("signal_tokens"),
-        F.round(signal(), 4).alias("signal_percent"), cost.grade(signal()).alias("grade"), F.when(some, F.col("biggest")).alias("biggest"),
-    )
+    return s.select("session", *_named(health_columns()))
 
 
-def entropy(s: DataFrame) -> DataFrame:
-    """session, score, level from the grade of the signal, fullness, drift, side chains' tokens and compactions."""
+def entropy_columns() -> dict[str, Column]:
+    """What `entropy` tells of a session's facts."""
     orphans = F.when(F.col("current_ctx") > 0, F.least(F.col("side_tokens") / F.col("current_ctx"), F.lit(1.0))).otherwise(0.0)
     score = 100 * (
         0.30 * (1 - cost.grade_ratio(cost.grade(signal()))) + 0.25 * F.least(F.greatest(F.col("current_ctx"), F.lit(0)) / sequence.LIMIT, F.lit(1.0)) + 0.20 * F.col("drift")
         + 0.15 * orphans + 0.10 * F.least("compactions", F.lit(10)) / 10
     )
     rounded = F.round(score, 9)
-    level = F.when(rounded <= 20, "LOW").when(rounded <= 50, "MEDIUM").when(rounded <= 75, "HIGH").otherwise("CRITICAL")
-    return s.select("session", rounded.alias("score"), level.alias("level"))
+    return {"score": rounded, "level": F.when(rounded <= 20, "LOW").when(rounded <= 50, "MEDIUM").when(rounded <= 75, "HIGH").otherwise("CRITICAL")}
+
+
+def entropy(s: DataFrame) -> DataFrame:
+    """session, score, level from the grade of the signal, fullness, drift, side chains' tokens and compactions."""
+    return s.select("session", *_named(entropy_columns()))

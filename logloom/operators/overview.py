@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import budget, cost, noise, reports, scoring, sequence, views
+from . import budget, cost, frame, reports, scoring, sequence, views
 
 
 def timeline(entries: DataFrame, prices: DataFrame, markers: DataFrame) -> DataFrame:
@@ -46,17 +46,20 @@ def record_snapshot(entries: DataFrame, blocks: DataFrame, prices: DataFrame) ->
     return base.withColumn("hours", hours).withColumn("per_hour", F.round(F.when(F.col("seconds") > 0, F.col("dollars") / hours), 6)).drop("seconds")
 
 
-def fleet_health(entries: DataFrame, blocks: DataFrame, prices: DataFrame) -> DataFrame:
-    """One row: sessions, sidechain_sessions, sidechain_rows, broken, and the sessions with the worst entropy and cadence (ties by name)."""
-    chains = noise.detect_sidechains(entries, blocks).agg(F.count_distinct("session").alias("sidechain_sessions"), F.count("*").alias("sidechain_rows"))
-    whole = views.chain_light(entries).agg(F.count("*").alias("sessions"), F.count_if(~F.col("whole")).alias("broken"))
+def fleet_health(s: DataFrame, m: DataFrame) -> DataFrame:
+    """One row: sessions, sidechain_sessions, sidechain_rows, broken, and the sessions with the worst entropy and cadence (ties by name).
 
-    def worst(scores: DataFrame, name: str) -> DataFrame:
-        best = scores.agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("session").alias("name"))).alias("b"))
-        return best.select(F.col("b.name").alias(f"{name}_leader"), (-F.col("b.s")).alias(f"{name}_score"))
-
-    out = whole.crossJoin(chains)  # one row each
-    return out.crossJoin(worst(cost.entropy(entries, blocks), "entropy")).crossJoin(worst(scoring.cadence(scoring.metrics(entries, blocks, prices)), "cadence"))
+    s: the facts of sessions, m: their frame; see `frame`.
+    """
+    whole = views.chain_light(m).agg(F.count("*").alias("sessions"), F.count_if(~F.col("whole")).alias("broken"))
+    worst = lambda score: F.min(F.struct((-score).alias("s"), F.col("session").alias("name")))
+    rows = s.join(scoring.cadence(s).select("session", F.col("score").alias("_cadence")), "session")
+    held = rows.agg(
+        F.count_if(F.col("side_rows") > 0).alias("sidechain_sessions"), F.coalesce(F.sum("side_rows"), F.lit(0)).alias("sidechain_rows"),
+        worst(frame.entropy_columns()["score"]).alias("e"), worst(F.col("_cadence")).alias("c"),
+    )
+    held = held.select("sidechain_sessions", "sidechain_rows", *[f for n, k in (("entropy", "e"), ("cadence", "c")) for f in (F.col(f"{k}.name").alias(f"{n}_leader"), (-F.col(f"{k}.s")).alias(f"{n}_score"))])
+    return whole.crossJoin(held)  # one row each
 
 
 def budget_actions(m: DataFrame, tangents: DataFrame, limit: float, spent: float) -> DataFrame:
@@ -66,17 +69,17 @@ def budget_actions(m: DataFrame, tangents: DataFrame, limit: float, spent: float
     """
     rows = views.projected_savings(m).select("session", F.col("dollars").alias("clean")).join(scoring.budget_risk(m, limit, spent), "session")
     rows = rows.join(tangents.select("session", F.col("dollars").alias("away")), "session", "left")
-    ways = {"clean noise now": F.col("clean"), "split tangent range": F.coalesce("away", F.lit(0.0)), "start new session": F.round(F.col("to_compaction") * 0.40, 6), "offload mechanical work": F.round(F.col("to_compaction") * 0.25, 6)}
+    # The names of the actions.
+    ways = {"clean noise now": F.col("clean"), "split tangent range": F.coalesce("away", F.lit(0.0)), "start new session with branch export": F.round(F.col("to_compaction") * 0.40, 6), "offload mechanical work to cheaper agents or CI": F.round(F.col("to_compaction") * 0.25, 6)}
     each = F.posexplode(F.array(*[F.struct(F.lit(k).alias("action"), v.alias("dollars")) for k, v in ways.items()])).alias("n", "w")
     ranked = rows.select("session", each).select("session", "n", "w.*")
     rank = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("dollars"), "n")).cast("long")
     return ranked.withColumn("rank", rank).select("session", "rank", "action", "dollars")
 
 
-def tangent_dollars(entries: DataFrame, prices: DataFrame) -> DataFrame:
-    """session, dollars of the rows of out-of-scope islands."""
-    away = sequence.tangent_rows(entries, mixed_may_start=True)
-    return cost.turn_costs(away, prices).groupBy("session").agg(F.round(cost.total().cast("double"), 9).alias("dollars"))
+def tangent_dollars(m: DataFrame) -> DataFrame:
+    """session, dollars of the rows of out-of-scope islands of a frame."""
+    return m.filter("drift_island is not null").groupBy("session").agg(F.round(cost.total().cast("double"), 9).alias("dollars"))
 
 
 def quick_list_scores(stats: DataFrame, rate: int = 1200) -> DataFrame:

@@ -21,19 +21,24 @@ def noise_ratio() -> Column:
     return F.when(F.col("current_ctx") > 0, F.col("noise_tokens") / F.col("current_ctx")).otherwise(F.lit(0.0))
 
 
-def decision_economics(m: DataFrame) -> DataFrame:
-    """session, decisions, cpd (dollars a decision), ttc (whole turns a decision), density, cdr (scope drift)."""
+def economics(m: DataFrame) -> DataFrame:
+    """`m` with cpd (dollars a decision), ttc (whole turns a decision), density, cdr (scope drift)."""
     some = F.col("decisions") > 0
-    return m.select(
-        "session", "decisions", F.round(F.when(some, F.col("dollars") / F.col("decisions")).otherwise(0.0), 6).alias("cpd"),
-        F.when(some, F.floor(F.col("talk") / F.col("decisions"))).otherwise(F.lit(0)).cast("long").alias("ttc"),
-        F.round(F.when(some & (F.col("talk") > 0), F.col("decisions") / F.col("talk")).otherwise(0.0), 6).alias("density"), F.when(some, F.round("drift", 9)).otherwise(0.0).alias("cdr"),
-    )
+    return m.withColumns({
+        "cpd": F.round(F.when(some, F.col("dollars") / F.col("decisions")).otherwise(0.0), 6),
+        "ttc": F.when(some, F.floor(F.col("talk") / F.col("decisions"))).otherwise(F.lit(0)).cast("long"),
+        "density": F.round(F.when(some & (F.col("talk") > 0), F.col("decisions") / F.col("talk")).otherwise(0.0), 6), "cdr": F.when(some, F.round("drift", 9)).otherwise(0.0),
+    })
 
 
-def gauge(m: DataFrame, ctx: float = 75.0, cpd: float = 15.0, ttc: int = 90, cdr: float = 0.35) -> DataFrame:
-    """session, gauge, state, action: one point for each value over its limit, with floors and an emergency."""
-    rows = decision_economics(m).join(m.select("session", "usage_percent", "compactions"), "session")
+def decision_economics(m: DataFrame) -> DataFrame:
+    """session, decisions, cpd, ttc, density, cdr; see `economics`."""
+    return economics(m).select("session", "decisions", "cpd", "ttc", "density", "cdr")
+
+
+def gauged(m: DataFrame, ctx: float = 75.0, cpd: float = 15.0, ttc: int = 90, cdr: float = 0.35) -> DataFrame:
+    """`m` with its economics, gauge, state, action: one point for each value over its limit, with floors and an emergency."""
+    rows = economics(m)
     some = F.col("decisions") > 0
     point = lambda c: c.cast("int")
     base = point(F.col("usage_percent") > ctx) + point(F.col("cpd") > cpd) + point(F.col("ttc") > ttc) + point(F.col("cdr") > cdr)
@@ -42,7 +47,12 @@ def gauge(m: DataFrame, ctx: float = 75.0, cpd: float = 15.0, ttc: int = 90, cdr
     state = F.when(score >= 3, "emergency").when(score == 2, "unstable").when(score == 1, "degrading").otherwise("healthy")
     # The names of states and actions.
     action = F.when(score >= 3, "amputate").when(score == 2, "split or distill").when(score == 1, "clean --all").otherwise("continue")
-    return rows.select("session", score.cast("long").alias("gauge"), state.alias("state"), action.alias("action"))
+    return rows.withColumns({"gauge": score.cast("long"), "state": state, "action": action})
+
+
+def gauge(m: DataFrame, ctx: float = 75.0, cpd: float = 15.0, ttc: int = 90, cdr: float = 0.35) -> DataFrame:
+    """session, gauge, state, action; see `gauged`."""
+    return gauged(m, ctx, cpd, ttc, cdr).select("session", "gauge", "state", "action")
 
 
 def cadence(m: DataFrame) -> DataFrame:

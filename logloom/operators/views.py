@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from . import cost, graphops, noise, scoring, sequence, tools
+from . import cost, frame, graphops, noise, scoring, sequence, tools
 
 # Parts of a command, in the order in which they are tried, and the share of its output that could go.
 COMMAND_KINDS = {
@@ -198,18 +198,15 @@ def projected_savings(m: DataFrame, rate: float = cost.DEFAULT_PRICE["p_read"])
     return m.select("session", spared.alias("tokens"), F.round(spared / 1e6 * rate, 9).alias("dollars"))
 
 
-def search_space(entries: DataFrame, blocks: DataFrame, m: DataFrame) -> DataFrame:
-    """session, probes, ratio, branch_factor, reexploration of sessions with decisions; rounded to tenths."""
-    chains = noise.detect_sidechains(entries, blocks).groupBy("session").agg(F.count_distinct("grp").alias("groups"))
-    islands = sequence.tangent_rows(entries).groupBy("session").agg(F.count("*").alias("tangents"))
-    ghosts = cost.ghost_files(entries).groupBy("session").agg(F.count("*").alias("ghosts"))
-    stale = noise.stale_reads(blocks).groupBy("session").agg(F.count("*").alias("stale"))
-    broken = graphops.chain_integrity(entries).select("session", "broken")
-    peak = entries.groupBy("session").agg(F.max("ctx").alias("peak"))
-    rows = m.filter("decisions > 0").select("session", "decisions", "compactions", "noise_tokens")
-    for other in (chains, islands, ghosts, stale, distinct_tools(entries), broken, peak):
-        rows = rows.join(other, "session", "left")
-    rows = rows.na.fill(0).withColumn("broken", F.coalesce("broken", F.lit(False)))
+def search_space(s: DataFrame, m: DataFrame) -> DataFrame:
+    """session, probes, ratio, branch_factor, reexploration of sessions with decisions; rounded to tenths.
+
+    s: the facts of sessions, m: their frame; see `frame`.
+    """
+    ghosts = cost.ghost_files(m).groupBy("session").agg(F.count("*").alias("ghosts"))
+    broken = graphops.chain_integrity(m).select("session", "broken")
+    rows = s.filter("decisions > 0").select("session", "decisions", "compactions", "noise_tokens", F.col("side_groups").alias("groups"), F.col("tangent_rows").alias("tangents"), "stale", "tools", F.col("max_ctx").alias("peak"))
+    rows = rows.join(ghosts, "session", "left").join(broken, "session", "left").na.fill(0, ["ghosts"]).withColumn("broken", F.coalesce("broken", F.lit(False)))
     d = F.col("decisions")
     most = lambda x, n: F.least(x, F.lit(n))
     within = lambda x, lo, hi: F.greatest(F.least(x, F.lit(hi)), F.lit(lo))
@@ -235,31 +232,38 @@ def session_quick_view(entries: DataFrame, prices: DataFrame) -> DataFrame:
     return out.withColumn("p", percent).select("session", F.col("p").alias("usage_percent"), "last_in", "last_out", F.coalesce("dollars", F.lit(0.0)).alias("dollars"), "turns_left", state.alias("state"), "whole")
 
 
-def session_summary(entries: DataFrame, blocks: DataFrame, prices: DataFrame) -> DataFrame:
-    """One row a session: cost, turns, duration, context, grade, decisions' economics, gauge, top file, noise, purity, chain."""
-    m = scoring.metrics(entries, blocks, prices)
-    base = m.select("session", "dollars", F.col("talk").alias("turns"), "usage_percent", "compactions", F.col("noise_tokens").alias("cleanable"))
-    share = F.when(m["current_ctx"] <= 0, 100.0).otherwise(F.greatest(m["current_ctx"] - m["noise_tokens"], F.lit(0)) * 100.0 / m["current_ctx"])
-    parts = [
-        m.select("session", cost.grade(share).alias("grade")), sequence.session_duration(entries), scoring.decision_economics(m).select("session", "cpd", "ttc"),
-        scoring.gauge(m).select("session", "gauge", "state"), cost.top_files(entries, 1).select("session", F.col("path").alias("top_file")),
-        input_purity(blocks).select("session", F.col("score").alias("purity")), chain_light(entries),
-    ]
+def session_summary(s: DataFrame, m: DataFrame, blocks: DataFrame) -> DataFrame:
+    """One row a session: cost, turns, duration, context, grade, decisions' economics, gauge, top file, noise, purity, chain.
+
+    s: the facts of sessions, m: their frame; see `frame`.
+    """
+    base = scoring.gauged(s).select(
+        "session", "dollars", F.col("talk").alias("turns"), "usage_percent", "compactions", F.col("noise_tokens").alias("cleanable"), frame.health_columns()["grade"].alias("grade"),
+        F.round("seconds", 3).alias("seconds"), "cpd", "ttc", "gauge", "state",
+    )
+    parts = [cost.top_files(m, 1).select("session", F.col("path").alias("top_file")), input_purity(blocks).select("session", F.col("score").alias("purity")), chain_light(m)]
     for p in parts:
         base = base.join(p, "session", "left")
     return base.withColumn("purity", F.coalesce("purity", F.lit(100.0)))
 
 
-def session_report(entries: DataFrame, blocks: DataFrame, prices: DataFrame) -> DataFrame:
-    """One row a session with the columns of context, growth, cost, noise, health, entropy, drift and summary, each under its part's name."""
-    parts = {
-        "context": cost.context_stats(entries), "growth": sequence.growth(entries), "cost": cost.session_cost(entries, prices), "noise": noise.noise_ledger(entries, blocks),
-        "health": cost.health(entries, blocks), "entropy": cost.entropy(entries, blocks), "drift": cost.scope_drift(entries), "summary": session_summary(entries, blocks, prices),
-    }
-    out = entries.select("session").distinct()
-    for name, p in parts.items():
-        out = out.join(p.select("session", *[F.col(c).alias(f"{name}_{c}") for c in p.columns if c != "session"]), "session", "left")
-    return out
+#: The facts that a report gives as they are, by part.
+FACTS = {
+    "context": ("entries", "user_rows", "assistant_rows", "progress_rows", "snapshot_rows", "bytes", "progress_tokens", "current_ctx", "max_ctx", "images", "large"),
+    "growth": ("growth_rate", "turns_left", "compactions", "since_cleanup"), "drift": ("in_scope", "out_scope", "mixed_scope", "drift"),
+}
+
+
+def session_report(s: DataFrame, m: DataFrame, blocks: DataFrame) -> DataFrame:
+    """One row a session with the columns of context, growth, drift, noise, health, entropy and summary, each under its part's name.
+
+    s: the facts of sessions, m: their frame; see `frame`.
+    """
+    parts = {n: {c: F.col(c) for c in columns} for n, columns in FACTS.items()}
+    parts |= {"noise": frame.noise_columns(), "health": frame.health_columns(), "entropy": frame.entropy_columns()}
+    out = s.select("session", *[c.alias(f"{n}_{k}") for n, columns in parts.items() for k, c in columns.items()])
+    summary = session_summary(s, m, blocks)
+    return out.join(summary.select("session", *[F.col(c).alias(f"summary_{c}") for c in summary.columns if c != "session"]), "session", "left")
 
 
 def collect_topics(entries: DataFrame, prices: DataFrame, gap: str = "30 minutes") -> DataFrame:

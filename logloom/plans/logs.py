@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import frame, scoring, sequence
+from ..operators import frame, overview, scoring, sequence, views
 from ..sources import bridge, eventlog, jsonl
 from ..sources.eventlog import with_sql
 from ..sources.scratch import written
@@ -96,6 +97,21 @@ def _facts(f) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: f(frame.of(*log(spark, d)))
 
 
+def _framed(f) -> Callable[[SparkSession, str], DataFrame]:
+    """Queries on the facts, the frame and the blocks."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows, blocks, prices = log(spark, d)
+        m = frame.marks(rows, blocks, prices)
+        return f(written(frame.facts(frame.epoch_facts(m)), "facts"), m, blocks)
+
+    return run
+
+
+def _pruned(s: DataFrame) -> DataFrame:
+    return scoring.prune_verdict(s.select("session", "compactions", "dollars"), s.select("session", F.col("talk").alias("entries"), F.col("decisions").alias("commit_points"), F.lit(0).alias("bookmarks")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "find_tangents": _log(lambda e, b, p: sequence.find_tangents(e)),
     "noise_ledger": _facts(frame.noise_ledger),
@@ -107,6 +123,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cadence": _facts(scoring.cadence),
     "budget_risk": _facts(lambda s: scoring.budget_risk(s, 100.0, 85.0)),
     "noise_multiplier": _facts(scoring.noise_multiplier),
+    "grade_ratio": _facts(lambda s: s.select("session", views.grade_ratio(frame.health_columns()["grade"]).alias("ratio"))),
+    "active_health": _facts(lambda s: views.active_health(frame.health(s))),
+    "projected_savings": _facts(views.projected_savings),
+    "prune_verdict": _facts(_pruned),
+    "budget_actions": _framed(lambda s, m, b: overview.budget_actions(s, overview.tangent_dollars(m), 100.0, 85.0)),
+    "fleet_health": _framed(lambda s, m, b: overview.fleet_health(s, m)),
+    "search_space": _framed(lambda s, m, b: views.search_space(s, m)),
+    "session_summary": _framed(views.session_summary),
+    "session_report": _framed(views.session_report),
 }
 
 _DE = """de AS (SELECT session, decisions, round(CASE WHEN decisions>0 THEN dollars/decisions ELSE 0 END,6) AS cpd, CASE WHEN decisions>0 THEN talk//decisions ELSE 0 END AS ttc,
@@ -133,3 +158,66 @@ ORACLE_SQL: dict[str, str] = {
     "budget_risk": _scored("""SELECT session, CASE WHEN n>=2 THEN 'high' WHEN n=1 THEN 'medium' ELSE 'low' END AS risk, to_compaction FROM (SELECT session, CAST(turns_left>0 AND turns_left<10 AS INT)+CAST(ratio>0.15 AS INT)+1 AS n, round(dollars/greatest(talk,1)*greatest(turns_left,0),6) AS to_compaction FROM gd)"""),
     "noise_multiplier": _scored("SELECT session, round(ratio,6) AS multiplier, noise_tokens*greatest(turns_left,0) AS projected_tokens FROM gd"),
 }
+
+_HOPS = 5
+#: The last row's parents, step by step.
+_LIGHT = ",\n".join(
+    ["l0 AS (SELECT session, arg_max(struct_pack(p := parent_uuid), idx).p AS p, true AS ok FROM le GROUP BY session)"]
+    + [f"l{i + 1} AS (SELECT l.session, k.parent_uuid AS p, l.ok AND (l.p IS NULL OR k.uuid IS NOT NULL) AS ok FROM l{i} l LEFT JOIN le k ON k.session=l.session AND k.uuid=l.p)" for i in range(_HOPS)]
+    + [f"wh AS (SELECT session, ok AS whole FROM l{_HOPS})"]
+)
+_TOP = "tf AS (SELECT session, path FROM (SELECT session, path, row_number() OVER (PARTITION BY session ORDER BY count(*) DESC, path) AS r FROM lr WHERE tool IN ('Write','Edit') GROUP BY session, path) WHERE r=1)"
+_PURE = """pu AS (SELECT session, round(greatest((1-CAST(sum(comp) AS DOUBLE)/CAST(sum(t) AS DOUBLE))*100,0),6) AS purity FROM (SELECT r.session, q.t, CAST(CASE WHEN u.name IS NOT NULL AND u.name<>'Bash' THEN 0
+ WHEN q.t>2000 THEN floor(q.t*CAST(0.3 AS DOUBLE)) ELSE 0 END AS BIGINT) AS comp FROM lb r JOIN lq q ON q.session=r.session AND q.idx=r.idx LEFT JOIN lb u ON u.session=r.session AND u.kind='tool_use' AND u.id=r.tool_use_id WHERE r.kind='tool_result' AND q.t>0) GROUP BY session)"""
+#: The score of a gauge from economics.
+_GAUGE = """ga AS (SELECT session, CAST(greatest(CASE WHEN usage_percent>92 THEN 4 ELSE CAST(usage_percent>75 AS INT)+CAST(cpd>15 AS INT)+CAST(ttc>90 AS INT)+CAST(cdr>0.35 AS INT) END,
+ CASE WHEN decisions>0 AND density<0.05 THEN 2 ELSE 0 END, CASE WHEN cdr>0.35 THEN 2 ELSE 0 END, CASE WHEN compactions>0 AND decisions=0 THEN 1 ELSE 0 END) AS BIGINT) AS gauge FROM de)"""
+_SUMMARY = """su AS (SELECT gd.session, gd.dollars, gd.talk AS turns, gd.usage_percent, gd.compactions, gd.noise_tokens AS cleanable, gd.grade, gd.seconds, de.cpd, de.ttc, ga.gauge,
+ CASE WHEN gauge>=3 THEN 'emergency' WHEN gauge=2 THEN 'unstable' WHEN gauge=1 THEN 'degrading' ELSE 'healthy' END AS state, tf.path AS top_file, coalesce(pu.purity,100.0) AS purity, wh.whole
+ FROM gd JOIN de USING (session) JOIN ga USING (session) LEFT JOIN tf USING (session) LEFT JOIN pu USING (session) LEFT JOIN wh USING (session))"""
+# Each row of this log follows the one before, so any missing parent breaks the last row's chain.
+_SPACE = """sq AS (SELECT s1.session, s1.decisions, CAST(s1.decisions AS DOUBLE) AS d, s1.compactions AS cuts, s1.noise_tokens, s1.max_ctx AS peak, s1.side_groups AS groups, s1.tangent_rows AS tangents, s1.stale, coalesce(h.n,0) AS ghosts, coalesce(o.n,0) AS tools, coalesce(w.broken,false) AS broken FROM s1
+ LEFT JOIN (SELECT session, count(*) AS n FROM (SELECT DISTINCT a.session, a.epoch, a.path FROM rf a JOIN rf z ON z.session=a.session AND z.epoch=a.epoch+1 AND z.path=a.path AND z.tool IN ('Edit','Write')) GROUP BY session) h USING (session)
+ LEFT JOIN (SELECT session, count(DISTINCT name) AS n FROM lb JOIN mn USING (session, idx) WHERE kind='tool_use' AND epoch<last_epoch GROUP BY session) o USING (session)
+ LEFT JOIN (SELECT DISTINCT session, true AS broken FROM mp) w USING (session) WHERE s1.decisions>0),
+sr AS (SELECT *, round(greatest(least(CAST(1.8 AS DOUBLE)+least(cuts/d*0.8::DOUBLE,1.5)+least(groups/d*0.4::DOUBLE,1.5)+least(tangents/d*0.08::DOUBLE,1.0)+CASE WHEN tools>3 THEN least((tools-3)*0.12::DOUBLE,1.2) ELSE 0 END,8.0),2.0),9) AS f,
+ round(greatest(least(CAST(1.0 AS DOUBLE)+least(cuts*0.07::DOUBLE,1.2)+CASE WHEN broken THEN 0.35::DOUBLE ELSE 0 END+least(ghosts/d*0.08::DOUBLE,0.5)+least(noise_tokens/CAST(greatest(peak,1) AS DOUBLE)*0.5::DOUBLE,0.6)+least(stale/d*0.1::DOUBLE,0.35),3.5),1.0),9) AS r FROM sq)"""
+
+
+def _report() -> str:
+    """SQL of `session_report`: facts under their parts' names, then the other queries' columns."""
+    facts = {
+        "context": {c: f"gd.{c}" for c in ("entries", "progress_rows", "snapshot_rows", "progress_tokens", "current_ctx", "max_ctx", "images", "large")} | {c: f"ct.{c}" for c in ("user_rows", "assistant_rows", "bytes")},
+        "growth": {c: f"gd.{c}" for c in ("growth_rate", "turns_left", "compactions")} | {"since_cleanup": "gd.since"}, "drift": {c: f"gd.{c}" for c in ("in_scope", "out_scope", "drift")} | {"mixed_scope": "ct.mixed_scope"},
+    }
+    own = ", ".join(f"{c} AS {n}_{k}" for n, columns in facts.items() for k, c in columns.items())
+    parts = {"noise": ORACLE_SQL["noise_ledger"], "health": ORACLE_SQL["health"], "entropy": ORACLE_SQL["entropy"], "summary": _scored_more("SELECT * FROM su", _GAUGE, _TOP, _PURE, _LIGHT, _SUMMARY)}
+    joins = " ".join(f"LEFT JOIN (SELECT session AS s_{n}, COLUMNS(* EXCLUDE session) AS '{n}_\\0' FROM ({q})) {n} ON s_{n}=f.session" for n, q in parts.items())
+    counts = "ct AS (SELECT session, count(*) FILTER (WHERE type='user') AS user_rows, count(*) FILTER (WHERE type='assistant') AS assistant_rows, CAST(sum(raw_size) AS BIGINT) AS bytes, count(*) FILTER (WHERE n_ext>0 AND n_home>0) AS mixed_scope FROM mn GROUP BY session)"
+    base = _scored_more(f"SELECT gd.session, {own} FROM gd JOIN ct USING (session)", counts)
+    return f"SELECT * EXCLUDE ({', '.join(f's_{n}' for n in parts)}) FROM ({base}) f {joins}"
+
+
+def _scored_more(body: str, *more: str) -> str:
+    return with_sql(body, ROWS, SCOPES, NOISE, FACTS, _DE, *more)
+
+
+ORACLE_SQL |= {
+    "grade_ratio": _sql("SELECT session, CASE grade WHEN 'A' THEN 0.95 WHEN 'B' THEN 0.80 WHEN 'C' THEN 0.65 WHEN 'D' THEN 0.45 ELSE 0.20 END::DOUBLE AS ratio FROM gd"),
+    "active_health": _sql("SELECT count(*) FILTER (WHERE p>75) AS healthy, count(*) FILTER (WHERE NOT p>75) AS other FROM gd"),
+    "projected_savings": _sql("SELECT session, noise_tokens*greatest(turns_left,0) AS tokens, round(noise_tokens*greatest(turns_left,0)/1e6*0.75,9) AS dollars FROM gd"),
+    "prune_verdict": _sql("SELECT session, CASE WHEN talk<=2 THEN 'empty' WHEN compactions>=2 OR decisions>=3 OR dollars>5 THEN 'substantive' WHEN compactions>0 OR decisions>0 THEN 'has-content' ELSE 'throwaway' END AS verdict FROM gd"),
+    "budget_actions": _scored_more(
+        """SELECT session, row_number() OVER (PARTITION BY session ORDER BY dollars DESC, n) AS rank, action, dollars FROM (SELECT session, unnest([0,1,2,3]) AS n, unnest(['clean noise now','split tangent range','start new session with branch export','offload mechanical work to cheaper agents or CI']) AS action,
+        unnest([clean, away, round(ahead*CAST(0.40 AS DOUBLE),6), round(ahead*CAST(0.25 AS DOUBLE),6)]) AS dollars FROM (SELECT gd.session, round(noise_tokens*greatest(turns_left,0)/1e6*0.75,9) AS clean, coalesce(tw.away,0) AS away, round(dollars/greatest(talk,1)*greatest(turns_left,0),6) AS ahead FROM gd LEFT JOIN tw USING (session)))""",
+        "tw AS (SELECT session, round(CAST(sum(CAST(dollars AS DECIMAL(20,9))) AS DOUBLE),9) AS away FROM tn WHERE any_on GROUP BY session)",
+    ),
+    "search_space": _scored_more("SELECT session, floor(decisions*f*r*10+0.5)/10 AS probes, floor(f*r*10+0.5)/10 AS ratio, floor(f*10+0.5)/10 AS branch_factor, floor(r*10+0.5)/10 AS reexploration FROM sr", "rf AS (SELECT lr.session, lr.path, lr.tool, lq.epoch FROM lr JOIN lq USING (session, idx))", _SPACE),
+    "session_summary": _scored_more("SELECT * FROM su", _GAUGE, _TOP, _PURE, _LIGHT, _SUMMARY),
+    "session_report": _report(),
+    "fleet_health": _scored_more(
+        f"""SELECT (SELECT count(*) FROM wh) AS sessions, (SELECT count(*) FROM wh WHERE NOT whole) AS broken, (SELECT count(*) FROM s1 WHERE side_rows>0) AS sidechain_sessions, (SELECT CAST(sum(side_rows) AS BIGINT) FROM s1) AS sidechain_rows,
+        (SELECT session FROM en ORDER BY score DESC, session LIMIT 1) AS entropy_leader, (SELECT max(score) FROM en) AS entropy_score, (SELECT session FROM cd ORDER BY score DESC, session LIMIT 1) AS cadence_leader, (SELECT max(score) FROM cd) AS cadence_score""",
+        _LIGHT, f"en AS ({ORACLE_SQL['entropy']})", f"cd AS ({ORACLE_SQL['cadence']})",
+    ),
+}

@@ -111,9 +111,6 @@ def build(entries, blocks, both, priced, scored, of, sql, tangent, pieces: dict[
 
         return run
 
-    def actions(e, b, p):
-        return overview.budget_actions(scoring.metrics(e, b, p), overview.tangent_dollars(e, p), 100.0, 85.0)
-
     def quick(e, b):
         held = cost.health(e, b).select("session", F.floor("signal_percent").alias("signal_percent"))
         return overview.quick_list_scores(_stats(e).select("session", "current_ctx", "compactions").join(held, "session"))
@@ -139,8 +136,6 @@ def build(entries, blocks, both, priced, scored, of, sql, tangent, pieces: dict[
         "section_merge": of("documents", lambda t: notes.section_merge(*_halves(t))),
         "timeline": priced(lambda e, p: overview.timeline(e, p, e.filter("is_error").select("session", "uuid", F.lit("keep").alias("marker")))),
         "record_snapshot": all_three(overview.record_snapshot),
-        "fleet_health": all_three(overview.fleet_health),
-        "budget_actions": all_three(actions),
         "quick_list_scores": both(quick),
         "zombie": entries(lambda e: scoring.zombie(_stats(e), 60_000, 0)),
         "filter_snapshots": lambda s, d: overview.filter_snapshots(_orders(s, d), "180 days").select("session", "project"),
@@ -198,12 +193,6 @@ def build(entries, blocks, both, priced, scored, of, sql, tangent, pieces: dict[
             FROM (SELECT session, project, count(*) FILTER (WHERE type IN ('user','assistant')) AS turns, max(epoch) AS compactions FROM ep GROUP BY ALL) q LEFT JOIN ({oracle['session_duration']}) d ON d.session=q.session LEFT JOIN ({oracle['context_stats']}) x ON x.session=q.session
             LEFT JOIN ({oracle['health']}) h ON h.session=q.session LEFT JOIN ({oracle['session_cost']}) c ON c.session=q.session"""
         ),
-        "fleet_health": f"""WITH ent AS ({oracle['entropy']}), cad AS ({oracle['cadence']}), lw AS ({oracle['chain_light']}), scd AS ({oracle['detect_sidechains']})
-        SELECT (SELECT count(*) FROM lw) AS sessions, (SELECT count(*) FROM lw WHERE NOT whole) AS broken, (SELECT count(DISTINCT session) FROM scd) AS sidechain_sessions, (SELECT count(*) FROM scd) AS sidechain_rows,
-        (SELECT session FROM ent ORDER BY score DESC, session LIMIT 1) AS entropy_leader, (SELECT max(score) FROM ent) AS entropy_score, (SELECT session FROM cad ORDER BY score DESC, session LIMIT 1) AS cadence_leader, (SELECT max(score) FROM cad) AS cadence_score""",
-        "budget_actions": f"""SELECT session, row_number() OVER (PARTITION BY session ORDER BY dollars DESC, n) AS rank, action, dollars FROM (SELECT s.session, unnest([0,1,2,3]) AS n, unnest(['clean noise now','split tangent range','start new session','offload mechanical work']) AS action,
-        unnest([s.dollars, coalesce(t.dollars,0), round(r.to_compaction*CAST(0.40 AS DOUBLE),6), round(r.to_compaction*CAST(0.25 AS DOUBLE),6)]) AS dollars FROM ({oracle['projected_savings']}) s JOIN ({oracle['budget_risk']}) r ON r.session=s.session
-        LEFT JOIN (SELECT d.session, round(CAST(sum(CAST(cost.dollars AS DECIMAL(20,9))) AS DOUBLE),9) AS dollars FROM ({oracle['drift_entries']}) d JOIN (WITH {bridge.SQL.strip()} SELECT * FROM cost) cost ON cost.session=d.session AND cost.idx=d.idx GROUP BY d.session) t ON t.session=s.session)""",
         "quick_list_scores": sql(
             f"""SELECT q.session, round(q.score,9) AS entropy, CASE WHEN q.score<=20 THEN 'LOW' WHEN q.score<=50 THEN 'MEDIUM' WHEN q.score<=75 THEN 'HIGH' ELSE 'CRITICAL' END AS level, w.score AS cadence, w.status FROM
             (SELECT session, 100*(0.30::DOUBLE*(1-CASE WHEN sig>90 THEN 0.95 WHEN sig>75 THEN 0.80 WHEN sig>60 THEN 0.65 WHEN sig>40 THEN 0.45 ELSE 0.20 END::DOUBLE)+0.25::DOUBLE*least(current_ctx/165000.0::DOUBLE,1.0)+0.10::DOUBLE*least(cuts,10)/10) AS score FROM qk) q JOIN ({swept}) w ON w.session=q.session""",

@@ -31,9 +31,6 @@ def build(entries, blocks, both, priced, scored, of, sql, tangent, pieces: dict[
 
         return run
 
-    def spaced(e, b, p):
-        return views.search_space(e, b, scoring.metrics(e, b, p))
-
     def recursive(text: str) -> str:
         return text.replace("WITH ", "WITH RECURSIVE ", 1)
 
@@ -59,14 +56,7 @@ def build(entries, blocks, both, priced, scored, of, sql, tangent, pieces: dict[
         "decision_edges": entries(lambda e: views.decision_edges(e.filter("tool = 'Write' and raw_size > 3000").select(F.col("uuid").alias("point"), "session", "path"), e.filter("path is not null").select("session", "path"))),
         "project_graph": entries(views.project_graph),
         "continuity_suggestions": blocks(lambda b: views.continuity_suggestions(cross.continuity_files(b))),
-        "grade_ratio": both(lambda e, b: cost.health(e, b).select("session", views.grade_ratio(F.col("grade")).alias("ratio"))),
-        "active_health": both(lambda e, b: views.active_health(cost.health(e, b).select("session", "grade"))),
-        "projected_savings": scored(views.projected_savings),
-        "prune_verdict": scored(lambda m: scoring.prune_verdict(m, m.select("session", F.col("talk").alias("entries"), F.floor(F.col("decisions") / 4).alias("commit_points"), F.lit(0).alias("bookmarks")))),
-        "search_space": all_three(spaced),
         "session_quick_view": priced(views.session_quick_view),
-        "session_summary": all_three(views.session_summary),
-        "session_report": all_three(views.session_report),
         "collect_topics": priced(lambda e, p: views.collect_topics(e, p, "12 hours")),
     }
     found = {
@@ -109,25 +99,6 @@ def build(entries, blocks, both, priced, scored, of, sql, tangent, pieces: dict[
             UNION ALL SELECT 'next', session, next_session, 1 FROM ({_NEXT}) WHERE next_session IS NOT NULL"""
         ),
         "continuity_suggestions": sql("SELECT path, count(*) AS sessions, CAST(sum(tokens)-min(tokens) AS BIGINT) AS tokens FROM fr GROUP BY path HAVING count(*)>3 AND sum(tokens)-min(tokens)>1000", pieces["first"]),
-        "grade_ratio": sql("SELECT session, CASE WHEN p>90 THEN 0.95 WHEN p>75 THEN 0.80 WHEN p>60 THEN 0.65 WHEN p>40 THEN 0.45 ELSE 0.20 END::DOUBLE AS ratio FROM hl", pieces["tags"]),
-        "active_health": sql("SELECT count(*) FILTER (WHERE p>75) AS healthy, count(*) FILTER (WHERE NOT p>75) AS other FROM hl", pieces["tags"]),
-        "projected_savings": sql("SELECT session, noise_tokens*greatest(turns_left,0) AS tokens, round(noise_tokens*greatest(turns_left,0)/1e6*0.75,9) AS dollars FROM mx", pieces["tags"], pieces["scope"], pieces["metrics"]),
-        "prune_verdict": sql(
-            "SELECT session, CASE WHEN talk<=2 THEN 'empty' WHEN cuts>=2 OR decisions//4>=3 OR dollars>5 THEN 'substantive' WHEN cuts>0 OR decisions//4>0 THEN 'has-content' ELSE 'throwaway' END AS verdict FROM mx",
-            pieces["tags"], pieces["scope"], pieces["metrics"],
-        ),
-        "search_space": recursive(sql(
-            """SELECT session, floor(decisions*f*r*10+0.5)/10 AS probes, floor(f*r*10+0.5)/10 AS ratio, floor(f*10+0.5)/10 AS branch_factor, floor(r*10+0.5)/10 AS reexploration FROM
-            (SELECT session, decisions, round(greatest(least(CAST(1.8 AS DOUBLE)+least(cuts/d*0.8::DOUBLE,1.5)+least(groups/d*0.4::DOUBLE,1.5)+least(tangents/d*0.08::DOUBLE,1.0)+CASE WHEN tools>3 THEN least((tools-3)*0.12::DOUBLE,1.2) ELSE 0 END,8.0),2.0),9) AS f,
-            round(greatest(least(CAST(1.0 AS DOUBLE)+least(cuts*0.07::DOUBLE,1.2)+CASE WHEN broken THEN 0.35::DOUBLE ELSE 0 END+least(ghosts/d*0.08::DOUBLE,0.5)+least(noise_tokens/CAST(greatest(peak,1) AS DOUBLE)*0.5::DOUBLE,0.6)+least(stale/d*0.1::DOUBLE,0.35),3.5),1.0),9) AS r FROM
-            (SELECT mx.session, mx.decisions, CAST(mx.decisions AS DOUBLE) AS d, mx.cuts, mx.noise_tokens, coalesce(g.n,0) AS groups, coalesce(t.n,0) AS tangents, coalesce(h.n,0) AS ghosts, coalesce(s.n,0) AS stale, coalesce(o.n,0) AS tools, coalesce(o.peak,0) AS peak, coalesce(w.broken,false) AS broken FROM mx
-            LEFT JOIN (SELECT session, count(DISTINCT run) AS n FROM (SELECT session, idx-row_number() OVER (PARTITION BY session ORDER BY idx) AS run FROM sc) GROUP BY session) g ON g.session=mx.session
-            LEFT JOIN (SELECT session, count(*) AS n FROM tg GROUP BY session) t ON t.session=mx.session LEFT JOIN (SELECT session, count(*) AS n FROM st GROUP BY session) s ON s.session=mx.session
-            LEFT JOIN (SELECT session, count(*) AS n FROM (SELECT DISTINCT a.session, a.epoch, a.path FROM ep a JOIN ep z ON z.session=a.session AND z.epoch=a.epoch+1 AND z.path=a.path AND z.tool IN ('Edit','Write')) GROUP BY session) h ON h.session=mx.session
-            LEFT JOIN (SELECT session, count(DISTINCT CASE WHEN epoch<le THEN tool END) AS n, max(ctx) AS peak FROM (SELECT *, max(epoch) OVER (PARTITION BY session) AS le FROM ep) GROUP BY session) o ON o.session=mx.session
-            LEFT JOIN (SELECT session, arg_max(struct_pack(p := parent_uuid),d).p IS NOT NULL AS broken FROM walk GROUP BY session) w ON w.session=mx.session WHERE mx.decisions>0))""",
-            pieces["tags"], pieces["scope"], pieces["metrics"], _WALK,
-        )),
     }
     found["session_quick_view"] = recursive(sql(
         f"""SELECT session, p AS usage_percent, last_in, last_out, dollars, turns_left, CASE WHEN p>92 THEN 'emergency' WHEN p>75 THEN 'degrading' ELSE 'healthy' END AS state, whole FROM
@@ -136,17 +107,6 @@ def build(entries, blocks, both, priced, scored, of, sql, tangent, pieces: dict[
         LEFT JOIN ({oracle['quick_cost']}) q ON q.session=l.session JOIN ({oracle['growth_rate']}) g ON g.session=l.session JOIN (SELECT session, bool_and(ok) AS whole FROM lw GROUP BY session) h ON h.session=l.session)""",
         _LIGHT,
     ))
-    found["session_summary"] = recursive(sql(
-        f"""SELECT mx.session, mx.dollars, mx.talk AS turns, mx.usage_percent, mx.cuts AS compactions, mx.noise_tokens AS cleanable, CASE WHEN hl.p>90 THEN 'A' WHEN hl.p>75 THEN 'B' WHEN hl.p>60 THEN 'C' WHEN hl.p>40 THEN 'D' ELSE 'F' END AS grade,
-        u.seconds, de.cpd, de.ttc, g.gauge, g.state, t.path AS top_file, coalesce(i.score,100.0) AS purity, h.whole FROM mx JOIN hl ON hl.session=mx.session JOIN de ON de.session=mx.session
-        LEFT JOIN ({oracle['session_duration']}) u ON u.session=mx.session LEFT JOIN ({oracle['gauge']}) g ON g.session=mx.session LEFT JOIN (SELECT * FROM ({oracle['top_files']}) WHERE rank=1) t ON t.session=mx.session
-        LEFT JOIN ({found['input_purity']}) i ON i.session=mx.session LEFT JOIN (SELECT session, bool_and(ok) AS whole FROM lw GROUP BY session) h ON h.session=mx.session""",
-        pieces["tags"], pieces["scope"], pieces["metrics"], _LIGHT,
-    ))
-    parts = {"context": "context_stats", "growth": "growth_rate", "cost": "session_cost", "noise": "noise_ledger", "health": "health", "entropy": "entropy", "drift": "scope_drift", "summary": "session_summary"}
-    known = oracle | found
-    joins = " ".join(f"LEFT JOIN (SELECT session AS s_{n}, COLUMNS(* EXCLUDE session) AS '{n}_\\0' FROM ({known[q]})) {n} ON s_{n}=s.session" for n, q in parts.items())
-    found["session_report"] = f"SELECT * EXCLUDE ({', '.join(f's_{n}' for n in parts)}) FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS session FROM events) s {joins}"
     found["collect_topics"] = "WITH " + bridge.SQL.strip().replace("e AS (SELECT *, CAST(floor(ctx/10.0)", "e2 AS (SELECT * REPLACE (row_number() OVER (PARTITION BY session ORDER BY idx)-1 AS idx) FROM e1 WHERE type<>'progress' AND NOT is_sidechain),\ne AS (SELECT *, CAST(floor(ctx/10.0)").replace("END END AS model FROM e1)", "END END AS model FROM e2)") + f""",
 {_BRANCHES}, bc AS ({_BRANCH_COSTS})
 SELECT project, row_number() OVER (PARTITION BY project ORDER BY first_ts, session, branch) AS topic, session, branch, entries, dollars FROM
