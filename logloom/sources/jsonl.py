@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import paths
 from ..operators import tools
+from .scratch import written
 
 USAGE = T.StructType([T.StructField(n, T.LongType()) for n in ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")] + [T.StructField("service_tier", T.StringType())])
 MESSAGE = T.StructType([T.StructField(n, T.StringType()) for n in ("role", "content", "model", "id", "type", "stop_reason")] + [T.StructField("usage", USAGE)])
@@ -104,7 +105,8 @@ def parse(lines: DataFrame) -> DataFrame:
 
 
 def scan_entries(spark: SparkSession, path: str) -> DataFrame:
-    return parse(scan_lines(spark, path))
+    """The typed rows of the logs under a folder, parsed once and written, so that no operator parses JSON again."""
+    return written(parse(scan_lines(spark, path)), "entries")
 
 
 def explode_blocks(entries: DataFrame) -> DataFrame:
