@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from . import clean, noise
 
 PLACEHOLDER = "[image removed]"
@@ -143,11 +144,15 @@ def reconnect_sidechains(entries: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def repair(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Parsed `rows` with image types and sizes put right, broken parents reconnected or cleared, orphan results taken out."""
-    fixed = with_content(rows, replace_oversized(fix_media_types(F.col("content"))))
-    joined = reconnect_sidechains(fixed, blocks)
+    """Parsed `rows` with image types and sizes put right, broken parents reconnected or cleared, orphan results taken out.
+
+    Rows are written after each step that later ones read more than once.
+    """
+    blocks = written(blocks, "blocks")
+    fixed = written(with_content(rows, replace_oversized(fix_media_types(F.col("content")))), "fixed")
+    joined = written(reconnect_sidechains(fixed, blocks), "joined")
     lost = noise.missing_parents(joined).select("session", "idx")
     joined = patch_parents(joined, joined.join(lost, ["session", "idx"], "left_semi").select("session", "uuid"))
     orphans = noise.orphan_results(blocks).select("session", "idx", "tool_use_id")
     gone = blocks.filter("kind = 'tool_result'").join(orphans, ["session", "idx", "tool_use_id"], "left_semi").select("session", "idx", "block_idx")
-    return content_surgery(joined, gone)
+    return content_surgery(written(joined, "patched"), gone)
