@@ -58,11 +58,14 @@ def tasks(turns: DataFrame, todo: str, question: str) -> DataFrame:
     return lines.select(kind.alias("kind"), item.alias("item")).filter("kind is not null and item != ''").groupBy("kind", "item").agg(F.count("*").alias("turns"))
 
 
+#: Lines that are rules of box-drawing or ASCII characters.
+RULE = r"^\s*([─━═╌╍╴╶╸╺]{20,}|[-=~_]{40,})\s*$"
+
+
 def strip_separators(docs: DataFrame) -> DataFrame:
     """doc_id, lines, stripped: lines that are rules of box-drawing or ASCII characters."""
     lines = F.split("text", "\n")
-    rule = r"^\s*([─━═╌╍╴╶╸╺]{20,}|[-=~_]{40,})\s*$"
-    return docs.select("doc_id", F.size(lines).cast("long").alias("lines"), F.size(F.filter(lines, lambda x: x.rlike(rule))).cast("long").alias("stripped"))
+    return docs.select("doc_id", F.size(lines).cast("long").alias("lines"), F.size(F.filter(lines, lambda x: x.rlike(RULE))).cast("long").alias("stripped"))
 
 
 def truncate_outputs(docs: DataFrame, threshold: int = 4096, keep: int = 10) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, cost, cross, graphops, injection, noise, reports, scoring, sequence, text
 from ..sources import bridge
-from . import logs, rewrites, views
+from . import cleaning, logs, rewrites, views
 from .orders import ORDER_QUERIES, ORDER_SQL
 from .streams import STREAM_QUERIES
 
@@ -444,3 +444,5 @@ QUERIES |= _REWRITES
 ORACLE_SQL |= _REWRITE_SQL
 QUERIES |= logs.QUERIES
 ORACLE_SQL |= logs.ORACLE_SQL
+QUERIES |= cleaning.QUERIES
+ORACLE_SQL |= cleaning.ORACLE_SQL

@@ -46,11 +46,21 @@ def tool_path(block: Column) -> Column:
 ERRORS = ("error:", "permission denied", "no such file", "command not found", "exit status", "fatal:", "panic:", "traceback", "exception:")
 
 
+def _answer_texts(content: Column) -> Column:
+    """The texts of a result's content: its text blocks, or the content itself."""
+    said = F.from_json(content, T.ArrayType(BLOCK))
+    listed = F.transform(F.filter(said, lambda b: b["type"] == "text"), lambda b: b["text"])
+    return F.when(F.ltrim(content).startswith("[") & said.isNotNull(), listed).otherwise(F.array(content))
+
+
+def answer_text(content: Column) -> Column:
+    """The first text of a result's content."""
+    return F.get(F.filter(_answer_texts(content), lambda t: t.isNotNull() & (t != "")), F.lit(0))
+
+
 def is_error_result(block: Column) -> Column:
     """Whether a tool result says that it failed, by its flag or its text."""
-    said = F.from_json(block["content"], T.ArrayType(BLOCK))
-    texts = F.when(F.ltrim(block["content"]).startswith("[") & said.isNotNull(), F.transform(F.filter(said, lambda b: b["type"] == "text"), lambda b: b["text"])).otherwise(F.array(block["content"]))
-    hit = F.exists(texts, lambda t: F.coalesce(F.lower(t).rlike("|".join(ERRORS)), F.lit(False)))
+    hit = F.exists(_answer_texts(block["content"]), lambda t: F.coalesce(F.lower(t).rlike("|".join(ERRORS)), F.lit(False)))
     return F.coalesce(block["is_error"], F.lit(False)) | F.coalesce(hit, F.lit(False))
 
 
@@ -153,13 +163,18 @@ def strip_type(lines: DataFrame, kind: str) -> DataFrame:
 
 
 def with_parents(rows: DataFrame) -> DataFrame:
-    """`rows` with the parent of the line itself as in the column parent_uuid; lines whose parent is the same stay as read."""
+    """`rows` with the line's own parent as in the column parent_uuid; lines whose parent is the same stay as read.
+
+    Only the field of the line itself changes, so a text that quotes it does not; a line without the field gets one.
+    """
     old = F.expr("nullif(get_json_object(raw, '$.parentUuid'), '')")
-    new = F.coalesce(F.concat(F.lit('"'), F.col("parent_uuid").cast("string"), F.lit('"')), F.lit("null"))
-    line = F.col("raw")
-    for gap in ("", " "):
-        line = F.replace(line, F.concat(F.lit(f'"parentUuid":{gap}"'), old, F.lit('"')), F.concat(F.lit(f'"parentUuid":{gap}'), new))
-    return rows.withColumn("raw", F.when(old.isNull() | old.eqNullSafe(F.col("parent_uuid").cast("string")), F.col("raw")).otherwise(line))
+    told = F.col("parent_uuid").cast("string")
+    new = F.when(told.isNotNull(), F.variant_get(F.parse_json(F.to_json(F.struct(told.alias("v")))), "$.v", "variant")).otherwise(F.parse_json(F.lit("null")))
+    top = F.from_json("raw", "map<string,variant>")
+    swapped = F.to_json(F.transform_values(top, lambda k, v: F.when(k == "parentUuid", new).otherwise(v)))
+    added = F.to_json(F.map_concat(top, F.create_map(F.lit("parentUuid"), new)))
+    line = F.when(F.map_contains_key(top, "parentUuid"), swapped).otherwise(added)
+    return rows.withColumn("raw", F.when(old.eqNullSafe(told), F.col("raw")).otherwise(line))
 
 
 def write_sessions(rows: DataFrame, path: str, order: str = "idx") -> None:
