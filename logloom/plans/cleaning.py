@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import decay, phases
+from ..operators import decay, nearness, phases
 from ..sources import eventlog, jsonl
 from ..sources.eventlog import with_sql
 from . import logs
@@ -32,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "half_life_epochs": _rows(decay.half_life),
     "tool_shifts": _rows(decay.tool_shifts),
     "scope_shifts": _rows(decay.scope_shifts),
+    "temporal_classes": _rows(nearness.temporal_classes),
 }
 
 _W = "PARTITION BY session ORDER BY idx"
@@ -94,4 +95,9 @@ ORACLE_SQL: dict[str, str] = {
         logs.ROWS,
         *_TURNS,
     ),
+    "temporal_classes": with_sql(
+        """SELECT x.project, x.session, count(*) FILTER (WHERE y.a<x.a) AS starts_before, count(*) FILTER (WHERE y.b<=x.b) AS ends_at, count(*) FILTER (WHERE y.a<=x.b+INTERVAL 1 DAY) AS reach, count(*) FILTER (WHERE y.b<x.a-INTERVAL 1 DAY) AS passed,
+        count(*) FILTER (WHERE y.session<>x.session AND y.a<=x.b+INTERVAL 1 DAY AND y.b>=x.a-INTERVAL 1 DAY) AS links FROM sp x JOIN sp y ON y.project=x.project GROUP BY ALL""",
+        "sp AS (SELECT project, session, min(ts) AS a, max(ts) AS b FROM le GROUP BY ALL)",
+    ),
 }

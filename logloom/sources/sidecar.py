@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 POINT = "struct<uuid:string,timestamp:string,goal:string,decisions:array<string>,constraints:array<string>,questions:array<string>,files:array<string>>"
 MARKERS = f"version int, markers map<string,string>, phases map<string,string>, commit_points array<{POINT}>, bookmarks map<string,struct<type:string,label:string>>"
@@ -33,13 +34,36 @@ def scan_markers(spark: SparkSession, path: str, pattern: str = "*.json") -> dic
 def scan_savings(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Savings events of JSON array files or, with `lines`, of the JSON lines that `append_savings` writes."""
     rows = spark.read.schema(SAVINGS).option("multiLine", str(not lines).lower()).json(path)
-    return rows.filter("session_id is not null").withColumn("ts", F.try_to_timestamp("timestamp")).drop("timestamp")
+    return rows.filter("session_id is not null").withColumn("ts", F.try_to_timestamp("timestamp")).drop("timestamp", "batch")
 
 
-def append_savings(events: DataFrame, path: str) -> None:
-    """Adds events (columns of `scan_savings`) to a folder; each call adds files and rewrites none."""
+def _append(rows: DataFrame, path: str, batch: str | int | None) -> None:
+    """Adds rows to a folder of JSON lines; a batch has a folder of its own, which a second run of it replaces."""
+    out = rows.write.option("lineSep", "\n")
+    if batch is None:
+        out.mode("append").json(path)
+    else:
+        out.mode("overwrite").json(f"{path.rstrip('/')}/batch={batch}")
+
+
+def append_savings(events: DataFrame, path: str, batch: str | int | None = None) -> None:
+    """Adds events (columns of `scan_savings`) to a folder and rewrites none of another batch.
+
+    With `batch`, which names the run (a stream's batch id), running it again does not double its events; a folder takes
+    either batches or plain appends.
+    """
     kept = events.withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssXXX"))
-    kept.select("session_id", "slug", "timestamp", "tokens_removed", "turns_remaining", "model", "avoided_tokens", "avoided_cost").write.mode("append").option("lineSep", "\n").json(path)
+    _append(kept.select("session_id", "slug", "timestamp", "tokens_removed", "turns_remaining", "model", "avoided_tokens", "avoided_cost"), path, batch)
+
+
+def append_snapshots(snapshots: DataFrame, path: str, batch: str | int) -> None:
+    """Adds a batch of snapshots to a folder; running the batch again replaces it."""
+    _append(snapshots, path, batch)
+
+
+def scan_snapshots(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The snapshots that `append_snapshots` has written, with the columns of `schema`."""
+    return spark.read.schema(schema).json(path).select(*schema.names)
 
 
 def scan_commits(lines: DataFrame) -> DataFrame:
