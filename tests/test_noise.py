@@ -22,3 +22,12 @@ def test_stats_of_a_list(spark):
     assert (stats["a"].starts_queued, stats["a"].bytes, stats["a"].current_ctx, stats["a"].assistant_rows, stats["a"].compactions) == (True, 150, 9, 2, 1)
     assert (stats["b"].current_ctx, stats["b"].compactions) == (0, 0)
     assert [r.session for r in scoring.zombie(rewrites._stats(e), 100, 0).collect()] == ["a"]
+
+
+def test_short_islands_are_noise(spark):
+    e = log(spark, [("a", "assistant", 9, 40, "Read", "/w/r1/f"), ("a", "assistant", 9, 40, "Edit", "/w/r0/f"), ("a", "user", None, 40, None, None)])
+    assert sequence.find_tangents(e).count() == 0
+    tags = {(r.idx, r.category) for r in noise.noise_tags(e, bridge.blocks(e)).collect()}
+    assert tags == {(0, "tangents")}
+    assert [(r.idx, r.uuid, r.parent_uuid) for r in clean.clean_all(e, bridge.blocks(e)).orderBy("idx").collect()] == [(0, 1, None), (1, 2, 1)]
+    assert [(r.phase, r.rows, r.bytes) for r in clean.clean_audit(e, bridge.blocks(e)).collect()] == [("tangents", 1, 40)]
