@@ -31,3 +31,8 @@ def test_short_islands_are_noise(spark):
     assert tags == {(0, "tangents")}
     assert [(r.idx, r.uuid, r.parent_uuid) for r in clean.clean_all(e, bridge.blocks(e)).orderBy("idx").collect()] == [(0, 1, None), (1, 2, 1)]
     assert [(r.phase, r.rows, r.bytes) for r in clean.clean_audit(e, bridge.blocks(e)).collect()] == [("tangents", 1, 40)]
+
+
+def test_drift_tangents_has_the_columns_of_its_sql(spark):
+    df = catalog.QUERIES["drift_tangents"](spark, "/root/testdata/sf0.001")
+    assert df.columns == ["session", "first_idx", "last_idx", "entries", "tokens"]
