@@ -1,8 +1,8 @@
-"""Pairs of decisions and sessions against plain loops."""
+"""Pairs of decisions and sessions, and chains that are walked, against plain loops."""
 
 import random
 
-from logloom.operators import views
+from logloom.operators import graphops, views
 
 
 def test_decision_edges_match_all_pairs(spark):
@@ -14,3 +14,11 @@ def test_decision_edges_match_all_pairs(spark):
     df = views.decision_edges(spark.createDataFrame(points, "point long, session string, path string"), spark.createDataFrame(touches, "session string, path string"))
     got = [tuple(x) for x in df.collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_broken_chains_leave_out_whole_ones(spark):
+    rows = [("whole", 0, 1, None), ("whole", 1, 2, 1), ("lost", 0, 1, 9), ("lost", 1, 2, 1), ("ring", 0, 1, 2), ("ring", 1, 2, 1), ("aside", 0, 1, 9), ("aside", 1, 2, None)]
+    m = spark.createDataFrame([(s, i, u, p, "user", p == 9) for s, i, u, p in rows], "session string, idx long, uuid long, parent_uuid long, type string, missing boolean")
+    all_of = {x.session: x.broken for x in graphops.chain_integrity(m).collect()}
+    some = {x.session: x.broken for x in views.broken_chains(m).collect()}
+    assert all_of == {"whole": False, **some} and "whole" not in some and some["ring"] and some["lost"]
