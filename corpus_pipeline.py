@@ -21,7 +21,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles of similarity 0.8 or more join."""
+    """One document of each group that SimHash fingerprints of at most 3 differing bits, or five-word shingles of similarity 0.8 or more, join."""
     return nearwords.one_of_each(docs)
 
 

@@ -1,8 +1,10 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingles: MinHash bands give candidates, shingles decide.
+"""Near-duplicates by SimHash, and further ones by the Jaccard similarity of five-word shingles.
 
-A similarity of 0.8 is some 10 of 64 SimHash bits on average and often 16, where segments with one wildcard
-would have seven bits and select nothing. Bands of MinHash values find pairs of that similarity with a chance
-of 1 - (1 - 0.8^ROWS)^BANDS, 0.9996, and closer ones more surely. Every link is then verified on both texts.
+Texts whose fingerprints differ in at most DISTANCE bits are linked by `simhash.links`: two segments, variants with
+one wildcard, equality join, verified. Copies further apart are added to these: a similarity of 0.8 is some 10 of
+64 SimHash bits on average and often 16, where segments with one wildcard would have seven bits and select nothing.
+Bands of MinHash values find pairs of that similarity with a chance of 1 - (1 - 0.8^ROWS)^BANDS, 0.9996, and closer
+ones more surely. Each such link is then verified on both texts.
 
 A bucket is first compared with its smallest member, which takes a row a member. Only buckets that this
 leaves in several components are compared in whole, in tiles of two blocks of about BLOCK texts.
@@ -20,8 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import text_of, worker_memo, written
 from .graph import components
-from .simhash import SEED, survivors, with_text_hash, words_of
+from .simhash import SEED, fingerprint_of_words, links, survivors, with_text_hash, words_of
 
+DISTANCE = 3
 WIDTH = 5
 LEAST = 0.8
 BANDS = 20
@@ -75,12 +78,13 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
 def _marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     worker_memo(("nearwords",))  # lets go of the memo of another operator
     for batch in batches:
-        nodes, bands = [], []
+        nodes, fps, bands = [], [], []
         for text in batch["text"]:
             words = words_of(text)
+            fps.append(fingerprint_of_words(words))
             nodes.append(xxhash.xxh128_hexdigest(b" ".join(words), SEED))
             bands.append(_bands(shingles_of(words)) if words else [])
-        yield batch[["doc_id", "_h1", "_h2"]].assign(node=nodes, bands=bands)
+        yield batch[["doc_id", "_h1", "_h2"]].assign(node=nodes, fp=np.array(fps, np.uint64).view(np.int64), bands=bands)
 
 
 def _are_similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,14 +126,23 @@ def _tile_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-def rooted(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, _h1, _h2, root) for every row of `docs`: verified links join all rows of a root.
+def _near_fingerprints(marked: DataFrame, distance: int) -> DataFrame:
+    """Links (a, b) between nodes whose fingerprints differ in at most `distance` bits, each fingerprint by its smallest node."""
+    of_fp = marked.groupBy("fp").agg(F.min("node").alias("least"))
+    same = marked.join(of_fp, "fp").filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    ends = of_fp.select(F.col("fp").alias("b"), F.col("least").alias("other"))
+    apart = links(marked, distance).join(of_fp.withColumnRenamed("fp", "a"), "a").join(ends, "b")
+    return same.union(apart.select(F.col("least").alias("a"), F.col("other").alias("b")))
+
+
+def rooted(docs: DataFrame, block: int = BLOCK, distance: int = DISTANCE) -> DataFrame:
+    """(doc_id, _h1, _h2, root) for every row of `docs`: links of fingerprints and verified links of shingles join all rows of a root.
 
     Texts of the same words are one node, so texts without words are copies of each other.
     """
     hashed = with_text_hash(docs.select("doc_id", text_of().alias("text")))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    marked = written(hashed.mapInPandas(_marked, f"doc_id {kind}, _h1 long, _h2 long, node string, bands array<long>"), "marked")
+    marked = written(hashed.mapInPandas(_marked, f"doc_id {kind}, _h1 long, _h2 long, node string, fp long, bands array<long>"), "marked")
     per = marked.select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("key"))
     # Buckets of the same members are one.
     buckets = per.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader"), F.bit_xor(F.xxhash64("node")).alias("x")).filter("n > 1")
@@ -143,7 +156,7 @@ def rooted(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     both = pairs.join(texts, "node").join(texts.select(F.col("node").alias("leader"), F.col("text").alias("other")), "leader")
     both = both.select(F.col("node").alias("a"), F.col("leader").alias("b"), "text", "other")
     star = written(both.mapInPandas(_are_similar, "a string, b string"), "star")
-    first = written(components(star), "first")
+    first = written(components(_near_fingerprints(marked, distance).union(star)), "first")
 
     placed = members.filter("n > 2").join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = written(placed.select("key", "n", "node", "root"), "placed")

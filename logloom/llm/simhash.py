@@ -33,7 +33,11 @@ def words_of(text: str) -> list[bytes]:
 
 def fingerprint_of(text: str, width: int = 3) -> int:
     """Unsigned SimHash over word shingles: a bit is set if it is set in over half of the hashes."""
-    words = words_of(text)
+    return fingerprint_of_words(words_of(text), width)
+
+
+def fingerprint_of_words(words: list[bytes], width: int = 3) -> int:
+    """The SimHash of a text's words."""
     if not words:
         return 0
     if len(words) < width:

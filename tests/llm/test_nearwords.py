@@ -45,3 +45,14 @@ def test_near_copies_match_all_pairs(spark):
     for block in (256, 2):
         assert sorted(str(x.doc_id) for x in nearwords.one_of_each(df, block).collect()) == want
     assert nearwords.one_of_each(df.limit(0)).count() == 0
+
+
+def test_near_fingerprints_are_linked(spark):
+    same = "x y z " * 60
+    rows = [(1, same + "p q r s t"), (2, same + "u v w m n"), (3, "a text of its own that has nothing to do with them"), (4, None)]
+    a, b = (simhash.fingerprint_of(t) for _, t in rows[:2])
+    assert bin(a ^ b).count("1") <= 3 and len(sets(rows[0][1]) & sets(rows[1][1])) < 0.8 * len(sets(rows[0][1]) | sets(rows[1][1]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x.doc_id for x in nearwords.one_of_each(df).collect()) == [1, 3, 4]
+    chain = nearwords.rooted(df, distance=0).filter("doc_id < 3").select("root").distinct().count()
+    assert chain == (1 if a == b else 2)
