@@ -94,13 +94,17 @@ class Encoder:
             memo[""] = blank
             heads = [self._whole(words.pop(0)) if words and self.spaced else b"" for words in split]
             known = [list(map(memo.get, words)) if words else [] for words in split]
-            if new := {w for words, k in zip(split, known, strict=True) if None in k for w in words if w not in memo}:
+            # Places of words that the memo lacks; the others are not looked up again.
+            gaps = [[i for i, x in enumerate(k) if x is None] for k in known]
+            if new := {words[i] for words, places in zip(split, gaps, strict=True) for i in places}:
                 self._learn(list(new))
-            for text, words, head, k in zip(part, split, heads, known, strict=True):
+            for text, words, head, k, places in zip(part, split, heads, known, gaps, strict=True):
                 if words is None:
                     out.append(self._whole(text))
                 else:
-                    out.append(head + b"".join([memo[w] for w in words] if None in k else k))
+                    for i in places:
+                        k[i] = memo[words[i]]
+                    out.append(head + b"".join(k))
         self.memo = {}
         return out
 
