@@ -64,3 +64,26 @@ def test_a_read_is_stale_where_the_next_call_reads(spark):
     calls = [("Read", "/w/a"), ("Grep", "/w/a"), ("Read", "/w/a"), ("Edit", "/w/a"), ("Read", "/w/a"), ("Read", "/w/b")]
     b = spark.createDataFrame([("s", i, 0, "tool_use", n, f"t{i}", None, p, None, None, False, 40) for i, (n, p) in enumerate(calls)], "session string, idx long, block_idx int, kind string, name string, id string, tool_use_id string, path string, command string, pattern string, is_error boolean, raw_size long")
     assert [r.idx for r in noise.block_marks(b).filter("stale").collect()] == [0]
+
+
+def test_rows_bring_what_they_tell_alone(spark):
+    """Images, hints and parents just before are taken while the blocks are at hand; the frame and its facts are those of rows without them."""
+    rows = jsonl.fold(lines(spark))
+    more = frame.own(rows)
+    got = {(r.session, r.idx): r for r in more.collect()}
+    assert [got["a", i].follows for i in range(5)] == [False, True, False, True, False]
+    assert (got["b", 0].images, got["b", 0].image_bytes, got["a", 0].decisions, got["a", 3].questions) == (1, 9, ["decided so"], ["Why?"])
+    facts = [sorted(map(repr, frame.derived(e.drop("blocks"), jsonl.block_rows(e)).collect())) for e in (rows, more)]
+    assert facts[0] == facts[1]
+    some = lambda r: r.asDict() | {c: r[c] or None for c in ("decisions", "questions")}
+    marks = [sorted(repr(sorted(some(r).items())) for r in frame.marks(e.drop("blocks"), jsonl.block_rows(e)).collect()) for e in (rows, more)]
+    assert marks[0] == marks[1]
+
+
+def test_numbers_of_facts_need_no_sort_of_the_frame(spark):
+    """A maximum of structs, or a list, had every row sorted by epoch; scores ask for numbers only."""
+    more = frame.own(jsonl.fold(lines(spark)))
+    s = frame.derived(more.drop("blocks"), jsonl.block_rows(more))
+    plan = s.select("session", "current_ctx", "growth_rate", "decisions", "seconds")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan and "Join LeftOuter" not in plan
+    assert {r.session: r.decisions for r in s.select("session", "decisions").collect()} == {"a": 0, "b": 0}
