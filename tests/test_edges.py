@@ -2,7 +2,7 @@
 
 import random
 
-from logloom.operators import graphops, views
+from logloom.operators import cross, graphops, views
 
 
 def test_decision_edges_match_all_pairs(spark):
@@ -22,3 +22,23 @@ def test_broken_chains_leave_out_whole_ones(spark):
     all_of = {x.session: x.broken for x in graphops.chain_integrity(m).collect()}
     some = {x.session: x.broken for x in views.broken_chains(m).collect()}
     assert all_of == {"whole": False, **some} and "whole" not in some and some["ring"] and some["lost"]
+
+
+def test_pairs_of_a_hot_key_are_made_in_blocks(spark):
+    a = spark.createDataFrame([(k, i) for k in ("x", "y", None) for i in range(40)] + [("left", 1)], "k string, a long")
+    b = spark.createDataFrame([(k, i) for k in ("x", "z", None) for i in range(50)] + [("y", 7), ("y", 7)], "k string, b long")
+    pairs = cross.blocked(a, b, ["k"], parts=3, rows=10, hub=4)
+    want = [("x", i, j) for i in range(40) for j in range(50)] + [("y", i, 7) for i in range(40)] * 2
+    assert sorted(map(tuple, pairs.collect())) == sorted(want)
+    assert not any(d in pairs._jdf.queryExecution().executedPlan().toString() for d in ("Cartesian", "NestedLoop"))
+
+
+def test_pairs_of_decisions_and_sessions_are_not_dealt(spark):
+    """The join that makes pairs comes last, so that no exchange or sort takes them."""
+    points = spark.createDataFrame([("p", 1, "/a/x"), ("q", 2, "/a/y")], "session string, ts long, path string")
+    touches = spark.createDataFrame([(f"s{i}", 3, "/a/x") for i in range(9)], "session string, ts long, path string")
+    for df, least in ((cross.decision_conflicts(points, touches), 18),):
+        assert df.count() == least
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        above = plan[: plan.index("Join [")]
+        assert "Exchange" not in above and "Sort " not in above and "_part" in plan.split("Join [")[1].split("]")[0]
