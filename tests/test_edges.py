@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from logloom.operators import cross, graphops, views
 
 
@@ -37,7 +39,8 @@ def test_pairs_of_decisions_and_sessions_are_not_dealt(spark):
     """The join that makes pairs comes last, so that no exchange or sort takes them."""
     points = spark.createDataFrame([("p", 1, "/a/x"), ("q", 2, "/a/y")], "session string, ts long, path string")
     touches = spark.createDataFrame([(f"s{i}", 3, "/a/x") for i in range(9)], "session string, ts long, path string")
-    for df, least in ((cross.decision_conflicts(points, touches), 18),):
+    edges = views.decision_edges(points.select(F.col("ts").alias("point"), "session", "path"), touches.select("session", "path"))
+    for df, least in ((cross.decision_conflicts(points, touches), 18), (edges, 9)):
         assert df.count() == least
         plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
         above = plan[: plan.index("Join [")]
